@@ -9,7 +9,6 @@ tokens: query_id, token            queries: query_id, text
 from __future__ import annotations
 
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,7 +16,7 @@ from pyspark.sql import functions as F
 from evidra.functions import lexicon
 from evidra.functions.text import preferred_source_type
 from evidra.operators.matching import match_terms
-from evidra.session import broadcast_if_small, materialize
+from evidra.session import union_all, broadcast_if_small, materialize
 
 
 def field_text(df: DataFrame, name: str) -> Column:
@@ -142,7 +141,7 @@ def _add_tag_bonus(scores, items, chunks, tokens, canonical):
         bonus = tag_bonus(chunks, "chunk_id", tokens, canonical, lexicon.CHUNK_TAG_BONUS)
         rows = bonus.join(chunks.select("chunk_id", "item_id"), "chunk_id")
         parts.append(rows.select("query_id", "item_id", "chunk_id", F.col("bonus").alias("score")))
-    merged = reduce(DataFrame.unionByName, parts)
+    merged = union_all(parts)
     return merged.groupBy("query_id", "item_id", "chunk_id").agg(F.sum("score").alias("score"))
 
 
@@ -249,7 +248,7 @@ def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
         rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
         parts.append(vectors.select("vec_id", "vec").mapInPandas(_block_search(rows, k), schema))
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    found = reduce(DataFrame.unionByName, parts).withColumn("rank", F.row_number().over(w))
+    found = union_all(parts).withColumn("rank", F.row_number().over(w))
     return found.where(F.col("rank") <= k)
 
 
@@ -327,7 +326,7 @@ def list_heads(candidates: DataFrame, list_no: int, order: list[Column], limit:
 def fuse(lists: list[DataFrame], k: int | None = None) -> DataFrame:
     """Reciprocal rank fusion of ranked lists (query_id, item_id, chunk_id, rank, bonus, year,
     list_no): sum of 1/(60+rank), best bonus; order by sum, bonus, year, then first seen."""
-    merged = reduce(DataFrame.unionByName, [
+    merged = union_all([
         df.select("query_id", "item_id", "chunk_id", "rank", "bonus", "year", "list_no") for df in lists
     ])
     fused = merged.groupBy("query_id", "item_id", "chunk_id").agg(

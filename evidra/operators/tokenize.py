@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +11,7 @@ from evidra.functions.text import (
     CJK_CLASS, cjk_chars, keyword_in_text, normalized, plain_tokens, replace_first,
 )
 from evidra.operators.matching import match_terms
+from evidra.session import union_all
 
 
 def _group_table(spark: SparkSession, groups: dict[str, list[str]]) -> DataFrame:
@@ -61,7 +61,7 @@ def canonical_tokens(
     for table in (alias_map, cjk_terms):
         if table is not None:
             parts.append(table.where("canonical <> ''").select(F.col("canonical").alias("token")))
-    return reduce(DataFrame.unionByName, parts).distinct()
+    return union_all(parts).distinct()
 
 
 def domain_vocabulary(
@@ -78,7 +78,7 @@ def domain_vocabulary(
         parts += [cjk_terms.select(F.explode("en").alias("token")), cjk_terms.select(F.col("zh").alias("token"))]
     if entity_aliases is not None:
         parts += [entity_aliases.select(F.explode(c).alias("token")) for c in ("terms", "tokens")]
-    merged = reduce(DataFrame.unionByName, parts)
+    merged = union_all(parts)
     return merged.select(F.lower("token").alias("token")).where("token <> ''").distinct()
 
 
@@ -115,7 +115,7 @@ def tokenize_queries(
             entity_aliases.select(F.explode("terms").alias("term"), "tokens")
             .select("term", F.explode("tokens").alias("token"))
         )
-    bridge = reduce(DataFrame.unionByName, bridges).where("term <> ''").distinct()
+    bridge = union_all(bridges).where("term <> ''").distinct()
     matched = match_terms(texts, bridge.select("term"), ["query_id"])
     injected = matched.join(bridge, "term").select("query_id", "token")
     plain = texts.select("query_id", F.explode(plain_tokens(F.col("text"))).alias("token"))

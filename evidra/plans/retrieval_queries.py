@@ -205,9 +205,9 @@ WHERE position BETWEEN {first} AND {last}"""
 
 
 def vector_neighbours(spark, sf):
-    """For every vector of label 0 the ten nearest vectors by inner product."""
+    """For every vector the ten nearest vectors by inner product."""
     vectors = load_table(spark, sf, "embeddings")
-    queries = vectors.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     found = retrieval.vector_top_k(queries, vectors.select("vec_id", F.col("embedding").alias("vec")), 10)
     return found.select("query_id", "vec_id", F.round("score", 5).alias("score"), "rank")
 
@@ -215,7 +215,7 @@ def vector_neighbours(spark, sf):
 _NEIGHBOURS = """
 pairs AS (
   SELECT q.vec_id AS query_id, v.vec_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
-  FROM embeddings q, embeddings v WHERE q.label = 0),
+  FROM embeddings q, embeddings v),
 near AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM pairs)"""
 
 
@@ -231,7 +231,7 @@ def hashing_similarity(spark, sf):
 
 def _fusion_lists(spark, sf):
     vectors = load_table(spark, sf, "embeddings")
-    queries = vectors.where("label = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
     near = retrieval.vector_top_k(queries, vectors.select("vec_id", F.col("embedding").alias("vec")), 50)
     flipped = queries.withColumn("qvec", F.reverse("qvec"))
     other = retrieval.vector_top_k(flipped, vectors.select("vec_id", F.col("embedding").alias("vec")), 50)
@@ -251,10 +251,10 @@ def rank_fusion(spark, sf):
 
 FUSION_SQL = """WITH pairs AS (
   SELECT 0 AS list_no, q.vec_id AS query_id, v.vec_id AS item_id, list_inner_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])) AS score
-  FROM embeddings q, embeddings v WHERE q.label = 0
+  FROM embeddings q, embeddings v
   UNION ALL
   SELECT 1, q.vec_id, v.vec_id, list_inner_product(CAST(list_reverse(q.embedding) AS DOUBLE[]), CAST(v.embedding AS DOUBLE[]))
-  FROM embeddings q, embeddings v WHERE q.label = 0),
+  FROM embeddings q, embeddings v),
 heads AS (SELECT *, row_number() OVER (PARTITION BY list_no, query_id ORDER BY score DESC, item_id) AS r FROM pairs WHERE score > 0),
 fused AS (SELECT query_id, item_id, sum(1.0 / (60 + r)) AS rrf, CAST(2000 + item_id % 7 AS INTEGER) AS year, min(list_no * 1000 + r) AS seen
   FROM heads WHERE r <= 50 GROUP BY query_id, item_id)
