@@ -19,8 +19,10 @@ DISCLAIMER = "非诊断结论、需结合临床。"
 def table_cell(value: Column) -> Column:
     """Table-safe text: empty becomes 无, white space collapses, control characters are escaped."""
     text = strip_space(F.regexp_replace(value.cast("string"), "(?U)\\s+", " "))
-    escaped = F.regexp_replace(text, "([\\\\`*\\[\\]()|])", "\\\\$1")
-    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;")):
+    # a backslash is escaped twice, like every report so far
+    escaped = F.replace(text, F.lit("\\"), F.lit("\\" * 4))
+    escaped = F.regexp_replace(escaped, "([`*\\[\\]()|])", "\\\\$1")
+    for char, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ("://", "&#58;//")):
         escaped = F.replace(escaped, F.lit(char), F.lit(entity))
     return F.when(value.isNull() | (value.cast("string") == ""), F.lit(NOTHING)).otherwise(escaped)
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,3 +75,9 @@ def broadcast_if_small(df: DataFrame, max_bytes: int = BROADCAST_MAX_BYTES) -> D
     """Broadcast hint when the measured size is within the bound; otherwise leave the
     choice to Spark (shuffled join, with skew splitting by AQE)."""
     return F.broadcast(df) if measured_bytes(df) <= max_bytes else df
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh folder below the shared checkpoint directory."""
+    ensure_checkpoint_dir(spark)
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"

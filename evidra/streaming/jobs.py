@@ -40,19 +40,20 @@ class _LatencyState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.totals = handle.getValueState("totals", "count bigint, total double, low double, high double")
-        self.samples = handle.getListState("samples", "ms double")
+        self.samples = handle.getListState("samples", "ts bigint, ms double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         count, total, low, high = self.totals.get() if self.totals.exists() else (0, 0.0, float("inf"), 0.0)
-        kept = [s[0] for s in self.samples.get()] if self.samples.exists() else []
-        arrived = pd.concat(list(rows)).sort_values(["ts", "elapsed_ms"])["elapsed_ms"]
-        for ms in arrived:
-            count, total = count + 1, total + float(ms)
-            low, high = min(low, float(ms)), max(high, float(ms))
-        kept = (kept + [float(v) for v in arrived])[-self.window:]
+        kept = [tuple(s) for s in self.samples.get()] if self.samples.exists() else []
+        for chunk in rows:  # only the newest samples stay, however many rows a batch brings
+            ms = chunk["elapsed_ms"]
+            count, total = count + len(ms), total + float(ms.sum())
+            low, high = min(low, float(ms.min())), max(high, float(ms.max()))
+            stamps = chunk["ts"].astype("int64").tolist()
+            kept = sorted(kept + list(zip(stamps, ms.astype(float).tolist())))[-self.window:]
         self.totals.update((count, total, low, high))
-        self.samples.put([(v,) for v in kept])
-        ordered = sorted(kept)
+        self.samples.put(kept)
+        ordered = sorted(v for _, v in kept)
         n = len(ordered)
         at = lambda q: ordered[min(int(n * q), n - 1)]
         yield pd.DataFrame([{
