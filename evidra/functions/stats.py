@@ -10,23 +10,29 @@ from pyspark.sql import types as T
 @F.pandas_udf(T.DoubleType())
 def hypergeometric_tail(k: pd.Series, population: pd.Series, marked: pd.Series, drawn: pd.Series) -> pd.Series:
     """P(X >= k) for ``drawn`` draws from ``population`` items, ``marked`` of which count."""
-    from math import exp, lgamma
-
-    def choose(n, r):
-        return lgamma(n + 1) - lgamma(r + 1) - lgamma(n - r + 1)
-
-    def tail(k, m_all, m, n):
-        low = max(k, n - (m_all - m), 0)
-        high = min(m, n)
-        if k <= max(0, n - (m_all - m)):
-            return 1.0
-        if low > high:
-            return 0.0
-        base = choose(m_all, n)
-        return min(1.0, sum(exp(choose(m, i) + choose(m_all - m, n - i) - base) for i in range(high, low - 1, -1)))
+    import numpy as np
 
-    rows = zip(k, population, marked, drawn)
-    return pd.Series([tail(int(a), int(b), int(c), int(d)) for a, b, c, d in rows], dtype="float64")
+    k, big, m, n = (s.to_numpy(dtype="int64") for s in (k, population, marked, drawn))
+    if len(k) == 0:
+        return pd.Series([], dtype="float64")
+    logs = np.log(np.arange(1, int(big.max()) + 1, dtype="float64"))
+    ln_fact = np.concatenate([[0.0], np.cumsum(logs)])
+    least = np.maximum(0, n - (big - m))
+    low, high = np.maximum(k, least), np.minimum(m, n)
+    out = np.where(k <= least, 1.0, 0.0)
+    todo = np.flatnonzero((k > least) & (low <= high))
+    order = todo[np.argsort(high[todo] - low[todo], kind="stable")]
+    for part in np.array_split(order, max(1, len(order) // 512)):  # rows of similar length together
+        if len(part) == 0:
+            continue
+        kk, mm, nn, bb = low[part, None], m[part, None], n[part, None], big[part, None]
+        i = kk + np.arange(int((high[part] - low[part]).max()) + 1)[None, :]
+        valid = i <= high[part, None]
+        i = np.where(valid, i, high[part, None])
+        choose = lambda a, b: ln_fact[a] - ln_fact[b] - ln_fact[a - b]
+        terms = np.exp(choose(mm, i) + choose(bb - mm, nn - i) - choose(bb, nn))
+        out[part] = np.minimum(1.0, np.where(valid, terms, 0.0)[:, ::-1].sum(axis=1))
+    return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())

@@ -10,39 +10,63 @@ corpus, and only the hit table, whose size is measured, is ever broadcast.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.text import token_matches
-from evidra.session import broadcast_if_small, materialize
+from evidra.functions.text import keyword_in_text, token_matches
+from evidra.session import BROADCAST_MAX_BYTES, materialize, union_all
 
 GRAM = 3
 
 
+@dataclass(frozen=True)
+class Matcher:
+    """How a term matches a text. Terms of the ``whole_word`` pattern equal one of the text's
+    words; all others are found by ``verify(term, text)``, which implies containment."""
+
+    verify: Callable[[Column, Column], Column]
+    whole_word: str | None = None
+
+
+TOKEN = Matcher(token_matches, "^[a-z0-9]{1,2}$")
+KEYWORD = Matcher(keyword_in_text, "^[a-z0-9]+$")
+SUBSTRING = Matcher(lambda term, text: F.contains(text, term))
+
+
 def text_pieces(text: Column) -> Column:
     return F.array_distinct(F.filter(F.split(F.lower(text), "\\s+"), lambda p: p != ""))
 
 
 def _grams(piece: Column) -> Column:
-    """Distinct character grams of one, two and three characters."""
-    sizes = [
-        F.regexp_extract_all(piece, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1))
-        for n in range(1, GRAM + 1)
-    ]
-    return F.array_distinct(F.concat(*sizes))
+    """Distinct grams of three characters, and the shorter ones that are not plain ASCII:
+    shorter ASCII terms are whole words. The short words of a phrase end, start or are a
+    piece, so both ends of the piece count as well."""
+    patterns = ["(?s)(?=(...))", "(?s)(?=([^a-z0-9]))", "(?s)(?=([^a-z0-9].|.[^a-z0-9]))"]
+    ends = F.array(F.left(piece, F.lit(1)), F.left(piece, F.lit(2)), F.right(piece, F.lit(1)), F.right(piece, F.lit(2)))
+    return F.array_distinct(F.concat(*[F.regexp_extract_all(piece, F.lit(p), F.lit(1)) for p in patterns], ends))
 
 
-def term_anchors(terms: DataFrame) -> DataFrame:
-    """(term) -> (term, anchor, gram, is_phrase); a phrase is anchored on its longest word."""
+def _short_grams(piece: Column) -> Column:
+    """All grams of one to three characters, for matchers without a whole-word rule."""
+    return F.array_distinct(F.concat(*[
+        F.regexp_extract_all(piece, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1)) for n in range(1, GRAM + 1)]))
+
+
+def term_anchors(terms: DataFrame, matcher: Matcher) -> DataFrame:
+    """(term) -> (term, anchor, gram, is_phrase, is_word); a phrase is anchored on its longest
+    word."""
     words = F.filter(F.split("term", "\\s+"), lambda w: w != "")
     longest = F.reduce(
         words, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc)
     )
+    is_word = F.col("term").rlike(matcher.whole_word) if matcher.whole_word else F.lit(False)
     return (
         terms.select("term").where("term is not null and length(trim(term)) > 0").distinct()
         .withColumn("anchor", longest)
         .withColumn("is_phrase", F.col("anchor") != F.col("term"))
+        .withColumn("is_word", is_word)
         .withColumn("gram", F.substring("anchor", 1, GRAM))
     )
 
@@ -53,7 +77,7 @@ def match_terms(
     keys: list[str],
     text_col: str = "text",
     weight_col: str | None = None,
-    matcher: Callable[[Column, Column], Column] = token_matches,
+    matcher: Matcher = TOKEN,
 ) -> DataFrame:
     """Distinct (keys..., term[, weight]) where the lower-cased text contains the term.
 
@@ -64,29 +88,58 @@ def match_terms(
     fields = texts.where(F.col(text_col).isNotNull()).select(
         *keys, weight.alias("weight"), F.col(text_col).alias("_text")
     )
-    anchors = term_anchors(terms)
+    anchors = term_anchors(terms, matcher)
     postings = fields.select(*keys, "weight", F.explode(text_pieces(F.col("_text"))).alias("piece"))
     vocabulary = postings.select("piece").distinct()
-    hits = (
-        vocabulary.select("piece", F.explode(_grams(F.col("piece"))).alias("gram"))
-        .join(anchors, "gram")
-        .where(
-            F.when(F.col("is_phrase"), F.contains("piece", "anchor"))
-            .otherwise(matcher(F.col("term"), F.col("piece")))
-        )
-        .select("piece", "term", "is_phrase")
-    )
-    hits = broadcast_if_small(materialize(hits))
+    hits = materialize(_piece_hits(vocabulary, anchors, matcher))
+    size, any_phrase = hits.agg(
+        F.sum(F.length("piece") + F.length("term") + 16), F.bool_or("is_phrase")).first()
+    if (size or 0) <= BROADCAST_MAX_BYTES:
+        hits = F.broadcast(hits)
     found = postings.join(hits, "piece")
-    single = found.where(~F.col("is_phrase")).select(*keys, "weight", "term")
-    phrase_candidates = found.where("is_phrase").select(*keys, "term").distinct()
-    phrases = (
-        fields.join(phrase_candidates, keys)
-        .where(matcher(F.col("term"), F.lower("_text")))
-        .select(*keys, "weight", "term")
-    )
-    if hits.where("is_phrase").isEmpty():
-        matched = single
-    else:
-        matched = single.unionByName(phrases)
+    matched = found.where(~F.col("is_phrase")).select(*keys, "weight", "term")
+    if any_phrase:
+        matched = union_all([matched, _phrase_hits(fields, found, keys, matcher)])
     return matched.groupBy(*keys, "term").agg(F.max("weight").alias("weight"))
+
+
+def _piece_hits(pieces: DataFrame, anchors: DataFrame, matcher: Matcher) -> DataFrame:
+    """Pieces (with whatever columns they carry) that hold a term, or a phrase's anchor."""
+    kept = [c for c in pieces.columns if c != "piece"]
+    grams = _grams if matcher.whole_word else _short_grams
+    by_gram = (
+        pieces.select("*", F.explode(grams(F.col("piece"))).alias("gram"))
+        .join(anchors.where("not is_word"), "gram")
+        .where(F.when(F.col("is_phrase"), F.contains("piece", "anchor")).otherwise(matcher.verify(F.col("term"), F.col("piece"))))
+        .select(*kept, "piece", "term", "is_phrase")
+    )
+    if not matcher.whole_word:
+        return by_gram
+    words = F.array_distinct(F.regexp_extract_all("piece", F.lit("(?U)(\\w+)"), F.lit(1)))
+    by_word = (
+        pieces.select("*", F.explode(words).alias("term"))
+        .join(anchors.where("is_word").select("term", "is_phrase"), "term")
+        .select(*kept, "piece", "term", "is_phrase")
+    )
+    return union_all([by_gram, by_word])
+
+
+def _phrase_hits(fields: DataFrame, found: DataFrame, keys: list[str], matcher: Matcher) -> DataFrame:
+    """Candidates of phrases verified on the whole text; only candidate texts are joined."""
+    candidates = found.where("is_phrase").select(*keys, "term").distinct()
+    return (
+        fields.join(candidates, keys).where(matcher.verify(F.col("term"), F.lower("_text"))).select(*keys, "weight", "term")
+    )
+
+
+def match_short_texts(
+    texts: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text", matcher: Matcher = TOKEN
+) -> DataFrame:
+    """match_terms for query-like tables: no vocabulary pass, every text meets the terms in
+    one job."""
+    fields = texts.where(F.col(text_col).isNotNull()).select(*keys, F.lit(1).alias("weight"), F.col(text_col).alias("_text"))
+    pieces = fields.select(*keys, F.explode(text_pieces(F.col("_text"))).alias("piece"))
+    found = _piece_hits(pieces, term_anchors(terms, matcher), matcher)
+    single = found.where(~F.col("is_phrase")).select(*keys, "term")
+    phrases = _phrase_hits(fields, found, keys, matcher).select(*keys, "term")
+    return union_all([single, phrases]).distinct()

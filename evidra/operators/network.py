@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.operators.ordering import cumulative_count, with_blocks
-from evidra.session import broadcast_if_small, union_all
+from evidra.session import union_all
 
 MAX_CHAINS_PER_QUERY = 5
 UNKNOWN_HERB = "未识别中药"
@@ -60,15 +60,16 @@ def allowed_herbs(queries: DataFrame, formulas: DataFrame, herbs: DataFrame) ->
 
 
 def all_chains(edges: DataFrame, compounds: DataFrame, targets: DataFrame, pathways: DataFrame, herbs: DataFrame) -> DataFrame:
-    """Every edge with its named ends, one row per herb of the compound."""
+    """Every edge with its named ends, one row per herb of the compound. Dimensions are plain
+    joins: Spark broadcasts those its statistics show to be small."""
     named = (
-        edges.join(broadcast_if_small(compounds.select("compound_id", F.col("name").alias("compound"), "herb_ids")), "compound_id")
-        .join(broadcast_if_small(targets.select("target_id", F.col("symbol").alias("target"))), "target_id")
-        .join(broadcast_if_small(pathways.select("pathway_id", F.col("name").alias("pathway"))), "pathway_id")
+        edges.join(compounds.select("compound_id", F.col("name").alias("compound"), "herb_ids"), "compound_id")
+        .join(targets.select("target_id", F.col("symbol").alias("target")), "target_id")
+        .join(pathways.select("pathway_id", F.col("name").alias("pathway")), "pathway_id")
     )
     rows = named.select("*", F.posexplode("herb_ids").alias("herb_no", "herb_id")).drop("herb_ids")
     herb_dim = herbs.where("name <> ''").select("herb_id", F.col("name").alias("herb"))
-    return rows.join(broadcast_if_small(herb_dim), "herb_id")
+    return rows.join(herb_dim, "herb_id")
 
 
 def assemble_chains(
@@ -76,7 +77,7 @@ def assemble_chains(
     herbs: DataFrame, formulas: DataFrame, limit: int = MAX_CHAINS_PER_QUERY,
 ) -> DataFrame:
     """Best ``limit`` chains per query by score; input order breaks ties."""
-    allowed = broadcast_if_small(allowed_herbs(queries, formulas, herbs))
+    allowed = allowed_herbs(queries, formulas, herbs)
     candidates = all_chains(edges, compounds, targets, pathways, herbs).join(allowed, "herb_id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord", "herb_no")
     return (

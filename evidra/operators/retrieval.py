@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import lexicon
 from evidra.functions.text import preferred_source_type
-from evidra.operators.matching import match_terms
+from evidra.operators.matching import SUBSTRING, match_terms
 from evidra.session import union_all, broadcast_if_small, materialize
 
 
@@ -51,7 +51,7 @@ def tag_bonus(
         tags.select("tag", F.col("tag").alias("text")).distinct(),
         wanted.select(F.col("token").alias("term")),
         ["tag"],
-        matcher=lambda term, text: F.contains(text, term),
+        matcher=SUBSTRING,
     ).where(F.contains("tag", "term"))
     owner_terms = tags.join(tag_terms.select("tag", "term"), "tag").select(key, F.col("term").alias("token")).distinct()
     return (
@@ -82,13 +82,15 @@ def match_candidates(items: DataFrame, chunks: DataFrame | None, tokens: DataFra
         weighted_fields(items, lexicon.ITEM_FIELD_WEIGHTS, ["item_id"]), terms, ["item_id"],
         weight_col="weight",
     )
+    # read twice, for document frequencies and for scores
+    item_matches = materialize(item_matches)
     if chunks is None:
         return item_matches, None
     chunk_matches = match_terms(
         weighted_fields(chunks, lexicon.CHUNK_FIELD_WEIGHTS, ["item_id", "chunk_id"]), terms,
         ["item_id", "chunk_id"], weight_col="weight",
     )
-    return item_matches, chunk_matches
+    return item_matches, materialize(chunk_matches)
 
 
 def keyword_scores(
@@ -150,7 +152,7 @@ def with_item_keys(scores: DataFrame, items: DataFrame, queries: DataFrame) -> D
     preferred = queries.select("query_id", preferred_source_type(F.col("text")).alias("preferred"))
     keys = items.select("item_id", "source_type", "record_origin", "year", "ord")
     return (
-        scores.join(keys, "item_id").join(broadcast_if_small(preferred), "query_id")
+        scores.join(keys, "item_id").join(preferred, "query_id")
         .withColumn("bonus", F.when(F.col("source_type") == F.col("preferred"), 1).otherwise(0))
         .withColumn("real", F.when(F.col("record_origin") != "seed_sample", 1).otherwise(0))
         .drop("preferred")

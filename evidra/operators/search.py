@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import lexicon
-from evidra.functions.text import keyword_in_text, preferred_source_type
-from evidra.operators.matching import match_terms
+from evidra.functions.text import preferred_source_type
+from evidra.operators.matching import KEYWORD, match_terms
 from evidra.operators.retrieval import field_text
 from evidra.operators.tokenize import broad_disease_queries, tokenize_searches
 from evidra.session import broadcast_if_small, materialize
@@ -43,7 +43,7 @@ def search_scores(items: DataFrame, search_terms: DataFrame) -> DataFrame:
     )
     matched = match_terms(
         fields, search_terms.select("term"), ["item_id", "field"], weight_col="weight",
-        matcher=lambda term, text: keyword_in_text(F.lower(term), text),
+        matcher=KEYWORD,
     )
     return (
         matched.join(broadcast_if_small(search_terms), "term")
@@ -80,8 +80,8 @@ def search_literature(
     broad = broad_disease_queries(terms).withColumn("broad", F.lit(True))
     rows = (
         scores.join(pool.select("item_id", "source_type", "year", "ord"), "item_id")
-        .join(broadcast_if_small(preferred), "query_id")
-        .join(broadcast_if_small(broad), "query_id", "left")
+        .join(preferred, "query_id")
+        .join(broad, "query_id", "left")
         .withColumn("bonus", F.when(F.col("source_type") == F.col("preferred"), 1).otherwise(0))
         .withColumn("broad", F.coalesce("broad", F.lit(False)))
     )
