@@ -31,13 +31,15 @@ def hypergeometric_tail(k: pd.Series, population: pd.Series, marked: pd.Series,
         i = np.where(valid, i, high[part, None])
         choose = lambda a, b: ln_fact[a] - ln_fact[b] - ln_fact[a - b]
         terms = np.exp(choose(mm, i) + choose(bb - mm, nn - i) - choose(bb, nn))
-        out[part] = np.minimum(1.0, np.where(valid, terms, 0.0)[:, ::-1].sum(axis=1))
+        # added one by one from the smallest term, so a row's value does not depend on its batch
+        out[part] = np.minimum(1.0, np.cumsum(np.where(valid, terms, 0.0)[:, ::-1], axis=1)[:, -1])
     return pd.Series(out)
 
 
 @F.pandas_udf(T.DoubleType())
 def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
-    """Two-sided tail of Student's t: the regularised incomplete beta at df/(df+t^2)."""
+    """Two-sided tail of Student's t: the regularised incomplete beta at df/(df+t^2); null where
+    undefined."""
     import numpy as np
 
     t_values = t.to_numpy(dtype="float64")
@@ -68,17 +70,19 @@ def _beta_tail(a, x):
     c = np.ones_like(z)
     d = 1.0 / clip(1.0 - (p + q) * z / (p + 1.0))
     h = d.copy()
+    open_ = np.ones(z.shape, dtype=bool)  # a settled element stays as it is, whatever its batch does
     for m in range(1, 400):
         even = m * (q - m) * z / ((p + 2 * m - 1) * (p + 2 * m))
         d = 1.0 / clip(1.0 + even * d)
         c = clip(1.0 + even / c)
-        h *= d * c
+        h = np.where(open_, h * d * c, h)
         odd = -(p + m) * (p + q + m) * z / ((p + 2 * m) * (p + 2 * m + 1))
         d = 1.0 / clip(1.0 + odd * d)
         c = clip(1.0 + odd / c)
         step = d * c
-        h *= step
-        if np.all(np.abs(step - 1.0) < 1e-15):
+        h = np.where(open_, h * step, h)
+        open_ &= np.abs(step - 1.0) >= 1e-15
+        if not open_.any():
             break
     value = np.where(z <= 0, 0.0, front * h / p)
     return np.clip(np.where(swap, 1.0 - value, value), 0.0, 1.0)

@@ -69,7 +69,7 @@ def group_moments(values: DataFrame, groups: DataFrame, key: str) -> DataFrame:
 def welch(moments: DataFrame, case: str, control: str, keys: list[str]) -> DataFrame:
     """Welch statistic, degrees of freedom, two-sided p and difference of means per key.
 
-    p is NaN where both variances vanish or a side has fewer than two samples.
+    t, df and p are null where both variances vanish or a side has fewer than two samples.
     """
     pick = lambda name, grp: F.max(F.when(F.col("grp") == grp, F.col(name)))
     sides = moments.where(F.col("grp").isin(case, control)).groupBy(*keys).agg(
@@ -77,14 +77,13 @@ def welch(moments: DataFrame, case: str, control: str, keys: list[str]) -> DataF
     )
     a, b = F.col("var_case") / F.col("n_case"), F.col("var_control") / F.col("n_control")
     testable = (F.col("n_case") > 1) & (F.col("n_control") > 1) & (a + b > 0)
-    nan = F.lit(float("nan"))
     stats = sides.where("n_case is not null and n_control is not null").select(
         *keys, "mean_case", "mean_control", "n_case", "n_control",
         (F.col("mean_case") - F.col("mean_control")).alias("log2fc"),
-        F.when(testable, (F.col("mean_case") - F.col("mean_control")) / F.sqrt(a + b)).otherwise(nan).alias("t"),
+        F.when(testable, (F.col("mean_case") - F.col("mean_control")) / F.sqrt(a + b)).alias("t"),
         F.when(
             testable, (a + b) ** 2 / (a ** 2 / (F.col("n_case") - 1) + b ** 2 / (F.col("n_control") - 1))
-        ).otherwise(nan).alias("df"),
+        ).alias("df"),
     )
     return stats.withColumn("p_value", student_t_two_sided(F.col("t"), F.col("df")))
 
@@ -122,7 +121,7 @@ def differential_expression(
 def passing(tests: DataFrame, alpha: float, min_abs_fc: float) -> DataFrame:
     """adj p < alpha, |log2fc| > threshold (both strict) and a defined p."""
     return tests.where(
-        (F.col("adj_p_value") < alpha) & (F.abs("log2fc") > min_abs_fc) & ~F.isnan("p_value")
+        (F.col("adj_p_value") < alpha) & (F.abs("log2fc") > min_abs_fc) & F.col("p_value").isNotNull()
     )
 
 
@@ -136,7 +135,7 @@ def lineage_candidates(passed: DataFrame, lineage: DataFrame) -> DataFrame:
 
 def projection_counts(values: DataFrame, tests: DataFrame, alpha: float, min_abs_fc: float) -> DataFrame:
     probes = values.groupBy("dataset").agg(F.count_distinct("probe").alias("analyzed_probe_count"))
-    hit = (F.col("adj_p_value") < alpha) & (F.abs("log2fc") > min_abs_fc) & ~F.isnan("p_value")
+    hit = (F.col("adj_p_value") < alpha) & (F.abs("log2fc") > min_abs_fc) & F.col("p_value").isNotNull()
     genes = tests.groupBy("dataset").agg(
         F.count("*").alias("analyzed_gene_count"), F.count_if(hit).alias("passing_gene_count")
     )

@@ -457,8 +457,7 @@ def probe_collapse(spark, sf):
 def welch_statistics(spark, sf):
     values, groups, annotation = _expression_tables(spark, sf)
     tests = expression.differential_expression(values, groups, annotation, "case", "control")
-    fin = lambda c: F.when(~F.isnan(c), F.round(c, 6))
-    return tests.select("dataset", "symbol", F.round("mean_case", 6).alias("mean_case"), F.round("mean_control", 6).alias("mean_control"), F.round("log2fc", 6).alias("log2fc"), fin("t").alias("t"), fin("df").alias("df"))
+    return tests.select("dataset", "symbol", F.round("mean_case", 6).alias("mean_case"), F.round("mean_control", 6).alias("mean_control"), F.round("log2fc", 6).alias("log2fc"), F.round("t", 6).alias("t"), F.round("df", 6).alias("df"))
 
 
 def differential_expression(spark, sf):
@@ -506,7 +505,7 @@ def expression_candidates(spark, sf):
     values, groups, annotation = _expression_tables(spark, sf)
     chosen = values.join(expression.collapse_probes(values, annotation), ["dataset", "probe"])
     tests = expression.welch(expression.group_moments(chosen, groups, "symbol"), "case", "control", ["dataset", "symbol"])
-    passed = expression.passing(tests.withColumn("adj_p_value", F.lit(0.01)).where(~F.isnan("t")), 0.05, 5.0)
+    passed = expression.passing(tests.withColumn("adj_p_value", F.lit(0.01)).where("t is not null"), 0.05, 5.0)
     lineage_rows = load_table(spark, sf, "part").select(
         F.col("p_size").alias("task_id"), F.concat_ws(" ", "p_name", F.floor(F.col("p_retailprice") / 5).cast("string")).alias("canonical_symbol"), F.col("p_partkey").alias("lineage_row_id"))
     found = expression.lineage_candidates(passed, lineage_rows)
