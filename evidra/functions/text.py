@@ -214,6 +214,26 @@ def preview_line_score(line: Column) -> Column:
     return score + F.when(F.length(strip_space(line)) >= 24, 1).otherwise(0)
 
 
+def preview_lines(text: Column) -> Column:
+    """Stripped lines that are no noise."""
+    kept = F.filter(F.split(text, "[\\r\\n]+"), lambda l: ~preview_noise(l))
+    return F.transform(kept, strip_space)
+
+
+def preview_window(text: Column, lines: Column, start: Column, max_chars: int = 300) -> Column:
+    """Lines from ``start`` on, until the length passes ``max_chars``."""
+    empty = F.struct(F.lit("").alias("t"), F.lit(False).alias("done"))
+
+    def add(acc, line):
+        fits = (acc["t"] == "") | (F.length(acc["t"]) + 1 + F.length(line) <= max_chars)
+        joined = F.when(acc["t"] == "", line).otherwise(F.concat(acc["t"], F.lit("\n"), line))
+        return F.struct(F.when(~acc["done"] & fits, joined).otherwise(acc["t"]).alias("t"), (acc["done"] | ~fits).alias("done"))
+
+    tail = F.slice(lines, start + 1, F.greatest(F.size(lines) - start, F.lit(0)))
+    window = F.reduce(tail, empty, add)["t"]
+    return strip_space(F.substring(F.when(F.size(lines) == 0, text).otherwise(window), 1, max_chars))
+
+
 def trim_header_footer(page_text: Column, top: float = 0.15, bottom: float = 0.15) -> Column:
     """Drop the first and last lines of a page (at least one each when over three lines)."""
     lines = F.split(page_text, "\n")

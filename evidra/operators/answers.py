@@ -1,6 +1,7 @@
 """Citation selection and answer texts for a batch of questions.
 
-ranked: query_id, item_id, chunk_id, score, bonus, real, year, rank (positive candidates)
+ranked: query_id, item_id, chunk_id, score, bonus, real, year, rank (positive candidates);
+``rank`` may be a number or an order key, it is only ever compared.
 """
 
 from __future__ import annotations
@@ -53,14 +54,14 @@ def entity_matches(ranked: DataFrame, tokens: DataFrame, items: DataFrame, chunk
 
 def domain_order(ranked: DataFrame, items: DataFrame, tokens: DataFrame) -> DataFrame:
     """Questions with the ``network`` token are ordered by origin, two topic tags, language,
-    score and year; the others keep their order. Replaces ``rank`` by ``domain_rank``."""
+    score and year; the others keep their order. ``rank`` becomes the new order key."""
     asked = tokens.where("token = 'network'").select("query_id").distinct().withColumn("asked", F.lit(1))
     flag = lambda tag: F.array_contains("evidence_tags", tag).cast("int")
     tags = items.select("item_id", flag("network_pharmacology").alias("np"), flag("targeted_therapy").alias("tt"))
     rows = ranked.join(tags, "item_id").join(asked, "query_id", "left")
-    on = lambda c: F.desc(F.when(F.col("asked") == 1, F.col(c)).otherwise(F.lit(0)))
-    w = Window.partitionBy("query_id").orderBy(on("real"), on("np"), on("tt"), on("bonus"), on("score"), on("year"), "rank")
-    return rows.withColumn("domain_rank", F.row_number().over(w)).drop("np", "tt", "asked")
+    on = lambda c: F.when(F.col("asked") == 1, -F.col(c).cast("double")).otherwise(F.lit(0.0)).alias(c)
+    key = F.struct(on("real"), on("np"), on("tt"), on("bonus"), on("score"), on("year"), F.col("rank").alias("before"))
+    return rows.withColumn("rank", key).drop("np", "tt", "asked")
 
 
 def select_citations(
@@ -209,7 +210,7 @@ def answer_questions(
 ) -> tuple[DataFrame, DataFrame]:
     """(answers, citation cards) of a batch of questions from ranked candidates."""
     if source == "all" and "evidence_tags" in items.columns:
-        ranked = domain_order(ranked, items, tokens).drop("rank").withColumnRenamed("domain_rank", "rank")
+        ranked = domain_order(ranked, items, tokens)
     topical = topical_queries(ranked, tokens, vocabulary)
     entities = entity_matches(ranked, tokens, items, chunks) if "related_entity_ids" in items.columns else None
     selected, available = select_citations(ranked, topical, entities, top_k, source)

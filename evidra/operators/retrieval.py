@@ -167,26 +167,50 @@ def retrieval_order() -> list[Column]:
     ]
 
 
+def order_key() -> Column:
+    """retrieval_order as one ascending struct. Operators that need the order but no number
+    (first per item, best k of a pool, counts) take it as ``rank``, so that no task ever sorts
+    all candidates of a query."""
+    return F.struct(
+        (-F.col("real")).alias("r"), (-F.round("score", 9)).alias("s"), (-F.col("bonus")).alias("b"),
+        (-F.col("year")).alias("y"), F.col("ord"), F.coalesce("chunk_id", F.lit("")).alias("c"),
+    )
+
+
 def rank_candidates(
     candidates: DataFrame, order: list[Column] | None = None, k: int | None = None
 ) -> DataFrame:
-    """Adds ``rank`` (from 1) per query; with ``k`` only the first k are kept, and each task
-    cuts to k before the shuffle."""
+    """``rank`` from 1 per query; with ``k`` only the first k are kept, and each task cuts to k
+    before the shuffle."""
     w = Window.partitionBy("query_id").orderBy(*(order or retrieval_order()))
-    ranked = candidates.withColumn("rank", F.row_number().over(w))
-    return ranked.where(F.col("rank") <= k) if k is not None else ranked
+    ranked = candidates.withColumn("_place", F.row_number().over(w))
+    if k is not None:
+        ranked = ranked.where(F.col("_place") <= k)
+    return ranked.drop("rank").withColumnRenamed("_place", "rank")
 
 
-def rank_keyword(
+def keyword_candidates(
     queries: DataFrame,
     items: DataFrame,
     tokens: DataFrame,
     chunks: DataFrame | None = None,
     canonical: DataFrame | None = None,
-    k: int | None = None,
 ) -> DataFrame:
+    """All positive candidates; ``rank`` is their order key."""
     scores = keyword_scores(items, tokens, chunks, canonical)
-    return rank_candidates(with_item_keys(scores, items, queries), k=k)
+    return with_item_keys(scores, items, queries).withColumn("rank", order_key())
+
+
+def rank_keyword(
+    queries: DataFrame,
+    items: DataFrame,
+    tokens: DataFrame,
+    chunks: DataFrame | None = None,
+    canonical: DataFrame | None = None,
+    k: int = 50,
+) -> DataFrame:
+    """Best k candidates per query, numbered from 1."""
+    return rank_candidates(keyword_candidates(queries, items, tokens, chunks, canonical), k=k)
 
 
 def fallback_candidates(items: DataFrame, queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
@@ -347,8 +371,7 @@ def rank_hybrid(
     canonical: DataFrame | None = None, k: int | None = None,
 ) -> DataFrame:
     keyword = list_heads(
-        with_item_keys(keyword_scores(items, tokens, chunks, canonical), items, queries), 0,
-        retrieval_order(), lexicon.RRF_LIST_LIMIT,
+        keyword_candidates(queries, items, tokens, chunks, canonical), 0, [F.asc("rank")], lexicon.RRF_LIST_LIMIT,
     )
     vector = list_heads(
         rank_vector(queries, items, chunks, lexicon.RRF_LIST_LIMIT, encode), 1,
@@ -367,7 +390,7 @@ STRATEGIES = {"keyword": rank_keyword, "vector": rank_vector, "hybrid": rank_hyb
 
 
 def first_per_item(ranked: DataFrame, k: int) -> DataFrame:
-    """Ordered de-duplication: the best rank of each item, re-ranked and cut to k."""
+    """Ordered de-duplication: the best rank (number or order key) of each item, cut to k."""
     best = ranked.groupBy("query_id", "item_id").agg(F.min("rank").alias("first_rank"))
     w = Window.partitionBy("query_id").orderBy("first_rank")
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("first_rank")

@@ -98,23 +98,21 @@ def tokenize_queries(
     texts = queries.select("query_id", normalized(F.col("text")).alias("text"))
     # (term, token): a matched term brings in the token
     bridges = [keyword_alias_table(spark).select("term", F.col("canonical").alias("token"))]
+    def bridge_of(table: DataFrame, terms, tokens) -> DataFrame:
+        # one generator carries term and tokens together
+        entries = F.transform(terms, lambda t: F.struct(t.alias("term"), tokens.alias("tokens")))
+        return table.select(F.explode(entries).alias("e")).select(F.col("e.term").alias("term"), F.explode("e.tokens").alias("token"))
+
+    def with_canonical(tokens: str):
+        return F.array_union(tokens, F.array_compact(F.array(F.when(F.col("canonical") != "", F.col("canonical")))))
+
     if cjk_terms is not None:
-        injected = F.array_union("en", F.array_compact(F.array(F.when(F.col("canonical") != "", F.col("canonical")))))
-        bridges.append(cjk_terms.select(F.col("zh").alias("term"), F.explode(injected).alias("token")))
+        bridges.append(bridge_of(cjk_terms, F.array("zh"), with_canonical("en")))
     if alias_map is not None:
         for have, give in (("zh", "en"), ("en", "zh")):
-            tokens = F.array_union(
-                give, F.array_compact(F.array(F.when(F.col("canonical") != "", F.col("canonical"))))
-            )
-            bridges.append(
-                alias_map.select(F.explode(have).alias("term"), tokens.alias("tokens"))
-                .select("term", F.explode("tokens").alias("token"))
-            )
+            bridges.append(bridge_of(alias_map, F.col(have), with_canonical(give)))
     if entity_aliases is not None:
-        bridges.append(
-            entity_aliases.select(F.explode("terms").alias("term"), "tokens")
-            .select("term", F.explode("tokens").alias("token"))
-        )
+        bridges.append(bridge_of(entity_aliases, F.col("terms"), F.col("tokens")))
     bridge = union_all(bridges).where("term <> ''").distinct()
     matched = match_short_texts(texts, bridge.select("term"), ["query_id"])
     injected = matched.join(bridge, "term").select("query_id", "token")

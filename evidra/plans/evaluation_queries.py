@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from evidra.functions import text as tx
 from evidra.operators import answers, evaluation, grounding, ordering, retrieval
 from evidra.plans import shapes
-from evidra.plans.retrieval_queries import KEYWORD_SQL, _ranked, query_tokens
-from evidra.session import load_table
+from evidra.plans.retrieval_queries import KEYWORD_SQL, _candidates, _ranked, query_tokens
+from evidra.session import load_table, materialize
 
 THRESHOLDS = [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
@@ -289,7 +289,7 @@ def bracketed_references(spark, sf):
 
 def _citation_inputs(spark, sf):
     tokens = query_tokens(spark, sf)
-    ranked = _ranked(spark, sf, None)
+    ranked = materialize(_candidates(spark, sf, tokens))
     vocabulary = tokens.where(F.length("token") >= 5).select("token").distinct()
     return tokens, ranked, vocabulary
 

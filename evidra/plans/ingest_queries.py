@@ -253,25 +253,7 @@ SELECT doc_id, md5(x) AS md5, CAST(length(x) AS INTEGER) AS n FROM t"""
 def preview_windows(spark, sf):
     """Most readable lines of every document, up to 300 characters."""
     docs = load_table(spark, sf, "documents")
-    lines = F.filter(F.split("text", "[\\r\\n]+"), lambda l: ~tx.preview_noise(l))
-    return literature_preview(docs.select("doc_id", "text", F.transform(lines, tx.strip_space).alias("lines"))).select("doc_id", F.md5("preview").alias("preview_md5"), F.length("preview").alias("n"))
-
-
-def literature_preview(docs, max_chars: int = 300):
-    """Window from the best-scoring line on; each document's lines stay in their row."""
-    scored = F.transform("lines", lambda l, i: F.struct(tx.preview_line_score(l).alias("s"), (-i).alias("i")))
-    start = F.when(F.size("lines") > 0, -F.array_max(scored)["i"]).otherwise(F.lit(0))
-    tail = F.slice("lines", start + 1, F.greatest(F.size("lines") - start, F.lit(0)))
-    empty = F.struct(F.lit("").alias("t"), F.lit(False).alias("done"))
-
-    def add(acc, line):
-        fits = (acc["t"] == "") | (F.length(acc["t"]) + 1 + F.length(line) <= max_chars)
-        joined = F.when(acc["t"] == "", line).otherwise(F.concat(acc["t"], F.lit("\n"), line))
-        return F.struct(F.when(~acc["done"] & fits, joined).otherwise(acc["t"]).alias("t"), (acc["done"] | ~fits).alias("done"))
-
-    window = F.reduce(tail, empty, add)["t"]
-    preview = F.when(F.size("lines") == 0, F.col("text")).otherwise(window)
-    return docs.withColumn("preview", tx.strip_space(F.substring(preview, 1, max_chars)))
+    return literature.with_preview(docs, "text").select("doc_id", F.md5("preview").alias("preview_md5"), F.length("preview").alias("n"))
 
 
 PREVIEW_SQL = """WITH l AS (SELECT doc_id, text, unnest(regexp_split_to_array(text, '[\\r\\n]+')) AS raw, generate_subscripts(regexp_split_to_array(text, '[\\r\\n]+'), 1) AS pos FROM documents),

@@ -92,6 +92,10 @@ def _ranked(spark, sf, k):
     return retrieval.rank_keyword(queries, shapes.corpus(spark, sf), tokens, k=k)
 
 
+def _candidates(spark, sf, tokens):
+    return retrieval.keyword_candidates(shapes.questions(spark, sf), shapes.corpus(spark, sf), tokens)
+
+
 def keyword_ranking(spark, sf):
     return _ranked(spark, sf, 10).select(
         "query_id", "item_id", F.round("score", 6).alias("score"), "bonus", "year", "rank"
@@ -276,11 +280,11 @@ def hybrid_ranking(spark, sf):
 def first_candidate_per_item(spark, sf):
     """Best turn per conversation for every question, first ten conversations."""
     queries = shapes.questions(spark, sf)
-    ranked = retrieval.rank_keyword(
+    candidates = retrieval.keyword_candidates(
         queries, shapes.conversation_items(spark, sf), query_tokens(spark, sf),
         shapes.conversation_chunks(spark, sf),
     )
-    return retrieval.first_per_item(ranked, 10)
+    return retrieval.first_per_item(candidates, 10)
 
 
 FIRST_SQL = CHUNK_SQL.replace(
@@ -289,7 +293,75 @@ FIRST_SQL = CHUNK_SQL.replace(
 ).replace(") WHERE rank <= 5", ") GROUP BY query_id, item_id) WHERE rank <= 10")
 
 
+def entity_aliases(spark, sf):
+    """Regions as formulas over their nations: every name with the tokens it brings in."""
+    nations, regions = load_table(spark, sf, "nation"), load_table(spark, sf, "region")
+    herb_id = F.concat(F.lit("herb-"), F.col("n_nationkey").cast("string"))
+    herbs = nations.select(herb_id.alias("id"), F.col("n_name").alias("name"), F.lower("n_name").alias("pinyin"), F.lit("").alias("latin_name"))
+    members = nations.groupBy("n_regionkey").agg(F.sort_array(F.collect_list(herb_id)).alias("herb_ids"))
+    formulas = regions.join(members, F.col("r_regionkey") == F.col("n_regionkey")).select(
+        F.concat(F.lit("formula-"), F.col("r_regionkey").cast("string")).alias("id"), F.col("r_name").alias("name"), F.lit("").alias("pinyin"), "herb_ids")
+    return tokenize.entity_alias_table(formulas, herbs)
+
+
+def entity_alias_tokens(spark, sf):
+    return entity_aliases(spark, sf).select(F.array_join("terms", ",").alias("terms"), F.array_join(F.sort_array("tokens"), ",").alias("tokens"))
+
+
+def _dictionary(spark, sf):
+    parts = load_table(spark, sf, "part")
+    return parts.groupBy(F.col("p_type").alias("canonical")).agg(F.collect_set("p_name").alias("en"), F.collect_set("p_brand").alias("zh"))
+
+
+def domain_vocabulary(spark, sf):
+    """Part names, brands and types as a bilingual dictionary, with the entity names."""
+    return tokenize.domain_vocabulary(spark, None, _dictionary(spark, sf), entity_aliases(spark, sf))
+
+
+def bridged_tokens(spark, sf):
+    """Part names (widgets, bolts, ...) as queries, expanded through the dictionary."""
+    queries = load_table(spark, sf, "part").select(F.col("p_partkey").alias("query_id"), F.col("p_name").alias("text"))
+    tokens = tokenize.tokenize_queries(queries, None, _dictionary(spark, sf).select("canonical", F.array(F.lit("skipped")).alias("zh"), "en"), None)
+    return tokens.groupBy("query_id").agg(F.count("*").alias("n_tokens"))
+
+
+def chunkless_items(spark, sf):
+    """Documents without labels as items without chunks."""
+    items = load_table(spark, sf, "documents").select(F.col("doc_id").alias("item_id"))
+    chunks = load_table(spark, sf, "labels").select(F.col("doc_id").alias("item_id"))
+    return retrieval.chunkless_candidates(items, chunks).select("item_id", "score")
+
+
+def rank_scores(spark, sf):
+    """Orders of every customer by price: rank turned into a descending score."""
+    orders = load_table(spark, sf, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("item_id"), F.col("o_totalprice").alias("price"))
+    ranked = retrieval.rank_candidates(orders, [F.desc("price"), F.asc("item_id")])
+    return retrieval.rank_to_score(ranked).select("query_id", "item_id", "rank", "score")
+
+
+_ALIAS_SQL = """SELECT lower(r_name) AS terms, array_to_string(list_sort(list_concat(['formula-' || r_regionkey, 'formula'], list('herb-' || n_nationkey))), ',') AS tokens FROM region JOIN nation ON n_regionkey = r_regionkey GROUP BY r_name, r_regionkey
+UNION ALL SELECT lower(n_name), array_to_string(list_sort(['herb-' || n_nationkey, 'herb', 'formula-' || n_regionkey]), ',') FROM nation"""
+
+
 QUERIES = {
+    "entity_aliases": (entity_alias_tokens, _ALIAS_SQL),
+    "domain_vocabulary": (
+        domain_vocabulary,
+        f"""WITH groups(canonical, term) AS (VALUES {_GROUPS_SQL}), a AS ({_ALIAS_SQL})
+        SELECT DISTINCT token FROM (SELECT canonical AS token FROM groups UNION ALL SELECT lower(p_name) FROM part UNION ALL SELECT lower(p_brand) FROM part UNION ALL SELECT lower(p_type) FROM part
+        UNION ALL SELECT unnest(string_split(terms, ',')) FROM a UNION ALL SELECT unnest(string_split(tokens, ',')) FROM a)""",
+    ),
+    "bridged_tokens": (
+        bridged_tokens,
+        """WITH q AS (SELECT p_partkey AS query_id, p_name AS t FROM part), d AS (SELECT DISTINCT p_type, p_name FROM part),
+        tk AS (SELECT query_id, unnest(regexp_extract_all(t, '[a-z0-9\\-]+')) AS token FROM q UNION SELECT query_id, unnest(['skipped', p_type]) FROM q JOIN d ON contains(t, p_name))
+        SELECT query_id, count(*) AS n_tokens FROM tk GROUP BY 1""",
+    ),
+    "chunkless_items": (chunkless_items, "SELECT doc_id AS item_id, 0.0::DOUBLE AS score FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)"),
+    "rank_scores": (
+        rank_scores,
+        "SELECT o_custkey AS query_id, o_orderkey AS item_id, CAST(row_number() OVER w AS INTEGER) AS rank, count(*) OVER (PARTITION BY o_custkey) - row_number() OVER w + 1 AS score FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)",
+    ),
     "query_tokens": (query_tokens, f"WITH {TOKENS_SQL} SELECT query_id, token FROM tokens"),
     "keyword_ranking": (
         keyword_ranking,

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from evidra.functions import text as tx
+
 ITEM_SCHEMA = (
     "id string, title string, language string, source_type string, source string, record_origin string, year int, "
     "snippet string, authors array<string>, keywords array<string>, evidence_tags array<string>, abstract string, "
@@ -177,6 +179,15 @@ def records_to_items(records: DataFrame) -> DataFrame:
         F.col("pmid").alias("pubmed_id"), "doi", F.concat(F.lit("https://pubmed.ncbi.nlm.nih.gov/"), "pmid", F.lit("/")).alias("citation_url"))
 
 
+def with_preview(docs: DataFrame, column: str, max_chars: int = 300) -> DataFrame:
+    """Adds ``preview``: the most readable window of a text. Lines and the best start are
+    columns of their own, so neither is computed twice."""
+    staged = docs.withColumn("_lines", tx.preview_lines(F.col(column)))
+    scores = F.transform("_lines", lambda l, i: F.struct(tx.preview_line_score(l).alias("s"), (-i).alias("i")))
+    staged = staged.withColumn("_start", F.when(F.size("_lines") > 0, -F.array_max(scores)["i"]).otherwise(F.lit(0)))
+    return staged.withColumn("preview", tx.preview_window(F.col(column), F.col("_lines"), F.col("_start"), max_chars)).drop("_lines", "_start")
+
+
 # --- sinks -----------------------------------------------------------------------------------------
 
 
