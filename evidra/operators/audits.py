@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from evidra.functions.canonical import content_id
 from evidra.operators import lineage as lin
 from evidra.operators.review import backed_intersections, latest_decisions
-from evidra.session import union_all
+from evidra.session import materialize, union_all
 
 
 def _rules(df: DataFrame, key: str, subject: Column, checks: list[tuple[str, Column]]) -> DataFrame:
@@ -128,12 +128,12 @@ def plan_issues(
         ("plan_id_derivation", F.col("plan_id") != F.concat(F.lit("assembly-plan-"), "canonical_plan_input_sha256")),
         ("plan_not_ready", ~F.col("assembly_input_ready")), ("plan_formal_ready", F.col("formal_network_ready")),
     ]))
-    latest = latest_decisions(events, rows)
+    latest = materialize(latest_decisions(events, rows))
     undecided = rows.select("task_id", "lineage_row_id").distinct().join(
         latest.where("decision <> 'needs_review'"), ["task_id", "lineage_row_id"], "left_anti")
     parts.append(undecided.join(plans.select("task_id").distinct(), "task_id", "left_semi").select(
         "task_id", F.lit("row_undecided").alias("rule"), F.col("lineage_row_id").alias("subject")))
-    truth = backed_intersections(intersections, rows, latest)
+    truth = materialize(backed_intersections(intersections, rows, latest))
     parts.append(truth.where("not backed").join(plans.select("task_id").distinct(), "task_id", "left_semi").select(
         "task_id", F.lit("included_without_backing").alias("rule"), F.col("lineage_row_id").alias("subject")))
     want = truth.where("backed").select(

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.operators.ordering import cumulative_count, with_blocks
-from evidra.session import union_all
+from evidra.session import materialize, union_all
 
 MAX_CHAINS_PER_QUERY = 5
 UNKNOWN_HERB = "未识别中药"
@@ -312,12 +312,14 @@ def edge_crossings(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     the cells before it, so no pair of edges is ever formed: for a cell (s, t) the edges it
     crosses from the left are those with a smaller source and a larger target.
     """
-    place = nodes.select("task_id", F.col("layer_no"), F.col("label"), "position")
-    at = (
-        edges.join(place.select("task_id", "layer_no", F.col("label").alias("source"), F.col("position").alias("s")), ["task_id", "layer_no", "source"])
-        .join(place.select("task_id", (F.col("layer_no") - 1).alias("layer_no"), F.col("label").alias("target"), F.col("position").alias("t")), ["task_id", "layer_no", "target"])
+    pairs = edges.groupBy("task_id", "layer_no", "source", "target").agg(F.count("*").alias("n"))
+    place = nodes.select("task_id", "layer_no", "label", "position")
+    left = place.select("task_id", "layer_no", F.col("label").alias("source"), F.col("position").alias("s"))
+    right = place.select("task_id", (F.col("layer_no") - 1).alias("layer_no"), F.col("label").alias("target"), F.col("position").alias("t"))
+    cells = materialize(
+        pairs.join(left, ["task_id", "layer_no", "source"]).join(right, ["task_id", "layer_no", "target"])
+        .select("task_id", "layer_no", "s", "t", "n")
     )
-    cells = at.groupBy("task_id", "layer_no", "s", "t").agg(F.count("*").alias("n"))
     return inversions(cells, ["task_id", "layer_no"])
 
 

@@ -11,7 +11,7 @@ from evidra.functions import canonical
 from evidra.functions import text as tx
 from evidra.operators import answers, audits, documents, lineage
 from evidra.plans import review_queries as rq
-from evidra.session import load_table
+from evidra.session import load_table, materialize
 from evidra.sources import connectors, literature, omics
 
 J = lambda *cols: F.to_json(F.struct(*cols))
@@ -389,13 +389,13 @@ SELECT CAST(conv_id AS VARCHAR) AS doc_id, md5('# Transcript' || chr(10) || chr(
 def network_reports(spark, sf):
     """Full report per task from decisions, gate, lineage and chains."""
     rows, events, inter = rq.lineage_rows(spark, sf), rq.decisions(spark, sf), rq.intersections(spark, sf)
-    gate = rq.review.assembly_gate(rq.tasks(spark, sf), rows, events, inter)
+    gate = materialize(rq.review.assembly_gate(rq.tasks(spark, sf), rows, events, inter))
     counts = rows.groupBy("task_id").agg(*[F.count_if(F.col("set_kind") == k).alias(f"{k}_target_count") for k in ("disease", "compound", "intersection")])
     tasks = rq.tasks(spark, sf).join(gate, "task_id").join(counts, "task_id").select(
         "task_id", F.col("owner_id").alias("query"), F.lit("herb").alias("analysis_type"), F.when(F.col("has_compound_import"), "live").otherwise("mock").alias("data_mode"),
         F.col("state").alias("gate_state"), "blockers", F.array(F.lit(lineage.REASONS["edges"])).alias("blocking_reasons"), "disease_target_count", "compound_target_count", "intersection_target_count")
     lin = rows.select("task_id", "set_kind", "lineage_row_id", "canonical_symbol", F.lit("ChEMBL").alias("source_database"), F.lit(0.5).alias("source_score"), F.array("lineage_row_id").alias("source_record_ids"))
-    latest = rq.review.latest_decisions(events, rows)
+    latest = materialize(rq.review.latest_decisions(events, rows))
     customers = load_table(spark, sf, "customer")
     chains = customers.select(
         rq._task("c_custkey").alias("task_id"), F.col("c_custkey").alias("chain_no"), F.lit(None).cast("string").alias("formula"), F.col("c_mktsegment").alias("herb"), F.col("c_name").alias("compound"),
@@ -406,7 +406,7 @@ def network_reports(spark, sf):
     terms = customers.select(
         rq._task("c_custkey").alias("task_id"), F.col("c_custkey").alias("combined_rank"), F.col("c_name").alias("term_id"), F.lit("GO").alias("collection"), F.lit(2).alias("overlap_count"), F.lit(9).alias("gene_count"),
         F.lit(0.001).alias("p_value"), F.lit(0.01).alias("adjusted_p_value"))
-    summary = rq.review.adjudication_summary(events, rows)
+    summary = materialize(rq.review.adjudication_summary(events, rows))
     return documents.render(documents.network_report_lines(tasks, lin, inter, summary, latest, sources, steps, chains, levels, terms))
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import canonical
 from evidra.operators import audits, latency, review
-from evidra.session import load_table, work_folder
+from evidra.session import load_table, materialize, work_folder
 from evidra.streaming import jobs
 
 KEY = b"registered-query-key"
@@ -292,7 +292,7 @@ def plan_audit_issues(spark, sf):
     """Sealed plans, outputs and consumptions of all tasks with planted edits."""
     rows, events, inter = lineage_rows(spark, sf), decisions(spark, sf), intersections(spark, sf)
     latest = review.latest_decisions(events, rows)
-    backed = review.backed_intersections(inter, rows, latest).where("backed")
+    backed = materialize(review.backed_intersections(inter, rows, latest).where("backed"))
     digest = F.sha2("task_id", 256)
     plans = backed.select("task_id").distinct().select(
         "task_id", F.lit("parent").alias("source_task_id"), F.concat(F.lit("assembly-plan-"), digest).alias("plan_id"), F.lit(1).alias("plan_sequence"),
