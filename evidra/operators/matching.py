@@ -36,7 +36,8 @@ SUBSTRING = Matcher(lambda term, text: F.contains(text, term))
 
 
 def text_pieces(text: Column) -> Column:
-    return F.array_distinct(F.filter(F.split(F.lower(text), "\\s+"), lambda p: p != ""))
+    """Distinct pieces of the lower-cased text; the empty piece is dropped after exploding."""
+    return F.array_distinct(F.split(F.lower(text), "\\s+"))
 
 
 def _grams(piece: Column) -> Column:
@@ -89,7 +90,7 @@ def match_terms(
         *keys, weight.alias("weight"), F.col(text_col).alias("_text")
     )
     anchors = term_anchors(terms, matcher)
-    postings = fields.select(*keys, "weight", F.explode(text_pieces(F.col("_text"))).alias("piece"))
+    postings = fields.select(*keys, "weight", F.explode(text_pieces(F.col("_text"))).alias("piece")).where("piece <> ''")
     vocabulary = postings.select("piece").distinct()
     hits = materialize(_piece_hits(vocabulary, anchors, matcher))
     size, any_phrase = hits.agg(
@@ -138,7 +139,7 @@ def match_short_texts(
     """match_terms for query-like tables: no vocabulary pass, every text meets the terms in
     one job."""
     fields = texts.where(F.col(text_col).isNotNull()).select(*keys, F.lit(1).alias("weight"), F.col(text_col).alias("_text"))
-    pieces = fields.select(*keys, F.explode(text_pieces(F.col("_text"))).alias("piece"))
+    pieces = fields.select(*keys, F.explode(text_pieces(F.col("_text"))).alias("piece")).where("piece <> ''")
     found = _piece_hits(pieces, term_anchors(terms, matcher), matcher)
     single = found.where(~F.col("is_phrase")).select(*keys, "term")
     phrases = _phrase_hits(fields, found, keys, matcher).select(*keys, "term")

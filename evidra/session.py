@@ -57,9 +57,14 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once to reliable storage and continue from there."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write an intermediate result once to a table in the shared folder and continue from it.
+
+    The lineage ends there, an executor lost later costs no recomputation, and the table's
+    size is known to the planner of every later job.
+    """
+    folder = work_folder(df.sparkSession, "stage")
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
 def measured_bytes(df: DataFrame) -> int:
