@@ -7,6 +7,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 from functools import reduce
@@ -48,11 +49,14 @@ def load_table(spark: SparkSession, base_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by the cluster; a private one only where none is set."""
+    """Use the folder named by the cluster. A private one is made only where driver and executors are one
+    process; on a cluster a folder of the driver's machine would lose rows, so its lack is an error."""
     context = spark.sparkContext
     if context.getCheckpointDir() is not None:
         return
     configured = spark.conf.get("spark.checkpoint.dir", None)
+    if not configured and not re.fullmatch(r"local(\[.*\])?", context.master):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="evidra-checkpoint-"))
 
 
