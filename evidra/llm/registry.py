@@ -2,16 +2,28 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import license_scan
+from evidra.llm import byte_bpe, license_scan, packing
 from evidra.session import load_table
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return byte_bpe.digests(byte_bpe.encode(load_table(spark, sf_dir, "documents"), path), path)
+
+
+def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(load_table(spark, sf_dir, "documents"))
+
+
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
+    "op8_byte_bpe": (op8_byte_bpe, None),
+    "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_license_scan": (op10_license_scan, license_scan.scan_sql()),
 }
