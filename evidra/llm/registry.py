@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import byte_bpe, license_scan, packing, toxicity, warc
+from evidra.llm import byte_bpe, license_scan, packing, suffix_dedup, toxicity, warc
 from evidra.session import load_table, work_folder
 
 
@@ -15,6 +15,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(load_table(spark, sf_dir, "documents")).drop("kept")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.train(docs, load_table(spark, sf_dir, "labels")))
@@ -37,9 +41,9 @@ OP1_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
      f AS (SELECT html, min(page_id) AS first FROM p GROUP BY html),
      hexed AS (SELECT p.page_id, strlen(p.html) AS payload_bytes, sha1(p.html) AS h, f.first FROM p JOIN f USING (html)),
-     coded AS (SELECT *, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+     coded AS (SELECT page_id, payload_bytes, first, string_agg(substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
                    1 + CAST((('0x' || substr(h, 1 + 10 * (g // 8), 10))::BIGINT >> (35 - 5 * (g % 8))) & 31 AS INTEGER), 1), '' ORDER BY g) AS b
-               FROM hexed, (SELECT unnest(range(32)) AS g) GROUP BY ALL)
+               FROM hexed, (SELECT unnest(range(32)) AS g) GROUP BY page_id, payload_bytes, first)
 SELECT page_id, CAST(payload_bytes AS BIGINT) AS payload_bytes, b AS payload_digest,
        CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN first < page_id THEN first END AS refers_to, true AS intact
@@ -48,6 +52,7 @@ FROM coded
 
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
+    "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
