@@ -8,17 +8,16 @@ record. Spark still partitions, shuffles and retries; only the rows are coarser.
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.session import materialize, prepare
 
-__all__ = ["components", "materialize", "mix64", "pack_by_bucket", "rebatch", "release", "shuffle_partitions", "text_slices"]
-
 ARROW_BYTES = 8 << 20
 
 
@@ -26,10 +25,50 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of jobs whose results are already staged."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def bucket_count(spark: SparkSession) -> int:
+    """Buckets of packed exchanges: follow the cluster's shuffle partitions; odd, so that ids in even steps spread."""
+    return 4 * shuffle_partitions(spark) + 1
+
+
+def hash_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
+    return ((hashes >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
+
+
+def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket that ``bucket_of`` gives a document on the Spark side."""
+    return np.mod(doc ^ (doc >> 9) ^ (doc >> 21), buckets)
+
+
+def bucket_of(doc: Column, buckets: int) -> Column:
+    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 9)).bitwiseXOR(F.shiftright(doc, 21)), F.lit(buckets))
+
+
+def unpacked(table: pa.Table, name: str, dtype: type) -> np.ndarray:
+    """All records of a packed column; a side of a cogroup without rows may come without columns."""
+    return np.frombuffer(b"".join(table.column(name).to_pylist()) if name in table.column_names else b"", dtype=dtype)
+
+
+def to_planes(values: np.ndarray) -> bytes:
+    """Differences byte plane by byte plane: slowly changing numbers leave runs of zeros for the shuffle's compression."""
+    steps = np.diff(values, prepend=values.dtype.type(0))
+    return steps.view(np.uint8).reshape(-1, values.dtype.itemsize).T.tobytes()
+
+
+def from_planes(table: pa.Table, name: str, dtype: type) -> np.ndarray:
+    parts = []
+    for packed in table.column(name).to_pylist() if name in table.column_names else []:
+        planes = np.frombuffer(packed, np.uint8).reshape(np.dtype(dtype).itemsize, -1)
+        parts.append(np.cumsum(np.ascontiguousarray(planes.T).view(dtype).ravel(), dtype=dtype))
+    return np.concatenate(parts) if parts else np.empty(0, dtype)
+
+
+def release(spark: SparkSession, seconds: float = 1.0) -> None:
+    """Lets Spark's cleaner drop shuffle files of jobs whose results are already staged; it works in the background
+    after a collection of the driver's garbage, so disk use is lower when the next job writes."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(seconds / 2)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -68,8 +107,9 @@ def text_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0]:offsets[-1]], offsets - offsets[0]
 
 
-def pack_by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tuple[int, list[bytes]]]:
-    """One (bucket, packed columns) per bucket present; records keep their order inside a bucket."""
+def pack_by_bucket(bucket: np.ndarray, columns: list[np.ndarray], planes: tuple[int, ...] = ()) -> Iterator[tuple[int, list[bytes]]]:
+    """One (bucket, packed columns) per bucket present; records keep their order inside a bucket. The columns
+    whose positions are in ``planes`` are packed by ``to_planes``."""
     if len(bucket) == 0:
         return
     order = np.argsort(bucket, kind="stable")
@@ -78,7 +118,7 @@ def pack_by_bucket(bucket: np.ndarray, columns: list[np.ndarray]) -> Iterator[tu
     starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(order)]))
     moved = [np.ascontiguousarray(c[order]) for c in columns]
     for a, b in zip(starts.tolist(), ends.tolist(), strict=True):
-        yield int(sorted_bucket[a]), [c[a:b].tobytes() for c in moved]
+        yield int(sorted_bucket[a]), [to_planes(c[a:b]) if i in planes else c[a:b].tobytes() for i, c in enumerate(moved)]
 
 
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -24,13 +24,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from evidra.llm.common import materialize, mix64, pack_by_bucket, release, shuffle_partitions, text_slices
+from evidra.llm.common import (
+    bucket_count, bucket_of, doc_bucket, from_planes, hash_bucket, materialize, mix64, pack_by_bucket, release, text_slices, unpacked,
+)
 
-MIN_LENGTH, TRIGGER = 50, 24
+MIN_LENGTH, TRIGGER = 50, 16
 #: Text bytes a map task parses at once.
 STRETCH_BYTES = 2 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
@@ -147,6 +149,8 @@ class Parser:
     def __init__(self, buckets: int, min_length: int, trigger: int) -> None:
         if not 8 <= trigger <= min_length:
             raise ValueError("the trigger needs 8 bytes at least and min_length at most")
+        if min_length > 16384:
+            raise ValueError("lengths of phrases are kept in two bytes")
         self.buckets, self.min_length, self.trigger = buckets, min_length, trigger
 
     def triggers(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,47 +162,25 @@ class Parser:
             local = (found.trigger - offsets[found.row]).astype(np.int32)
             send = doc == low
             hashes = found.hash[send]
-            yield self._packed(hash_bucket(hashes, self.buckets), [hashes, doc[send], local[send], shared[send].astype(np.uint8)], 0)
+            short = hashes.astype(np.uint32)  # with the bucket, enough to tell triggers apart; a clash only adds comparisons
+            yield self._packed(hash_bucket(hashes, self.buckets), [doc[send], local[send], short, shared[send].astype(np.uint8)], 0)
             more = shared & ~send  # known to repeat: no other stretch needs to hear of them
             yield self._packed(doc_bucket(doc[more], self.buckets), [doc[more], local[more]], 1)
 
     def _packed(self, bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
-        rows = list(pack_by_bucket(bucket, columns))
+        rows = list(pack_by_bucket(bucket, columns, planes=(0, 1)))
         packed = [[r[1][i] if i < len(r[1]) else b"" for r in rows] for i in range(4)]
         return pa.RecordBatch.from_arrays(
             [pa.array([kind] * len(rows), pa.int32()), pa.array([r[0] for r in rows], pa.int64()), *[pa.array(c, pa.binary()) for c in packed]],
             ["kind", "bucket", "a", "b", "c", "d"])
 
 
-def hash_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:
-    return ((hashes >> np.uint64(8)) % np.uint64(buckets)).astype(np.int64)
-
-
-def doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
-    """The bucket that ``bucket_of`` gives a document on the Spark side."""
-    return np.mod(doc ^ (doc >> 9) ^ (doc >> 21), buckets)
-
-
-def bucket_of(doc: Column, buckets: int) -> Column:
-    return F.pmod(doc.bitwiseXOR(F.shiftright(doc, 9)).bitwiseXOR(F.shiftright(doc, 21)), F.lit(buckets))
-
-
-def bucket_count(spark: SparkSession) -> int:
-    """Odd, so that ids in steps of a power of two spread."""
-    return 4 * shuffle_partitions(spark) + 1
-
-
 PACKED = "kind int, bucket long, a binary, b binary, c binary, d binary"
 
 
-def _joined(table: pa.Table, name: str, dtype: type) -> np.ndarray:
-    """All records of a packed column; a side of a cogroup without rows may come without columns."""
-    return np.frombuffer(b"".join(table.column(name).to_pylist()) if name in table.column_names else b"", dtype=dtype)
-
-
 def _to_docs(doc: np.ndarray, columns: list[np.ndarray], buckets: int) -> pa.Table:
     """Records dealt back to their documents' buckets."""
-    rows = list(pack_by_bucket(doc_bucket(doc, buckets), [doc, *columns]))
+    rows = list(pack_by_bucket(doc_bucket(doc, buckets), [doc, *columns], planes=(0, 1, 2)))
     cols = [[r[1][i] if i < len(r[1]) else b"" for r in rows] for i in range(3)]
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], ["bucket", "a", "b", "c"])
 
@@ -214,9 +196,11 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def wanted(group: pa.Table) -> pa.Table:
-        """Of the triggers of one bucket, those that two documents share."""
-        hashes, doc, place = _joined(group, "a", np.uint64), _joined(group, "b", np.int64), _joined(group, "c", np.int32)
-        known = _joined(group, "d", np.uint8).astype(bool)
+        """Of the triggers of one bucket, those that two documents share; places known to repeat go straight back."""
+        if group.column("kind")[0].as_py() == 1:
+            return group.select(["bucket", "a", "b", "c"])
+        doc, place = from_planes(group, "a", np.int64), from_planes(group, "b", np.int32)
+        hashes, known = unpacked(group, "c", np.uint32), unpacked(group, "d", np.uint8).astype(bool)
         _, shared = _least([hashes], doc)
         order = np.argsort(hashes, kind="stable")  # a trigger shared inside any stretch is wanted from every stretch
         cut = np.flatnonzero(np.concatenate(([True], np.diff(hashes[order]) != 0))) if len(order) else np.empty(0, np.int64)
@@ -226,9 +210,8 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             shared[order] |= spread
         return _to_docs(doc[shared], [place[shared]], buckets)
 
-    sent = materialize(source.mapInArrow(parser.triggers, PACKED))
-    first = sent.where("kind = 0").groupBy("bucket").applyInArrow(wanted, BY_DOC)
-    marks = materialize(first.unionByName(sent.where("kind = 1").select("bucket", "a", "b", "c")))
+    sent = source.mapInArrow(parser.triggers, PACKED)
+    marks = materialize(sent.groupBy("kind", "bucket").applyInArrow(wanted, BY_DOC))
     release(spark)
 
     by_bucket = source.withColumn("bucket", bucket_of(F.col("doc"), buckets))
@@ -236,16 +219,16 @@ def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min
     def phrases(key_: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         return _phrases(left, right, parser)
 
-    sent_phrases = materialize(_cogrouped(by_bucket, marks, phrases, PHRASES))
-    release(spark)
-    settled = sent_phrases.where("kind = 1").select("bucket", "a", "b", "c")
-    compared = sent_phrases.where("kind = 0").groupBy("bucket").applyInArrow(lambda t: _compare(t, parser), BY_DOC)
-    spans = materialize(settled.unionByName(compared))
+    def settle(group: pa.Table) -> pa.Table:
+        return group.select(["bucket", "a", "b", "c"]) if group.column("kind")[0].as_py() == 1 else _compare(group, parser)
+
+    asked = _cogrouped(by_bucket, marks, phrases, PHRASES)
+    spans = materialize(asked.groupBy("kind", "bucket").applyInArrow(settle, BY_DOC))
     release(spark)
     return spans
 
 
-PHRASES = "kind int, bucket long, a binary, b binary, c binary, d binary, e binary, f binary"
+PHRASES = "kind int, bucket long, a binary, b binary, c binary, d binary, e binary"
 
 
 def _cogrouped(texts: DataFrame, packed: DataFrame, run, schema: str) -> DataFrame:
@@ -255,8 +238,8 @@ def _cogrouped(texts: DataFrame, packed: DataFrame, run, schema: str) -> DataFra
 def _phrases(left: pa.Table, right: pa.Table, parser: Parser) -> pa.Table:
     out: list[tuple] = []
     if not left.num_rows or not right.num_rows:
-        return pa.Table.from_batches([], _schema(["kind"], "abcdef"))
-    doc, place = _joined(right, "a", np.int64), _joined(right, "b", np.int32)
+        return pa.Table.from_batches([], _schema(["kind"], "abcde"))
+    doc, place = from_planes(right, "a", np.int64), from_planes(right, "b", np.int32)
     width = parser.min_length
     for ids, data, offsets in _stretches(iter(left.to_batches())):
         found = Stretch(data, offsets, width, parser.trigger)
@@ -274,21 +257,20 @@ def _phrases(left: pa.Table, right: pa.Table, parser: Parser) -> pa.Table:
         else:
             open_ = np.zeros(len(count), bool)
         start, count, row, hashes, owner = start[open_], count[open_], row[open_], hashes[open_], owner[open_]
-        size = (count + width - 1).astype(np.int32)
+        size = (count + width - 1).astype(np.uint16)
         bucket = hash_bucket(hashes, parser.buckets)
         order = np.argsort(bucket, kind="stable")
-        unit, step = explode(size[order])
+        unit, step = explode(size[order].astype(np.int64))
         letters = data[start[order][unit] + step] if len(unit) else np.empty(0, np.uint8)
-        ends = np.concatenate(([0], np.cumsum(size[order])))
+        ends = np.concatenate(([0], np.cumsum(size[order].astype(np.int64))))
         at = 0
         local = (start - offsets[row]).astype(np.int32)
-        for b, (h, d, s, n) in pack_by_bucket(bucket, [hashes, owner, local, size]):
-            many = len(n) // 4
-            out.append((0, b, h, d, s, n, letters[ends[at]:ends[at + many]].tobytes(), b""))
+        for b, (d, s, h, n) in pack_by_bucket(bucket, [owner, local, hashes, size], planes=(0, 1)):
+            many = len(h) // 8
+            out.append((0, b, d, s, h, n, letters[ends[at]:ends[at + many]].tobytes()))
             at += many
-    columns = list(zip(*out, strict=True)) if out else [[]] * 8
-    kinds = [pa.int32(), pa.int64()] + [pa.binary()] * 6
-    return pa.table([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], ["kind", "bucket", "a", "b", "c", "d", "e", "f"])
+    columns = list(zip(*out, strict=True)) if out else [[]] * 7
+    return pa.table([pa.array(list(c), k.type) for c, k in zip(columns, _schema(["kind"], "abcde"), strict=True)], ["kind", "bucket", *"abcde"])
 
 
 def _schema(numbers: list[str], letters: str) -> pa.Schema:
@@ -304,7 +286,7 @@ def _packed_spans(doc: np.ndarray, start: np.ndarray, width: int, buckets: int)
     """Windows to remove, as maximal runs of each document."""
     runs = _runs(doc, start.astype(np.int64), start.astype(np.int64) + width)
     packed = _to_docs(*[runs[0], [runs[1].astype(np.int32), runs[2].astype(np.int32)]], buckets)
-    return [(1, b, a, s, e, b"", b"", b"") for b, a, s, e in zip(*[c.to_pylist() for c in packed.columns], strict=True)]
+    return [(1, b, a, s, e, b"", b"") for b, a, s, e in zip(*[c.to_pylist() for c in packed.columns], strict=True)]
 
 
 def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -326,13 +308,13 @@ def _compare(group: pa.Table, parser: Parser) -> pa.Table:
 
     The bucket is worked through in parts with whole triggers, so that memory does not follow its size.
     """
-    hashes, doc = _joined(group, "a", np.uint64), _joined(group, "b", np.int64)
-    local, size = _joined(group, "c", np.int32), _joined(group, "d", np.int32)
-    data = _joined(group, "e", np.uint8)
+    doc, local = from_planes(group, "a", np.int64), from_planes(group, "b", np.int32)
+    hashes, size = unpacked(group, "c", np.uint64), unpacked(group, "d", np.uint16).astype(np.int64)
+    data = unpacked(group, "e", np.uint8)
     if not len(hashes):
         return _to_docs(doc, [local, local], parser.buckets)
     width = parser.min_length
-    begin = np.concatenate(([0], np.cumsum(size.astype(np.int64))))[:-1]
+    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
     rolling = Rolling(data)
     whole = np.zeros(len(begin), np.uint64)
     for n in np.unique(size):  # fingerprints of the phrases themselves, by length
@@ -405,8 +387,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                        ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("kept", pa.binary())])
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
-        doc, start, end = _runs(_joined(right, "a", np.int64), _joined(right, "b", np.int32).astype(np.int64),
-                                _joined(right, "c", np.int32).astype(np.int64))
+        doc, start, end = _runs(from_planes(right, "a", np.int64), from_planes(right, "b", np.int32).astype(np.int64),
+                                from_planes(right, "c", np.int32).astype(np.int64))
         if not left.num_rows:
             return pa.Table.from_batches([], kinds)
         ids, texts = left.column("doc").to_pylist(), left.column("text").to_pylist()
