@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from evidra.llm import byte_bpe, license_scan, packing, suffix_dedup, toxicity, warc
+from evidra.llm import byte_bpe, jaccard_join, license_scan, packing, suffix_dedup, toxicity, warc
 from evidra.session import load_table, work_folder
 
 
@@ -24,6 +24,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.train(docs, load_table(spark, sf_dir, "labels")))
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.similarity_components(load_table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode(load_table(spark, sf_dir, "documents"), path), path)
@@ -54,6 +58,7 @@ QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
+    "op6_jaccard_join": (op6_jaccard_join, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_license_scan": (op10_license_scan, license_scan.scan_sql()),
