@@ -27,7 +27,7 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 def bucket_count(spark: SparkSession) -> int:
     """Buckets of packed exchanges: follow the cluster's shuffle partitions; odd, so that ids in even steps spread."""
-    return 4 * shuffle_partitions(spark) + 1
+    return shuffle_partitions(spark) | 1
 
 
 def hash_bucket(hashes: np.ndarray, buckets: int) -> np.ndarray:

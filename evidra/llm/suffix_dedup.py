@@ -106,9 +106,10 @@ def explode(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owner, np.arange(len(owner)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def _least(keys: list[np.ndarray], doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(smallest doc, whether two docs share it) of each record's group of equal keys."""
-    order = np.lexsort((doc, *keys))
+def _least(keys: list[np.ndarray], doc: np.ndarray, ascending: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """(smallest doc, whether two docs share it) of each record's group of equal keys; ``ascending``: there is one
+    key and the documents come in ascending order."""
+    order = np.argsort(keys[0], kind="stable") if ascending else np.lexsort((doc, *keys))
     new = np.ones(len(order), bool)
     if len(order) > 1:
         new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in keys])
@@ -132,12 +133,13 @@ def merged_runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.nd
 
 
 def _stretches(batches: Iterator[pa.RecordBatch], limit: int = STRETCH_BYTES) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(ids, bytes, offsets) of some documents at a time; one longer than the limit is a stretch of its own."""
+    """(ids, bytes, offsets) of some documents at a time, ids ascending; one longer than the limit is a stretch of its own."""
     for batch in batches:
         if not batch.num_rows:
             continue
+        batch = batch.take(pa.array(np.argsort(batch.column("doc").to_numpy(), kind="stable")))
         data, offsets = text_slices(batch.column("text"))
-        ids = batch.column("doc").to_numpy(zero_copy_only=False)
+        ids = batch.column("doc").to_numpy()
         a = 0
         while a < len(ids):
             b = max(int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1, a + 1)
@@ -158,7 +160,7 @@ class Parser:
         for ids, data, offsets in _stretches(batches):
             found = Stretch(data, offsets, self.min_length, self.trigger)
             doc = ids[found.row]
-            low, shared = _least([found.hash], doc)
+            low, shared = _least([found.hash], doc, ascending=True)
             local = (found.trigger - offsets[found.row]).astype(np.int32)
             send = doc == low
             hashes = found.hash[send]
@@ -249,7 +251,7 @@ def _phrases(left: pa.Table, right: pa.Table, parser: Parser) -> pa.Table:
         unit, step = explode(count)
         at = start[unit] + step
         if len(at):
-            low, _ = _least([found.rolling.at(at, width)], owner[unit])
+            low, _ = _least([found.rolling.at(at, width)], owner[unit], ascending=True)
             settled = low < owner[unit]
             span = (at[settled] - offsets[row[unit[settled]]]).astype(np.int32)
             out += _packed_spans(owner[unit[settled]], span, width, parser.buckets)
@@ -304,52 +306,48 @@ def _runs(doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarr
 
 
 def _compare(group: pa.Table, parser: Parser) -> pa.Table:
-    """One bucket of triggers: sorts the suffixes of its distinct phrases and returns the spans that repeat.
-
-    The bucket is worked through in parts with whole triggers, so that memory does not follow its size.
-    """
+    """One bucket of triggers, worked through in parts with whole triggers so that memory does not follow its size."""
     doc, local = from_planes(group, "a", np.int64), from_planes(group, "b", np.int32)
     hashes, size = unpacked(group, "c", np.uint64), unpacked(group, "d", np.uint16).astype(np.int64)
     data = unpacked(group, "e", np.uint8)
-    if not len(hashes):
-        return _to_docs(doc, [local, local], parser.buckets)
-    width = parser.min_length
-    begin = np.concatenate(([0], np.cumsum(size)))[:-1]
-    rolling = Rolling(data)
-    whole = np.zeros(len(begin), np.uint64)
+    begin = np.cumsum(size) - size
+    order = np.argsort(hashes, kind="stable")
+    out = [(doc[:0], local[:0].astype(np.int64))]
+    for a, b in _parts(hashes[order], size[order]):
+        own = order[a:b]
+        unit, step = explode(size[own])
+        letters = data[begin[own][unit] + step]
+        out.append(_repeats(letters, size[own], hashes[own], doc[own], local[own], parser.min_length))
+    start = np.concatenate([s for _, s in out])
+    runs = _runs(np.concatenate([d for d, _ in out]), start, start + parser.min_length)
+    return _to_docs(runs[0], [runs[1].astype(np.int32), runs[2].astype(np.int32)], parser.buckets)
+
+
+def _repeats(data: np.ndarray, size: np.ndarray, hashes: np.ndarray, doc: np.ndarray, local: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(document, start) of every string that a smaller document has too: the sorted suffixes of the distinct phrases give
+    the smallest document of each run of equal strings, the parse carries it to every occurrence of a phrase."""
+    begin = np.cumsum(size) - size
+    rolling, whole = Rolling(data), np.zeros(len(size), np.uint64)
     for n in np.unique(size):  # fingerprints of the phrases themselves, by length
         same = size == n
         whole[same] = rolling.at(begin[same], int(n))
     order = np.lexsort((doc, whole, size, hashes))
     new = np.ones(len(order), bool)
-    s_h, s_w, s_n = hashes[order], whole[order], size[order]
-    new[1:] = (s_h[1:] != s_h[:-1]) | (s_w[1:] != s_w[:-1]) | (s_n[1:] != s_n[:-1])
+    new[1:] = np.logical_or.reduce([k[order[1:]] != k[order[:-1]] for k in (hashes, size, whole)])
     entry = order[new]  # the dictionary: one occurrence of each phrase, that of the smallest document
     phrase = np.empty(len(order), np.int64)
     phrase[order] = np.cumsum(new) - 1  # the parse: phrase of every occurrence
-    out_doc, out_start = [], []
-    total = (size[entry] - width + 1).astype(np.int64)
-    cuts = _parts(hashes[entry], total)
-    occurrences = np.argsort(phrase, kind="stable")
-    first_of = np.searchsorted(phrase[occurrences], np.arange(len(entry) + 1))
-    for a, b in cuts:
-        unit, step = explode(total[a:b])
-        at = begin[entry[a:b]][unit] + step
-        lead = np.zeros(len(at), np.uint64)
-        for i in range(8):
-            lead = (lead << np.uint64(8)) | data[at + i].astype(np.uint64)
-        low, _ = _least([rolling.at(at, width), lead], doc[entry[a:b]][unit])
-        seen = occurrences[first_of[a]:first_of[b]]
-        unit_count = total[a:b]
-        base = np.cumsum(unit_count) - unit_count
-        owner, step = explode(unit_count[phrase[seen] - a])
-        least = low[base[phrase[seen] - a][owner] + step]
-        gone = least < doc[seen][owner]
-        out_doc.append(doc[seen][owner][gone])
-        out_start.append((local[seen][owner] + step)[gone].astype(np.int64))
-    starts = np.concatenate(out_start)
-    runs = _runs(np.concatenate(out_doc), starts, starts + width)
-    return _to_docs(runs[0], [runs[1].astype(np.int32), runs[2].astype(np.int32)], parser.buckets)
+    count = size[entry] - width + 1
+    unit, step = explode(count)
+    at = begin[entry][unit] + step
+    lead = np.zeros(len(at), np.uint64)
+    for i in range(8):
+        lead = (lead << np.uint64(8)) | data[at + i].astype(np.uint64)
+    low, _ = _least([rolling.at(at, width), lead], doc[entry][unit])
+    base = np.cumsum(count) - count
+    owner, step = explode(count[phrase])
+    gone = low[base[phrase][owner] + step] < doc[owner]
+    return doc[owner][gone], (local[owner] + step)[gone].astype(np.int64)
 
 
 def _parts(keys: np.ndarray, weight: np.ndarray, limit: int = 1 << 20) -> list[tuple[int, int]]:
