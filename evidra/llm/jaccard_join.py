@@ -32,7 +32,8 @@ MAX_MATCHES, SKETCH_BITS, BITMAP_BITS = 4, 18, 1024
 SHORT_LIST = 8
 #: Relative cost of verifying a candidate against reading a posting.
 VERIFY_COST = 8.0
-BLOCK = 512
+#: Documents of a family that are compared with as many others in one task.
+BLOCK = 2048
 
 
 def shingle_rows(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -242,7 +243,7 @@ def _span(n: np.ndarray, bitmap: np.ndarray, percent: int, block: int = 256) ->
     return back
 
 
-def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int, chunk: int = 8192) -> tuple[np.ndarray, np.ndarray]:
+def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
     """(left, right) indices of the pairs that reach the threshold: within ``sets``, or between it and ``others``."""
     both = sets + (others or [])
     size = np.array([len(s) for s in both], dtype=np.int64)
