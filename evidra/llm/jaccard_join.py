@@ -15,6 +15,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,8 +33,9 @@ MAX_MATCHES, SKETCH_BITS, BITMAP_BITS = 4, 18, 1024
 SHORT_LIST = 8
 #: Relative cost of verifying a candidate against reading a posting.
 VERIFY_COST = 8.0
-#: Documents of a family that are compared with as many others in one task.
-BLOCK = 2048
+#: Families up to this size are verified whole; larger ones by bands of set size that can reach each other, and in
+#: blocks of so many documents inside a band.
+WHOLE_FAMILY, BLOCK = 256, 1024
 
 
 def shingle_rows(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -267,28 +269,35 @@ def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int
     return i[keep], j[keep]
 
 
-def true_links(rows: DataFrame, families: DataFrame, words: int, percent: int) -> DataFrame:
-    """(a, b) spanning links of each family: ``rows`` (doc, text) joined with ``families`` (node, component)."""
-    spark = rows.sparkSession
-    buckets = bucket_count(spark)
-    sizes = families.groupBy("component").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
-    placed = families.join(sizes, "component").select(F.col("node").alias("doc"), "component", "blocks")
+def true_links(rows: DataFrame, families: DataFrame, sizes: DataFrame, words: int, percent: int) -> DataFrame:
+    """(a, b) spanning links of each family: ``rows`` (doc, text) joined with ``families`` (node, component); ``sizes``
+    has the number of shingles n of each doc."""
+    buckets = bucket_count(rows.sparkSession)
+    counts = families.groupBy("component").agg(F.count("*").alias("members"))
+    width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
+    band = F.floor(F.log("n") / F.lit(width)).cast("long")  # linked sets lie in one band or in two neighbours
+    units = families.join(counts, "component").join(sizes.select(F.col("doc").alias("node"), "n"), "node").select(
+        F.col("node").alias("doc"), "component", F.explode(F.when(F.col("members") <= WHOLE_FAMILY, F.array(F.lit(-1).cast("long"))).otherwise(
+            F.array(band, band + 1))).alias("band"))
+    blocks = units.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    placed = units.join(blocks, ["component", "band"]).groupBy("doc").agg(
+        F.first("component").alias("component"), F.collect_list(F.struct("band", "blocks")).alias("units"))  # two at most
 
     def to_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in rebatch(batches, "text"):
             hashes, offsets = shingle_sets(batch.column("text").to_pylist(), words)
             packed = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc", "component", "blocks")], pa.array(packed, pa.binary())],
-                                             ["doc", "component", "blocks", "set"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc", "component", "units")], pa.array(packed, pa.binary())],
+                                             ["doc", "component", "units", "set"])
 
-    sets = rows.join(placed, "doc").select("doc", "component", "blocks", "text").mapInArrow(
-        to_sets, "doc long, component long, blocks int, set binary").dropDuplicates(["doc"])
+    sets = rows.join(placed, "doc").dropDuplicates(["doc"]).select("doc", "component", "units", "text").mapInArrow(
+        to_sets, "doc long, component long, units array<struct<band:long,blocks:int>>, set binary")
+    at = sets.select("doc", "component", "set", F.explode("units").alias("u")).select("doc", "component", "set", "u.band", "u.blocks")
     own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    small = F.col("blocks") == 1
-    gridded = sets.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "doc", "component", "set", "own",
-        F.when(small, -1 - bucket_of(F.col("component"), buckets)).otherwise(F.col("component")).alias("unit"),
-        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), small.alias("small"))
+    gridded = at.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "doc", "component", "set", "own", "band",
+        F.when(F.col("band") < 0, bucket_of(F.col("component"), buckets)).otherwise(F.col("component")).alias("unit"),
+        F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
 
     def verify(group: pa.Table) -> pa.Table:
         doc, family = group.column("doc").to_numpy(), group.column("component").to_numpy()
@@ -316,7 +325,7 @@ def true_links(rows: DataFrame, families: DataFrame, words: int, percent: int) -
         empty = np.empty(0, np.int64)
         return pa.table([pa.array(np.concatenate([empty, *left]), pa.int64()), pa.array(np.concatenate([empty, *right]), pa.int64())], ["a", "b"])
 
-    return gridded.groupBy("unit", "i", "j").applyInArrow(verify, "a long, b long")
+    return gridded.groupBy("band", "unit", "i", "j").applyInArrow(verify, "a long, b long")
 
 
 def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -338,7 +347,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, ke
     edges = materialize(candidate_edges(sets, percent))
     release(spark)
     families = components(edges)
-    links = materialize(true_links(rows.where(F.col("doc").isNotNull()), families, words, percent))
+    links = materialize(true_links(rows.where(F.col("doc").isNotNull()), families, sets, words, percent))
     release(spark)
     found = components(links)
     named = classes.join(found, classes["rep"] == found["node"], "left").select("digest", F.coalesce("component", "rep").alias("component_id"))

@@ -54,6 +54,7 @@ def corpus(seed, copies=40):
 def test_equals_brute_force(docs_of, monkeypatch, seed, words, percent, short):
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
+    monkeypatch.setattr(jaccard_join, "WHOLE_FAMILY", 12)
     source = corpus(seed)
     got = jaccard_join.similarity_components(docs_of(source), words, percent)
     assert rows(got, "doc_id", "n_shingles", "component_id") == brute(source, words, percent)
