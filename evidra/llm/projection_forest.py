@@ -9,6 +9,7 @@ by exact distance. Leaves are dealt out as (tree, leaf, part) groups of bounded
 from __future__ import annotations
 
 import heapq
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,7 +21,7 @@ from evidra.llm.common import materialize
 
 #: Bound of the sample that the thresholds come from.
 SAMPLE_ROWS = 16_384
-TREES, DEPTH, SEARCH_SHARE = 4, 8, 0.25
+TREES, DEPTH, SEARCH_SHARE = 4, 8, 0.4
 #: Rows of a leaf's part.
 PART_ROWS = 4096
 
@@ -62,19 +63,24 @@ class Forest:
             found.append(node)
         return np.stack(found, axis=1)
 
-    def search(self, query: np.ndarray, leaves: int) -> list[tuple[int, int]]:
-        """The first ``leaves`` (tree, leaf) pairs that one priority queue over all trees gives out."""
+    def search(self, query: np.ndarray, leaves: int, rows: np.ndarray, least: int) -> list[int]:
+        """The first ``leaves`` occupied cells (tree * leaves of a tree + leaf) that one priority queue over all trees gives
+        out, and more until they hold ``least`` rows; ``rows`` has the rows of every cell."""
         queue = [(0.0, tree, 0, 0) for tree in range(len(self.splits))]
-        out: list[tuple[int, int]] = []
+        out: list[int] = []
+        held = 0
         sides = [[directions @ query - cut for directions, cut in levels] for levels in self.splits]
-        while queue and len(out) < leaves:
+        while queue and (len(out) < leaves or held < least):
             cost, tree, level, node = heapq.heappop(queue)
             while level < self.depth:
                 side = sides[tree][level][node]
                 near = 2 * node + int(side > 0)
                 heapq.heappush(queue, (cost + side * side, tree, level + 1, near ^ 1))
                 level, node = level + 1, near
-            out.append((tree, node))
+            cell = tree * self.leaves + node
+            if rows[cell]:
+                out.append(cell)
+                held += int(rows[cell])
         return out
 
 
@@ -102,7 +108,9 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
     if not len(sample):
         return spark.createDataFrame([], schema)
     width = len(sample["v"].iloc[0])
-    forest = Forest(np.stack([np.asarray(v, dtype=float) for v in sample["v"] if len(v) == width]), trees, depth)
+    stacked = np.stack([np.asarray(v, dtype=float) for v in sample["v"] if len(v) == width])
+    depth = min(depth, max(0, int(np.log2(len(stacked) / (4 * (k + 1))))) if len(stacked) > 4 * (k + 1) else 0)
+    forest = Forest(stacked, trees, depth)
     kept = kept.where(F.size("v") == width)
     entries = kept.where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     # at most k + 1 keys meet here per vector
@@ -117,15 +125,16 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
 
     indexed = materialize(entries.select("ids", "v").mapInArrow(index, "ids array<long>, v array<double>, cells array<int>"))
     sizes = indexed.select(F.explode("cells").alias("cell")).groupBy("cell").count()
-    parts = {r["cell"]: -(-r["count"] // part_rows) for r in sizes.collect()}  # at most trees * leaves rows
-    most = np.array([parts.get(c, 0) for c in range(trees * forest.leaves)])
-    pops = max(1, round(search_share * trees * forest.leaves))
+    held = {r["cell"]: r["count"] for r in sizes.collect()}  # at most trees * leaves rows
+    rows_in = np.array([held.get(c, 0) for c in range(trees * forest.leaves)])
+    most = -(-rows_in // part_rows)
+    pops = max(1, math.ceil(search_share * np.count_nonzero(most)))
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 query = _vectors(batch.column("v").slice(row, 1))[0]
-                cells = np.array([t * forest.leaves + leaf for t, leaf in forest.search(query, pops)])
+                cells = np.array(forest.search(query, pops, rows_in, trees * (k + 2)))
                 cell = np.repeat(cells, most[cells])
                 part = np.concatenate([np.arange(most[c]) for c in cells]) if len(cell) else cell
                 yield pa.RecordBatch.from_arrays([
@@ -134,13 +143,8 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
                     ["id", "v", "cell", "part"])
 
     asked = kept.where("ask").select("id", "v").mapInArrow(walk, "id long, v array<double>, cell int, part int")
-    counts = F.create_map(*[F.lit(x) for c, n in parts.items() for x in (c, n)]) if len(parts) <= 1 else None
-    dealt = indexed.select("ids", "v", F.explode("cells").alias("cell"))
-    if counts is None:
-        table = spark.createDataFrame([(c, int(n)) for c, n in parts.items()], "cell int, parts int")
-        dealt = dealt.join(F.broadcast(table), "cell")  # at most trees * leaves rows
-    else:
-        dealt = dealt.withColumn("parts", F.element_at(counts, F.col("cell")))
+    table = spark.createDataFrame([(c, int(most[c])) for c in held], "cell int, parts int")
+    dealt = indexed.select("ids", "v", F.explode("cells").alias("cell")).join(F.broadcast(table), "cell")  # at most trees * leaves rows
     dealt = dealt.withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int"))
 
     def rank(cell: tuple, left: pa.Table, right: pa.Table) -> pa.Table:

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from evidra.llm import byte_bpe, jaccard_join, license_scan, packing, suffix_dedup, toxicity, warc
+from evidra.llm import byte_bpe, graph_dedup, jaccard_join, license_scan, packing, projection_forest, suffix_dedup, toxicity, warc
 from evidra.session import load_table, work_folder
 
 
@@ -15,6 +16,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.read(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 
+def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return projection_forest.neighbours(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -28,6 +33,11 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.similarity_components(load_table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+def op7_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors, _ = graph_dedup.near_duplicates(load_table(spark, sf_dir, "embeddings"))
+    return vectors
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return byte_bpe.digests(byte_bpe.encode(load_table(spark, sf_dir, "documents"), path), path)
@@ -56,9 +66,11 @@ FROM coded
 
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
+    "op2_projection_forest": (op2_projection_forest, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_jaccard_join": (op6_jaccard_join, None),
+    "op7_graph_dedup": (op7_graph_dedup, None),
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_license_scan": (op10_license_scan, license_scan.scan_sql()),
