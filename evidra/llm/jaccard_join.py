@@ -29,13 +29,15 @@ from evidra.llm.common import (
 )
 
 MAX_MATCHES, SKETCH_BITS, BITMAP_BITS = 4, 18, 1024
+#: Sets above this size fill their parity bitmap; they also carry so many one-byte counts, whose L1 distance is a bound too.
+LARGE_SET, COUNT_CELLS = 1500, 512
 #: Postings up to this length give pairs, longer ones a spanning set of candidate edges.
 SHORT_LIST = 8
 #: Relative cost of verifying a candidate against reading a posting.
 VERIFY_COST = 8.0
 #: Families up to this size are verified whole; larger ones by bands of set size that can reach each other, and in
-#: blocks of so many documents inside a band.
-WHOLE_FAMILY, BLOCK = 256, 1024
+#: blocks of so many documents and about so many shingles inside a band.
+WHOLE_FAMILY, BLOCK, BLOCK_SHINGLES = 256, 1024, 400_000
 
 
 def shingle_rows(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
@@ -107,7 +109,9 @@ def prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
                 digest.append(xxhash.xxh3_128_digest(own.tobytes()))
                 prefix.append(own[np.argsort(level[a:b], kind="stable")[:length[i]]].tobytes())
                 bits = np.bincount((own & np.uint64(BITMAP_BITS - 1)).astype(np.int64), minlength=BITMAP_BITS) & 1
-                bitmap.append(np.packbits(bits.astype(np.uint8)).tobytes())
+                large = np.bincount(((own >> np.uint64(16)) % np.uint64(COUNT_CELLS)).astype(np.int64), minlength=COUNT_CELLS) \
+                    if len(own) > LARGE_SET else np.empty(0)
+                bitmap.append(np.packbits(bits.astype(np.uint8)).tobytes() + large.astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc"), pa.array(n, pa.int64()), *[pa.array(x, pa.binary()) for x in (digest, prefix, bitmap)]],
                 ["doc", "n", "digest", "prefix", "bitmap"])
@@ -115,16 +119,23 @@ def prefixes(rows: DataFrame, words: int, percent: int) -> DataFrame:
     return rows.mapInArrow(run, "doc long, n long, digest binary, prefix binary, bitmap binary")
 
 
-PACKED = "bucket long, a binary, b binary, c binary, d binary, e binary, f binary"
-_SCHEMA = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in "abcdef"]])
+PACKED = "bucket long, a binary, b binary, c binary, d binary, e binary, f binary, g binary"
+_SCHEMA = pa.schema([("bucket", pa.int64()), *[(c, pa.binary()) for c in "abcdefg"]])
 
 
 def _table(bucket: np.ndarray, columns: list[np.ndarray]) -> pa.Table:
     rows = list(pack_by_bucket(bucket, columns))
-    cols = [[r[1][i] if i < len(r[1]) else b"" for r in rows] for i in range(6)]
+    cols = [[r[1][i] if i < len(r[1]) else b"" for r in rows] for i in range(7)]
     return pa.table([pa.array([r[0] for r in rows], pa.int64()), *[pa.array(c, pa.binary()) for c in cols]], schema=_SCHEMA)
 
 
+def _add_counts(table: pa.Table, bucket: np.ndarray, large: np.ndarray, counts: np.ndarray) -> pa.Table:
+    """Fills column g with the counts of the large sets' records only."""
+    packed = {b: c[0] for b, c in pack_by_bucket(bucket[large], [counts])}
+    column = pa.array([packed.get(b, b"") for b in table.column("bucket").to_pylist()], pa.binary())
+    return table.set_column(table.column_names.index("g"), "g", column)
+
+
 def _runs(sorted_keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(starts, lengths) of the runs of equal keys."""
     if not len(sorted_keys):
@@ -166,7 +177,10 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
         if not left.num_rows or not right.num_rows:
             return _SCHEMA.empty_table()
         ids, n = left.column("doc").to_numpy(), left.column("n").to_numpy()
-        bitmaps = np.frombuffer(b"".join(left.column("bitmap").to_pylist()), np.uint8).reshape(len(ids), -1)
+        held = left.column("bitmap").to_pylist()
+        bitmaps = np.frombuffer(b"".join(h[:BITMAP_BITS // 8] for h in held), np.uint8).reshape(len(ids), -1)
+        large_at = np.cumsum(n > LARGE_SET) - 1
+        counts = np.frombuffer(b"".join(h[BITMAP_BITS // 8:] for h in held), np.uint8).reshape(-1, COUNT_CELLS)
         order = np.argsort(ids)
         doc, token = unpacked(right, "a", np.int64), unpacked(right, "b", np.uint64)
         level, df = unpacked(right, "c", np.uint8), unpacked(right, "d", np.int32)
@@ -181,7 +195,9 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
         best = (np.argmin(cost, axis=0) + 1).astype(np.uint8)
         keep = level <= best[at]
         at, token, level = at[keep], token[keep], level[keep]
-        return _table(hash_bucket(token, buckets), [token, ids[at], n[at].astype(np.int32), level, best[at], bitmaps[at]])
+        bucket, large = hash_bucket(token, buckets), np.flatnonzero(n[at] > LARGE_SET)
+        table = _table(bucket, [token, ids[at], n[at].astype(np.int32), level, best[at], bitmaps[at]])
+        return _add_counts(table, bucket, large, counts[large_at[at[large]]])
 
     placed = sets.select("doc", "n", "bitmap").withColumn("bucket", bucket_of(F.col("doc"), buckets))
     adapted = placed.groupBy("bucket").cogroup(answered.groupBy("bucket")).applyInArrow(adapt, PACKED)
@@ -189,7 +205,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     def meet(group: pa.Table) -> pa.Table:
         token, doc, n = unpacked(group, "a", np.uint64), unpacked(group, "b", np.int64), unpacked(group, "c", np.int32)
         level, best = unpacked(group, "d", np.uint8), unpacked(group, "e", np.uint8)
-        bitmap = unpacked(group, "f", np.uint64).reshape(len(doc), -1) if len(doc) else np.empty((0, 1), np.uint64)
+        bounds = Bounds(n, unpacked(group, "f", np.uint64).reshape(len(doc), BITMAP_BITS // 64), unpacked(group, "g", np.uint8), percent)
         order = np.argsort(token, kind="stable")
         starts, lengths = _runs(token[order])
         out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
@@ -200,11 +216,13 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
             for at in range(0, len(left), 1 << 18):
                 a, b = left[at:at + (1 << 18)], right[at:at + (1 << 18)]
                 need = np.minimum(best[a], best[b])
-                fine = (np.maximum(level[a], level[b]) <= need) & _may_link(n[a], n[b], bitmap[a], bitmap[b], percent)
+                asked = np.maximum(level[a], level[b]) <= need
+                a, b, need = a[asked], b[asked], need[asked]
+                fine = bounds.may_link(a, b)
                 out.append((doc[a[fine]], doc[b[fine]], need[fine]))
         for start, length in zip(starts[lengths > SHORT_LIST].tolist(), lengths[lengths > SHORT_LIST].tolist(), strict=True):
             own = order[start:start + length]
-            root = _span(n[own], bitmap[own], percent)
+            root = bounds.span(own)
             moved = np.flatnonzero(root != np.arange(length))
             out.append((doc[own[moved]], doc[own[root[moved]]], np.zeros(len(moved), np.uint8)))
         a, b, need = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3))
@@ -215,34 +233,50 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
     return counted.where(F.col("matches") >= F.col("need")).select("a", "b")
 
 
-def _may_link(n: np.ndarray, m: np.ndarray, x: np.ndarray, y: np.ndarray, percent: int) -> np.ndarray:
-    """Size and parity bounds: False only where the threshold is out of reach."""
-    n, m = n.astype(np.int64), m.astype(np.int64)
-    total = n + m
-    overlap = -(-percent * total // (100 + percent))
-    fits = 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-    return fits & (np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64) <= total - 2 * overlap)
-
-
-def _span(n: np.ndarray, bitmap: np.ndarray, percent: int, block: int = 256) -> np.ndarray:
-    """Root of every member of a long posting list over the pairs that may link. Each round, the members whose root is
-    still open are compared with the whole list in blocks; memory is a block times the list."""
-    order = np.argsort(n, kind="stable")
-    n, bitmap = n[order], bitmap[order]
-    root = np.arange(len(n))
-    for a in range(0, len(n), block):
-        b = min(a + block, len(n))
-        stop = int(np.searchsorted(n * percent, 100 * int(n[b - 1]) + 1))  # larger sets than these are out of reach
-        for c in range(a, stop, 4096):
-            d = min(c + 4096, stop)
-            fine = _may_link(n[a:b, None], n[None, c:d], bitmap[a:b, None], bitmap[None, c:d], percent)
-            i, j = np.nonzero(fine)
-            open_ = root[i + a] != root[j + c]
-            if open_.any():
-                root = root[local_roots(len(n), root[i[open_] + a], root[j[open_] + c])]
-    back = np.empty(len(n), np.int64)
-    back[order] = order[root]
-    return back
+class Bounds:
+    """What rules out a link between two records without their sets: sizes, parity bitmaps, counts of large sets."""
+
+    def __init__(self, n: np.ndarray, bitmap: np.ndarray, counts: np.ndarray, percent: int) -> None:
+        self.n, self.bitmap, self.percent = n.astype(np.int64), bitmap, percent
+        self.large = np.cumsum(n > LARGE_SET) - 1
+        self.counts = counts.reshape(-1, COUNT_CELLS)
+
+    def may_link(self, a: np.ndarray, b: np.ndarray, bits: bool = True) -> np.ndarray:
+        """False only where the threshold is out of reach."""
+        n, m = self.n[a], self.n[b]
+        fine = 100 * np.minimum(n, m) >= self.percent * np.maximum(n, m)
+        total = n + m
+        room = total - 2 * -(-self.percent * total // (100 + self.percent))  # largest symmetric difference of a link
+        if bits:
+            fine &= np.bitwise_count(self.bitmap[a] ^ self.bitmap[b]).sum(axis=-1, dtype=np.int64) <= room
+        both = np.flatnonzero(fine & (np.minimum(n, m) > LARGE_SET))
+        for at in range(0, len(both), 1 << 14):
+            part = both[at:at + (1 << 14)]
+            step = self.counts[self.large[a[part]]] - self.counts[self.large[b[part]]]  # modulo 256: never more than the true distance
+            fine[part] = np.minimum(step, 0 - step).sum(axis=-1, dtype=np.int64) <= room[part]
+        return fine
+
+    def span(self, own: np.ndarray, block: int = 256) -> np.ndarray:
+        """Root (a position in ``own``) of every record of a long posting list over the pairs that may link; the list is compared
+        with itself in blocks, and only pairs whose roots still differ are looked at further."""
+        own_order = np.argsort(self.n[own], kind="stable")
+        own = own[own_order]
+        n, bitmap, root = self.n[own], self.bitmap[own], np.arange(len(own))
+        for a in range(0, len(own), block):
+            b = min(a + block, len(own))
+            stop = int(np.searchsorted(n * self.percent, 100 * int(n[b - 1]) + 1))  # larger sets than these are out of reach
+            for c in range(a, stop, 4096):
+                d = min(c + 4096, stop)
+                total = n[a:b, None] + n[None, c:d]
+                room = total - 2 * -(-self.percent * total // (100 + self.percent))
+                near = np.bitwise_count(bitmap[a:b, None] ^ bitmap[None, c:d]).sum(axis=-1, dtype=np.int64) <= room
+                i, j = np.nonzero(near & (root[a:b, None] != root[None, c:d]))
+                fine = self.may_link(own[i + a], own[j + c], bits=False)
+                if fine.any():
+                    root = root[local_roots(len(own), root[i[fine] + a], root[j[fine] + c])]
+        back = np.empty(len(own), np.int64)
+        back[own_order] = own_order[root]
+        return back
 
 
 def linked(sets: list[np.ndarray], others: list[np.ndarray] | None, percent: int, chunk: int = 2048) -> tuple[np.ndarray, np.ndarray]:
@@ -273,13 +307,17 @@ def true_links(rows: DataFrame, families: DataFrame, sizes: DataFrame, words: in
     """(a, b) spanning links of each family: ``rows`` (doc, text) joined with ``families`` (node, component); ``sizes``
     has the number of shingles n of each doc."""
     buckets = bucket_count(rows.sparkSession)
-    counts = families.groupBy("component").agg(F.count("*").alias("members"))
+    sized = families.join(sizes.select(F.col("doc").alias("node"), "n"), "node")
+    counts = sized.groupBy("component").agg(F.count("*").alias("members"), F.sum("n").alias("shingles"))
+    whole = (F.col("members") <= WHOLE_FAMILY) & (F.col("shingles") <= BLOCK_SHINGLES)
     width = math.log(100 / percent) * (1 + 1e-9) if percent < 100 else 1e-9
     band = F.floor(F.log("n") / F.lit(width)).cast("long")  # linked sets lie in one band or in two neighbours
-    units = families.join(counts, "component").join(sizes.select(F.col("doc").alias("node"), "n"), "node").select(
-        F.col("node").alias("doc"), "component", F.explode(F.when(F.col("members") <= WHOLE_FAMILY, F.array(F.lit(-1).cast("long"))).otherwise(
-            F.array(band, band + 1))).alias("band"))
-    blocks = units.groupBy("component", "band").agg(F.ceil(F.count("*") / F.lit(BLOCK)).cast("int").alias("blocks"))
+    units = sized.join(counts, "component").select(
+        F.col("node").alias("doc"), "component", "n",
+        F.explode(F.when(whole, F.array(F.lit(-1).cast("long"))).otherwise(F.array(band, band + 1))).alias("band"))
+    blocks = units.groupBy("component", "band").agg(F.greatest(
+        F.ceil(F.count("*") / F.lit(BLOCK)), F.ceil(F.sum("n") / F.lit(BLOCK_SHINGLES))).cast("int").alias("all_blocks")).select(
+        "component", "band", F.when(F.col("band") < 0, F.lit(1)).otherwise(F.col("all_blocks")).alias("blocks"))
     placed = units.join(blocks, ["component", "band"]).groupBy("doc").agg(
         F.first("component").alias("component"), F.collect_list(F.struct("band", "blocks")).alias("units"))  # two at most
 

@@ -55,6 +55,7 @@ def test_equals_brute_force(docs_of, monkeypatch, seed, words, percent, short):
     monkeypatch.setattr(jaccard_join, "SHORT_LIST", short)
     monkeypatch.setattr(jaccard_join, "BLOCK", 16)
     monkeypatch.setattr(jaccard_join, "WHOLE_FAMILY", 12)
+    monkeypatch.setattr(jaccard_join, "LARGE_SET", 20 if seed % 2 else 1500)
     source = corpus(seed)
     got = jaccard_join.similarity_components(docs_of(source), words, percent)
     assert rows(got, "doc_id", "n_shingles", "component_id") == brute(source, words, percent)
@@ -70,17 +71,24 @@ def test_given_documents(spark):
     assert rows(jaccard_join.similarity_components(docs, 3, 90), "doc_id", "n_shingles", "component_id") == brute(source, 3, 90)
 
 
-def test_bounds_never_refuse_a_link():
+@pytest.mark.parametrize("large", [50, 1500])
+def test_bounds_never_refuse_a_link(monkeypatch, large):
+    monkeypatch.setattr(jaccard_join, "LARGE_SET", large)
     rng = np.random.default_rng(1)
+    refused = 0
     for _ in range(300):
-        n = int(rng.integers(1, 400))
-        a = rng.integers(0, 1 << 62, n, dtype=np.uint64)
+        n = int(rng.integers(1, 4000))
+        a = np.unique(rng.integers(0, 1 << 62, n, dtype=np.uint64))
         b = a.copy()
-        b[rng.random(n) < 0.1] += np.uint64(1)
-        a, b = np.unique(a), np.unique(np.append(b, rng.integers(0, 1 << 62, int(rng.integers(0, 30)), dtype=np.uint64)))
-        share = 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b))
+        b[rng.random(len(b)) < rng.choice([0.05, 0.1, 0.3])] += np.uint64(1 << 17)
+        b = np.unique(b)
         bits = [np.packbits((np.bincount((x & np.uint64(1023)).astype(np.int64), minlength=1024) & 1).astype(np.uint8)).view(np.uint64) for x in (a, b)]
-        assert not share or jaccard_join._may_link(np.array([len(a)]), np.array([len(b)]), bits[0][None], bits[1][None], 80)[0]
+        cells = [np.bincount(((x >> np.uint64(16)) % np.uint64(512)).astype(np.int64), minlength=512).astype(np.uint8) for x in (a, b) if len(x) > large]
+        bounds = jaccard_join.Bounds(np.array([len(a), len(b)]), np.array(bits), np.concatenate([np.empty(0, np.uint8), *cells]), 80)
+        may = bounds.may_link(np.array([0]), np.array([1]))[0]
+        assert may or 100 * len(np.intersect1d(a, b)) < 80 * len(np.union1d(a, b))
+        refused += not may
+    assert refused > 50
 
 
 def test_components(spark):
