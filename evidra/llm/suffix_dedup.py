@@ -33,8 +33,8 @@ from evidra.llm.common import (
 )
 
 MIN_LENGTH, TRIGGER = 50, 16
-#: Text bytes a map task parses at once.
-STRETCH_BYTES = 2 << 20
+#: Text bytes that are parsed at once, and that are pre-aggregated before a task sends anything.
+STRETCH_BYTES, FLUSH_BYTES = 512 << 10, 8 << 20
 _BASE = 0x9E3779B97F4A7C15 | 1
 
 
@@ -157,17 +157,26 @@ class Parser:
 
     def triggers(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Packed (trigger hash, document, trigger place, shared in this stretch already)."""
+        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        size = 0
         for ids, data, offsets in _stretches(batches):
             found = Stretch(data, offsets, self.min_length, self.trigger)
-            doc = ids[found.row]
-            low, shared = _least([found.hash], doc, ascending=True)
-            local = (found.trigger - offsets[found.row]).astype(np.int32)
-            send = doc == low
-            hashes = found.hash[send]
-            short = hashes.astype(np.uint32)  # with the bucket, enough to tell triggers apart; a clash only adds comparisons
-            yield self._packed(hash_bucket(hashes, self.buckets), [doc[send], local[send], short, shared[send].astype(np.uint8)], 0)
-            more = shared & ~send  # known to repeat: no other stretch needs to hear of them
-            yield self._packed(doc_bucket(doc[more], self.buckets), [doc[more], local[more]], 1)
+            held.append((found.hash, ids[found.row], (found.trigger - offsets[found.row]).astype(np.int32)))
+            size += len(data)
+            if size >= FLUSH_BYTES:
+                yield from self._flush(held)
+                held, size = [], 0
+        if held:
+            yield from self._flush(held)
+
+    def _flush(self, held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        hashes, doc, local = (np.concatenate([h[i] for h in held]) for i in range(3))
+        low, shared = _least([hashes], doc)
+        send = doc == low
+        short = hashes[send].astype(np.uint32)  # with the bucket, enough to tell triggers apart; a clash only adds comparisons
+        yield self._packed(hash_bucket(hashes[send], self.buckets), [doc[send], local[send], short, shared[send].astype(np.uint8)], 0)
+        more = shared & ~send  # known to repeat: no other task needs to hear of them
+        yield self._packed(doc_bucket(doc[more], self.buckets), [doc[more], local[more]], 1)
 
     def _packed(self, bucket: np.ndarray, columns: list[np.ndarray], kind: int) -> pa.RecordBatch:
         rows = list(pack_by_bucket(bucket, columns, planes=(0, 1)))
@@ -239,6 +248,7 @@ def _cogrouped(texts: DataFrame, packed: DataFrame, run, schema: str) -> DataFra
 
 def _phrases(left: pa.Table, right: pa.Table, parser: Parser) -> pa.Table:
     out: list[tuple] = []
+    held: list[tuple[np.ndarray, ...]] = []
     if not left.num_rows or not right.num_rows:
         return pa.Table.from_batches([], _schema(["kind"], "abcde"))
     doc, place = from_planes(right, "a", np.int64), from_planes(right, "b", np.int32)
@@ -260,17 +270,20 @@ def _phrases(left: pa.Table, right: pa.Table, parser: Parser) -> pa.Table:
             open_ = np.zeros(len(count), bool)
         start, count, row, hashes, owner = start[open_], count[open_], row[open_], hashes[open_], owner[open_]
         size = (count + width - 1).astype(np.uint16)
+        unit, step = explode(size.astype(np.int64))
+        held.append((owner, (start - offsets[row]).astype(np.int32), hashes, size, data[start[unit] + step]))
+    if held:
+        owner, local, hashes, size, data = (np.concatenate([h[i] for h in held]) for i in range(5))
+        held.clear()
+        begin = np.cumsum(size.astype(np.int64)) - size
         bucket = hash_bucket(hashes, parser.buckets)
         order = np.argsort(bucket, kind="stable")
-        unit, step = explode(size[order].astype(np.int64))
-        letters = data[start[order][unit] + step] if len(unit) else np.empty(0, np.uint8)
-        ends = np.concatenate(([0], np.cumsum(size[order].astype(np.int64))))
         at = 0
-        local = (start - offsets[row]).astype(np.int32)
         for b, (d, s, h, n) in pack_by_bucket(bucket, [owner, local, hashes, size], planes=(0, 1)):
-            many = len(h) // 8
-            out.append((0, b, d, s, h, n, letters[ends[at]:ends[at + many]].tobytes()))
-            at += many
+            own = order[at:at + len(h) // 8]
+            unit, step = explode(size[own].astype(np.int64))
+            out.append((0, b, d, s, h, n, data[begin[own][unit] + step].tobytes()))
+            at += len(own)
     columns = list(zip(*out, strict=True)) if out else [[]] * 7
     return pa.table([pa.array(list(c), k.type) for c, k in zip(columns, _schema(["kind"], "abcde"), strict=True)], ["kind", "bucket", *"abcde"])
 
@@ -389,9 +402,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
                                 from_planes(right, "c", np.int32).astype(np.int64))
         if not left.num_rows:
             return pa.Table.from_batches([], kinds)
-        ids, texts = left.column("doc").to_pylist(), left.column("text").to_pylist()
+        return pa.Table.from_batches([b for part in left.to_batches(max_chunksize=256) for b in cut_rows(part, doc, start, end).to_batches()], kinds)
+
+    def cut_rows(left: pa.RecordBatch, doc: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.Table:
         out = []
-        for i, value in zip(ids, texts, strict=True):
+        for i, value in zip(left.column("doc").to_pylist(), left.column("text").to_pylist(), strict=True):
             body = value.encode()
             a, b = (np.searchsorted(doc, i), np.searchsorted(doc, i, side="right")) if i is not None else (0, 0)
             at, pieces = 0, []
@@ -401,7 +416,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", min
             rest = b"".join([*pieces, body[at:]])
             out.append((len(body), len(body) - len(rest), int(b - a), hashlib.sha256(rest).hexdigest(), rest))
         made = [pa.array(list(c), kinds.field(n).type) for c, n in zip(zip(*out, strict=True), names[-5:], strict=True)]
-        return pa.table([left.column("doc"), *[left.column(c) for c in extra], *made], names)
+        return pa.table([left.column("doc"), *[left.column(c) for c in extra], *made], schema=kinds)
 
     fields = ", ".join(["doc long", *[f"{e} {rows.schema[e].dataType.simpleString()}" for e in extra], "n_bytes long", "n_removed long",
                         "n_spans long", "kept_sha256 string", "kept binary"])
