@@ -24,7 +24,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evidra.llm.common import materialize, rebatch
+from evidra.llm.common import materialize, rebatch, small_batches
 
 CHUNK_CHARS, OVERLAP_CHARS = 32768, 512
 #: White-space runs from here on are merged without the library's own splitting, whose stack they would exhaust.
@@ -72,6 +72,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
     Null and empty texts have no ids; a null key and repeated rows stay as they are; other columns of the input
     are ignored. An empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
     long = F.length("text") > chunk

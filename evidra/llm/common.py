@@ -7,7 +7,10 @@ record. Spark still partitions, shuffles and retries; only the rows are coarser.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
+import sys
 import time
 from collections.abc import Callable, Iterable, Iterator
 
@@ -79,6 +82,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Whole texts travel in Arrow batches of a few megabytes instead of ten thousand rows."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+
+
+def tidy() -> None:
+    """Gives freed memory of a worker back to the machine: workers stay alive between tasks and would keep it."""
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux":
+        with contextlib.suppress(AttributeError):  # other C libraries have no such call
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 def rebatch(batches: Iterable[pa.RecordBatch], text: str, limit: int = ARROW_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose ``text`` column holds about ``limit`` bytes (one row at least)."""
     for batch in batches:
@@ -96,6 +112,7 @@ def rebatch(batches: Iterable[pa.RecordBatch], text: str, limit: int = ARROW_BYT
                 start, held = i, 0
             held += int(size)
         yield batch.slice(start)
+    tidy()
 
 
 def text_slices(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -25,7 +25,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from evidra.llm.common import (
-    bucket_count, bucket_of, components, doc_bucket, hash_bucket, local_roots, materialize, mix64, pack_by_bucket, rebatch, release, unpacked,
+    bucket_count, bucket_of, components, doc_bucket, hash_bucket, local_roots, materialize, mix64, pack_by_bucket, rebatch, release,
+    small_batches, tidy, unpacked,
 )
 
 MAX_MATCHES, SKETCH_BITS, BITMAP_BITS = 4, 18, 1024
@@ -225,6 +226,7 @@ def candidate_edges(sets: DataFrame, percent: int) -> DataFrame:
             root = bounds.span(own)
             moved = np.flatnonzero(root != np.arange(length))
             out.append((doc[own[moved]], doc[own[root[moved]]], np.zeros(len(moved), np.uint8)))
+        tidy()
         a, b, need = (np.concatenate([o[i] for o in out]) if out else np.empty(0, np.int64) for i in range(3))
         return pa.table([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(need.astype(np.int32))], ["a", "b", "need"])
 
@@ -360,6 +362,7 @@ def true_links(rows: DataFrame, families: DataFrame, sizes: DataFrame, words: in
             moved = members[root[members] != members]
             left.append(doc[moved])
             right.append(doc[root[moved]])
+        tidy()
         empty = np.empty(0, np.int64)
         return pa.table([pa.array(np.concatenate([empty, *left]), pa.int64()), pa.array(np.concatenate([empty, *right]), pa.int64())], ["a", "b"])
 
@@ -376,6 +379,7 @@ def similarity_components(docs: DataFrame, words: int = 5, percent: int = 80, ke
     its text. Other columns of the input are ignored; an empty table gives an empty table.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     staged = materialize(prefixes(rows, words, percent))
     usable = staged.where(F.col("doc").isNotNull() & (F.col("n") > 0))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.llm.byte_bpe import encode_text, encoding
-from evidra.llm.common import materialize, rebatch
+from evidra.llm.common import materialize, rebatch, small_batches
 
 CAPACITY, END_ID = 2048, 0
 RUN_FIELDS = ("length", "first_rank", "first_bin", "per_bin", "offset")
@@ -132,6 +132,7 @@ def pack(docs: DataFrame, path: str | None = None, key: str = "doc_id", text: st
     A null or empty text is the end id alone; a null key stays; every repeated row is packed for itself; other
     columns of the input are ignored; an empty table gives an empty table.
     """
+    small_batches(docs.sparkSession)
     staged = materialize(pieces(docs, path or public_tokenizers.path("byte_bpe_50k.json"), key, text, capacity, end_id, keep_ids))
     counted = staged.groupBy("length", "block").agg(F.count("*").alias("n"))
     histogram = {r["length"]: r["n"] for r in counted.groupBy("length").agg(F.sum("n").alias("n")).collect()}  # at most capacity rows

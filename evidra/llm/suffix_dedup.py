@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
 from evidra.llm.common import (
-    bucket_count, bucket_of, doc_bucket, from_planes, hash_bucket, materialize, mix64, pack_by_bucket, release, text_slices, unpacked,
+    bucket_count, bucket_of, doc_bucket, from_planes, hash_bucket, materialize, mix64, pack_by_bucket, release, small_batches,
+    text_slices, tidy, unpacked,
 )
 
 MIN_LENGTH, TRIGGER = 50, 16
@@ -145,6 +146,7 @@ def _stretches(batches: Iterator[pa.RecordBatch], limit: int = STRETCH_BYTES) ->
             b = max(int(np.searchsorted(offsets, offsets[a] + limit, side="right")) - 1, a + 1)
             yield ids[a:b], data[offsets[a]:offsets[b]], offsets[a:b + 1] - offsets[a]
             a = b
+    tidy()
 
 
 class Parser:
@@ -202,6 +204,7 @@ BY_DOC = "bucket long, a binary, b binary, c binary"
 def repeated_spans(docs: DataFrame, key: str = "doc_id", text: str = "text", min_length: int = MIN_LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """Packed spans to remove, by document bucket: a = documents (int64), b = starts, c = ends (int32)."""
     spark = docs.sparkSession
+    small_batches(spark)
     buckets = bucket_count(spark)
     parser = Parser(buckets, min_length, trigger)
     source = docs.where(F.col(key).isNotNull()).select(F.col(key).cast("long").alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -331,6 +334,7 @@ def _compare(group: pa.Table, parser: Parser) -> pa.Table:
         unit, step = explode(size[own])
         letters = data[begin[own][unit] + step]
         out.append(_repeats(letters, size[own], hashes[own], doc[own], local[own], parser.min_length))
+    tidy()
     start = np.concatenate([s for _, s in out])
     runs = _runs(np.concatenate([d for d, _ in out]), start, start + parser.min_length)
     return _to_docs(runs[0], [runs[1].astype(np.int32), runs[2].astype(np.int32)], parser.buckets)

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.llm.common import rebatch
+from evidra.llm.common import rebatch, small_batches
 
 BITS, FACTORS = 18, 8
 #: Bound of the training sample; the sampled ids are broadcast (16 bytes each).
@@ -139,6 +139,7 @@ def score(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text"
     Null and empty texts are scored by the bias alone; a null key is scored too; repeated rows get equal scores;
     labels, other columns and the key never enter a score.
     """
+    small_batches(docs.sparkSession)
     columns = list(dict.fromkeys([key, *(keep or [])]))
     rows = docs.select(*[F.col(c) for c in columns], F.coalesce(F.col(text), F.lit("")).alias("_whole"), held_out(F.col(key)).alias("_out"))
     names = [*columns, "held_out", "score", "predicted"]

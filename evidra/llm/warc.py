@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm.common import prepare, rebatch
+from evidra.llm.common import prepare, rebatch, small_batches
 
 DICTIONARY_MAGIC = (0x184D2A5D).to_bytes(4, "little")
 #: An empty skippable frame (magic 0x184D2A50, length 0).
@@ -111,6 +111,7 @@ def write(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url",
     id is always a response and is never referred to. Files of tasks without rows hold an empty dictionary frame.
     A file's dictionary is built from its first records, up to ``sample_bytes``.
     """
+    small_batches(pages.sparkSession)
     prepare(pages.sparkSession)
     body = F.coalesce(F.col(payload).cast("string"), F.lit(""))
     rows = pages.select(F.col(key).cast("long").alias("page"), F.col(url).cast("string").alias("url"), body.alias("html")).withColumn(
