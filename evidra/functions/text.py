@@ -85,6 +85,7 @@ def replace_first(text: Column, needle: Column, by: Column) -> Column:
 
 # --- answers and claims ------------------------------------------------------------------
 
+# Reference and list-marker patterns (must equal the source system's).
 REF_PATTERN = "[\\[［]([A-Za-z0-9][A-Za-z0-9_.:-]*)[\\]］]"
 CLAIM_PREFIX = "^\\s*(?:[-*•]|\\d+[.、）)])\\s*"
 

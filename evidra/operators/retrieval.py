@@ -368,14 +368,16 @@ def fuse(lists: list[DataFrame], k: int | None = None) -> DataFrame:
 
 def rank_hybrid(
     queries: DataFrame, items: DataFrame, tokens: DataFrame, chunks: DataFrame, encode: Callable,
-    canonical: DataFrame | None = None, k: int | None = None,
+    canonical: DataFrame | None = None, k: int | None = None, list_limit: int = lexicon.RRF_LIST_LIMIT,
 ) -> DataFrame:
+    """Fused keyword and vector ranking; each list gives its best ``list_limit`` candidates, ``k`` at least."""
+    list_limit = max(list_limit, k or 0)
     keyword = list_heads(
-        keyword_candidates(queries, items, tokens, chunks, canonical), 0, [F.asc("rank")], lexicon.RRF_LIST_LIMIT,
+        keyword_candidates(queries, items, tokens, chunks, canonical), 0, [F.asc("rank")], list_limit,
     )
     vector = list_heads(
-        rank_vector(queries, items, chunks, lexicon.RRF_LIST_LIMIT, encode), 1,
-        [F.desc("score")], lexicon.RRF_LIST_LIMIT,
+        rank_vector(queries, items, chunks, list_limit, encode), 1,
+        [F.desc("score")], list_limit,
     )
     return fuse([keyword, vector], k)
 

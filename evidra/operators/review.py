@@ -107,10 +107,6 @@ def backed_intersections(intersections: DataFrame, rows: DataFrame, latest: Data
         "backed", F.col("selected_disease_lineage_row_ids").isNotNull() & F.col("selected_compound_lineage_row_ids").isNotNull())
 
 
-MAX_GATE_ROWS = 10_000
-MAX_GATE_EVENTS = 100_000
-
-
 def assembly_gate(tasks: DataFrame, rows: DataFrame, events: DataFrame, intersections: DataFrame) -> DataFrame:
     """(task_id, state, blockers): sorted blocker codes of every task.
 
@@ -124,16 +120,14 @@ def assembly_gate(tasks: DataFrame, rows: DataFrame, events: DataFrame, intersec
     latest = latest_decisions(events, rows)
     decided = latest.groupBy("task_id").agg(F.count_if(F.col("decision") != "needs_review").alias("n_done"))
     n_rows = all_rows.groupBy("task_id").agg(F.count("*").alias("n_rows"))
-    n_events = events.groupBy("task_id").agg(F.count("*").alias("n_events"))
     backing = backed_intersections(intersections, rows, latest).groupBy("task_id").agg(
         F.count_if("backed").alias("n_backed"), F.count_if(~F.col("backed")).alias("n_unbacked"))
     t = tasks.join(parent, ["source_task_id", "owner_id"], "left")
-    for df in (decided, n_rows, n_events, backing):
+    for df in (decided, n_rows, backing):
         t = t.join(df, "task_id", "left")
-    t = t.na.fill(0, ["n_done", "n_rows", "n_events", "n_backed", "n_unbacked"])
+    t = t.na.fill(0, ["n_done", "n_rows", "n_backed", "n_unbacked"])
     done = F.col("status") == "completed"
     broken = F.col("p_status").isNull() | F.col("p_parent").isNotNull() | (F.col("p_status") != "completed")
-    over = (F.col("n_rows") > MAX_GATE_ROWS) | (F.col("n_events") > MAX_GATE_EVENTS)
     unverified = lambda s: F.coalesce((F.col(f"{s}_status") != VERIFIED) | (F.coalesce(f"{s}_sha256", F.lit("")) == ""), F.lit(True))
     same = F.coalesce(F.col("p_protocol") == F.col("protocol_sha256"), F.lit(False))
     code = lambda name, cond: F.when(cond, F.lit(name))
@@ -142,10 +136,9 @@ def assembly_gate(tasks: DataFrame, rows: DataFrame, events: DataFrame, intersec
         code("broken_parent_link", broken), code("protocol_mismatch", ~broken & ~same),
         code("disease_provenance_unverified", unverified("disease")), code("compound_provenance_unverified", unverified("compound")),
         code("snapshot_only_boundary_violated", F.col("has_computed_parts")),
-        code("assembly_input_capacity_exceeded", over),
-        code("adjudication_incomplete", ~over & (F.col("n_done") < F.col("n_rows"))),
-        code("included_intersection_missing_backing", ~over & (F.col("n_unbacked") > 0)),
-        code("no_included_intersection", ~over & (F.col("n_backed") == 0)),
+        code("adjudication_incomplete", (F.col("n_done") < F.col("n_rows"))),
+        code("included_intersection_missing_backing", (F.col("n_unbacked") > 0)),
+        code("no_included_intersection", (F.col("n_backed") == 0)),
     )))
     codes = F.when(~done, F.array(F.lit("task_not_completed"))).otherwise(blockers)
     return t.select("task_id", codes.alias("blockers")).withColumn(
@@ -222,18 +215,16 @@ def assemble_from_plans(selected: DataFrame, rows: DataFrame, pathways: DataFram
         kind.alias("target_evidence_type"), evidence_level(mode, kind, F.lit(False)).alias("evidence_level"))
 
 
-CONSUMPTION_LIMIT = 1000
-
-
 def consumption_states(
     requests: DataFrame, tasks: DataFrame, plans: DataFrame, consumptions: DataFrame, selection: DataFrame,
-    limit: int = CONSUMPTION_LIMIT,
+    limit: int | None = None,
 ) -> DataFrame:
     """Outcome of every consume request in the fixed order of checks.
 
     Several requests for one unconsumed plan in the same batch: the first valid one creates,
     the others compare with it. requests: request_seq, task_id, plan_id, owner_id, writer_id,
-    canonical_plan_input_sha256, output_sha256
+    canonical_plan_input_sha256, output_sha256. ``limit``: consumptions a task may store at
+    most, if the caller wants a bound.
     """
     t = tasks.select("task_id", "owner_id", "source_task_id", "protocol_sha256", "target_lineage_sha256", "status")
     parent = tasks.select(F.col("task_id").alias("source_task_id"), "owner_id", F.col("source_task_id").alias("p_parent"),
@@ -276,7 +267,7 @@ def consumption_states(
     w = Window.partitionBy("task_id").orderBy("f.request_seq")
     firsts = firsts.withColumn("place", F.row_number().over(w))
     rows = rows.join(firsts, ["task_id", "plan_id"], "left")
-    room = F.coalesce("n_stored", F.lit(0)) + F.col("place") <= F.lit(limit)
+    room = F.coalesce("n_stored", F.lit(0)) + F.col("place") <= F.lit(limit) if limit is not None else F.lit(True)
     is_first = F.col("request_seq") == F.col("f.request_seq")
     writer = F.coalesce("u_writer", "f.writer_id")
     output = F.coalesce("u_output", "f.output_sha256")

@@ -13,7 +13,6 @@ from evidra.operators.tokenize import broad_disease_queries, tokenize_searches
 from evidra.session import broadcast_if_small, materialize
 
 DEFAULT_PAGE_SIZE = 10
-MAX_PAGE_SIZE = 50
 
 
 def filter_items(items: DataFrame, source: str = "all", has_upload: bool | None = None) -> DataFrame:
@@ -72,7 +71,8 @@ def search_literature(
 ) -> tuple[DataFrame, DataFrame]:
     """(page rows, summary): one summary row per query, also for queries without a hit."""
     page = max(page, 1)
-    page_size = min(max(page_size, 1), MAX_PAGE_SIZE)
+    if page_size < 1:
+        raise ValueError("a page holds one row at least")
     pool = filter_items(items, source, has_upload)
     terms = materialize(tokenize_searches(queries))
     scores = search_scores(pool, terms)

@@ -15,8 +15,6 @@ from evidra.functions.canonical import request_key
 from evidra.operators.network import activity_score, dedupe_first
 from evidra.session import union_all
 
-MAX_RECORDS = 500
-
 
 def _kind(v: Column) -> Column:
     """text / number / other, by the variant's own type."""
@@ -55,11 +53,15 @@ def _violations(artifacts: DataFrame, checks: list[tuple[str, Column]]) -> DataF
     return artifacts.select("artifact_id", F.explode(rules).alias("rule"))
 
 
-def parse_associations(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _too_many(size: Column, max_records: int | None) -> list[tuple[str, Column]]:
+    return [] if max_records is None else [("too_many_rows", size > max_records)]
+
+
+def parse_associations(artifacts: DataFrame, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Disease association artifacts -> (records of clean artifacts, violations).
 
     artifacts: artifact_id, content, source_query_id, source_query_label, datatype,
-    applied_threshold
+    applied_threshold. Artifacts may be of any size unless the caller sets ``max_records``.
     """
     doc = F.try_parse_json("content")
     disease = "$.data.disease"
@@ -73,7 +75,7 @@ def parse_associations(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
         ("query_mismatch", (F.try_variant_get(doc, f"{disease}.id", "string") != F.col("source_query_id"))
          | (F.try_variant_get(doc, f"{disease}.name", "string") != F.col("source_query_label"))),
         ("rows_not_array", doc.isNotNull() & rows_v.isNull()),
-        ("too_many_rows", F.size(rows_v) > MAX_RECORDS),
+        *_too_many(F.size(rows_v), max_records),
         ("count_mismatch", F.try_variant_get(doc, f"{disease}.associatedTargets.count", "int") != F.size(rows_v)),
         ("datatype_missing", F.coalesce("datatype", F.lit("")) == ""),
     ])
@@ -101,7 +103,7 @@ def parse_associations(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
 ACTIVITY_FIELDS = ["activity_id", "molecule_chembl_id", "target_chembl_id", "target_gene_symbol", "target_organism", "pchembl_value"]
 
 
-def parse_activities(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
+def parse_activities(artifacts: DataFrame, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Compound activity artifacts -> (records of clean artifacts, violations).
 
     artifacts: artifact_id, content, compound_id, species, applied_threshold
@@ -113,7 +115,7 @@ def parse_activities(artifacts: DataFrame) -> tuple[DataFrame, DataFrame]:
         ("invalid_json", doc.isNull()),
         ("unexpected_root_fields", doc.isNotNull() & _bad_keys(F.to_json(doc), ["activities"], ["activities"])),
         ("rows_not_array", doc.isNotNull() & items.isNull()),
-        ("too_many_rows", F.size(items) > MAX_RECORDS),
+        *_too_many(F.size(items), max_records),
     ])
     rows = _rows(artifacts, "$.activities")
     row = F.col("row")
