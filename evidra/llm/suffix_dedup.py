@@ -255,22 +255,21 @@ def _phrases(left: pa.Table, right: pa.Table, parser: Parser) -> pa.Table:
     if not left.num_rows or not right.num_rows:
         return pa.Table.from_batches([], _schema(["kind"], "abcde"))
     doc, place = from_planes(right, "a", np.int64), from_planes(right, "b", np.int32)
-    width = parser.min_length
+    width, wanted = parser.min_length, np.sort(_pair(doc, place))
     for ids, data, offsets in _stretches(iter(left.to_batches())):
         found = Stretch(data, offsets, width, parser.trigger)
         local = found.trigger - offsets[found.row]
-        ask = np.isin(_pair(ids[found.row], local), _pair(doc, place))
+        own = _pair(ids[found.row], local)
+        ask = wanted[np.minimum(np.searchsorted(wanted, own), len(wanted) - 1)] == own
         start, count, row, hashes, owner = found.start[ask], found.count[ask], found.row[ask], found.hash[ask], ids[found.row[ask]]
-        unit, step = explode(count)
-        at = start[unit] + step
-        if len(at):
-            low, _ = _least([found.rolling.at(at, width)], owner[unit], ascending=True)
-            settled = low < owner[unit]
-            span = (at[settled] - offsets[row[unit[settled]]]).astype(np.int32)
-            out += _packed_spans(owner[unit[settled]], span, width, parser.buckets)
-            open_ = np.bincount(unit, ~settled, len(count)) > 0  # a phrase settled whole needs no comparison
-        else:
-            open_ = np.zeros(len(count), bool)
+        whole = np.empty(len(start), np.uint64)
+        for n in np.unique(count):  # phrases that a smaller document of this stretch has too are settled here
+            same = count == n
+            whole[same] = found.rolling.at(start[same], int(n) + width - 1) + np.uint64(n)
+        settled = _least([whole], owner, ascending=True)[0] < owner
+        first = (start[settled] - offsets[row[settled]]).astype(np.int64)
+        out += _packed_spans(owner[settled], first, first + count[settled] + width - 1, parser.buckets)
+        open_ = ~settled
         start, count, row, hashes, owner = start[open_], count[open_], row[open_], hashes[open_], owner[open_]
         size = (count + width - 1).astype(np.uint16)
         unit, step = explode(size.astype(np.int64))
@@ -300,9 +299,9 @@ def _pair(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         return mix64(doc.astype(np.int64).view(np.uint64)) + place.astype(np.uint64)
 
 
-def _packed_spans(doc: np.ndarray, start: np.ndarray, width: int, buckets: int) -> list[tuple]:
-    """Windows to remove, as maximal runs of each document."""
-    runs = _runs(doc, start.astype(np.int64), start.astype(np.int64) + width)
+def _packed_spans(doc: np.ndarray, start: np.ndarray, end: np.ndarray, buckets: int) -> list[tuple]:
+    """Spans to remove, as maximal runs of each document."""
+    runs = _runs(doc, start, end)
     packed = _to_docs(*[runs[0], [runs[1].astype(np.int32), runs[2].astype(np.int32)]], buckets)
     return [(1, b, a, s, e, b"", b"") for b, a, s, e in zip(*[c.to_pylist() for c in packed.columns], strict=True)]
 
