@@ -94,7 +94,7 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> dict[str, np.nd
 
 
 def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-           end_id: int = END_ID, keep_ids: bool = False) -> DataFrame:
+           end_id: int = END_ID, keep_ids: bool = False, id_type: str = "<u4") -> DataFrame:
     """Tokenised pieces with the rank of each among the pieces of its length inside its task's block."""
     rows = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     kind = rows.schema["key"].dataType.simpleString()
@@ -114,7 +114,7 @@ def pieces(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text",
                     crc.append(zlib.crc32(ids[a:b].tobytes())), nth.append(int(seen[b - a]))
                     seen[b - a] += 1
                     if keep_ids:
-                        kept.append(ids[a:b].tobytes())
+                        kept.append(ids[a:b].astype(id_type).tobytes())
             long = lambda x: pa.array(x, pa.int64())
             columns = [batch.column("key").take(long(source)), pa.array(piece, pa.int32()), long(start), long(length), long(crc),
                        long([block] * len(source)), long(nth)]

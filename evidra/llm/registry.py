@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evidra.llm import byte_bpe, graph_dedup, jaccard_join, license_scan, packing, projection_forest, suffix_dedup, toxicity, warc
+from evidra.llm import byte_bpe, graph_dedup, jaccard_join, license_scan, packing, projection_forest, suffix_dedup, toxicity, training_order, warc
+from evidra.llm.common import shuffle_partitions
 from evidra.session import load_table, work_folder
 
 
@@ -20,6 +21,17 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return projection_forest.neighbours(load_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
 
+def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token piece of the documents in its slot, written to shards and read back: slot, shard, offset, length, record_crc32."""
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    tokens = packing.pieces(load_table(spark, sf_dir, "documents"), path, keep_ids=True, id_type="<u2")
+    order = training_order.ordered(tokens, key=20261201, shard_rows=8192, id_bytes=2)
+    folder = work_folder(spark, "shards")
+    training_order.write_shards(order, folder, shuffle_partitions(spark))
+    return training_order.read_from(spark, folder, 0).select(
+        "slot", F.col("shard").cast("long").alias("shard"), "offset", "length", F.crc32("record").alias("record_crc32"))
+
+
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.remove_repeats(load_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -67,6 +79,7 @@ FROM coded
 QUERIES = {
     "op1_warc": (op1_warc, OP1_SQL),
     "op2_projection_forest": (op2_projection_forest, None),
+    "op3_training_order": (op3_training_order, None),
     "op4_suffix_dedup": (op4_suffix_dedup, None),
     "op5_toxicity": (op5_toxicity, None),
     "op6_jaccard_join": (op6_jaccard_join, None),
