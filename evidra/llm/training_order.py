@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.llm.common import materialize, mix64, small_batches
+from evidra.session import broadcast_if_small
 
 ROUNDS, STRIDE_TOKENS = 6, 2048
 
@@ -40,7 +41,7 @@ def slots(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def numbered(sequences: DataFrame, by: str = "sequence_id") -> tuple[DataFrame, int]:
+def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
     """(sequences with ``index`` 0..n-1, n). Task-local numbers plus the counts of the tasks before; the numbers are staged, so a
     task that runs again cannot change them."""
 
@@ -56,7 +57,7 @@ def numbered(sequences: DataFrame, by: str = "sequence_id") -> tuple[DataFrame,
     staged = materialize(sequences.mapInArrow(count, schema))
     sizes = staged.groupBy("_block").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
-    starts = sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
+    starts = broadcast_if_small(materialize(sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))))
     total = sizes.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     return staged.join(starts, "_block").withColumn("index", F.col("_start") + F.col("_nth")).drop("_block", "_nth", "_start"), int(total)
 
