@@ -60,7 +60,8 @@ def gate(
     """Grounding status and the first failing reason per answer.
 
     ``scored_refs`` is claim_refs with optional score columns. Answers whose claims could not
-    be parsed carry ``claims_parsed`` = false.
+    be parsed carry ``claims_parsed`` = false. The least scores are set only where the check got as far as
+    scoring with them, the entailment one only where a cited text could be scored.
     """
     score_cols = [c for c in ("semantic_score", "entailment_score") if c in scored_refs.columns]
     per_claim = scored_refs.groupBy("answer_id", "claim_no").agg(
@@ -82,12 +83,7 @@ def gate(
     )
     rows = answers.join(per_answer, "answer_id", "left")
     tool = F.col("policy").isin(TOOL_POLICIES)
-    low_semantic = F.lit(False) if semantic_threshold is None else F.col("min_semantic") < semantic_threshold
-    low_entailment = (
-        F.lit(False) if entailment_threshold is None
-        else (F.col("n_scored") > 0) & (F.col("min_entailment") < entailment_threshold)
-    )
-    reason = (
+    early = (
         F.when(tool & ~F.col("has_tool_claims"), F.coalesce("blocked_reason", F.lit("missing_tool_use")))
         .when(~F.col("claims_parsed"), F.lit("structured_claims_parse_error"))
         .when(F.coalesce("claim_count", F.lit(0)) == 0,
@@ -95,12 +91,19 @@ def gate(
         .when(F.col("blank"), F.lit("blank_claim_text"))
         .when(F.col("unreferenced"), F.lit("claim_without_evidence_ref"))
         .when(F.col("unsupported"), F.lit("unsupported_evidence_ref"))
-        .when(low_semantic, F.lit("semantic_low_support"))
-        .when(low_entailment, F.lit("nli_low_entailment"))
     )
     external = F.col("provider_name").isin(EXTERNAL_PROVIDERS)
+    scored = external & early.isNull()
+    semantic = F.when(scored, F.col("min_semantic")) if semantic_threshold is not None else none
+    low_semantic = F.coalesce(semantic < F.lit(semantic_threshold), F.lit(False))
+    entailment = F.when(scored & ~low_semantic & (F.col("n_scored") > 0), F.col("min_entailment")) if entailment_threshold is not None else none
+    reason = F.coalesce(
+        early, F.when(low_semantic, F.lit("semantic_low_support")),
+        F.when(entailment < F.lit(entailment_threshold), F.lit("nli_low_entailment")),
+    )
     return rows.select(
-        "answer_id", F.coalesce("claim_count", F.lit(0)).alias("claim_count"), "min_semantic", "min_entailment",
+        "answer_id", F.coalesce("claim_count", F.lit(0)).alias("claim_count"),
+        semantic.alias("min_semantic"), entailment.alias("min_entailment"),
         F.when(external, reason).alias("reason"),
         F.when(~external, F.lit("skipped")).when(reason.isNull(), F.lit("passed")).otherwise(F.lit("blocked")).alias("status"),
     )

@@ -1,7 +1,7 @@
 """Term matching between a text table and a term table, as an inverted-index join.
 
-A term without white space lies in a text exactly when it lies in one of the text's
-pieces (maximal runs without white space). The corpus is therefore reduced to its distinct
+A term without separators (white space, Chinese sentence marks) lies in a text exactly when it
+lies in one of the text's pieces (maximal runs without separators). The corpus is therefore reduced to its distinct
 pieces; terms meet pieces on an equal character gram and are verified there, and the hits
 are joined back to the postings. Nothing is compared pairwise, the work is linear in the
 corpus, and only the hit table, whose size is measured, is ever broadcast.
@@ -19,6 +19,7 @@ from evidra.functions.text import keyword_in_text, token_matches
 from evidra.session import BROADCAST_MAX_BYTES, materialize, union_all
 
 GRAM = 3
+SEPARATORS = "[\\s\u3000，。；：！？、]+"
 
 
 @dataclass(frozen=True)
@@ -37,7 +38,7 @@ SUBSTRING = Matcher(lambda term, text: F.contains(text, term))
 
 def text_pieces(text: Column) -> Column:
     """Distinct pieces of the lower-cased text; the empty piece is dropped after exploding."""
-    return F.array_distinct(F.split(F.lower(text), "\\s+"))
+    return F.array_distinct(F.split(F.lower(text), SEPARATORS))
 
 
 def _grams(piece: Column) -> Column:
@@ -57,15 +58,15 @@ def _short_grams(piece: Column) -> Column:
 
 def term_anchors(terms: DataFrame, matcher: Matcher) -> DataFrame:
     """(term) -> (term, anchor, gram, is_phrase, is_word); a phrase is anchored on its longest
-    word."""
-    words = F.filter(F.split("term", "\\s+"), lambda w: w != "")
+    word. Terms of separators alone match nothing."""
+    words = F.filter(F.split("term", SEPARATORS), lambda w: w != "")
     longest = F.reduce(
         words, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc)
     )
     is_word = F.col("term").rlike(matcher.whole_word) if matcher.whole_word else F.lit(False)
     return (
         terms.select("term").where("term is not null and length(trim(term)) > 0").distinct()
-        .withColumn("anchor", longest)
+        .withColumn("anchor", longest).where("anchor <> ''")
         .withColumn("is_phrase", F.col("anchor") != F.col("term"))
         .withColumn("is_word", is_word)
         .withColumn("gram", F.substring("anchor", 1, GRAM))

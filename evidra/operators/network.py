@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from evidra.operators.ordering import cumulative_count, with_blocks
 from evidra.session import materialize, union_all
@@ -77,9 +78,12 @@ def assemble_chains(
     herbs: DataFrame, formulas: DataFrame, limit: int = MAX_CHAINS_PER_QUERY,
 ) -> DataFrame:
     """Best ``limit`` chains per query by score; input order breaks ties."""
-    allowed = allowed_herbs(queries, formulas, herbs)
-    candidates = all_chains(edges, compounds, targets, pathways, herbs).join(allowed, "herb_id")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "ord", "herb_no")
+    order = [F.desc("score"), "ord", "herb_no"]
+    best = F.row_number().over(Window.partitionBy("herb_id").orderBy(*order))
+    # what a query keeps is among the best of its herbs
+    chains = all_chains(edges, compounds, targets, pathways, herbs).withColumn("_best", best).where(F.col("_best") <= limit).drop("_best")
+    candidates = chains.join(allowed_herbs(queries, formulas, herbs), "herb_id")
+    w = Window.partitionBy("query_id").orderBy(*order)
     return (
         candidates.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)
         .withColumn("related_entity_ids", F.array(*[F.col(c).cast("string") for c in ("herb_id", "compound_id", "target_id", "pathway_id")]))
@@ -271,8 +275,15 @@ def graph_nodes(chains: DataFrame) -> DataFrame:
     entries = F.array(*[F.struct(F.lit(i).alias("layer_no"), F.lit(n).alias("layer"), F.col(n).alias("label")) for i, n in enumerate(LAYERS)])
     rows = chains.select("task_id", "ord", F.explode(entries).alias("e")).select("task_id", "ord", "e.*").where("label is not null")
     seen = rows.groupBy("task_id", "layer_no", "layer", "label").agg(F.min("ord").alias("first_seen"))
-    w = Window.partitionBy("task_id", "layer_no").orderBy("first_seen", "label")
-    return seen.withColumn("position", F.row_number().over(w) - 1)
+    by = ["task_id", "layer_no"]
+    counts = seen.groupBy(*by, "first_seen").agg(F.count("*").alias("_n"))
+    kind = seen.schema["first_seen"].dataType
+    leading = F.col("first_seen")[kind.names[0]] if isinstance(kind, T.StructType) else F.col("first_seen")
+    upto = cumulative_count(with_blocks(counts.withColumn("_lead", leading), by, "_lead"), by, "first_seen", "_upto")
+    before = upto.select(*by, "first_seen", (F.col("_upto") - F.col("_n")).alias("_before"))
+    ties = Window.partitionBy(*by, "first_seen").orderBy("label")
+    place = (F.col("_before") + F.row_number().over(ties) - 1).cast("int")
+    return seen.join(before, [*by, "first_seen"]).withColumn("position", place).select(*seen.columns, "position")
 
 
 def graph_edges(chains: DataFrame) -> DataFrame:

@@ -10,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from evidra.session import materialize
+
 BLOCKS = 1024
+BORDERS = 255
 
 
 def with_blocks(df: DataFrame, by: list[str], value: str, scale: Column | None = None) -> DataFrame:
@@ -25,6 +28,16 @@ def with_blocks(df: DataFrame, by: list[str], value: str, scale: Column | None =
     return joined.withColumn("_block", F.floor(share * (BLOCKS - 1)).cast("int")).drop("_lo", "_hi")
 
 
+def with_even_blocks(df: DataFrame, by: list[str], value: str) -> DataFrame:
+    """Adds ``_block`` with about equally many rows each, whatever the spread of the values. Approximate
+    percentiles serve as borders only; they are staged, as every use has to see the same ones."""
+    shares = [(i + 1) / (BORDERS + 1) for i in range(BORDERS)]
+    borders = materialize(df.groupBy(*by).agg(F.percentile_approx(value, F.lit(shares), F.lit(10 * BORDERS)).alias("_borders")))
+    joined = df.join(borders, by) if by else df.join(F.broadcast(borders))  # one row
+    below = F.filter("_borders", lambda b: b < F.col(value))
+    return joined.withColumn("_block", F.size(below)).drop("_borders")
+
+
 def cumulative_count(blocked: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
     """Adds ``out``: rows of the group at or below the value (``_n`` counts each value)."""
     sums = blocked.groupBy(*by, "_block").agg(F.sum("_n").alias("_s"))
@@ -52,7 +65,7 @@ def running_min_from_right(blocked: DataFrame, by: list[str], value: str, measur
 def exact_percentiles(samples: DataFrame, by: list[str], value: str, quantiles: list[float]) -> DataFrame:
     """Per group and quantile: nearest rank (element ceil(n q)) and linear interpolation."""
     counts = samples.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("v")).agg(F.count("*").alias("_n"))
-    ranked = cumulative_count(with_blocks(counts, by, "v"), by, "v", "hi").withColumn("lo", F.col("hi") - F.col("_n"))
+    ranked = cumulative_count(with_even_blocks(counts, by, "v"), by, "v", "hi").withColumn("lo", F.col("hi") - F.col("_n"))
     totals = counts.groupBy(*by).agg(F.sum("_n").alias("total")).withColumn("q", F.explode(F.lit([float(q) for q in quantiles])))
     wanted = totals.select(
         *by, "q", "total",

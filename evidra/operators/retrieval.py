@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evidra.functions import lexicon
+from evidra.functions.embedding import hashing_embedding
 from evidra.functions.text import preferred_source_type
 from evidra.operators.matching import SUBSTRING, match_terms
 from evidra.session import union_all, broadcast_if_small, materialize
@@ -208,19 +209,24 @@ def rank_keyword(
     chunks: DataFrame | None = None,
     canonical: DataFrame | None = None,
     k: int = 50,
+    encode: Callable | None = None,
 ) -> DataFrame:
-    """Best k candidates per query, numbered from 1."""
+    """Best k candidates per query, numbered from 1; ``encode`` is not needed here."""
     return rank_candidates(keyword_candidates(queries, items, tokens, chunks, canonical), k=k)
 
 
-def fallback_candidates(items: DataFrame, queries: DataFrame, hits: DataFrame, k: int) -> DataFrame:
-    """First k items (score 0) for queries without any positive candidate.
+def fallback_candidates(
+    items: DataFrame, queries: DataFrame, hits: DataFrame, k: int, chunks: DataFrame | None = None
+) -> DataFrame:
+    """First k candidates (score 0) for queries without any positive candidate; with ``chunks`` an
+    item stands once per chunk.
 
     The order of unscored items depends on the preferred source only, so k rows per
     preference are selected once and then handed to the queries.
     """
     prefs = queries.select(preferred_source_type(F.col("text")).alias("preferred")).distinct()
-    w = Window.partitionBy("preferred").orderBy(F.desc("real"), F.desc("bonus"), F.desc("year"), F.asc("ord"))
+    order = [F.desc("real"), F.desc("bonus"), F.desc("year"), F.asc("ord")]
+    w = Window.partitionBy("preferred").orderBy(*order)
     heads = (
         items.select("item_id", "source_type", "record_origin", "year", "ord",
                      F.explode(F.array(F.lit("cn_literature"), F.lit("pubmed"))).alias("preferred"))
@@ -228,18 +234,25 @@ def fallback_candidates(items: DataFrame, queries: DataFrame, hits: DataFrame, k
         .withColumn("bonus", F.when(F.col("source_type") == F.col("preferred"), 1).otherwise(0))
         .withColumn("real", F.when(F.col("record_origin") != "seed_sample", 1).otherwise(0))
         .withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        .withColumn("chunk_id", F.lit(None).cast("string"))
     )
+    if chunks is not None:
+        each = Window.partitionBy("preferred").orderBy(*order, F.asc("chunk_id"))
+        heads = (
+            heads.drop("chunk_id").join(chunks.select("item_id", "chunk_id"), "item_id", "left")
+            .withColumn("rank", F.row_number().over(each)).where(F.col("rank") <= k)
+        )
     lonely = queries.join(hits.select("query_id").distinct(), "query_id", "left_anti").select(
         "query_id", preferred_source_type(F.col("text")).alias("preferred")
     )
-    return lonely.join(heads, "preferred").drop("preferred").withColumn("score", F.lit(0.0)).withColumn(
-        "chunk_id", F.lit(None).cast("string")
-    )
+    return lonely.join(heads, "preferred").drop("preferred").withColumn("score", F.lit(0.0))
 
 
 # --- vectors ------------------------------------------------------------------------------
 
-QUERY_BLOCK_BYTES = 64 * 1024 * 1024
+#: Bytes of vectors on either side of a grid cell, and cells of the score matrix formed at a time.
+CELL_BYTES = 16 * 1024 * 1024
+CELL_SCORES = 4 * 1024 * 1024
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -256,64 +269,66 @@ def dot(a: Column, b: Column) -> Column:
 
 def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
     """Exact inner-product top-k: queries (query_id, qvec), vectors (vec_id, vec) ->
-    (query_id, vec_id, score, rank); ties go to the smaller id.
+    (query_id, vec_id, score, rank); ties go to the smaller id. Null vectors take no part.
 
-    The query side is measured and split into blocks that fit a broadcast; each task
-    multiplies its Arrow batches with a block and keeps k rows per query, so only k rows per
-    query and task are shuffled.
+    Both sides are dealt into blocks of bounded bytes; executors multiply one query block with
+    one vector block at a time and keep k rows per query and cell. Neither side is broadcast
+    or brought to the driver.
     """
     id_type = dict(vectors.dtypes)["vec_id"]
     query_type = dict(queries.dtypes)["query_id"]
     schema = f"query_id {query_type}, vec_id {id_type}, score double"
     if k <= 0:
         return vectors.sparkSession.createDataFrame([], schema + ", rank int")
-    n_bytes = queries.agg(F.sum(F.size("qvec") * 8)).first()[0] or 0
-    n_blocks = int(n_bytes // QUERY_BLOCK_BYTES) + 1
-    parts = []
-    for block in range(n_blocks):
-        rows = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n_blocks)) == block)
-        parts.append(vectors.select("vec_id", "vec").mapInPandas(_block_search(rows, k), schema))
+    queries, vectors = queries.where("qvec is not null"), vectors.where("vec is not null")
+    n_vector = _n_blocks(vectors, "vec")
+    # small inputs are cut finer on the query side, which adds no result rows
+    n_query = max(_n_blocks(queries, "qvec"), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // n_vector))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
+    left = queries.select("query_id", "qvec", dealt("query_id", n_query).alias("_q"), every(n_vector).alias("_v"))
+    right = vectors.select("vec_id", "vec", every(n_query).alias("_q"), dealt("vec_id", n_vector).alias("_v"))
+    found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(_best_of_cell(k), schema)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    found = union_all(parts).withColumn("rank", F.row_number().over(w))
-    return found.where(F.col("rank") <= k)
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
 
+def _n_blocks(df: DataFrame, column: str) -> int:
+    return int((df.agg(F.sum(F.size(column).cast("bigint") * 8)).first()[0] or 0) // CELL_BYTES) + 1
 
-def _block_search(block: DataFrame, k: int) -> Callable:
-    pdf = block.select("query_id", "qvec").toPandas()  # bounded by QUERY_BLOCK_BYTES
-    shared = block.sparkSession.sparkContext.broadcast((pdf["query_id"].to_numpy(), pdf["qvec"].tolist()))
 
-    def search(batches):
+def _best_of_cell(k: int) -> Callable:
+    def best(left, right):
         import numpy as np
         import pandas as pd
 
-        query_ids, raw = shared.value
-        if len(query_ids) == 0:
-            return
-        q = np.asarray(raw, dtype=np.float64)
-        best_s = [np.empty(0) for _ in query_ids]
-        best_i = [np.empty(0, dtype=object) for _ in query_ids]
-        for batch in batches:
-            if batch.empty:
-                continue
-            ids = batch["vec_id"].to_numpy()
-            products = q @ np.asarray(batch["vec"].tolist(), dtype=np.float64).T
-            for row in range(len(query_ids)):
-                scores = np.concatenate([best_s[row], products[row]])
-                cand = np.concatenate([best_i[row], ids.astype(object)])
-                keep = np.lexsort((cand, -scores))[:k]
-                best_s[row], best_i[row] = scores[keep], cand[keep]
-        for row, query_id in enumerate(query_ids):
-            if len(best_s[row]):
-                yield pd.DataFrame({"query_id": query_id, "vec_id": best_i[row], "score": best_s[row]})
-
-    return search
+        columns = {"query_id": left["query_id"][:0], "vec_id": right["vec_id"][:0], "score": np.empty(0)}
+        if left.empty or right.empty:
+            return pd.DataFrame(columns)
+        right = right.sort_values("vec_id", kind="stable")  # a tie is settled by position
+        vectors = np.asarray(right["vec"].tolist(), dtype=np.float64).T
+        queries = np.asarray(left["qvec"].tolist(), dtype=np.float64)
+        kept, step = min(k, len(right)), max(1, CELL_SCORES // len(right))
+        parts = []
+        for start in range(0, len(left), step):
+            scores = queries[start:start + step] @ vectors
+            last = np.partition(scores, len(right) - kept, axis=1)[:, len(right) - kept, None]
+            above, level = scores > last, scores == last
+            take = above | (level & (level.cumsum(axis=1) <= kept - above.sum(axis=1, keepdims=True)))
+            row, column = take.nonzero()
+            parts.append((left["query_id"].to_numpy()[start + row], right["vec_id"].to_numpy()[column], scores[row, column]))
+        return pd.DataFrame(dict(zip(columns, (np.concatenate(p) for p in zip(*parts)))))
+
+    return best
 
 
 def rank_vector(
-    queries: DataFrame, items: DataFrame, chunks: DataFrame, k: int, encode: Column | Callable
+    queries: DataFrame, items: DataFrame, tokens: DataFrame | None = None, chunks: DataFrame | None = None,
+    canonical: DataFrame | None = None, k: int = 50, encode: Callable = hashing_embedding,
 ) -> DataFrame:
-    """Vector ranking of chunks with score = pool - rank (rank from 0) and chunkless items
-    at score 0; ``encode`` maps a text column to a vector column."""
+    """Vector ranking of chunks with score = pool - rank (rank from 0), then items without chunks
+    at score 0 in input order, k candidates per query in all; ``encode`` maps a text column to a
+    vector column. ``tokens`` and ``canonical`` belong to the calling convention of ``STRATEGIES``."""
     vectors = chunks.select(F.col("chunk_id").alias("vec_id"), encode(F.col("text")).alias("vec"))
     qvecs = queries.select("query_id", encode(F.col("text")).alias("qvec"))
     hits = vector_top_k(qvecs, vectors, k)
@@ -324,7 +339,11 @@ def rank_vector(
                 (F.col("pool") - F.col("rank") + 1).cast("double").alias("score"))
         .join(chunks.select("chunk_id", "item_id"), "chunk_id")
     )
-    return with_item_keys(scored, items, queries)
+    bare = chunkless_candidates(items, chunks).join(items.select("item_id", "ord"), "item_id")
+    first = bare.orderBy("ord", "item_id").limit(k).drop("ord")
+    rest = queries.select("query_id").join(F.broadcast(first))  # k rows at most
+    both = union_all([scored.select("query_id", "item_id", "chunk_id", "score"), rest.select("query_id", "item_id", "chunk_id", "score")])
+    return rank_candidates(with_item_keys(both, items, queries), [F.desc("score"), F.asc("ord")], k)
 
 
 def chunkless_candidates(items: DataFrame, chunks: DataFrame) -> DataFrame:
@@ -367,19 +386,22 @@ def fuse(lists: list[DataFrame], k: int | None = None) -> DataFrame:
 
 
 def rank_hybrid(
-    queries: DataFrame, items: DataFrame, tokens: DataFrame, chunks: DataFrame, encode: Callable,
-    canonical: DataFrame | None = None, k: int | None = None, list_limit: int = lexicon.RRF_LIST_LIMIT,
+    queries: DataFrame, items: DataFrame, tokens: DataFrame, chunks: DataFrame,
+    canonical: DataFrame | None = None, k: int | None = None, encode: Callable = hashing_embedding,
+    list_limit: int = lexicon.RRF_LIST_LIMIT,
 ) -> DataFrame:
-    """Fused keyword and vector ranking; each list gives its best ``list_limit`` candidates, ``k`` at least."""
+    """Fused keyword and vector ranking; each list gives its best ``list_limit`` candidates, ``k`` at least.
+    A question without a positive keyword hit takes the first unscored candidates as its keyword list."""
     list_limit = max(list_limit, k or 0)
-    keyword = list_heads(
+    positive = materialize(list_heads(
         keyword_candidates(queries, items, tokens, chunks, canonical), 0, [F.asc("rank")], list_limit,
-    )
+    ))
+    unscored = fallback_candidates(items, queries, positive, list_limit, chunks).withColumn("list_no", F.lit(0))
     vector = list_heads(
-        rank_vector(queries, items, chunks, list_limit, encode), 1,
-        [F.desc("score")], list_limit,
+        rank_vector(queries, items, tokens, chunks, canonical, list_limit, encode), 1,
+        [F.desc("score"), F.asc("ord")], list_limit,
     )
-    return fuse([keyword, vector], k)
+    return fuse([positive, unscored, vector], k)
 
 
 def select_strategy(name: str | None) -> str:

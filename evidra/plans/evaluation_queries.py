@@ -248,8 +248,10 @@ def grounding_gate(spark, sf):
     )
     refs = grounding.claim_refs(claims, citations)
     scored = refs.withColumn("semantic_score", F.when(F.length("reference_text") > 0, F.least(F.lit(1.0), F.length("reference_text") / 300)))
-    gated = grounding.gate(rows, claims, scored, semantic_threshold=0.5)
-    return gated.select("answer_id", "claim_count", F.round("min_semantic", 6).alias("min_semantic"), "reason", "status")
+    scored = scored.withColumn("entailment_score", F.when(F.length("reference_text") > 0, F.least(F.lit(1.0), F.length("text") / 500)))
+    gated = grounding.gate(rows, claims, scored, semantic_threshold=0.5, entailment_threshold=0.6)
+    least = [F.round(c, 6).alias(c) for c in ("min_semantic", "min_entailment")]
+    return gated.select("answer_id", "claim_count", *least, "reason", "status")
 
 
 _CLAIMS_SQL = """
@@ -259,21 +261,27 @@ claims AS (SELECT conv_id AS answer_id, turn AS claim_no, id AS claim_id, text,
   CASE WHEN length(text) < 150 THEN [] WHEN length(text) < 400 THEN [before] ELSE [before, after] END AS refs FROM tid WHERE role = 'assistant')"""
 
 _GATE_SQL = f"""WITH {_CLAIMS_SQL},
-ref AS (SELECT answer_id, claim_no, unnest(refs) AS ref FROM claims),
+ref AS (SELECT answer_id, claim_no, text AS claim, unnest(refs) AS ref FROM claims),
 scored AS (SELECT r.answer_id, claim_no, bool_or(t.text IS NULL) AS unsupported, count(*) FILTER (length(t.text) > 0) AS n_scored,
-  max(CASE WHEN length(t.text) > 0 THEN least(1.0, length(t.text) / 300) END) AS best
+  max(CASE WHEN length(t.text) > 0 THEN least(1.0, length(t.text) / 300) END) AS best,
+  max(CASE WHEN length(t.text) > 0 THEN least(1.0, length(claim) / 500) END) AS entailed
   FROM ref r LEFT JOIN tid t ON t.id = r.ref AND t.conv_id = r.answer_id AND t.role = 'user' GROUP BY ALL),
 per AS (SELECT c.answer_id, count(*) AS claim_count, bool_or(length(text) = 0) AS blank, bool_or(len(refs) = 0) AS unref,
-  bool_or(coalesce(unsupported, false)) AS unsup, min(coalesce(best, 0)) AS min_semantic
+  bool_or(coalesce(unsupported, false)) AS unsup, sum(coalesce(n_scored, 0)) AS n_scored, min(coalesce(best, 0)) AS least_semantic,
+  min(coalesce(entailed, 0)) AS least_entailment
   FROM claims c LEFT JOIN scored USING (answer_id, claim_no) GROUP BY 1),
 conv AS (SELECT conv_id AS answer_id, count(*) FILTER (role = 'system') > 0 AS local, count(*) AS n FROM conversations GROUP BY 1),
-g AS (SELECT answer_id, local, coalesce(claim_count, 0) AS claim_count, round(min_semantic, 6) AS min_semantic,
+e AS (SELECT *,
   CASE WHEN n > 6 AND NOT n < 9 THEN 'missing_tool_use' WHEN NOT n > 1 THEN 'structured_claims_parse_error'
        WHEN coalesce(claim_count, 0) = 0 THEN CASE WHEN n > 6 THEN 'empty_tool_claims' ELSE 'empty_structured_claims' END
-       WHEN blank THEN 'blank_claim_text' WHEN unref THEN 'claim_without_evidence_ref' WHEN unsup THEN 'unsupported_evidence_ref'
-       WHEN min_semantic < 0.5 THEN 'semantic_low_support' END AS why FROM conv LEFT JOIN per USING (answer_id))
-SELECT answer_id, claim_count, min_semantic, CASE WHEN NOT local THEN why END AS reason,
-  CASE WHEN local THEN 'skipped' WHEN why IS NULL THEN 'passed' ELSE 'blocked' END AS status FROM g"""
+       WHEN blank THEN 'blank_claim_text' WHEN unref THEN 'claim_without_evidence_ref' WHEN unsup THEN 'unsupported_evidence_ref' END AS early
+  FROM conv LEFT JOIN per USING (answer_id)),
+g AS (SELECT answer_id, local, coalesce(claim_count, 0) AS claim_count, early,
+  CASE WHEN NOT local AND early IS NULL THEN least_semantic END AS semantic,
+  CASE WHEN NOT local AND early IS NULL AND least_semantic >= 0.5 AND n_scored > 0 THEN least_entailment END AS entailment FROM e),
+w AS (SELECT *, CASE WHEN early IS NOT NULL THEN early WHEN semantic < 0.5 THEN 'semantic_low_support' WHEN entailment < 0.6 THEN 'nli_low_entailment' END AS why FROM g)
+SELECT answer_id, claim_count, round(semantic, 6) AS min_semantic, round(entailment, 6) AS min_entailment, CASE WHEN NOT local THEN why END AS reason,
+  CASE WHEN local THEN 'skipped' WHEN why IS NULL THEN 'passed' ELSE 'blocked' END AS status FROM w"""
 
 
 def bracketed_references(spark, sf):

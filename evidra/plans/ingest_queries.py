@@ -235,8 +235,11 @@ QUALITY_SQL = """SELECT doc_id, CAST(length(text) AS INTEGER) AS chars, CAST(len
 
 
 def text_quality_summary(spark, sf):
-    rows = load_table(spark, sf, "documents").select("source", tx.char_count(F.col("text"), "[0-9]").alias("digits"), F.length("text").alias("n"), tx.low_text_density(F.col("text")).alias("low"))
-    return rows.groupBy("source").agg(F.round(F.avg(F.col("digits") / F.col("n")), 9).alias("digit_ratio"), F.count_if("low").alias("warnings"), F.count("*").alias("n_docs"))
+    text = F.col("text")
+    rows = load_table(spark, sf, "documents").select(
+        "source", (tx.char_count(text, "\\x00") / F.length(text)).alias("nul"), tx.cjk_ratio(text).alias("cjk"), tx.low_text_density(text).alias("low"))
+    ratios = [F.round(F.avg(c), 9).alias(f"{c}_ratio") for c in ("nul", "cjk")]
+    return rows.groupBy("source").agg(*ratios, F.count_if("low").alias("warnings"), F.count("*").alias("n_docs"))
 
 
 def trimmed_pages(spark, sf):
@@ -522,7 +525,8 @@ QUERIES = {
     "text_quality": (text_quality, QUALITY_SQL),
     "text_quality_summary": (
         text_quality_summary,
-        """SELECT source, round(avg((length(text) - length(regexp_replace(text, '[0-9]', '', 'g'))) / length(text)), 9) AS digit_ratio,
+        """SELECT source, round(avg((length(text) - length(replace(text, chr(0), ''))) / length(text)), 9) AS nul_ratio,
+        round(avg((length(text) - length(regexp_replace(text, '[一-鿿]', '', 'g'))) / length(text)), 9) AS cjk_ratio,
         count(*) FILTER (length(text) >= 10 AND length(regexp_replace(text, '[^\\p{L}\\p{N}]', '', 'g')) / length(text) < 0.2) AS warnings, count(*) AS n_docs FROM documents GROUP BY 1""",
     ),
     "trimmed_pages": (trimmed_pages, TRIM_SQL),

@@ -272,7 +272,7 @@ def hybrid_ranking(spark, sf):
     queries = shapes.questions(spark, sf)
     ranked = retrieval.rank_hybrid(
         queries, shapes.conversation_items(spark, sf), query_tokens(spark, sf),
-        shapes.conversation_chunks(spark, sf), hashing_embedding, k=10,
+        shapes.conversation_chunks(spark, sf), k=10, encode=hashing_embedding,
     )
     return ranked.select("query_id", "item_id", "chunk_id", F.round("rrf", 8).alias("rrf"), "score", "rank")
 

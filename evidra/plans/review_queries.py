@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import canonical
-from evidra.operators import audits, latency, review
+from evidra.operators import audits, latency, ordering, review
 from evidra.session import load_table, materialize, work_folder
 from evidra.streaming import jobs
 
@@ -125,10 +125,10 @@ def _plans(spark, sf):
     """Orders as sealed plans: one sequence per customer's task."""
     orders = load_table(spark, sf, "orders")
     w_task = _task("o_custkey")
-    ranked = orders.select(w_task.alias("task_id"), "o_orderkey")
-    sequence = ranked.groupBy("task_id").agg(F.sort_array(F.collect_list("o_orderkey")).alias("keys"))  # about a hundred orders per task
-    return sequence.select("task_id", F.posexplode("keys").alias("n", "o_orderkey")).select(
-        "task_id", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("canonical_plan_input_sha256"), (F.col("n") + 1).alias("plan_sequence"), "o_orderkey",
+    keys = orders.select(w_task.alias("task_id"), "o_orderkey").withColumn("_n", F.lit(1))
+    sequence = ordering.cumulative_count(ordering.with_blocks(keys, ["task_id"], "o_orderkey"), ["task_id"], "o_orderkey", "plan_sequence")
+    return sequence.select(
+        "task_id", F.sha2(F.col("o_orderkey").cast("string"), 256).alias("canonical_plan_input_sha256"), F.col("plan_sequence").cast("int").alias("plan_sequence"), "o_orderkey",
     ).withColumn("plan_id", F.concat(F.lit("assembly-plan-"), "canonical_plan_input_sha256"))
 
 
@@ -198,14 +198,12 @@ def _consumption_inputs(spark, sf):
     plans = _plans(spark, sf).join(t.select("task_id", "protocol_sha256", "target_lineage_sha256"), "task_id").select(
         "task_id", "plan_id", "plan_sequence", "canonical_plan_input_sha256", "target_lineage_sha256", F.lit("s").alias("adjudication_selection_sha256"),
         F.lit("p0").alias("parent_protocol_sha256"), F.col("protocol_sha256").alias("child_protocol_sha256"), "o_orderkey")
-    last = plans.groupBy("task_id").agg(F.max("plan_sequence").alias("m"))
-    newest = plans.join(last, "task_id").where("plan_sequence >= m - 2")
-    requests = newest.join(load_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), F.col("o_orderkey") == F.col("l_orderkey")).join(
+    requests = plans.join(load_table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag"), F.col("o_orderkey") == F.col("l_orderkey")).join(
         t.select("task_id", "owner_id"), "task_id").select(
         F.struct("l_orderkey", "l_linenumber", "l_quantity", "l_returnflag").alias("request_seq"), "task_id", "plan_id",
         F.when(F.col("l_quantity") > 45, "stranger").otherwise(F.col("owner_id")).alias("owner_id"), F.col("l_returnflag").alias("writer_id"),
         F.when(F.col("l_quantity") < 4, "wrong").otherwise(F.col("canonical_plan_input_sha256")).alias("canonical_plan_input_sha256"), F.lit("out").alias("output_sha256"))
-    used = newest.join(load_table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", "left_semi").select(
+    used = plans.join(load_table(spark, sf, "orders").where("o_orderstatus = 'F'").select("o_orderkey"), "o_orderkey", "left_semi").select(
         "task_id", "plan_id", F.lit("A").alias("writer_id"), F.lit("out").alias("output_sha256"), F.lit(1).alias("consumed_at"))
     selection = t.select("task_id", F.when(F.col("created_at") % 8 == 7, "moved").otherwise("s").alias("adjudication_selection_sha256"))
     return requests, t, plans, used, selection
@@ -218,9 +216,9 @@ def consumption_states(spark, sf):
 
 CONSUME_SQL = f"""WITH {_DECISIONS}, {_TASKS}, {_PLANS},
 nw AS (SELECT *, max(plan_sequence) OVER (PARTITION BY task_id) AS m FROM pl),
-us AS (SELECT task_id, h FROM nw JOIN orders USING (o_orderkey) WHERE plan_sequence >= m - 2 AND o_orderstatus = 'F'),
+us AS (SELECT task_id, h FROM nw JOIN orders USING (o_orderkey) WHERE o_orderstatus = 'F'),
 rq AS (SELECT nw.task_id, h, plan_sequence, m, l_orderkey, l_linenumber, l_quantity, l_returnflag AS writer, us.h IS NOT NULL AS used, tp.*EXCLUDE(task_id)
-  FROM nw JOIN lineitem ON o_orderkey = l_orderkey JOIN tp USING (task_id) LEFT JOIN us USING (task_id, h) WHERE plan_sequence >= m - 2),
+  FROM nw JOIN lineitem ON o_orderkey = l_orderkey JOIN tp USING (task_id) LEFT JOIN us USING (task_id, h)),
 rj AS (SELECT *, CASE WHEN l_quantity > 45 THEN 'not_found' WHEN l_quantity < 4 THEN 'invalid_request' WHEN NOT used AND plan_sequence <> m THEN 'superseded'
   WHEN NOT used AND k % 8 = 7 THEN 'conflict' WHEN broken THEN 'broken_parent_link' WHEN running OR p_proto <> 'p0' THEN 'integrity_failed' END AS rej FROM rq),
 fi AS (SELECT *, row_number() OVER (PARTITION BY task_id, h ORDER BY rej IS NOT NULL, l_orderkey, l_linenumber, l_quantity, writer) AS r,

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 
 from evidra.functions.canonical import request_key
 from evidra.operators.network import activity_score, dedupe_first
-from evidra.session import union_all
+from evidra.session import materialize, union_all
 
 
 def _kind(v: Column) -> Column:
@@ -30,74 +30,72 @@ def _get(v: Column, path: str, kind: str = "variant") -> Column:
     return F.try_variant_get(v, path, kind)
 
 
-def _keys(text: Column) -> Column:
-    return F.json_object_keys(text)
-
-
-def _bad_keys(text: Column, allowed: list[str], required: list[str]) -> Column:
-    keys = _keys(text)
+def _bad_keys(v: Column, allowed: list[str], required: list[str], path: str = "$") -> Column:
+    keys = F.map_keys(_get(v, path, "map<string,variant>"))
     extra = F.size(F.array_except(keys, F.lit(allowed))) > 0
     missing = F.size(F.array_except(F.lit(required), keys)) > 0
     return keys.isNull() | extra | missing
 
 
-def _rows(artifacts: DataFrame, array_path: str) -> DataFrame:
-    """(artifact columns, row_no, row variant, row text) of the records in an artifact."""
-    doc = F.try_parse_json("content")
-    items = F.try_variant_get(doc, array_path, "array<variant>")
-    return artifacts.select("*", F.posexplode(items).alias("row_no", "row")).withColumn("row_text", F.to_json("row"))
-
-
-def _violations(artifacts: DataFrame, checks: list[tuple[str, Column]]) -> DataFrame:
-    rules = F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in checks]))
-    return artifacts.select("artifact_id", F.explode(rules).alias("rule"))
+def _rules(checks: list[tuple[str, Column]]) -> Column:
+    return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(name)) for name, cond in checks]))
 
 
 def _too_many(size: Column, max_records: int | None) -> list[tuple[str, Column]]:
     return [] if max_records is None else [("too_many_rows", size > max_records)]
 
 
+def _judged(parsed: DataFrame, items: Column, header: list[tuple[str, Column]], row_checks: list[tuple[str, Column]], fields: list[Column]) -> DataFrame:
+    """One staged row per record, or per artifact without records: artifact_id, row_no, rules, fields.
+    The content is parsed once; rules of the artifact stand at its first record."""
+    rows = parsed.select("*", _rules(header).alias("_header"), F.posexplode_outer(items).alias("row_no", "row")).drop("doc", "content")
+    own = F.when(F.col("row_no").isNotNull(), _rules(row_checks)).otherwise(F.array().cast("array<string>"))
+    rules = F.when(F.coalesce("row_no", F.lit(0)) == 0, F.concat("_header", own)).otherwise(own)
+    return materialize(rows.select("artifact_id", "row_no", rules.alias("rules"), *fields))
+
+
+def _clean(judged: DataFrame, violations: DataFrame) -> DataFrame:
+    rows = judged.where("row_no is not null").drop("rules")
+    return rows.join(violations.select("artifact_id").distinct(), "artifact_id", "left_anti")
+
+
 def parse_associations(artifacts: DataFrame, max_records: int | None = None) -> tuple[DataFrame, DataFrame]:
     """Disease association artifacts -> (records of clean artifacts, violations).
 
     artifacts: artifact_id, content, source_query_id, source_query_label, datatype,
     applied_threshold. Artifacts may be of any size unless the caller sets ``max_records``.
     """
-    doc = F.try_parse_json("content")
-    disease = "$.data.disease"
-    text = lambda path: F.to_json(F.try_variant_get(doc, path, "variant"))
-    rows_v = F.try_variant_get(doc, f"{disease}.associatedTargets.rows", "array<variant>")
-    header = _violations(artifacts, [
+    parsed = artifacts.withColumn("doc", F.try_parse_json("content"))
+    doc, disease, row = F.col("doc"), "$.data.disease", F.col("row")
+    items = _get(doc, f"{disease}.associatedTargets.rows", "array<variant>")
+    header = [
         ("empty_artifact", F.length(F.trim("content")) == 0),
         ("invalid_json", doc.isNull()),
-        ("unexpected_root_fields", doc.isNotNull() & _bad_keys(F.to_json(doc), ["data", "extensions"], ["data"])),
-        ("unexpected_disease_fields", doc.isNotNull() & _bad_keys(text(disease), ["id", "name", "associatedTargets"], ["id", "name", "associatedTargets"])),
-        ("query_mismatch", (F.try_variant_get(doc, f"{disease}.id", "string") != F.col("source_query_id"))
-         | (F.try_variant_get(doc, f"{disease}.name", "string") != F.col("source_query_label"))),
-        ("rows_not_array", doc.isNotNull() & rows_v.isNull()),
-        *_too_many(F.size(rows_v), max_records),
-        ("count_mismatch", F.try_variant_get(doc, f"{disease}.associatedTargets.count", "int") != F.size(rows_v)),
+        ("unexpected_root_fields", doc.isNotNull() & _bad_keys(doc, ["data", "extensions"], ["data"])),
+        ("unexpected_disease_fields", doc.isNotNull() & _bad_keys(doc, *[["id", "name", "associatedTargets"]] * 2, path=disease)),
+        ("query_mismatch", (_get(doc, f"{disease}.id", "string") != F.col("source_query_id"))
+         | (_get(doc, f"{disease}.name", "string") != F.col("source_query_label"))),
+        ("rows_not_array", doc.isNotNull() & items.isNull()),
+        *_too_many(F.size(items), max_records),
+        ("count_mismatch", _get(doc, f"{disease}.associatedTargets.count", "int") != F.size(items)),
         ("datatype_missing", F.coalesce("datatype", F.lit("")) == ""),
-    ])
-    rows = _rows(artifacts, f"{disease}.associatedTargets.rows")
-    row, score = F.col("row"), _get(F.col("row"), "$.score")
-    number = _get(row, "$.score", "double")
-    target_id, symbol = _get(row, "$.target.id"), _get(row, "$.target.approvedSymbol")
-    blank = lambda v, path: (_kind(v) != "text") | (F.coalesce(_get(row, path, "string"), F.lit("")) == "")
-    row_rules = _violations(rows, [
-        ("unexpected_row_fields", _bad_keys(F.col("row_text"), ["target", "score", "datatypeScores"], ["target", "score"])),
-        ("unexpected_target_fields", _bad_keys(F.to_json(_get(row, "$.target")), ["id", "approvedSymbol"], ["id", "approvedSymbol"])),
+    ]
+    score, number = _get(row, "$.score"), _get(row, "$.score", "double")
+    raw, symbol = _get(row, "$.target.id", "string"), _get(row, "$.target.approvedSymbol", "string")
+    blank = lambda path, text: _get(row, path).isNull() | (_kind(_get(row, path)) != "text") | (F.coalesce(text, F.lit("")) == "")
+    row_checks = [
+        ("unexpected_row_fields", _bad_keys(row, ["target", "score", "datatypeScores"], ["target", "score"])),
+        ("unexpected_target_fields", _bad_keys(row, *[["id", "approvedSymbol"]] * 2, path="$.target")),
         ("score_not_numeric", score.isNull() | (_kind(score) != "number")),
         ("below_threshold", (_kind(score) == "number") & (number < F.col("applied_threshold"))),
-        ("target_id_empty", target_id.isNull() | blank(target_id, "$.target.id")),
-        ("symbol_empty", symbol.isNull() | blank(symbol, "$.target.approvedSymbol")),
-    ])
-    violations = union_all([header, row_rules])
-    raw = _get(row, "$.target.id", "string")
-    records = rows.join(violations.select("artifact_id").distinct(), "artifact_id", "left_anti").select(
-        "artifact_id", "row_no", raw.alias("raw_identifier"), _get(row, "$.target.approvedSymbol", "string").alias("canonical_symbol"),
-        F.concat_ws(":", "source_query_id", raw, "datatype").alias("source_record_id"), number.alias("source_score"))
-    return records, violations
+        ("target_id_empty", blank("$.target.id", raw)),
+        ("symbol_empty", blank("$.target.approvedSymbol", symbol)),
+    ]
+    judged = _judged(parsed, items, header, row_checks, [
+        raw.alias("raw_identifier"), symbol.alias("canonical_symbol"),
+        F.concat_ws(":", "source_query_id", raw, "datatype").alias("source_record_id"), number.alias("source_score")])
+    violations = judged.select("artifact_id", F.explode("rules").alias("rule"))
+    return _clean(judged, violations), violations
 
 
 ACTIVITY_FIELDS = ["activity_id", "molecule_chembl_id", "target_chembl_id", "target_gene_symbol", "target_organism", "pchembl_value"]
@@ -108,35 +106,34 @@ def parse_activities(artifacts: DataFrame, max_records: int | None = None) -> tu
 
     artifacts: artifact_id, content, compound_id, species, applied_threshold
     """
-    doc = F.try_parse_json("content")
-    items = F.try_variant_get(doc, "$.activities", "array<variant>")
-    header = _violations(artifacts, [
+    parsed = artifacts.withColumn("doc", F.try_parse_json("content"))
+    doc, row = F.col("doc"), F.col("row")
+    items = _get(doc, "$.activities", "array<variant>")
+    header = [
         ("empty_artifact", F.length(F.trim("content")) == 0),
         ("invalid_json", doc.isNull()),
-        ("unexpected_root_fields", doc.isNotNull() & _bad_keys(F.to_json(doc), ["activities"], ["activities"])),
+        ("unexpected_root_fields", doc.isNotNull() & _bad_keys(doc, ["activities"], ["activities"])),
         ("rows_not_array", doc.isNotNull() & items.isNull()),
         *_too_many(F.size(items), max_records),
-    ])
-    rows = _rows(artifacts, "$.activities")
-    row = F.col("row")
+    ]
     value = lambda name, kind="string": _get(row, f"$.{name}", kind)
     score = value("pchembl_value", "variant")
     empty = lambda name: value(name, "variant").isNull() | (_kind(value(name, "variant")) != "text") | (F.coalesce(value(name), F.lit("")) == "")
-    row_rules = _violations(rows, [
-        ("unexpected_row_fields", _bad_keys(F.col("row_text"), ACTIVITY_FIELDS, ACTIVITY_FIELDS)),
+    row_checks = [
+        ("unexpected_row_fields", _bad_keys(row, ACTIVITY_FIELDS, ACTIVITY_FIELDS)),
         ("compound_mismatch", ~F.coalesce(value("molecule_chembl_id"), F.lit("")).eqNullSafe(F.col("compound_id"))),
         ("species_mismatch", ~F.coalesce(value("target_organism"), F.lit("")).eqNullSafe(F.col("species"))),
         ("score_not_numeric", score.isNull() | (_kind(score) != "number")),
         ("below_threshold", (_kind(score) == "number") & (value("pchembl_value", "double") < F.col("applied_threshold"))),
         ("identifier_empty", empty("activity_id") | empty("target_chembl_id") | empty("target_gene_symbol")),
-    ])
-    repeated = rows.groupBy("artifact_id", value("activity_id").alias("activity_id")).agg(F.count("*").alias("n")).where("n > 1").select(
-        "artifact_id", F.lit("activity_id_not_unique").alias("rule"))
-    violations = union_all([header, row_rules, repeated])
-    records = rows.join(violations.select("artifact_id").distinct(), "artifact_id", "left_anti").select(
-        "artifact_id", "row_no", value("target_chembl_id").alias("raw_identifier"), value("target_gene_symbol").alias("canonical_symbol"),
-        value("activity_id").alias("source_record_id"), value("pchembl_value", "double").alias("source_score"))
-    return records, violations
+    ]
+    judged = _judged(parsed, items, header, row_checks, [
+        value("target_chembl_id").alias("raw_identifier"), value("target_gene_symbol").alias("canonical_symbol"),
+        value("activity_id").alias("source_record_id"), value("pchembl_value", "double").alias("source_score")])
+    counts = judged.where("row_no is not null").groupBy("artifact_id", "source_record_id").agg(F.count("*").alias("n"))
+    repeated = counts.where("n > 1").select("artifact_id", F.lit("activity_id_not_unique").alias("rule"))
+    violations = union_all([judged.select("artifact_id", F.explode("rules").alias("rule")), repeated])
+    return _clean(judged, violations), violations
 
 
 def trust_states(artifacts: DataFrame, manifest: DataFrame) -> DataFrame:

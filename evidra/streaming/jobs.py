@@ -10,7 +10,7 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
@@ -180,14 +180,18 @@ def consume_batches(requests: DataFrame, tasks: DataFrame, plans: DataFrame, sel
     return requests.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_batches(records: DataFrame, corpus: str, checkpoint: str):
+def sync_batches(records: DataFrame, corpus: str, checkpoint: str, order: str | None = None):
     """Fetched records merged into the corpus: each batch writes the next corpus version from
-    the previous one; a replay rewrites the same version."""
+    the previous one; a replay rewrites the same version. Of a batch's records with one ``pmid``
+    the latest by ``order`` wins, ties and batches without that column by content."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         previous = spark.read.parquet(f"{corpus}/version={batch_id}")
-        incoming = literature.records_to_items(batch.dropDuplicates(["pmid"]))
+        latest = [F.desc(c) for c in ([order] if order else [])]
+        w = Window.partitionBy("pmid").orderBy(*latest, F.to_json(F.struct(*batch.columns)).desc())
+        single = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", *([order] if order else []))
+        incoming = literature.records_to_items(single)
         merged = literature.upsert_items(previous, incoming)
         merged.drop("sync_state").write.mode("overwrite").parquet(f"{corpus}/version={batch_id + 1}")
 

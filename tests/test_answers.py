@@ -76,6 +76,12 @@ def test_gate_reasons_in_order(spark):
         5: ("blocked", "blank_claim_text"), 6: ("blocked", "claim_without_evidence_ref"), 7: ("blocked", "unsupported_evidence_ref"), 8: ("blocked", "semantic_low_support")}
     relaxed = {r.answer_id: r.status for r in grounding.gate(answers_df, claims, scored, semantic_threshold=0.05).collect()}
     assert relaxed[8] == "passed"
+    both = scored.withColumn("entailment_score", F.when(F.col("answer_id") == 8, F.lit(0.3)))
+    least = {r.answer_id: (r.min_semantic, r.min_entailment, r.reason) for r in grounding.gate(answers_df, claims, both, 0.05, 0.5).collect()}
+    assert least.pop(8) == (0.1, 0.3, "nli_low_entailment")
+    assert all(v[:2] == (None, None) for v in least.values())  # never got as far as scoring
+    early = {r.answer_id: (r.min_semantic, r.min_entailment) for r in grounding.gate(answers_df, claims, both, 0.4, 0.5).collect()}
+    assert early[8] == (0.1, None)
 
 
 def test_retrieval_metrics_formulas(spark):

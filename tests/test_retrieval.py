@@ -106,6 +106,53 @@ def test_fallback_order_without_hits(spark):
     assert [r.item_id for r in got.orderBy("rank").collect()] == ["a", "c"]
 
 
+def test_chinese_text_is_cut_at_its_marks(spark):
+    texts = spark.createDataFrame([
+        (1, "特应性皮炎，皮肤屏障受损。　黄芩苷抑制 IL-4、IL-13表达！"), (2, "皮肤，屏障"), (3, "长" * 5000 + "；黄芩苷"), (4, "，。"), (5, None)], "i int, text string")
+    terms = spark.createDataFrame([(t,) for t in ("皮肤屏障", "皮肤，屏障", "黄芩苷", "il-13表达", "炎，皮", "，", "受损。")], "term string")
+    assert max(r.n for r in texts.where("i <> 3").select(F.array_max(F.transform(matching.text_pieces(F.col("text")), F.length)).alias("n")).collect() if r.n) <= 8
+    found = matching.match_terms(texts, terms, ["i"], matcher=matching.SUBSTRING).collect()
+    want = {(i, t.term) for i, x in texts.collect() for t in terms.collect() if x and t.term in x.lower() and t.term != "，"}
+    assert {(r.i, r.term) for r in found} == want and len(want) == 7
+
+
+def test_fallback_names_every_chunk(spark):
+    queries = spark.createDataFrame([(1, "zzz")], "query_id int, text string")
+    none = spark.createDataFrame([], "query_id int")
+    chunks = spark.createDataFrame([("a2", "a"), ("a1", "a")], "chunk_id string, item_id string")
+    got = retrieval.fallback_candidates(corpus(spark), queries, none, 3, chunks)
+    assert [(r.item_id, r.chunk_id) for r in got.orderBy("rank").collect()] == [("a", "a1"), ("a", "a2"), ("c", None)]
+
+
+def test_vector_top_k_against_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(retrieval, "CELL_BYTES", 900)  # many cells
+    monkeypatch.setattr(retrieval, "CELL_SCORES", 40)
+    vectors = [(i, [float((i * 7) % 5), float((i * 3) % 4)] if i != 11 else None) for i in range(120)]
+    df = spark.createDataFrame(vectors, "vec_id long, vec array<double>")
+    found = retrieval.vector_top_k(df.where("vec_id % 9 = 0").select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec")), df, 6)
+    want = []
+    for q, qv in vectors[::9]:
+        scored = sorted((-sum(x * y for x, y in zip(qv, v)), i) for i, v in vectors if v is not None)
+        want += [(q, i, -s, n + 1) for n, (s, i) in enumerate(scored[:6])]
+    assert sorted((r.query_id, r.vec_id, r.score, r["rank"]) for r in found.collect()) == sorted(want)
+    assert retrieval.vector_top_k(df.where("false").selectExpr("vec_id AS query_id", "vec AS qvec"), df, 6).count() == 0
+
+
+def test_every_strategy_has_one_calling_convention(spark):
+    queries = spark.createDataFrame([(1, "cytokine"), (2, "zzz")], "query_id int, text string")
+    tokens = spark.createDataFrame([(1, "cytokine"), (2, "zzz")], "query_id int, token string")
+    chunks = spark.createDataFrame([("a1", "a", "cytokine one"), ("a2", "a", "other")], "chunk_id string, item_id string, text string")
+    n_items = corpus(spark).count()
+    for name, rank in retrieval.STRATEGIES.items():
+        found = rank(queries, corpus(spark), tokens, chunks, None, 50).collect()
+        per_query = {q: [(r.item_id, r.chunk_id) for r in sorted(found, key=lambda r: r["rank"]) if r.query_id == q] for q in (1, 2)}
+        assert all(len(set(v)) == len(v) for v in per_query.values())
+        if name == "vector":  # both chunks, then the items without any
+            assert per_query[1][0] == ("a", "a1") and all(len(v) == n_items + 1 and v[2][1] is None for v in per_query.values())
+        if name == "hybrid":  # a question without a hit still takes the first unscored candidates
+            assert len(per_query[2]) == n_items + 1
+
+
 def test_rank_fusion_arithmetic(spark):
     schema = "query_id int, item_id string, chunk_id string, score double, bonus int, year int"
     kw = spark.createDataFrame([(1, "a", "_", 5.0, 0, 2020), (1, "b", "_", 3.0, 0, 2020)], schema)
