@@ -20,19 +20,19 @@ J = lambda *cols: F.to_json(F.struct(*cols))
 # --- artifacts ----------------------------------------------------------------------------------
 
 
-def _associations(spark, sf):
-    """One artifact per order: its lines as associated targets, some of them faulty."""
+def _associations(spark, sf, key="l_orderkey", faulty="true", lift=0.0):
+    """One artifact per order (or other key): its lines as associated targets, some of them faulty."""
     lines = load_table(spark, sf, "lineitem")
     row = F.struct(
-        F.struct(F.concat(F.lit("ENSG"), F.col("l_partkey").cast("string")).alias("id"), F.when(F.col("l_tax") > 0.075, "").otherwise(F.concat(F.lit("S"), F.col("l_partkey").cast("string"))).alias("approvedSymbol")).alias("target"),
-        F.col("l_discount").alias("score"))
-    docs = lines.groupBy("l_orderkey").agg(F.collect_list(row).alias("rows"))
-    count = F.when(F.col("l_orderkey") % 10 == 3, F.size("rows") + 1).otherwise(F.size("rows"))
-    content = J(F.struct(F.struct(F.lit("D1").alias("id"), F.when(F.col("l_orderkey") % 10 == 7, "other").otherwise("disease").alias("name"),
+        F.struct(F.concat(F.lit("ENSG"), F.col("l_partkey").cast("string")).alias("id"), F.when(F.expr(faulty) & (F.col("l_tax") > 0.075), "").otherwise(F.concat(F.lit("S"), F.col("l_partkey").cast("string"))).alias("approvedSymbol")).alias("target"),
+        (F.col("l_discount") + lift).alias("score"))
+    docs = lines.groupBy(key).agg(F.collect_list(row).alias("rows"))
+    count = F.when(F.col(key) % 10 == 3, F.size("rows") + 1).otherwise(F.size("rows"))
+    content = J(F.struct(F.struct(F.lit("D1").alias("id"), F.when(F.col(key) % 10 == 7, "other").otherwise("disease").alias("name"),
                                   F.struct(count.alias("count"), F.col("rows")).alias("associatedTargets")).alias("disease")).alias("data"))
-    content = F.when(F.col("l_orderkey") % 10 == 9, F.lit("{broken")).otherwise(content)
+    content = F.when(F.col(key) % 10 == 9, F.lit("{broken")).otherwise(content)
     return docs.select(
-        F.col("l_orderkey").alias("artifact_id"), content.alias("content"), F.lit("D1").alias("source_query_id"), F.lit("disease").alias("source_query_label"),
+        F.col(key).alias("artifact_id"), content.alias("content"), F.lit("D1").alias("source_query_id"), F.lit("disease").alias("source_query_label"),
         F.lit("genetic").alias("datatype"), F.lit(0.01).alias("applied_threshold"))
 
 
@@ -47,6 +47,13 @@ def association_records(spark, sf):
         F.count("*").alias("n"), F.round(F.sum("source_score"), 6).alias("score"), F.min("source_record_id").alias("first_record"), F.min("canonical_symbol").alias("first_symbol"))
 
 
+def large_artifacts(spark, sf):
+    """One artifact per supplier, each of several hundred lines: size alone rejects none."""
+    artifacts = _associations(spark, sf, "l_suppkey", "l_suppkey % 10 = 5", 0.02)
+    records, _ = connectors.parse_associations(artifacts)
+    return records.groupBy("artifact_id").agg(F.count("*").alias("n"), F.min("source_record_id").alias("first_record"), F.max("row_no").alias("last_row"))
+
+
 def association_violations(spark, sf):
     _, violations = connectors.parse_associations(_associations(spark, sf))
     return violations.groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("artifact_id").alias("n_artifacts"))
@@ -487,6 +494,11 @@ QUERIES = {
         f"""WITH {_ASSOC_SQL} SELECT l_orderkey AS artifact_id, count(*) AS n, round(sum(l_discount), 6) AS score, min('D1:ENSG' || l_partkey || ':genetic') AS first_record, min('S' || l_partkey) AS first_symbol
         FROM lineitem JOIN bad ON id = l_orderkey WHERE NOT broken AND id % 10 NOT IN (3, 7) AND blank = 0 AND low = 0 GROUP BY 1""",
     ),
+    "large_artifacts": (
+        large_artifacts,
+        """SELECT l_suppkey AS artifact_id, count(*) AS n, min('D1:ENSG' || l_partkey || ':genetic') AS first_record, CAST(count(*) - 1 AS INTEGER) AS last_row
+        FROM lineitem WHERE l_suppkey % 10 NOT IN (3, 7, 9) GROUP BY 1 HAVING count(*) FILTER (l_suppkey % 10 = 5 AND l_tax > 0.075) = 0""",
+    ),
     "association_violations": (
         association_violations,
         f"""WITH {_ASSOC_SQL}, v AS (SELECT id, 'invalid_json' AS rule FROM bad WHERE broken UNION ALL SELECT id, 'count_mismatch' FROM bad WHERE id % 10 = 3 UNION ALL SELECT id, 'query_mismatch' FROM bad WHERE id % 10 = 7
