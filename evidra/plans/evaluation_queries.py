@@ -298,7 +298,7 @@ def bracketed_references(spark, sf):
 def _citation_inputs(spark, sf):
     tokens = query_tokens(spark, sf)
     ranked = materialize(_candidates(spark, sf, tokens))
-    vocabulary = tokens.where(F.length("token") >= 5).select("token").distinct()
+    vocabulary = tokens.select("token").distinct()
     return tokens, ranked, vocabulary
 
 
@@ -318,7 +318,7 @@ def available_citations(spark, sf):
 def answer_batch(spark, sf):
     """Ranked, selected and rendered answers of all questions over the documents."""
     tokens, ranked, vocabulary = _citation_inputs(spark, sf)
-    items = shapes.corpus(spark, sf).withColumn("snippet", F.substring("abstract", 1, 280)).withColumn(
+    items = shapes.corpus(spark, sf).withColumn("snippet", F.col("abstract")).withColumn(
         "evidence_tags", F.array("lang", "source")).withColumn("related_entity_ids", F.array(F.concat(F.lit("herb-"), "source")))
     result, _ = answers.answer_questions(shapes.questions(spark, sf), ranked, items, None, tokens, vocabulary, top_k=3)
     return result
@@ -328,20 +328,20 @@ def evidence_packs(spark, sf):
     tokens, ranked, vocabulary = _citation_inputs(spark, sf)
     topical = answers.topical_queries(ranked, tokens, vocabulary)
     chosen, _ = answers.select_citations(ranked, topical, None, top_k=3, source="pubmed")
-    items = shapes.corpus(spark, sf).withColumn("snippet", F.substring("abstract", 1, 280)).withColumn("evidence_tags", F.array("lang", "source"))
+    items = shapes.corpus(spark, sf).withColumn("snippet", F.col("abstract")).withColumn("evidence_tags", F.array("lang", "source"))
     packs = answers.evidence_packs(answers.citation_cards(chosen, items, None))
     return packs.select("query_id", F.md5("evidence_text").alias("evidence_md5"), F.length("evidence_text").alias("n_chars"))
 
 
 _TOPICAL_SQL = f"""WITH {KEYWORD_SQL},
 topical AS (SELECT query_id FROM ranked GROUP BY 1 HAVING max(score) >= 3 INTERSECT SELECT query_id FROM tokens
-  WHERE length(token) >= 5 AND token NOT IN ('therapy','treatment','intervention','acupuncture','topical','external')),
+  WHERE token NOT IN ('therapy','treatment','intervention','acupuncture','topical','external')),
 picked AS (SELECT query_id, item_id, rank AS position, round(score / max(score) OVER (PARTITION BY query_id), 4) AS match_score
   FROM ranked SEMI JOIN topical USING (query_id) WHERE rank <= 3)"""
 
 _PACK_SQL = f"""{_TOPICAL_SQL},
 block AS (SELECT query_id, position, '引用 ' || position || chr(10) || '证据ID：' || item_id || chr(10) || '标题（元数据）：' || split_part(text, chr(10), 1)
-  || chr(10) || '来源（元数据）：' || source || chr(10) || '证据文本（claim 只能基于此字段）：' || substring(text, 1, 280) || chr(10) || '匹配依据（元数据）：' || lang || ', ' || source
+  || chr(10) || '来源（元数据）：' || source || chr(10) || '证据文本（claim 只能基于此字段）：' || text || chr(10) || '匹配依据（元数据）：' || lang || ', ' || source
   || chr(10) || '置信度（元数据）：' || CASE WHEN lang IN ('fr','es') THEN '0.86' ELSE '0.74' END || chr(10) || '文献ID（元数据）：' || item_id AS b
   FROM picked JOIN documents ON doc_id = item_id),
 pack AS (SELECT query_id, string_agg(b, chr(10) || chr(10) ORDER BY position) AS p FROM block GROUP BY 1)

@@ -149,7 +149,7 @@ def tag_bonus(spark, sf):
     queries = shapes.questions(spark, sf)
     tokens = query_tokens(spark, sf)
     items = shapes.corpus(spark, sf).select("item_id", F.split("title", " ").alias("evidence_tags"))
-    canonical = tokens.where(F.length("token") >= 6).select("token").distinct()
+    canonical = tokens.select("token").distinct()
     return retrieval.tag_bonus(items, "item_id", tokens, canonical, lexicon.ITEM_TAG_BONUS).select(
         "query_id", "item_id", "bonus"
     )
@@ -157,7 +157,7 @@ def tag_bonus(spark, sf):
 
 TAG_SQL = f"""WITH {TOKENS_SQL},
 owner AS (SELECT doc_id AS item_id, unnest(string_split(split_part(text, chr(10), 1), ' ')) AS tag FROM documents),
-canon AS (SELECT DISTINCT token FROM tokens WHERE length(token) >= 6),
+canon AS (SELECT DISTINCT token FROM tokens),
 hit AS (SELECT DISTINCT item_id, token FROM (SELECT DISTINCT tag, token FROM (SELECT DISTINCT tag FROM owner) JOIN canon ON contains(tag, token)) JOIN owner USING (tag))
 SELECT query_id, item_id, CAST(count(*) * 2 AS DOUBLE) AS bonus FROM hit JOIN tokens USING (token) GROUP BY ALL"""
 
