@@ -292,6 +292,16 @@ def bracketed_references(spark, sf):
         "doc_id", F.size(tx.bracketed_refs(marked)).alias("n_refs"), F.size(tx.claim_sentences(F.col("text"))).alias("n_claims"))
 
 
+_REF = "[\\[［]([A-Za-z0-9][A-Za-z0-9_.:-]*)[\\]］]"
+_BLANK = "[\\s\\x0b\\x{85}\\p{Z}]"
+_BRACKET_SQL = f"""WITH part AS (SELECT doc_id, list_transform(
+    regexp_split_to_array(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '([。！？!?])', '\\1' || chr(10), 'g'), '\\n+'),
+    lambda s: regexp_replace(regexp_replace(s, '^{_BLANK}+|{_BLANK}+$', '', 'g'), '^\\s*([-*•]|\\d+[.、）)])\\s*', '')) AS parts,
+  regexp_extract_all(replace(text, chr(10), ' [s-1] '), '{_REF}', 1) AS refs FROM documents)
+SELECT doc_id, CAST(len(list_distinct(refs)) AS INTEGER) AS n_refs, CAST(len(list_filter(parts,
+  lambda s: regexp_replace(regexp_replace(regexp_replace(s, '{_REF}', '', 'g'), '[*_`>#]', '', 'g'), '{_BLANK}+', '', 'g') <> '')) AS INTEGER) AS n_claims FROM part"""
+
+
 # --- answers, citations, labels ------------------------------------------------------------------
 
 
@@ -480,7 +490,7 @@ QUERIES = {
         count(*) FILTER (len(refs) = 1) AS claims_with_one_ref, count(*) FILTER (len(refs) > 1) AS claims_with_multi_refs FROM claims GROUP BY 1""",
     ),
     "grounding_gate": (grounding_gate, _GATE_SQL),
-    "bracketed_references": (bracketed_references, None),
+    "bracketed_references": (bracketed_references, _BRACKET_SQL),
     "citation_selection": (citation_selection, f"{_TOPICAL_SQL} SELECT query_id, item_id, position, match_score FROM picked"),
     "available_citations": (
         available_citations, f"{_TOPICAL_SQL} SELECT query_id, count(*) AS available_citation_count FROM ranked SEMI JOIN topical USING (query_id) GROUP BY 1"),
@@ -514,6 +524,11 @@ QUERIES = {
         UNION ALL SELECT 'chunk_of_unknown_item', CAST(doc_id AS VARCHAR) FROM labels WHERE doc_id * 3 NOT IN (SELECT doc_id FROM documents)
         UNION ALL SELECT 'too_few_live_items', CAST(count(*) FILTER (source <> 'src0') AS VARCHAR) FROM documents""",
     ),
-    "corpus_fingerprint": (corpus_fingerprint, None),
+    "corpus_fingerprint": (
+        corpus_fingerprint,
+        """WITH r AS (SELECT lang, sha256(CAST(to_json({'doc_id': doc_id, 'lang': lang, 'n_chars': n_chars, 'source': source, 'text': text}) AS VARCHAR)) AS h FROM documents),
+        b AS (SELECT lang, substr(h, 1, 4) AS b, sha256(string_agg(h, chr(10) ORDER BY h)) AS bh, count(*) AS n FROM r GROUP BY ALL)
+        SELECT lang, CAST(sum(n) AS BIGINT) AS n_rows, sha256(string_agg(bh, chr(10) ORDER BY b)) AS fingerprint FROM b GROUP BY 1""",
+    ),
     "event_percentiles": (event_percentiles, _PCT),
 }

@@ -11,6 +11,7 @@ from evidra.functions import canonical
 from evidra.functions import text as tx
 from evidra.operators import answers, audits, documents, lineage
 from evidra.plans import review_queries as rq
+from evidra.plans.evaluation_queries import _CLAIMS_SQL, _turn_claims
 from evidra.session import load_table, materialize
 from evidra.sources import connectors, literature, omics
 
@@ -285,6 +286,16 @@ def redacted_texts(spark, sf):
     return docs.select("doc_id", F.regexp_count(clean, F.lit("\\[REDACTED\\]")).alias("n_redacted"), F.contains(clean, F.lit("sk-ABCDEFGH12")).alias("leaks"))
 
 
+def _redacted_sql(text: str) -> str:
+    for pattern in ("(?i)[a-z0-9_]*API_KEY\\s*=\\s*\\S+", "(?i)[a-z0-9_]+_API_KEY", "sk-[A-Za-z0-9_-]{8,}"):
+        text = f"regexp_replace({text}, '{pattern}', '[REDACTED]', 'g')"
+    return f"regexp_replace({text}, '^[\\s\\x0b\\x{{85}}\\p{{Z}}]+|[\\s\\x0b\\x{{85}}\\p{{Z}}]+$', '', 'g')"
+
+
+REDACTED_SQL = f"""WITH r AS (SELECT doc_id, {_redacted_sql("text || ' MY_API_KEY = abc123 sk-ABCDEFGH12' || doc_id")} AS x FROM documents)
+SELECT doc_id, CAST((length(x) - length(replace(x, '[REDACTED]', ''))) // 10 AS INTEGER) AS n_redacted, contains(x, 'sk-ABCDEFGH12') AS leaks FROM r"""
+
+
 def upload_ids(spark, sf):
     docs = load_table(spark, sf, "documents")
     name = F.concat(F.when(F.col("lang") == "fr", "中文.pdf").when(F.col("lang") == "de", F.repeat(F.lit("Long name "), 12)).otherwise("My Paper (v2).PDF"))
@@ -423,7 +434,6 @@ def network_reports(spark, sf):
 def reviewer_packets(spark, sf):
     """Conversations as captured answers, assistant turns as claims."""
     from evidra.operators import evaluation
-    from evidra.plans.evaluation_queries import _turn_claims
     from evidra.plans.shapes import conversation_chunks
 
     turns = load_table(spark, sf, "conversations")
@@ -438,18 +448,46 @@ def reviewer_packets(spark, sf):
 
 def answer_briefs(spark, sf):
     """Briefs of all conversations: questions, answers, claims and user turns as citations."""
-    from evidra.plans.evaluation_queries import _turn_claims
-
     turns = load_table(spark, sf, "conversations")
     heads = turns.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.max_by("text", "turn").alias("answer"), F.count("*").alias("available_citation_count")).select(
         F.col("conv_id").alias("query_id"), "question", "answer", F.lit("all").alias("source"), F.lit("keyword").alias("strategy"), "available_citation_count", F.lit("passed").alias("status"), F.lit(None).cast("string").alias("reason"))
     cards = turns.where("role = 'user'").select(
-        F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.substring("text", 1, 20).alias("title"), F.col("role").alias("source"), F.col("turn").cast("string").alias("literature_id"),
+        F.col("conv_id").alias("query_id"), F.col("turn").alias("position"), F.split_part("text", F.lit("\n"), F.lit(1)).alias("title"), F.col("role").alias("source"), F.col("turn").cast("string").alias("literature_id"),
         F.lit(None).cast("string").alias("chunk_id"), F.col("text").alias("snippet"), F.lit(None).cast("string").alias("quote"), F.col("role").alias("reason"), F.lit(0.5).alias("match_score"), F.lit(0.74).alias("confidence"))
     claims = _turn_claims(spark, sf).select(F.col("answer_id").alias("query_id"), "claim_no", "text", "evidence_refs", F.lit(None).cast("double").alias("semantic_score"), F.lit(0.9).alias("entailment_score"))
     return documents.render(documents.answer_brief_lines(heads, cards, claims))
 
 
+def _quoted_sql(text: str) -> str:
+    filled = _redacted_sql(f"coalesce({text}, 'null')")
+    return f"'> ' || regexp_replace({filled}, '\\r?\\n', chr(10) || '> ', 'g')"
+
+
+PACKET_SQL = f"""WITH {_CLAIMS_SQL},
+q AS (SELECT answer_id, question, answer FROM (SELECT conv_id AS answer_id, arg_min(text, turn) AS question, arg_max(text, turn) AS answer, count(*) AS n FROM conversations GROUP BY 1) WHERE n % 4 <> 3),
+mine AS (SELECT * FROM claims SEMI JOIN q USING (answer_id)),
+cited AS (SELECT answer_id, claim_no, i, ref, text FROM (SELECT answer_id, claim_no, generate_subscripts(refs, 1) AS i, unnest(refs) AS ref FROM mine) LEFT JOIN (SELECT id, text FROM tid) ON id = ref),
+lines AS (
+  SELECT answer_id, 1 AS section, claim_no AS a, 0 AS b, '- WARNING: ' || {_redacted_sql("answer_id || ' claim has ' || len(refs) || ' evidence refs (claim ' || claim_no || '); expected exactly 1.'")} AS line FROM mine WHERE len(refs) <> 1
+  UNION ALL SELECT answer_id, 2, 0, 0, '## ' || answer_id || chr(10) || chr(10) || '- Question: ' || {_redacted_sql("question")} || chr(10) || chr(10) || {_quoted_sql("answer")} FROM q
+  UNION ALL SELECT answer_id, 3, claim_no, 0, '### Claim ' || claim_no || chr(10) || chr(10) || {_quoted_sql("text")} || chr(10) || chr(10) || '- Evidence refs: `'
+    || {_redacted_sql("CASE WHEN len(refs) > 0 THEN array_to_string(refs, ', ') ELSE 'none' END")} || '`' || chr(10) || '- Reviewer verdict: `[ ] supported` / `[ ] unsupported` / `[ ] unclear`' || chr(10) FROM mine
+  UNION ALL SELECT answer_id, 3, claim_no, i, '- Chunk: `' || {_redacted_sql("ref")} || '`' || chr(10) || chr(10) || {_quoted_sql("coalesce(text, 'CHUNK_NOT_FOUND')")} || chr(10) FROM cited)
+SELECT CAST(answer_id AS VARCHAR) AS doc_id, string_agg(line, chr(10) ORDER BY section, a, b, line) AS text, count(*) AS n_lines FROM lines GROUP BY 1"""
+
+BRIEF_SQL = f"""WITH {_CLAIMS_SQL},
+h AS (SELECT conv_id, arg_min(text, turn) AS question, arg_max(text, turn) AS answer, count(*) AS n FROM conversations GROUP BY 1),
+c AS (SELECT answer_id AS conv_id, count(*) AS n_claims, string_agg('### Claim ' || (claim_no + 1) || chr(10) || chr(10) || text || chr(10) || chr(10) || 'evidence_refs：'
+  || CASE WHEN len(refs) > 0 THEN array_to_string(refs, '、') ELSE '无' END || chr(10) || 'semantic_score：未计算' || chr(10) || 'entailment_score：90%' || chr(10) || chr(10), '' ORDER BY claim_no) AS body FROM claims GROUP BY 1),
+k AS (SELECT conv_id, count(*) AS n_cards, string_agg('### 引用 ' || turn || ' — ' || split_part(text, chr(10), 1) || chr(10) || '来源：user · literature_id：' || turn || ' · 检索匹配度：50% · 来源类型先验：74%'
+  || chr(10) || chr(10) || '> ' || text || chr(10) || chr(10) || '命中证据标签：user' || chr(10) || chr(10), '' ORDER BY turn) AS body FROM conversations WHERE role = 'user' GROUP BY 1)
+SELECT CAST(conv_id AS VARCHAR) AS doc_id, 31 + coalesce(n_claims, 0) + coalesce(n_cards, 0) AS n_lines, replace('# 答案导出||## 证据简报||- 证据范围：all|- 检索策略：keyword|- 可用引用数：' || n
+  || '|- Grounding 状态：passed|- 拦截原因：无||## 问题||', '|', chr(10)) || question || replace('||## 回答||', '|', chr(10)) || answer || replace('||## 结构化声明||', '|', chr(10))
+  || coalesce(c.body, '') || replace('|## 引用证据||', '|', chr(10)) || coalesce(k.body, '')
+  || replace('## Reviewer 核对清单||- [ ] 已核对免责声明：非诊断结论、需结合临床。|- [ ] 已逐条打开引用文献详情或原文 PDF||---||非诊断结论、需结合临床。', '|', chr(10)) AS text
+FROM h LEFT JOIN c USING (conv_id) LEFT JOIN k USING (conv_id)"""
+
+
 def answer_costs(spark, sf):
     docs = load_table(spark, sf, "documents")
     tokens_in = F.when(F.col("lang") != "fr", F.col("n_chars"))
@@ -543,7 +581,7 @@ QUERIES = {
     ),
     "trimmed_pages": (trimmed_pages, TRIM_SQL),
     "preview_windows": (preview_windows, PREVIEW_SQL),
-    "redacted_texts": (redacted_texts, None),
+    "redacted_texts": (redacted_texts, REDACTED_SQL),
     "upload_ids": (upload_ids, UPLOAD_SQL),
     "corpus_upsert": (corpus_upsert, UPSERT_SQL),
     "chunk_upsert": (chunk_upsert, CHUNK_UPSERT_SQL),
@@ -552,8 +590,8 @@ QUERIES = {
     "snapshot_store_issues": (snapshot_store_issues, STORE_SQL),
     "transcript_documents": (transcript_documents, TRANSCRIPT_SQL),
     "network_reports": (network_reports, None),
-    "reviewer_packets": (reviewer_packets, None),
-    "answer_briefs": (answer_briefs, None),
+    "reviewer_packets": (reviewer_packets, PACKET_SQL),
+    "answer_briefs": (answer_briefs, BRIEF_SQL),
     "answer_costs": (
         answer_costs,
         "SELECT doc_id, CASE WHEN lang = 'en' THEN round(n_chars / 1e6 * 3.0 + 500 / 1e6 * 15.0, 6) WHEN lang <> 'fr' THEN round(n_chars / 1e6 * 3.0, 6) END AS cost FROM documents",

@@ -480,6 +480,24 @@ SELECT dataset, symbol, round(m1, 6) AS mean_case, round(m0, 6) AS mean_control,
   CASE WHEN t_ok THEN round(pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n0 - 1)), 6) END AS df FROM ok"""
 
 
+# two-sided tail as the incomplete beta function by its power series, from the side where it converges
+_DIFF_SQL = _WELCH_SQL.split("SELECT dataset, symbol, round(m1, 6)")[0] + """,
+td AS (SELECT dataset, symbol, m1 - m0 AS fc, CASE WHEN t_ok THEN pow(m1 - m0, 2) / (a + b) END AS tt,
+  CASE WHEN t_ok THEN pow(a + b, 2) / (a * a / (n1 - 1) + b * b / (n0 - 1)) END AS df FROM ok),
+side AS (SELECT *, df / (df + tt) > (df / 2 + 1) / (df / 2 + 2.5) AS swap FROM td WHERE tt IS NOT NULL),
+pq AS (SELECT *, CASE WHEN swap THEN 0.5::DOUBLE ELSE df / 2 END AS p, CASE WHEN swap THEN df / 2 ELSE 0.5::DOUBLE END AS q,
+  CASE WHEN swap THEN tt / (df + tt) ELSE df / (df + tt) END AS z FROM side),
+term AS (SELECT dataset, symbol, sum(exp(lgamma(p + q + n) - lgamma(p + q) - lgamma(p + 1 + n) + lgamma(p + 1)) * pow(z, n)) AS s
+  FROM pq, (SELECT unnest(range(400)) AS n) GROUP BY ALL),
+tail AS (SELECT dataset, symbol, swap, CASE WHEN z <= 0 THEN 0.0 ELSE exp(lgamma(p + q) - lgamma(p) - lgamma(q) + p * ln(greatest(z, 1e-300)) + q * ln(1 - z)) * s / p END AS v
+  FROM pq JOIN term USING (dataset, symbol)),
+pv AS (SELECT dataset, symbol, fc, v IS NOT NULL AS tt_known, least(1.0, greatest(0.0, CASE WHEN swap THEN 1 - v ELSE v END)) AS p FROM td LEFT JOIN tail USING (dataset, symbol)),
+rk AS (SELECT dataset, symbol, p, rank() OVER (PARTITION BY dataset ORDER BY p) + count(*) OVER (PARTITION BY dataset, p) - 1 AS r,
+  count(*) OVER (PARTITION BY dataset) AS m FROM pv WHERE tt_known),
+adj AS (SELECT dataset, symbol, least(1.0, min(p * m / r) OVER (PARTITION BY dataset ORDER BY p DESC)) AS adj FROM rk),
+de AS (SELECT dataset, symbol, fc, CASE WHEN tt_known THEN p END AS p, coalesce(adj, 1.0) AS adj FROM pv LEFT JOIN adj USING (dataset, symbol))"""
+
+
 def fdr_adjustment(spark, sf):
     """Benjamini-Hochberg over event values as p-values, one family per event type."""
     tests = load_table(spark, sf, "events").select("event_id", "event_type", F.when(F.col("value") <= 100, F.col("value") / 100).alias("p_value"))
@@ -615,7 +633,7 @@ QUERIES = {
     ),
     "probe_collapse": (probe_collapse, f"WITH {_EXPR_SQL} SELECT dataset, symbol, probe FROM best"),
     "welch_statistics": (welch_statistics, _WELCH_SQL),
-    "differential_expression": (differential_expression, None),
+    "differential_expression": (differential_expression, f"{_DIFF_SQL} SELECT dataset, symbol, round(p, 10) AS p_value, round(adj, 10) AS adj_p_value FROM de"),
     "fdr_adjustment": (fdr_adjustment, FDR_SQL),
     "sample_group_mismatches": (
         sample_group_mismatches,

@@ -233,6 +233,21 @@ def hashing_similarity(spark, sf):
     ).select("doc_id", F.round(retrieval.cosine(a, b), 4).alias("support"))
 
 
+# the 128 dimensions repeat 16 bits of the digest eight times; a text without tokens is the first unit vector
+_HASH_SQL = """
+token AS (SELECT id, side, unnest(regexp_extract_all(t, '[\\p{L}\\p{N}_]+') || regexp_extract_all(t, '[一-鿿]')) AS token FROM text),
+digest AS (SELECT token, md5(token) AS h FROM (SELECT DISTINCT token FROM token)),
+sign AS (SELECT token, i, 2 * ((CAST('0x' || substr(h, 1 + 2 * i, 2) AS INTEGER) >> (i % 8)) & 1) - 1 AS s FROM digest, (SELECT CAST(unnest(range(16)) AS INTEGER) AS i)),
+place AS (SELECT id, side, i, sum(n * s) AS v FROM (SELECT id, side, token, count(*) AS n FROM token GROUP BY ALL) JOIN sign USING (token) GROUP BY ALL)"""
+
+SUPPORT_SQL = f"""WITH text AS (SELECT doc_id AS id, 'whole' AS side, lower(coalesce(text, '')) AS t FROM documents
+  UNION ALL SELECT doc_id, 'head', lower(split_part(coalesce(text, ''), chr(10), 1)) FROM documents), {_HASH_SQL},
+pair AS (SELECT id, i, coalesce(sum(v) FILTER (side = 'whole'), 0) AS a, coalesce(sum(v) FILTER (side = 'head'), 0) AS b FROM place GROUP BY ALL),
+total AS (SELECT id, sum(a * a) AS aa, sum(b * b) AS bb, sum(a * b) AS ab, sum(a) FILTER (i = 0) AS a0, sum(b) FILTER (i = 0) AS b0 FROM pair GROUP BY 1)
+SELECT doc_id, round(greatest(0.0, least(1.0, CASE WHEN coalesce(aa, 0) = 0 AND coalesce(bb, 0) = 0 THEN 1.0 WHEN aa = 0 THEN b0 / sqrt(8 * bb) WHEN bb = 0 THEN a0 / sqrt(8 * aa)
+  ELSE ab / (sqrt(aa) * sqrt(bb)) END)), 4) AS support FROM documents LEFT JOIN total ON id = doc_id"""
+
+
 def _fusion_lists(spark, sf):
     vectors = load_table(spark, sf, "embeddings")
     queries = vectors.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("qvec"))
@@ -395,7 +410,7 @@ QUERIES = {
         vector_neighbours,
         f"WITH {_NEIGHBOURS} SELECT query_id, vec_id, round(score, 5) AS score, rank FROM near WHERE rank <= 10",
     ),
-    "hashing_similarity": (hashing_similarity, None),
+    "hashing_similarity": (hashing_similarity, SUPPORT_SQL),
     "rank_fusion": (rank_fusion, FUSION_SQL),
     "hybrid_ranking": (hybrid_ranking, None),
     "first_candidate_per_item": (first_candidate_per_item, FIRST_SQL),
