@@ -519,15 +519,16 @@ def sample_group_mismatches(spark, sf):
 
 
 def expression_candidates(spark, sf):
-    """Genes over a wide fold change with the customers' lineage rows that name them."""
+    """Genes over a wide fold change at a false discovery rate with the part rows that name them. The tables hold no
+    effect, so the rate is a high one."""
     values, groups, annotation = _expression_tables(spark, sf)
-    chosen = values.join(expression.collapse_probes(values, annotation), ["dataset", "probe"])
-    tests = expression.welch(expression.group_moments(chosen, groups, "symbol"), "case", "control", ["dataset", "symbol"])
-    passed = expression.passing(tests.withColumn("adj_p_value", F.lit(0.01)).where("t is not null"), 0.05, 5.0)
+    tests = expression.differential_expression(values, groups, annotation, "case", "control")
+    passed = expression.passing(tests, 0.9, 5.0)
     lineage_rows = load_table(spark, sf, "part").select(
         F.col("p_size").alias("task_id"), F.concat_ws(" ", "p_name", F.floor(F.col("p_retailprice") / 5).cast("string")).alias("canonical_symbol"), F.col("p_partkey").alias("lineage_row_id"))
     found = expression.lineage_candidates(passed, lineage_rows)
-    return found.select("task_id", "dataset", "symbol", F.size("lineage_row_ids").alias("n_rows"), F.round("log2fc", 6).alias("log2fc"))
+    return found.select(
+        "task_id", "dataset", "symbol", F.size("lineage_row_ids").alias("n_rows"), F.round("log2fc", 6).alias("log2fc"), F.round("adj_p_value", 8).alias("adj_p_value"))
 
 
 def candidate_summaries(spark, sf):
@@ -642,9 +643,9 @@ QUERIES = {
     ),
     "expression_candidates": (
         expression_candidates,
-        f"""{_WELCH_SQL.replace('SELECT dataset, symbol, round(m1, 6)', ', w AS (SELECT dataset, symbol, m1 - m0 AS fc FROM ok WHERE t_ok), x AS (SELECT 1) SELECT dataset, symbol, round(m1, 6)').split(', x AS (SELECT 1)')[0]},
+        f"""{_DIFF_SQL},
         ln AS (SELECT p_size AS task_id, p_name || ' ' || CAST(floor(p_retailprice / 5) AS BIGINT) AS symbol, CAST(count(*) AS INTEGER) AS n_rows FROM part GROUP BY ALL)
-        SELECT task_id, dataset, symbol, n_rows, round(fc, 6) AS log2fc FROM w JOIN ln USING (symbol) WHERE abs(fc) > 5""",
+        SELECT task_id, dataset, symbol, n_rows, round(fc, 6) AS log2fc, round(adj, 8) AS adj_p_value FROM de JOIN ln USING (symbol) WHERE p IS NOT NULL AND adj < 0.9 AND abs(fc) > 5""",
     ),
     "candidate_summaries": (
         candidate_summaries,

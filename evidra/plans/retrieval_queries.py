@@ -292,6 +292,25 @@ def hybrid_ranking(spark, sf):
     return ranked.select("query_id", "item_id", "chunk_id", F.round("rrf", 8).alias("rrf"), "score", "rank")
 
 
+# keyword list of CHUNK_SQL (unscored chunks where a question has none), vector list over the hashed turns, fused
+HYBRID_SQL = CHUNK_SQL.split("SELECT query_id, item_id, chunk_id, round(score, 6)")[0].rstrip() + f""",
+text AS (SELECT 'q' || CAST(item_id AS VARCHAR) AS id, 'q' AS side, lower(text) AS t FROM benchmark UNION ALL SELECT chunk_id, 'c', t FROM chunks), {_HASH_SQL},
+norm AS (SELECT id, sqrt(8 * sum(v * v)) AS n FROM place GROUP BY 1),
+unit AS (SELECT text.id, text.side, list(CAST(CASE WHEN n > 0 THEN coalesce(v, 0) / n WHEN d = 0 THEN 1.0 ELSE 0.0 END AS FLOAT) ORDER BY d) AS u
+  FROM text CROSS JOIN (SELECT CAST(unnest(range(128)) AS INTEGER) AS d) LEFT JOIN norm USING (id) LEFT JOIN place ON place.id = text.id AND place.i = d % 16 GROUP BY ALL),
+near AS (SELECT CAST(substr(q.id, 2) AS BIGINT) AS query_id, c.id AS chunk_id, list_inner_product(CAST(q.u AS DOUBLE[]), CAST(c.u AS DOUBLE[])) AS s FROM unit q, unit c WHERE q.side = 'q' AND c.side = 'c'),
+vector AS (SELECT query_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY s DESC, chunk_id) AS r FROM near QUALIFY r <= 50),
+keyword AS (SELECT query_id, item_id, chunk_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, year DESC, item_id, chunk_id) AS r
+  FROM scores JOIN items USING (item_id) QUALIFY r <= 50),
+unscored AS (SELECT item_id, chunk_id, row_number() OVER (ORDER BY year DESC, item_id, chunk_id) AS r FROM chunks JOIN items USING (item_id) QUALIFY r <= 50),
+lists AS (SELECT 0 AS list_no, query_id, chunk_id, r FROM keyword
+  UNION ALL SELECT 0, item_id, chunk_id, r FROM (SELECT item_id FROM benchmark WHERE item_id NOT IN (SELECT query_id FROM keyword)) CROSS JOIN (SELECT chunk_id, r FROM unscored)
+  UNION ALL SELECT 1, query_id, chunk_id, r FROM vector),
+fused AS (SELECT query_id, item_id, chunk_id, sum(1.0 / (60 + r)) AS rrf, year, min(list_no * 1000 + r) AS seen FROM lists JOIN chunks USING (chunk_id) JOIN items USING (item_id) GROUP BY ALL)
+SELECT query_id, item_id, chunk_id, round(rrf, 8) AS rrf, pool - rank + 1 AS score, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(rrf, 12) DESC, year DESC, seen) AS rank, count(*) OVER (PARTITION BY query_id) AS pool FROM fused) WHERE rank <= 10"""
+
+
 def first_candidate_per_item(spark, sf):
     """Best turn per conversation for every question, first ten conversations."""
     queries = shapes.questions(spark, sf)
@@ -412,6 +431,6 @@ QUERIES = {
     ),
     "hashing_similarity": (hashing_similarity, SUPPORT_SQL),
     "rank_fusion": (rank_fusion, FUSION_SQL),
-    "hybrid_ranking": (hybrid_ranking, None),
+    "hybrid_ranking": (hybrid_ranking, HYBRID_SQL),
     "first_candidate_per_item": (first_candidate_per_item, FIRST_SQL),
 }
