@@ -349,6 +349,15 @@ topical AS (SELECT query_id FROM ranked GROUP BY 1 HAVING max(score) >= 3 INTERS
 picked AS (SELECT query_id, item_id, rank AS position, round(score / max(score) OVER (PARTITION BY query_id), 4) AS match_score
   FROM ranked SEMI JOIN topical USING (query_id) WHERE rank <= 3)"""
 
+_ANSWER_SQL = f"""{_TOPICAL_SQL},
+shown AS (SELECT query_id, count(*) AS n, string_agg(position || '.《' || split_part(d.text, chr(10), 1) || '》（' || source || '）：'
+  || regexp_replace(d.text, '^{_BLANK}+|{_BLANK}+$', '', 'g'), chr(10) ORDER BY position) AS block FROM picked JOIN documents d ON doc_id = picked.item_id GROUP BY 1),
+pool AS (SELECT query_id, count(*) AS available FROM ranked SEMI JOIN topical USING (query_id) GROUP BY 1)
+SELECT b.item_id AS query_id, coalesce(n, 0) AS citation_count, coalesce(available, 0) AS available_citation_count, CASE WHEN n IS NULL THEN '{answers._NO_EVIDENCE}'
+  ELSE CASE WHEN trim(b.text) <> '' THEN '针对「' || trim(b.text) || '」，' ELSE '' END || '在当前样本文献中检索到 ' || n || ' 条相关证据片段，按相关度排序：' || chr(10) || block
+  || chr(10) || '涉及主题：暂无主题映射。{answers._CLOSING.format('系统检索命中的原文证据片段')}' END AS answer
+FROM benchmark b LEFT JOIN shown ON shown.query_id = b.item_id LEFT JOIN pool ON pool.query_id = b.item_id"""
+
 _PACK_SQL = f"""{_TOPICAL_SQL},
 block AS (SELECT query_id, position, '引用 ' || position || chr(10) || '证据ID：' || item_id || chr(10) || '标题（元数据）：' || split_part(text, chr(10), 1)
   || chr(10) || '来源（元数据）：' || source || chr(10) || '证据文本（claim 只能基于此字段）：' || text || chr(10) || '匹配依据（元数据）：' || lang || ', ' || source
@@ -494,7 +503,7 @@ QUERIES = {
     "citation_selection": (citation_selection, f"{_TOPICAL_SQL} SELECT query_id, item_id, position, match_score FROM picked"),
     "available_citations": (
         available_citations, f"{_TOPICAL_SQL} SELECT query_id, count(*) AS available_citation_count FROM ranked SEMI JOIN topical USING (query_id) GROUP BY 1"),
-    "answer_batch": (answer_batch, None),
+    "answer_batch": (answer_batch, _ANSWER_SQL),
     "evidence_packs": (evidence_packs, _PACK_SQL),
     "blind_worksheet": (
         blind_worksheet,
