@@ -56,22 +56,20 @@ def nearest_members(unit: np.ndarray, count: int, block: int = 512) -> np.ndarra
     return out
 
 
-def robust_prune(unit: np.ndarray, near: np.ndarray, degree: int, alpha: float) -> np.ndarray:
+def robust_prune(unit: np.ndarray, near: np.ndarray, degree: int, alpha: float, block: int = 1024) -> np.ndarray:
     """Thins the candidate lists of all nodes together; -1 fills rows with fewer than ``degree`` neighbours."""
-    n, width = near.shape
-    kept = np.full((n, degree), -1, np.int64)
-    filled = np.zeros(n, np.int64)
-    alive = near >= 0
-    distance = 1 - np.einsum("ij,ikj->ik", unit, unit[near])
-    for c in range(width):
-        take = np.flatnonzero(alive[:, c] & (filled < degree))
-        if not len(take):
-            continue
-        chosen = near[take, c]
-        kept[take, filled[take]] = chosen
-        filled[take] += 1
-        between = 1 - np.einsum("ij,ikj->ik", unit[chosen], unit[near[take]])
-        alive[take] &= alpha * between > distance[take]
+    kept = np.full((len(near), degree), -1, np.int64)
+    for start in range(0, len(near), block):
+        lists = near[start:start + block]
+        members = unit[lists]
+        between = 1 - members @ members.transpose(0, 2, 1)  # distances among the candidates of each node
+        distance = 1 - np.einsum("ij,ikj->ik", unit[start:start + block], members)
+        filled, alive = np.zeros(len(lists), np.int64), lists >= 0
+        for c in range(lists.shape[1]):
+            take = np.flatnonzero(alive[:, c] & (filled < degree))
+            kept[start + take, filled[take]] = lists[take, c]
+            filled[take] += 1
+            alive[take] &= alpha * between[take, c] > distance[take]
     return kept
 
 
@@ -83,34 +81,35 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry
     within ``slack`` squared times the radius is expanded.
     """
     q, n = len(queries), len(unit)
-    seen = np.zeros((q, n), bool)
-    rows = np.repeat(np.arange(q), entry.shape[1])
-    first = entry.ravel()
-    rows, first = rows[first >= 0], first[first >= 0]
-    open_row, open_node = rows, first
-    kept_row, kept_node, kept_distance = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0))
-    reach = np.full(q, np.inf)
+    seen, last = np.zeros(q * n, bool), np.empty(q * n, np.int32)
+    best = np.full((q, beam), np.inf, np.float32)  # distances of every query's beam
     wide = radius * slack * slack
-    while len(open_row):
-        flat = np.unique(open_row * n + open_node)
-        flat = flat[~seen.ravel()[flat]]
-        if not len(flat):
-            break
-        seen.ravel()[flat] = True
-        row, node = flat // n, flat % n
+    found = []
+    row, slot = np.nonzero(entry >= 0)
+    node = entry[row, slot]
+    while len(row):
+        flat = row * n + node
+        flat = flat[~seen[flat]]
+        last[flat] = np.arange(len(flat), dtype=np.int32)
+        flat = flat[last[flat] == np.arange(len(flat), dtype=np.int32)]  # each pair once
+        seen[flat] = True
+        row, node = np.divmod(flat, n)
         distance = 1 - np.einsum("ij,ij->i", queries[row], unit[node])
-        kept_row, kept_node = np.concatenate((kept_row, row)), np.concatenate((kept_node, node))
-        kept_distance = np.concatenate((kept_distance, distance))
-        order = np.lexsort((kept_distance, kept_row))
-        place = np.arange(len(order)) - np.searchsorted(kept_row[order], kept_row[order])
-        at = order[place == beam - 1]
-        reach[kept_row[at]] = kept_distance[at]  # distance of the beam's last member
-        go = (distance <= reach[row]) | (distance <= wide)
+        hit = distance <= radius + 1e-6
+        found.append((row[hit], node[hit]))
+        closer = np.flatnonzero(distance < best[row, -1])
+        closer = closer[np.lexsort((distance[closer], row[closer]))]
+        owner, starts, counts = np.unique(row[closer], return_index=True, return_counts=True)
+        fresh = np.full((len(owner), beam), np.inf, np.float32)
+        place = np.arange(len(closer)) - np.repeat(starts, counts)
+        fits = place < beam
+        fresh[np.repeat(np.arange(len(owner)), counts)[fits], place[fits]] = distance[closer][fits]
+        best[owner] = np.sort(np.concatenate((best[owner], fresh), axis=1), axis=1)[:, :beam]
+        go = (distance <= best[row, -1]) | (distance <= wide)
         neighbours = graph[node[go]]
-        open_row = np.repeat(row[go], graph.shape[1])[neighbours.ravel() >= 0]
-        open_node = neighbours.ravel()[neighbours.ravel() >= 0]
-    hit = kept_distance <= radius + 1e-6
-    return kept_row[hit], kept_node[hit]
+        at, slot = np.nonzero(neighbours >= 0)
+        row, node = row[go][at], neighbours[at, slot]
+    return np.concatenate([r for r, _ in found] or [row]), np.concatenate([v for _, v in found] or [node])
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", overlap: int = OVERLAP,
