@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
+from evidra.functions.embedding import register_entailment, select_backend, select_entailment
 from evidra.operators import answers, evaluation, grounding, ordering, retrieval
 from evidra.plans import shapes
-from evidra.plans.retrieval_queries import KEYWORD_SQL, _candidates, _ranked, query_tokens
+from evidra.plans.retrieval_queries import _HASH_SQL, KEYWORD_SQL, _candidates, _ranked, query_tokens
 from evidra.session import load_table, materialize
 
 THRESHOLDS = [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
@@ -302,6 +303,57 @@ SELECT doc_id, CAST(len(list_distinct(refs)) AS INTEGER) AS n_refs, CAST(len(lis
   lambda s: regexp_replace(regexp_replace(regexp_replace(s, '{_REF}', '', 'g'), '[*_`>#]', '', 'g'), '{_BLANK}+', '', 'g') <> '')) AS INTEGER) AS n_claims FROM part"""
 
 
+def claim_support(spark, sf):
+    """Claims against the text they cite, scored by a registered embedding and a registered entailment back end."""
+    register_entailment("length", lambda premise, claim: F.least(F.lit(1.0), F.length(premise) / F.greatest(F.length(claim), F.lit(1))))
+    citations = load_table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("answer_id"), F.col("turn").alias("position"), _turn_id(F.col("conv_id"), F.col("turn")).alias("chunk_id"),
+        F.col("conv_id").cast("string").alias("literature_id"), F.lit(None).cast("string").alias("quote"), F.col("text").alias("snippet"))
+    pairs = grounding.claim_refs(_turn_claims(spark, sf), citations)
+    scored = grounding.support_scores(pairs, select_backend("hashing"), select_entailment("Length "))
+    return scored.select(
+        "answer_id", "claim_no", "ref", F.round("semantic_score", 4).alias("semantic_score"), F.round("entailment_score", 6).alias("entailment_score"))
+
+
+_CLAIM_SUPPORT_SQL = f"""WITH {_CLAIMS_SQL},
+cited AS (SELECT answer_id, claim_no, ref, c.text AS claim, t.text AS premise FROM (SELECT answer_id, claim_no, text, unnest(refs) AS ref FROM claims) c LEFT JOIN tid t ON t.id = ref AND t.conv_id = answer_id),
+text AS (SELECT id, 't' AS side, lower(text) AS t FROM tid), {_HASH_SQL},
+norm AS (SELECT id, sum(v * v) AS n FROM place GROUP BY 1),
+dot AS (SELECT answer_id, claim_no, ref, sum(x.v * y.v) AS xy FROM cited JOIN place x ON x.id = answer_id || '-' || lpad(CAST(claim_no AS VARCHAR), 6, '0') JOIN place y ON y.id = ref AND y.i = x.i GROUP BY ALL)
+SELECT answer_id, claim_no, ref, CASE WHEN length(premise) > 0 THEN round(greatest(0.0, least(1.0, xy / (sqrt(a.n) * sqrt(b.n)))), 4) END AS semantic_score,
+  CASE WHEN length(premise) > 0 THEN round(least(1.0, length(premise) / greatest(length(claim), 1)), 6) END AS entailment_score
+FROM cited LEFT JOIN dot USING (answer_id, claim_no, ref) LEFT JOIN norm a ON a.id = answer_id || '-' || lpad(CAST(claim_no AS VARCHAR), 6, '0') LEFT JOIN norm b ON b.id = ref"""
+
+
+def structured_claims(spark, sf):
+    """Assistant turns written as JSON answers (fenced, bare, or of a wrong shape), parsed back and rendered as text."""
+    claims = _turn_claims(spark, sf)
+    payload = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit(" "), "text", F.lit("! ")).alias("text"), "evidence_refs")).alias("claims")))
+    written = F.when(F.col("claim_no") == 3, F.to_json(F.struct(F.col("text").alias("claims")))).when(
+        F.col("claim_no") == 5, F.concat(F.lit("```json\n"), payload, F.lit("\n```"))).otherwise(payload)
+    parsed = claims.select("claim_id", tx.parse_structured_claims(written).alias("parsed"))
+    return parsed.select("claim_id", F.col("parsed").isNotNull().alias("valid"), F.md5(tx.structured_answer("parsed")).alias("answer_md5"))
+
+
+_STRUCTURED_SQL = f"""WITH {_CLAIMS_SQL}
+SELECT claim_id, claim_no <> 3 AS valid, CASE WHEN claim_no <> 3 THEN md5(regexp_replace(regexp_replace(text, '^{_BLANK}+', ''), '[。！？!? ]+$', '')
+  || ' ' || array_to_string(list_transform(refs, lambda r: '[' || r || ']'), ' ') || '。') END AS answer_md5 FROM claims"""
+
+
+def bilingual_questions(spark, sf):
+    """Conversations as questions whose turns name expected items of two sources."""
+    prefix = F.when(F.col("role") == "user", "pmid-").when(F.length("text") > 150, "cn-").otherwise("doi-")
+    turns = load_table(spark, sf, "conversations").select(
+        F.col("conv_id").alias("query_id"), "turn", F.concat(prefix, F.col("turn").cast("string")).alias("id"))
+    asked = turns.groupBy("query_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "id"))), lambda s: s["id"]).alias("expected_literature_ids"))
+    found = evaluation.bilingual_questions(asked)
+    return found.select("query_id", F.array_join(F.transform("expected_literature_ids", tx.id_language), ",").alias("languages"))
+
+
+_BILINGUAL_SQL = """SELECT conv_id AS query_id, string_agg(CASE WHEN role = 'user' THEN 'pubmed' WHEN length(text) > 150 THEN 'cn' ELSE 'unknown' END, ',' ORDER BY turn) AS languages
+FROM conversations GROUP BY 1 HAVING count(*) FILTER (role = 'user') > 0 AND count(*) FILTER (role <> 'user' AND length(text) > 150) > 0"""
+
+
 # --- answers, citations, labels ------------------------------------------------------------------
 
 
@@ -499,6 +551,9 @@ QUERIES = {
         count(*) FILTER (len(refs) = 1) AS claims_with_one_ref, count(*) FILTER (len(refs) > 1) AS claims_with_multi_refs FROM claims GROUP BY 1""",
     ),
     "grounding_gate": (grounding_gate, _GATE_SQL),
+    "claim_support": (claim_support, _CLAIM_SUPPORT_SQL),
+    "structured_claims": (structured_claims, _STRUCTURED_SQL),
+    "bilingual_questions": (bilingual_questions, _BILINGUAL_SQL),
     "bracketed_references": (bracketed_references, _BRACKET_SQL),
     "citation_selection": (citation_selection, f"{_TOPICAL_SQL} SELECT query_id, item_id, position, match_score FROM picked"),
     "available_citations": (

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from evidra.functions import text as tx
 from evidra.operators import enrichment, expression, lineage, network
 from evidra.session import load_table, union_all
 
@@ -518,6 +519,35 @@ def sample_group_mismatches(spark, sf):
     return expression.group_count_mismatches(groups, declared)
 
 
+def sample_groups(spark, sf):
+    """Segments and comparisons of all customers as group labels: canonical names and the labels that are none."""
+    label = F.when(F.col("c_mktsegment") == "BUILDING", " AL ").when(F.col("c_mktsegment") == "MACHINERY", "Non-Lesional").when(
+        F.col("c_mktsegment") == "FURNITURE", "Healthy").otherwise(F.col("c_mktsegment"))
+    comparison = F.when(F.col("c_acctbal") > 0, F.concat(F.lit(" "), F.lower("c_mktsegment"), F.lit("  vs normal"))).otherwise(F.lit("normal against all"))
+    case, control = expression.comparison_groups(comparison)
+    rows = load_table(spark, sf, "customer").select(
+        F.col("c_nationkey").alias("dataset"), expression.canonical_group(label).alias("grp"), case.alias("case_group"), control.alias("control_group"))
+    unknown = expression.unknown_groups(rows).withColumn("unknown", F.lit(True))
+    counted = rows.groupBy("dataset", "grp", "case_group", "control_group").agg(F.count("*").alias("n"))
+    return counted.join(unknown, ["dataset", "grp"], "left").withColumn("unknown", F.coalesce("unknown", F.lit(False)))
+
+
+_GROUPS_SQL = """WITH g AS (SELECT c_nationkey AS dataset, CASE c_mktsegment WHEN 'BUILDING' THEN 'atopic_lesional' WHEN 'MACHINERY' THEN 'atopic_nonlesional' WHEN 'FURNITURE' THEN 'normal' ELSE lower(c_mktsegment) END AS grp,
+  CASE WHEN c_acctbal > 0 THEN lower(c_mktsegment) END AS case_group, CASE WHEN c_acctbal > 0 THEN 'normal' END AS control_group FROM customer)
+SELECT dataset, grp, case_group, control_group, count(*) AS n, grp NOT IN ('atopic_lesional', 'atopic_nonlesional', 'normal') AS unknown FROM g GROUP BY ALL"""
+
+
+def normalized_symbols(spark, sf):
+    """Symbol lists of all orders, one symbol per line."""
+    raw = F.when(F.col("l_returnflag") == "N", " gene-a\t").when(F.col("l_linestatus") == "F", "  ").otherwise(F.concat(F.lit(" s"), (F.col("l_suppkey") % 9).cast("string")))
+    lists = load_table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.collect_list(raw).alias("symbols"))
+    return lists.select("l_orderkey", F.array_join(tx.normalized_symbols("symbols"), ",").alias("symbols"))
+
+
+_SYMBOLS_SQL = """SELECT l_orderkey, coalesce(array_to_string(list_sort(list_distinct(list(CASE WHEN l_returnflag = 'N' THEN 'GENE-A' WHEN l_linestatus = 'F' THEN NULL
+  ELSE 'S' || (l_suppkey % 9) END))), ','), '') AS symbols FROM lineitem GROUP BY 1"""
+
+
 def expression_candidates(spark, sf):
     """Genes over a wide fold change at a false discovery rate with the part rows that name them. The tables hold no
     effect, so the rate is a high one."""
@@ -641,6 +671,8 @@ QUERIES = {
         """WITH o AS (SELECT c_nationkey AS dataset, c_mktsegment AS grp, count(*) AS observed FROM customer GROUP BY ALL), d AS (SELECT s_nationkey AS dataset, 'FURNITURE' AS grp, count(*) AS declared FROM supplier GROUP BY ALL)
         SELECT dataset, grp, observed, declared FROM o FULL JOIN d USING (dataset, grp) WHERE observed IS DISTINCT FROM declared""",
     ),
+    "sample_groups": (sample_groups, _GROUPS_SQL),
+    "normalized_symbols": (normalized_symbols, _SYMBOLS_SQL),
     "expression_candidates": (
         expression_candidates,
         f"""{_DIFF_SQL},
