@@ -15,27 +15,53 @@ def hypergeometric_tail(k: pd.Series, population: pd.Series, marked: pd.Series,
     k, big, m, n = (s.to_numpy(dtype="int64") for s in (k, population, marked, drawn))
     if len(k) == 0:
         return pd.Series([], dtype="float64")
-    logs = np.log(np.arange(1, int(big.max()) + 1, dtype="float64"))
-    ln_fact = np.concatenate([[0.0], np.cumsum(logs)])
     least = np.maximum(0, n - (big - m))
     low, high = np.maximum(k, least), np.minimum(m, n)
     out = np.where(k <= least, 1.0, 0.0)
     todo = np.flatnonzero((k > least) & (low <= high))
-    order = todo[np.argsort(high[todo] - low[todo], kind="stable")]
-    for part in np.array_split(order, max(1, len(order) // 512)):  # rows of similar length together
-        if len(part) == 0:
-            continue
-        kk, mm, nn, bb = low[part, None], m[part, None], n[part, None], big[part, None]
-        i = kk + np.arange(int((high[part] - low[part]).max()) + 1)[None, :]
-        valid = i <= high[part, None]
-        i = np.where(valid, i, high[part, None])
-        choose = lambda a, b: ln_fact[a] - ln_fact[b] - ln_fact[a - b]
-        terms = np.exp(choose(mm, i) + choose(bb - mm, nn - i) - choose(bb, nn))
-        # added one by one from the smallest term, so a row's value does not depend on its batch
-        out[part] = np.minimum(1.0, np.cumsum(np.where(valid, terms, 0.0)[:, ::-1], axis=1)[:, -1])
+    if len(todo):
+        out[todo] = np.minimum(1.0, _hypergeometric_sum(*(v[todo].astype("float64") for v in (low, high, big, m, n))))
     return pd.Series(out)
 
 
+def _hypergeometric_sum(low, high, big, m, n):
+    """Sum of the terms ``low`` to ``high``: out from the largest one by term ratios, until nothing changes."""
+    import numpy as np
+
+    top = np.clip(np.floor((n + 1) * (m + 1) / (big + 2)), low, high)
+    choose = lambda a, b: _ln_factorial(a) - _ln_factorial(b) - _ln_factorial(a - b)
+    peak = np.exp(choose(m, top) + choose(big - m, n - top) - choose(big, n))
+    total = np.ones_like(peak)
+    for up in (True, False):
+        at, term = top.copy(), np.ones_like(peak)
+        rows = np.flatnonzero(at < high) if up else np.flatnonzero(at > low)
+        while len(rows):  # a settled row leaves the loop, so its value does not depend on its batch
+            i, mm, nn, rest = at[rows], m[rows], n[rows], (big - m - n)[rows]
+            ratio = (mm - i) * (nn - i) / ((i + 1) * (rest + i + 1)) if up else i * (rest + i) / ((mm - i + 1) * (nn - i + 1))
+            term[rows] *= ratio
+            before = total[rows]
+            total[rows] += term[rows]
+            at[rows] += 1 if up else -1
+            inside = at[rows] < high[rows] if up else at[rows] > low[rows]
+            rows = rows[(total[rows] != before) & inside]
+    return peak * total
+
+
+def _ln_factorial(n):
+    """ln n! by Stirling's series, after a shift of small arguments."""
+    import numpy as np
+
+    x = n + 1.0
+    shift = np.zeros_like(x)
+    for _ in range(12):
+        small = x < 12
+        shift = np.where(small, shift + np.log(np.where(small, x, 1.0)), shift)
+        x = np.where(small, x + 1, x)
+    inverse = 1 / (x * x)
+    series = (1 / 12 - inverse * (1 / 360 - inverse * (1 / 1260 - inverse * (1 / 1680 - inverse / 1188)))) / x
+    return (x - 0.5) * np.log(x) - x + 0.5 * np.log(2 * np.pi) + series - shift
+
+
 @F.pandas_udf(T.DoubleType())
 def student_t_two_sided(t: pd.Series, df: pd.Series) -> pd.Series:
     """Two-sided tail of Student's t: the regularised incomplete beta at df/(df+t^2); null where

@@ -1,7 +1,10 @@
 import gzip
 import random
+from fractions import Fraction
+from math import comb
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from evidra.functions.stats import hypergeometric_tail, student_t_two_sided
@@ -129,3 +132,11 @@ def test_edge_crossings_equal_brute_force(spark):
     want = {k: sum((a[0] - b[0]) * (a[1] - b[1]) < 0 for i, a in enumerate(v) for b in v[i + 1:]) for k, v in pairs.items()}
     got = {r.layer_no: r.crossings for r in network.edge_crossings(edges, nodes).collect()}
     assert got == want
+
+
+def test_hypergeometric_tail_is_exact_for_small_and_large_counts():
+    cases = [(0, 10, 3, 4), (3, 10, 3, 4), (4, 10, 3, 4), (1, 5, 5, 5), (2, 4000, 1500, 2000), (900, 4000, 1500, 2000), (60, 20000, 200, 300), (1, 20000, 1, 1)]
+    got = hypergeometric_tail.func(*(pd.Series(c) for c in zip(*cases, strict=True)))
+    for (k, big, m, n), p in zip(cases, got, strict=True):
+        exact = Fraction(sum(comb(m, i) * comb(big - m, n - i) for i in range(k, min(m, n) + 1)), comb(big, n))
+        assert abs(p - float(exact)) <= 1e-9 * float(exact)
