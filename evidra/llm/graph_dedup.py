@@ -1,13 +1,17 @@
 """Near-duplicate vectors by a robust-pruned flat graph.
 
-1. Equal directions are one entry. A bounded sample gives centroids; every entry joins the shards of its ``overlap`` nearest
-   centroids, and large shards are dealt out in parts of bounded size.
-2. Each part builds its own graph: nearest members of every node, thinned by robust pruning (a neighbour is dropped when a kept
-   one is closer to it than the node is, up to ``alpha``). The adjacency lists of an entry's shards are united.
-3. Every entry of a shard searches each part of it: greedy steps from the part's medoid (and from its own adjacency list where it has
-   one there), then the range expands over all nodes within ``slack`` times the radius until nothing new is found.
-4. What was found is verified by the cosine of the original vectors in double precision. A fixed share of the entries
-   is searched exactly beside the graph as well: that audit gives the recall.
+1. Equal vectors are one entry. A bounded sample gives centroids; centroids within the link radius of each other, directly or over
+   others, are one shard, so that a family of near copies keeps together however many centroids fall into it. Every entry joins
+   its ``overlap`` nearest shards, and large shards are dealt out in parts of bounded size.
+2. Each part builds its own graph: nearest members of every node and the nodes it is nearest to, thinned by robust pruning (a neighbour
+   is dropped when a kept one is closer to it than the node is, up to ``alpha``). The adjacency lists of an entry's shards are united.
+3. Every two parts of a shard meet in one task and search each other: greedy steps from the part's medoid (and from the asking entry's
+   own adjacency list as far as it leads there), then the range expands over all nodes within ``slack`` squared times the radius until
+   nothing new is found. Entries with more than ``CROWD`` nodes in that range are compared with the whole part instead.
+4. What was found from either end is verified by the cosine of the original vectors in double precision and counts for both ends.
+
+Links whose ends share no shard, or that the graph misses, are lost. The audit compares a fixed number of entries with all others, whatever
+their shards, and gives the recall.
 """
 
 from __future__ import annotations
@@ -25,8 +29,10 @@ from evidra.llm.projection_forest import _vectors, usable
 #: Bound of the sample that the centroids come from, and rows wanted per shard and per part of a shard.
 SAMPLE_ROWS, SHARD_ROWS, PART_ROWS = 16_384, 2048, 4096
 OVERLAP, DEGREE, CANDIDATES, ALPHA, BEAM, SLACK = 3, 24, 48, 1.2, 8, 2.0
-#: One entry in so many is audited.
-AUDIT = 50
+#: An entry with more nodes than this in its wide range is compared with the whole part.
+CROWD = 64
+#: So many entries, chosen by a hash of their ids, are audited.
+AUDITED = 1000
 
 
 def centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 5) -> np.ndarray:
@@ -42,6 +48,41 @@ def centroids(sample: np.ndarray, count: int, rounds: int = 8, seed: int = 5) ->
     return centres
 
 
+def merged(centres: np.ndarray, threshold: float, block: int = 256) -> np.ndarray:
+    """Shard of every centroid, 0 and up: centroids whose cosine is at least ``threshold``, directly or over others, have one in common."""
+    unit = centres / np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-30)
+    every = np.arange(len(unit))
+    root = every
+    for a in range(0, len(unit), block):
+        left, right = np.nonzero(unit[a:a + block] @ unit.T >= threshold)
+        root = local_roots(len(unit), np.concatenate((every, left + a)), np.concatenate((root, right)))
+    return np.unique(root, return_inverse=True)[1]
+
+
+def nearest_shards(unit: np.ndarray, centres: np.ndarray, shard_of: np.ndarray, overlap: int, block: int = 1024) -> np.ndarray:
+    """The ``overlap`` shards with the most similar centroids of every row."""
+    order = np.argsort(shard_of, kind="stable")
+    starts = np.searchsorted(shard_of[order], np.arange(shard_of.max() + 1))
+    out = np.empty((len(unit), overlap), np.int32)
+    for a in range(0, len(unit), block):
+        near = np.maximum.reduceat(unit[a:a + block] @ centres[order].T, starts, axis=1)
+        out[a:a + block] = np.argpartition(-near, overlap - 1, axis=1)[:, :overlap]
+    return out
+
+
+def with_reverse(near: np.ndarray) -> np.ndarray:
+    """Candidate lists, each followed by up to as many nodes that have the row in theirs (those that rank it highest)."""
+    n, k = near.shape
+    source, slot = np.nonzero(near >= 0)
+    target = near[source, slot]
+    order = np.lexsort((slot, target))
+    source, target = source[order], target[order]
+    place = np.arange(len(target)) - np.searchsorted(target, target)
+    back = np.full((n, k), -1, np.int64)
+    back[target[place < k], place[place < k]] = source[place < k]
+    return np.concatenate((near, back), axis=1)
+
+
 def nearest_members(unit: np.ndarray, count: int, block: int = 512) -> np.ndarray:
     """The ``count`` most similar other rows of every row, most similar first; -1 where there are fewer."""
     n = len(unit)
@@ -56,14 +97,16 @@ def nearest_members(unit: np.ndarray, count: int, block: int = 512) -> np.ndarra
     return out
 
 
-def robust_prune(unit: np.ndarray, near: np.ndarray, degree: int, alpha: float, block: int = 1024) -> np.ndarray:
-    """Thins the candidate lists of all nodes together; -1 fills rows with fewer than ``degree`` neighbours."""
+def robust_prune(unit: np.ndarray, near: np.ndarray, degree: int, alpha: float, block: int = 512) -> np.ndarray:
+    """Thins the candidate lists of all nodes together, nearest first; -1 fills rows with fewer than ``degree`` neighbours."""
     kept = np.full((len(near), degree), -1, np.int64)
     for start in range(0, len(near), block):
         lists = near[start:start + block]
+        distance = np.where(lists >= 0, 1 - np.einsum("ij,ikj->ik", unit[start:start + block], unit[lists]), np.inf)
+        order = np.argsort(distance, axis=1, kind="stable")
+        lists, distance = np.take_along_axis(lists, order, 1), np.take_along_axis(distance, order, 1)
         members = unit[lists]
         between = 1 - members @ members.transpose(0, 2, 1)  # distances among the candidates of each node
-        distance = 1 - np.einsum("ij,ikj->ik", unit[start:start + block], members)
         filled, alive = np.zeros(len(lists), np.int64), lists >= 0
         for c in range(lists.shape[1]):
             take = np.flatnonzero(alive[:, c] & (filled < degree))
@@ -74,16 +117,18 @@ def robust_prune(unit: np.ndarray, near: np.ndarray, degree: int, alpha: float,
 
 
 def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry: np.ndarray, radius: float, slack: float = SLACK,
-                 beam: int = BEAM) -> tuple[np.ndarray, np.ndarray]:
-    """(query, node) pairs with cosine distance up to ``radius`` that the graph leads to.
+                 beam: int = BEAM, crowd: int = CROWD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query, node) pairs with cosine distance up to ``radius`` that the graph leads to, and the crowded queries.
 
     Beam search from the entry nodes (one row per query, -1 unused) until the beam stops improving; from then on every node
-    within ``slack`` squared times the radius is expanded.
+    within ``slack`` squared times the radius is expanded. A query that meets more than ``crowd`` such nodes stops there: it is
+    left to the caller, and its pairs are not whole.
     """
     q, n = len(queries), len(unit)
     seen, last = np.zeros(q * n, bool), np.empty(q * n, np.int32)
     best = np.full((q, beam), np.inf, np.float32)  # distances of every query's beam
     wide = radius * slack * slack
+    met = np.zeros(q, np.int64)  # nodes of the wide range
     found = []
     row, slot = np.nonzero(entry >= 0)
     node = entry[row, slot]
@@ -94,7 +139,7 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry
         flat = flat[last[flat] == np.arange(len(flat), dtype=np.int32)]  # each pair once
         seen[flat] = True
         row, node = np.divmod(flat, n)
-        distance = 1 - np.einsum("ij,ij->i", queries[row], unit[node])
+        distance = 1 - _dots(queries, row, unit, node)
         hit = distance <= radius + 1e-6
         found.append((row[hit], node[hit]))
         closer = np.flatnonzero(distance < best[row, -1])
@@ -105,11 +150,18 @@ def range_search(unit: np.ndarray, graph: np.ndarray, queries: np.ndarray, entry
         fits = place < beam
         fresh[np.repeat(np.arange(len(owner)), counts)[fits], place[fits]] = distance[closer][fits]
         best[owner] = np.sort(np.concatenate((best[owner], fresh), axis=1), axis=1)[:, :beam]
-        go = (distance <= best[row, -1]) | (distance <= wide)
+        met += np.bincount(row[distance <= wide], minlength=q)
+        go = ((distance <= best[row, -1]) | (distance <= wide)) & (met[row] <= crowd)
         neighbours = graph[node[go]]
         at, slot = np.nonzero(neighbours >= 0)
         row, node = row[go][at], neighbours[at, slot]
-    return np.concatenate([r for r, _ in found] or [row]), np.concatenate([v for _, v in found] or [node])
+    return np.concatenate([r for r, _ in found] or [row]), np.concatenate([v for _, v in found] or [node]), np.flatnonzero(met > crowd)
+
+
+def _dots(a: np.ndarray, row: np.ndarray, b: np.ndarray, node: np.ndarray, block: int = 1 << 16) -> np.ndarray:
+    """Products of the paired rows, a bounded number at a time."""
+    return np.concatenate([np.einsum("ij,ij->i", a[row[s:s + block]], b[node[s:s + block]]) for s in range(0, len(row), block)]
+                          or [np.empty(0, a.dtype)])
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id", vector: str = "embedding", overlap: int = OVERLAP,
@@ -120,7 +172,8 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id
     kept boolean (key = component_id). Rows are linked when the cosine of their vectors is at least ``threshold``. Vectors that are null,
     empty, zero or hold null or non-finite components link with nothing and stand alone; a null key has null component and is not
     kept; repeated rows count as one. Vectors of another length than most of the sample's link with nothing. An empty table gives
-    an empty table. audit: one row, true_links and found_links of the audited entries.
+    an empty table. audit: one row, true_links and found_links of ``AUDITED`` entries (of all, if there are fewer): how many other entries
+    are linked with them when they are compared with all, and how many of these links were found.
     """
     spark = rows.sparkSession
     every = rows.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"))
@@ -136,14 +189,13 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id
     count = max(1, min(-(-total // shard_rows), len(sample) // 4))
     stacked = np.stack([np.asarray(v, dtype=float) for v in sample["v"] if len(v) == width])
     centres = centroids(stacked / np.linalg.norm(stacked, axis=1, keepdims=True), count)
-    overlap = min(overlap, len(centres))
+    shard_of = merged(centres, threshold)
+    overlap = min(overlap, int(shard_of.max()) + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                unit = _units(_vectors(batch.column("v")))
-                near = unit @ centres.T
-                shards = np.argpartition(-near, overlap - 1, axis=1)[:, :overlap].astype(np.int32)
+                shards = nearest_shards(_units(_vectors(batch.column("v"))), centres, shard_of, overlap)
                 yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("rep", "copies", "v")], pa.array(list(shards), pa.list_(pa.int32()))],
                                                  ["rep", "copies", "v", "shards"])
 
@@ -152,73 +204,113 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id
     members = dealt.select("rep", "copies", "v", "shards", F.explode("shards").alias("shard"))
     parts = members.groupBy("shard").agg(F.ceil(F.count("*") / F.lit(part_rows)).cast("int").alias("parts"))
     placed = members.join(F.broadcast(parts), "shard").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
-    # ``parts`` has a row per centroid, of which there are at most sample_rows / 4
+    # ``parts`` has a row per shard, of which there are at most sample_rows / 4
 
     def build(group: pa.Table) -> pa.Table:
         rep = group.column("rep").to_numpy()
         unit = _units(_vectors(group.column("v").combine_chunks())).astype(np.float32)
-        graph = robust_prune(unit, nearest_members(unit, CANDIDATES), DEGREE, ALPHA)
+        graph = robust_prune(unit, with_reverse(nearest_members(unit, CANDIDATES)), DEGREE, ALPHA)
         lists = [rep[g[g >= 0]].tolist() for g in graph]
         return pa.table([group.column("rep"), pa.array(lists, pa.list_(pa.int64()))], ["rep", "near"])
 
     built = placed.select("shard", "part", "rep", "v").groupBy("shard", "part").applyInArrow(build, "rep long, near array<long>")
     united = materialize(built.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near")))  # overlap lists of DEGREE
-    linked = placed.join(united, "rep")
-    asking = members.join(F.broadcast(parts), "shard").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select(
-        *[F.col(c).alias(f"ask_{c}") for c in ("shard", "part", "rep", "v", "shards")])
-    schema = "a long, b long, n_links long, true_links long, found_links long"
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        """``left``: the part's nodes with their lists; ``right``: all entries of the shard, which ask."""
-        if not left.num_rows or not right.num_rows:
+    other = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    meeting = placed.join(united, "rep").withColumn("other", other).select(
+        "shard", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "part", "rep", "copies", "v", "shards", "near")
+
+    def search(group: pa.Table) -> pa.Table:
+        """The entries of two parts of a shard (or of one, with itself), each with its adjacency list."""
+        shard, low, high = (group.column(c)[0].as_py() for c in ("shard", "low", "high"))
+        part = group.column("part").to_numpy()
+        first = _Side(group.filter(pa.array(part == low)))
+        second = first if low == high else _Side(group.filter(pa.array(part == high)))
+        if not len(first.rep) or not len(second.rep):
             return _found([])
-        shard = left.column("shard")[0].as_py()
-        rep, copies = left.column("rep").to_numpy(), left.column("copies").to_numpy()
-        base = _vectors(left.column("v").combine_chunks())
-        unit, order = _units(base), np.argsort(rep)
-        near = left.column("near").combine_chunks()
-        owner = np.repeat(np.arange(len(rep)), np.diff(near.offsets.to_numpy()))
-        target = near.values.to_numpy()[near.offsets[0].as_py():near.offsets[-1].as_py()]
-        at = np.minimum(np.searchsorted(rep, target, sorter=order), len(rep) - 1)
-        there = rep[order[at]] == target
-        owner, target = owner[there], order[at[there]]
-        fill = np.arange(len(owner)) - np.searchsorted(owner, owner)
-        graph = np.full((len(rep), int(fill.max()) + 1 if len(fill) else 1), -1, np.int64)
-        graph[owner, fill] = target
-        medoid = int(np.argmax(unit @ unit.mean(axis=0)))
-        node_shards = np.sort(np.array(left.column("shards").to_pylist(), dtype=np.int64), axis=1)
-        low, out = unit.astype(np.float32), []
-        for start in range(0, right.num_rows, 1024):
-            ask = right.slice(start, 1024)
-            asker, own = ask.column("ask_rep").to_numpy(), _units(_vectors(ask.column("ask_v").combine_chunks()))
-            mine = np.minimum(np.searchsorted(rep, asker, sorter=order), len(rep) - 1)
-            inside = rep[order[mine]] == asker
-            entry = np.column_stack((np.full(len(asker), medoid), np.where(inside[:, None], graph[order[mine]], -1)))
-            row, node = range_search(low, graph, own.astype(np.float32), entry, 1 - threshold)
-            shards = np.sort(np.array(ask.column("ask_shards").to_pylist(), dtype=np.int64), axis=1)
-            found = _verified(row, node, asker, own, shards, rep, unit, node_shards, shard, threshold)
-            audited = (asker * 2654435761 >> 7) % AUDIT == 0
-            exact = np.nonzero(own[audited] @ unit.T >= threshold - 1e-9)
-            exact = _verified(np.flatnonzero(audited)[exact[0]], exact[1], asker, own, shards, rep, unit, node_shards, shard, threshold)
-            links = np.bincount(found[0], copies[found[1]], len(asker)).astype(np.int64)
-            hits, truth = np.bincount(found[0], minlength=len(asker)), np.bincount(exact[0], minlength=len(asker))
-            both = np.concatenate((asker, rep))
-            root = local_roots(len(both), found[0], found[1] + len(asker))
-            root = np.concatenate((root, []))
-            some = np.flatnonzero((links > 0) | (truth > 0))
-            moved = np.unique(np.concatenate((found[0], found[1] + len(asker))))
-            out += [(int(both[m]), int(both[int(root[m])]), 0, 0, 0) for m in moved if root[m] != m]
-            out += [(int(asker[s]), int(asker[s]), int(links[s]), int(truth[s]), int(hits[s]) if audited[s] else 0) for s in some]
+        link = _links(first, second, threshold)
+        if first is second:
+            link |= link.T
+            np.fill_diagonal(link, False)
+        else:
+            link |= _links(second, first, threshold).T
+        ends = first.rep if first is second else np.concatenate((first.rep, second.rep))
+        every = np.arange(len(ends))
+        root = every
+        for s in range(0, len(link), 256):
+            a, b = np.nonzero(link[s:s + 256])
+            root = local_roots(len(ends), np.concatenate((every, a + s)), np.concatenate((root, b + len(ends) - len(second.rep))))
+        out = [(int(ends[m]), int(ends[root[m]]), 0, 0) for m in np.flatnonzero(root != every)]
+        for earlier in np.intersect1d(first.shards[first.shards < shard], second.shards[second.shards < shard]):  # counted there
+            link[np.ix_((first.shards == earlier).any(axis=1), (second.shards == earlier).any(axis=1))] = False
+        sides = [(first, link, second)] if first is second else [(first, link, second), (second, link.T, first)]
+        for one, linked, another in sides:
+            for i in np.flatnonzero(linked.any(axis=1)):
+                others = linked[i]
+                out.append((int(one.rep[i]), int(one.rep[i]), int(another.copies[others].sum()), int(others.sum())))
         return _found(out)
 
-    met = materialize(linked.groupBy("shard", "part").cogroup(asking.groupBy("ask_shard", "ask_part")).applyInArrow(search, schema))
+    met = materialize(meeting.groupBy("shard", "low", "high").applyInArrow(search, "a long, b long, n_links long, pairs long"))
     sums = met.where("a = b").groupBy(F.col("a").alias("rep")).agg(F.sum("n_links").alias("links"))
     names = components(met.where("a <> b").select("a", "b"))
     classes = entries.join(sums, "rep", "left").join(names, F.col("rep") == F.col("node"), "left").select(
         "v", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked_rows = clean.join(classes, "v").select(F.col("id").alias(key), "n_links", "component_id")
-    audit = met.agg(F.coalesce(F.sum("true_links"), F.lit(0)).alias("true_links"), F.coalesce(F.sum("found_links"), F.lit(0)).alias("found_links"))
-    return _spread(every, linked_rows, key), audit
+    asked = sample["rep"][sample["v"].map(len) == width].to_numpy(dtype=np.int64)[:AUDITED]
+    asked_units = _units(stacked[:AUDITED])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            true = 0
+            for s in range(0, batch.num_rows, 1024):
+                block = batch.slice(s, 1024)
+                near = _units(_vectors(block.column("v"))) @ asked_units.T >= threshold
+                true += int((near & (block.column("rep").to_numpy()[:, None] != asked)).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([true], pa.int64())], ["true_links"])
+
+    true = dealt.select("rep", "v").mapInArrow(compare, "true_links long").agg(F.coalesce(F.sum("true_links"), F.lit(0)).alias("true_links"))
+    audited = spark.createDataFrame([(int(i),) for i in asked], "a long")
+    found = met.where("a = b").join(F.broadcast(audited), "a").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("found_links"))
+    return _spread(every, linked_rows, key), true.crossJoin(found)
+
+
+class _Side:
+    """Entries of a part with their adjacency lists."""
+
+    def __init__(self, group: pa.Table) -> None:
+        self.rep, self.copies = group.column("rep").to_numpy(), group.column("copies").to_numpy()
+        if not len(self.rep):
+            return
+        self.unit = _units(_vectors(group.column("v").combine_chunks()))
+        self.low = self.unit.astype(np.float32)
+        self.shards = np.array(group.column("shards").to_pylist(), dtype=np.int64)
+        self.medoid = int(np.argmax(self.unit @ self.unit.mean(axis=0)))
+        self.order = np.argsort(self.rep)
+        near = group.column("near").combine_chunks()
+        self.owner = np.repeat(np.arange(len(self.rep)), np.diff(near.offsets.to_numpy()))
+        self.target = near.values.to_numpy()[near.offsets[0].as_py():near.offsets[-1].as_py()]
+
+    def lists(self, nodes: _Side) -> np.ndarray:
+        """The adjacency lists as far as they lead to ``nodes``, as positions there; -1 fills."""
+        at = nodes.order[np.minimum(np.searchsorted(nodes.rep, self.target, sorter=nodes.order), len(nodes.rep) - 1)]
+        there = nodes.rep[at] == self.target
+        owner, at = self.owner[there], at[there]
+        fill = np.arange(len(owner)) - np.searchsorted(owner, owner)
+        out = np.full((len(self.rep), int(fill.max()) + 1 if len(fill) else 1), -1, np.int64)
+        out[owner, fill] = at
+        return out
+
+
+def _links(asking: _Side, nodes: _Side, threshold: float, block: int = 512) -> np.ndarray:
+    """Which rows of ``asking`` are linked with which of ``nodes``, as far as the graph of ``nodes`` leads there; verified."""
+    link = np.zeros((len(asking.rep), len(nodes.rep)), bool)
+    graph, own = nodes.lists(nodes), asking.lists(nodes)
+    for s in range(0, len(asking.rep), block):
+        entry = np.column_stack((np.full(len(own[s:s + block]), nodes.medoid), own[s:s + block]))
+        row, node, crowded = range_search(nodes.low, graph, asking.low[s:s + block], entry, 1 - threshold)
+        good = _dots(asking.unit, row + s, nodes.unit, node) >= threshold
+        link[row[good] + s, node[good]] = True
+        link[crowded + s] = asking.unit[crowded + s] @ nodes.unit.T >= threshold
+    return link
 
 
 def _units(vectors: np.ndarray) -> np.ndarray:
@@ -227,17 +319,9 @@ def _units(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
-def _verified(row, node, asker, own, shards, rep, unit, node_shards, shard, threshold):
-    """Pairs at the threshold by exact cosine, other than a row with itself, in the first shard they share only."""
-    cosine = np.einsum("ij,ij->i", own[row], unit[node])
-    same = np.where((shards[row][:, :, None] == node_shards[node][:, None, :]).any(axis=2), shards[row], np.iinfo(np.int64).max).min(axis=1)
-    good = (cosine >= threshold) & (asker[row] != rep[node]) & (same == shard)
-    return row[good], node[good]
-
-
 def _found(rows: list[tuple]) -> pa.Table:
-    names = ["a", "b", "n_links", "true_links", "found_links"]
-    columns = list(zip(*rows, strict=True)) if rows else [[]] * 5
+    names = ["a", "b", "n_links", "pairs"]
+    columns = list(zip(*rows, strict=True)) if rows else [[]] * 4
     return pa.table([pa.array(list(c), pa.int64()) for c in columns], names)
 
 

@@ -105,3 +105,24 @@ def test_graph_on_the_given_table(spark):
     want = links([(r.vec_id, r.embedding) for r in df.collect()], 0.95)
     have = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in graph_dedup.near_duplicates(df)[0].collect()}
     assert sum(have[i] == want[i] for i in want) >= 0.99 * len(want)
+
+
+def family(n, others, width=64, seed=4):
+    """Distinct near copies of one vector, pairs at a cosine of about 0.96, and as many others."""
+    rng = np.random.default_rng(seed)
+    base = rng.standard_normal(width)
+    base /= np.linalg.norm(base)
+    rows = np.concatenate((base + rng.standard_normal((n, width)) * 0.2 / np.sqrt(width), rng.standard_normal((others, width))))
+    return [(i, [float(x) for x in np.float32(v)]) for i, v in enumerate(rows)]
+
+
+def test_a_family_over_dozens_of_centroids(spark):
+    rows = family(2000, 4000)
+    found, audit = graph_dedup.near_duplicates(table(spark, rows), shard_rows=60, part_rows=400)
+    have = {r.vec_id: r.n_links for r in found.collect()}
+    unit = np.array([v for _, v in rows], dtype=float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    want = (unit @ unit.T >= 0.95).sum(axis=1) - 1
+    assert want.sum() > 2_000_000 and sum(have.values()) >= 0.99 * want.sum() and all(have[i] <= want[i] for i in have)
+    true, hit = audit.first()
+    assert hit >= 0.99 * true > 0
