@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import logging
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -46,7 +48,9 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_graph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors, _ = graph_dedup.near_duplicates(load_table(spark, sf_dir, "embeddings"))
+    vectors, audit = graph_dedup.near_duplicates(load_table(spark, sf_dir, "embeddings"))
+    true, found = audit.first()
+    logging.getLogger(__name__).warning("op7_graph_dedup: found %d of %d links of the audited entries", found, true)
     return vectors
 
 

@@ -126,3 +126,16 @@ def test_a_family_over_dozens_of_centroids(spark):
     assert want.sum() > 2_000_000 and sum(have.values()) >= 0.99 * want.sum() and all(have[i] <= want[i] for i in have)
     true, hit = audit.first()
     assert hit >= 0.99 * true > 0
+
+
+def test_the_audit_sees_links_across_shards(spark, monkeypatch):
+    rows = family(600, 600)
+    monkeypatch.setattr(graph_dedup, "merged", lambda centres, threshold: np.arange(len(centres)))  # tears the family apart
+    found, audit = graph_dedup.near_duplicates(table(spark, rows), shard_rows=20, overlap=1)
+    true, hit = audit.first()
+    unit = np.array([v for _, v in rows], dtype=float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    assert len(rows) > graph_dedup.AUDITED and hit < 0.7 * true
+    monkeypatch.setattr(graph_dedup, "AUDITED", len(rows))
+    true, hit = graph_dedup.near_duplicates(table(spark, rows), shard_rows=20, overlap=1)[1].first()
+    assert true == (unit @ unit.T >= 0.95).sum() - len(rows)
