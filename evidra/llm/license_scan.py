@@ -113,6 +113,10 @@ RULES = [
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line is a sentence; so is a stretch of unwrapped text up to a sentence mark or blank line.
 LINES, STRETCHES = r"[\r\n]+|[.!?;][ \t]+", r"\r?\n[ \t]*\r?\n|[.!?;:][ \t\r\n]+"
+#: Marks inside a sentence, the next line's comment signs allowed: "v. 2.0", and "Free Software Foundation; either version 2".
+#: The SQL counterpart still splits at them.
+NO_END = r"(?!(?<=\b[vV]\.)[ \t\r\n/*#]+[0-9]|(?<=[fF]oundation;)[ \t\r\n/*#]+either version)"
+WHOLE_LINES, WHOLE_STRETCHES = (p.replace("?;]", f"?;]{NO_END}").replace("?;:]", f"?;:]{NO_END}") for p in (LINES, STRETCHES))
 
 
 def normalised(sentence: Column) -> Column:
@@ -144,7 +148,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
     tagged = lambda ids: F.array_join(F.transform(ids, lambda i: F.concat(F.lit("<"), i, F.lit(">"))), "")
     found = docs.select(
         F.col(key).alias("_key"),
-        tagged(_identifiers(body, LINES, known)).alias("_lines"), tagged(_identifiers(body, STRETCHES, known)).alias("_unwrapped"),
+        tagged(_identifiers(body, WHOLE_LINES, known)).alias("_lines"), tagged(_identifiers(body, WHOLE_STRETCHES, known)).alias("_unwrapped"),
         )
     holds = [_holds(F.col("_lines"), ids) | _holds(F.col("_unwrapped"), ids) for _, _, ids in rules]
     first = lambda part: reduce(
@@ -160,7 +164,7 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
 
 
 def scan_sql() -> str:
-    """The same on DuckDB."""
+    """The same on DuckDB, except that it splits at the marks of ``NO_END`` (its expressions know no look-behind)."""
     pairs = [(s, i) for i, forms in SENTENCES.items() for s in forms]
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     norm = f"trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"

@@ -75,3 +75,52 @@ def test_plan_is_native_and_without_shuffle(spark, capsys):
     license_scan.scan(spark.range(9).selectExpr("id AS doc_id", "concat('MIT License ', id) AS text")).explain("formatted")
     plan = capsys.readouterr().out
     assert "Project" in plan and not re.search("Python|Pandas|Arrow|MapIn|Exchange", plan)
+
+
+MPL = ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+       "file, You can obtain one at https://mozilla.org/MPL/2.0/.")
+MPL_WRAPPED = ("/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n"
+               " * file, You can obtain one at http://mozilla.org/MPL/2.0/. */\n")
+GPL = ("This program is free software{mark} you can redistribute it and/or modify\nit under the terms of the GNU General Public License as published by\n"
+       "the Free Software Foundation{comma} either version {n} of the License, or\n(at your option) any later version.\n\n"
+       "This program is distributed in the hope that it will be useful,\nbut WITHOUT ANY WARRANTY; without even the implied warranty of\n"
+       "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the\nGNU General Public License for more details.\n")
+MIT = ("Permission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\n"
+       "in the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\n"
+       "copies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\n"
+       "The above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software.\n\n"
+       "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR\nIMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,\n"
+       "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE\nAUTHORS BE LIABLE")
+BSD = ("Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n\n"
+       "1. Redistributions of source code must retain the above copyright notice, this\n   list of conditions and the following disclaimer.\n\n"
+       "2. Redistributions in binary form must reproduce the above copyright notice,\n   this list of conditions and the following disclaimer in the documentation\n"
+       "   and/or other materials provided with the distribution.\n\n{third}"
+       "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\"\nAND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE\n"
+       "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE\nDISCLAIMED. IN NO EVENT")
+THIRD = ("3. Neither the name of the copyright holder nor the names of its\n   contributors may be used to endorse or promote products derived from\n"
+         "   this software without specific prior written permission.\n\n")
+ISC = ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\n"
+       "copyright notice and this permission notice appear in all copies.\n\nTHE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH\n"
+       "REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY\nAND FITNESS. IN NO EVENT")
+PUBLISHED = [
+    ("Apache-2.0", "header", APACHE), ("MIT", "text", MIT), ("GPL-3.0-or-later", "header", GPL.format(mark=":", comma=",", n=3)),
+    ("GPL-2.0-or-later", "header", GPL.format(mark=";", comma=";", n=2)), ("BSD-3-Clause", "text", BSD.format(third=THIRD)),
+    ("BSD-2-Clause", "text", BSD.format(third="")), ("ISC", "text", ISC), ("MPL-2.0", "header", MPL), ("MPL-2.0", "header", MPL_WRAPPED),
+    ("Unlicense", "text", "This is free and unencumbered software released into the public domain.\n\nAnyone is free to copy"),
+    ("Apache-2.0", "notice", "Licensed under the Apache License, Version 2.0."), ("MIT", "notice", "Licensed under the MIT License."),
+    ("MIT", "title", "MIT License\n\nCopyright (c) 2020 A"), ("GPL-3.0-only", "notice", "Licensed under the GNU General Public License, version 3."),
+    ("GPL-2.0-only", "notice", "Licensed under the GNU General Public License, version 2."),
+    ("LGPL", "notice", "Licensed under the GNU Lesser General Public License, version 2.1."),
+    ("BSD-3-Clause", "notice", "Licensed under the BSD 3-Clause License."), ("BSD-2-Clause", "notice", "Licensed under the BSD 2-Clause License."),
+    ("MPL-2.0", "notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("CC-BY-NC-4.0", "notice", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("CC-BY-SA-4.0", "notice", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-4.0", "notice", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC0-1.0", "notice", "Licensed under CC0 1.0."),
+]
+
+
+def test_every_rule_holds_on_its_published_text(docs_of):
+    got = {r.doc_id: (r.license, r.rule) for r in license_scan.scan(docs_of([(i, t) for i, (*_, t) in enumerate(PUBLISHED)])).collect()}
+    assert got == {i: (name, rule) for i, (name, rule, _) in enumerate(PUBLISHED)}
+    assert {(name, rule) for name, rule, _ in PUBLISHED} == {(name, rule) for name, rule, _ in RULES}
