@@ -1,7 +1,8 @@
 """Toxicity by a factorization machine over hashed terms.
 
-score = sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) over the terms present in the whole text, so that the
-meeting of two terms (an insult and a group's name) weighs more than both apart. The model is fitted on a
+score = sigmoid(b + sum w_i + sum over pairs <v_i, v_j>) over the terms of the model present in the whole text, so that
+the meeting of two terms (an insult and a group's name) weighs more than both apart. Open: a term enters the model only if its own
+share of toxic rows lies ``MIN_Z`` standard errors from the overall share, so pairs of terms that are near neutral alone are not learnt. The model is fitted on a
 bounded sample of labelled rows (``sample_rows``, chosen by a hash of the id) and has a fixed size; scoring
 reads every row once, where it lies, without a shuffle.
 """
