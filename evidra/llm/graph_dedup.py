@@ -267,10 +267,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, key: str = "vec_id
                 true += int((near & (block.column("rep").to_numpy()[:, None] != asked)).sum())
             yield pa.RecordBatch.from_arrays([pa.array([true], pa.int64())], ["true_links"])
 
-    true = dealt.select("rep", "v").mapInArrow(compare, "true_links long").agg(F.coalesce(F.sum("true_links"), F.lit(0)).alias("true_links"))
+    none = F.lit(0).cast("long")
+    true = dealt.select("rep", "v").mapInArrow(compare, "true_links long").withColumn("found_links", none)
     audited = spark.createDataFrame([(int(i),) for i in asked], "a long")
-    found = met.where("a = b").join(F.broadcast(audited), "a").agg(F.coalesce(F.sum("pairs"), F.lit(0)).alias("found_links"))
-    return _spread(every, linked_rows, key), true.crossJoin(found)
+    found = met.where("a = b").join(F.broadcast(audited), "a").select(none.alias("true_links"), F.col("pairs").alias("found_links"))
+    audit = true.unionByName(found).agg(*[F.coalesce(F.sum(c), none).alias(c) for c in ("true_links", "found_links")])
+    return _spread(every, linked_rows, key), audit
 
 
 class _Side:
