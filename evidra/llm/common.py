@@ -138,6 +138,25 @@ def pack_by_bucket(bucket: np.ndarray, columns: list[np.ndarray], planes: tuple[
         yield int(sorted_bucket[a]), [to_planes(c[a:b]) if i in planes else c[a:b].tobytes() for i, c in enumerate(moved)]
 
 
+def numbered_rows(block: int, first: int, count: int) -> np.ndarray:
+    """Numbers of ``count`` rows of a task's block, from its row ``first`` on; staged rows keep them for good."""
+    return (np.int64(block) << np.int64(40)) + np.arange(first, first + count, dtype=np.int64)
+
+
+def join_split_hot(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int, share: int = 1000) -> DataFrame:
+    """``rows`` joined with ``table``, which has one row per key and in ``weight`` the number of its rows among the ``total`` rows.
+
+    Keys that hold more than one row in ``share`` are fewer than ``share``, so their part of the table is broadcast and
+    their rows stay where they are; the rest is shuffled, and none of its keys is heavy. Both inputs are read twice: stage them first.
+    """
+    heavy = F.col(weight) * share > max(total, share)
+    hot, cold = F.broadcast(table.where(heavy)), table.where(~heavy)
+    near = rows.join(hot, keys)
+    far = rows.join(hot.select(*keys), keys, "left_anti").join(cold, keys)
+    prepare(rows.sparkSession)
+    return near.unionByName(far)
+
+
 def local_roots(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Smallest index reachable from every index 0..n-1 over the given links (inside one task)."""
     root = np.arange(n, dtype=np.int64)

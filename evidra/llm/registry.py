@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm import (
-    byte_bpe, graph_dedup, jaccard_join, license_scan, packing, periodic_runs, projection_forest, suffix_dedup, toxicity, training_order, warc,
+    byte_bpe, graph_dedup, jaccard_join, license_scan, packing, periodic_runs, projection_forest, suffix_dedup, toxicity, training_order,
+    warc, winnowing,
 )
 from evidra.llm.common import shuffle_partitions
 from evidra.session import load_table, work_folder
@@ -69,6 +70,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load_table(spark, sf_dir, "documents"))
 
 
+def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return winnowing.digests(winnowing.shared_windows(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load_table(spark, sf_dir, "documents")
     return periodic_runs.digests(periodic_runs.find_runs(docs, text=periodic_runs.with_loops(F.col("doc_id"), F.col("text"))))
@@ -98,5 +103,6 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_license_scan": (op10_license_scan, license_scan.scan_sql()),
+    "op12_winnowing": (op12_winnowing, winnowing.contamination_sql()),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }
