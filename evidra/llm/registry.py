@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.llm import (
-    byte_bpe, graph_dedup, jaccard_join, license_scan, packing, periodic_runs, projection_forest, suffix_dedup, toxicity, training_order,
-    warc, winnowing,
+    byte_bpe, graph_dedup, jaccard_join, license_scan, packing, periodic_runs, prefix_trie, projection_forest, suffix_dedup, toxicity,
+    training_order, warc, winnowing,
 )
 from evidra.llm.common import shuffle_partitions
 from evidra.session import load_table, work_folder
@@ -70,6 +70,11 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(load_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = prefix_trie.trie(load_table(spark, sf_dir, "conversations"), base=prefix_trie.hundred, head=prefix_trie.head_length)
+    return nodes.drop("ref_conv", "ref_turn")
+
+
 def op12_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return winnowing.digests(winnowing.shared_windows(load_table(spark, sf_dir, "documents"), load_table(spark, sf_dir, "benchmark")))
 
@@ -103,6 +108,7 @@ QUERIES = {
     "op8_byte_bpe": (op8_byte_bpe, None),
     "op9_best_fit_packing": (op9_best_fit_packing, None),
     "op10_license_scan": (op10_license_scan, license_scan.scan_sql()),
+    "op11_prefix_trie": (op11_prefix_trie, prefix_trie.trie_sql()),
     "op12_winnowing": (op12_winnowing, winnowing.contamination_sql()),
     "op13_periodic_runs": (op13_periodic_runs, None),
 }

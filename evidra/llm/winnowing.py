@@ -266,7 +266,7 @@ WITH d AS (SELECT doc_id, coalesce({words.format('text')}, []) AS w FROM documen
      dw AS (SELECT doc_id, size, s, array_to_string(w[s:s + size - 1], ' ') AS t
             FROM (SELECT doc_id, w, size, unnest(range(1, len(w) - size + 2)) AS s FROM d, sizes WHERE len(w) >= size)),
      hit AS (SELECT DISTINCT doc_id, size, s FROM dw SEMI JOIN iw USING (size, t)),
-     word AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS at FROM hit) GROUP BY doc_id),
+     word AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(s, s + size)) AS place FROM hit) GROUP BY doc_id),
      item AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS ids
               FROM (SELECT DISTINCT doc_id, item_id FROM dw JOIN iw USING (size, t)) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit,
