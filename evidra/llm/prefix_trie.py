@@ -328,7 +328,7 @@ WITH t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS tex
      sums AS (SELECT a.d, a.k, count(*) FILTER (WHERE n.deepest = n.d) AS n_leaves, sum((n.n_convs - 1) * n.size) AS saved
               FROM n JOIN p AS a ON a.conv_id = n.first AND a.d <= n.d GROUP BY a.d, a.k)
 SELECT n.first AS conv_id, CAST(n.d AS BIGINT) AS depth, q.first AS parent_conv_id, n.n_convs, CAST(coalesce(n_children, 0) AS BIGINT) AS n_children,
-       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(finals) AS ends_sha256
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(n.finals) AS ends_sha256
 FROM n LEFT JOIN up ON up.d = n.d AND up.k = n.k LEFT JOIN n AS q ON q.d = n.d - 1 AND q.k = up.parent
 LEFT JOIN kids ON kids.d = n.d AND kids.k = n.k JOIN sums ON sums.d = n.d AND sums.k = n.k
 """
