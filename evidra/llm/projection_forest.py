@@ -3,7 +3,8 @@
 The forest has a bounded size: directions are random, thresholds are medians of a bounded sample, every row of the
 table is indexed. A query walks all trees at once through one priority queue, ordered by how far it lies on the
 wrong side of the splits above a leaf, until it has popped ``search_share`` of the leaves; their rows are candidates and are ranked
-by exact distance. Leaves are dealt out as (tree, leaf, part) groups of bounded size, so no group grows with the table.
+by exact distance. Leaves are dealt out as (tree, leaf, part) groups and queries as blocks, both of bounded size, so no group
+grows with the table.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ SAMPLE_ROWS = 16_384
 TREES, DEPTH, SEARCH_SHARE = 4, 8, 0.4
 #: Rows of a leaf's part.
 PART_ROWS = 4096
+#: Queries that meet a part at a time.
+QUERY_ROWS = 4096
 
 
 def usable(vector: Column) -> Column:
@@ -90,29 +93,32 @@ def _vectors(column: pa.Array, dtype: type = np.float64) -> np.ndarray:
 
 
 def neighbours(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id", vector: str = "embedding", trees: int = TREES,
-               depth: int = DEPTH, search_share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS) -> DataFrame:
+               depth: int = DEPTH, search_share: float = SEARCH_SHARE, sample_rows: int = SAMPLE_ROWS, part_rows: int = PART_ROWS,
+               query_rows: int = QUERY_ROWS) -> DataFrame:
     """query_id long, rank int, vec_id long, score double: the k nearest rows found by Euclidean distance.
 
     ``queries`` picks the query rows; candidates are all rows but the query's own. Ties go to the smaller key. Rows without a
     key and vectors that are null, empty, zero or hold null or non-finite components take no part, nor do vectors of
-    another length than the first of the sample. Equal vectors share one entry that keeps their k + 1 smallest keys, which
-    loses nothing: no query can return more of them. Repeated rows are one row. An empty table gives an empty table.
+    another length than the table's most frequent one (the smaller of two). Equal vectors share one entry that keeps their k + 1
+    smallest keys, which loses nothing: no query can return more of them. Repeated rows are one row. An empty table gives an
+    empty table.
     """
     spark = rows.sparkSession
-    clean = rows.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
-        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("ask")).dropDuplicates(["id", "v"])
-    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
-    kept = materialize(clean.withColumn("place", place).where((F.col("place") <= k + 1) | F.col("ask")))
-    sample = kept.where("place = 1").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
+    clean = materialize(rows.where(F.col(key).isNotNull() & usable(F.col(vector))).select(
+        F.col(key).cast("long").alias("id"), F.col(vector).cast("array<double>").alias("v"), queries.alias("ask")).dropDuplicates(["id", "v"]))
     schema = "query_id long, rank int, vec_id long, score double"
-    if not len(sample):
+    common = clean.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
+    if common is None:
         return spark.createDataFrame([], schema)
-    width = len(sample["v"].iloc[0])
-    stacked = np.stack([np.asarray(v, dtype=float) for v in sample["v"] if len(v) == width])
+    clean = clean.where(F.size("v") == common["width"])
+    # a plain limit per vector, so that each task cuts its share of a hot vector before the shuffle
+    place = F.row_number().over(Window.partitionBy("v").orderBy("id"))
+    kept = materialize(clean.select("id", "v").withColumn("place", place).where(F.col("place") <= k + 1))
+    sample = kept.where("place = 1").select("id", "v").orderBy(F.xxhash64("id"), "id").limit(sample_rows).toPandas()
+    stacked = np.stack([np.asarray(v, dtype=float) for v in sample["v"]])
     depth = min(depth, max(0, int(np.log2(len(stacked) / (4 * (k + 1))))) if len(stacked) > 4 * (k + 1) else 0)
     forest = Forest(stacked, trees, depth)
-    kept = kept.where(F.size("v") == width)
-    entries = kept.where(F.col("place") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    entries = kept.groupBy("v").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     # at most k + 1 keys meet here per vector
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,10 +148,13 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
                     batch.column("v").take(pa.array(np.full(len(cell), row))), pa.array(cell, pa.int32()), pa.array(part, pa.int32())],
                     ["id", "v", "cell", "part"])
 
-    asked = kept.where("ask").select("id", "v").mapInArrow(walk, "id long, v array<double>, cell int, part int")
+    asking = clean.where("ask").select("id", "v")
+    blocks = -(-asking.count() // max(1, int(query_rows / search_share)))  # a cell meets about ``query_rows`` queries of a block at a time
+    asked = asking.mapInArrow(walk, "id long, v array<double>, cell int, part int").withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(blocks, 1))).cast("int"))
     table = spark.createDataFrame([(c, int(most[c])) for c in held], "cell int, parts int")
     dealt = indexed.select("ids", "v", F.explode("cells").alias("cell")).join(F.broadcast(table), "cell")  # at most trees * leaves rows
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("ids"), F.col("parts")).cast("int")).withColumn(
+        "block", F.explode(F.sequence(F.lit(0), F.lit(max(blocks, 1) - 1))))
 
     def rank(cell: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
@@ -164,7 +173,7 @@ def neighbours(rows: DataFrame, queries: Column, k: int = 10, key: str = "vec_id
             out += [(query_id, i, d) for d, i in found]
         return _best(out, k)
 
-    found = dealt.groupBy("cell", "part").cogroup(asked.groupBy("cell", "part")).applyInArrow(rank, "query_id long, vec_id long, score double")
+    found = dealt.groupBy("cell", "part", "block").cogroup(asked.groupBy("cell", "part", "block")).applyInArrow(rank, "query_id long, vec_id long, score double")
     single = found.dropDuplicates(["query_id", "vec_id"])
     ranked = single.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id")).cast("int"))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -47,6 +47,22 @@ def test_forest_against_brute_force(spark, part_rows):
     assert len(hits) >= 0.9 * len(want)
 
 
+def test_ragged_vectors_never_set_the_width(spark):
+    rows = vectors(4, n=700)
+    want = [w[:3] for w in nearest(rows, 10)]
+    lowest = spark.range(20_000, 90_000).orderBy(F.xxhash64("id")).first().id
+    rows_and_one = table(spark, rows, [(lowest, [1.0, 2.0])])
+    assert rows_and_one.orderBy(F.xxhash64("vec_id")).first().vec_id == lowest
+    found = projection_forest.neighbours(rows_and_one, F.col("vec_id") % 100 == 0, depth=4, search_share=1.0).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == want
+
+
+def test_blocks_of_queries_and_one_hot_vector(spark):
+    rows = [(i, [1.0, 2.0, 3.0]) for i in range(0, 3000)] + [(i, [float(i % 7), 1.0, float(i % 11)]) for i in range(3000, 3400)]
+    found = projection_forest.neighbours(table(spark, rows), F.col("vec_id") % 100 == 0, depth=2, search_share=1.0, query_rows=5).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in found) == [w[:3] for w in nearest(rows, 10)]
+
+
 def test_forest_on_few_rows(spark):
     assert projection_forest.neighbours(table(spark, []), F.col("vec_id") % 100 == 0).count() == 0
     assert projection_forest.neighbours(table(spark, [(100, [1.0] * 16)]), F.col("vec_id") % 100 == 0).count() == 0
