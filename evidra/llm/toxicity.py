@@ -109,13 +109,14 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
           sample_rows: int = SAMPLE_ROWS, bits: int = BITS) -> Model:
     """Model from at most ``sample_rows`` labelled rows outside the held-out part, chosen by a hash of the id.
 
-    Null ids and null labels are left out; an id labelled both ways counts as toxic. The sample's hashed terms
-    (not its texts) meet on the driver: at most ``sample_rows`` lists.
+    Null ids and null labels are left out; an id labelled both ways counts as toxic; of documents that repeat an id the smallest text
+    stands for it. The sample's hashed terms (not its texts) meet on the driver: at most ``sample_rows`` lists.
     """
     usable = labels.where(F.col(key).isNotNull() & F.col(label).isNotNull() & ~held_out(F.col(key)))
     ids = usable.groupBy(F.col(key).alias("key")).agg(F.max(F.col(label).cast("int")).alias("y")).orderBy(
         F.xxhash64("key"), "key").limit(sample_rows)
-    chosen = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "key")
+    chosen = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(F.broadcast(ids), "key").groupBy(
+        "key", "y").agg(F.min("text").alias("text"))
     found = chosen.select("key", "text", "y").mapInArrow(_termed(bits), "key long, y int, terms binary") if \
         dict(chosen.dtypes)["key"] == "bigint" else chosen.select(F.xxhash64("key").alias("key"), "text", "y").mapInArrow(
             _termed(bits), "key long, y int, terms binary")

@@ -57,3 +57,23 @@ def test_held_out_rows_of_the_given_table(spark):
     scored = toxicity.score(docs, toxicity.train(docs, labels)).join(labels, "doc_id").where("held_out").toPandas()
     hit = ((scored.predicted == 1) & (scored.toxic == 1)).sum()
     assert hit / (scored.predicted == 1).sum() > 0.9 and hit / (scored.toxic == 1).sum() > 0.85
+
+
+def test_score_is_the_double_loop_over_pairs():
+    rng = np.random.default_rng(1)
+    model = toxicity.Model(toxicity.BITS, 0.3, np.arange(40), rng.normal(size=40), rng.normal(size=(40, 8)))
+    rows = [np.unique(rng.integers(0, 60, n)).astype(np.int32) for n in (0, 1, 2, 7, 25)]
+    for row, found in zip(rows, model.scores(rows), strict=True):
+        known = [t for t in row if t < 40]
+        margin = model.bias + sum(model.weight[t] for t in known)
+        margin += sum(float(model.factors[a] @ model.factors[b]) for i, a in enumerate(known) for b in known[i + 1:])
+        assert found == pytest.approx(1 / (1 + np.exp(-margin)))
+
+
+def test_repeated_ids_reach_the_driver_once(spark, docs_of, monkeypatch):
+    docs = docs_of([(i, f"text {i} {n % 3}") for i in range(4) for n in range(500)])
+    labels = spark.createDataFrame([(i, i % 2) for i in range(4)] * 50, "doc_id long, toxic int")
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda rows, toxic, bits: seen.append(len(rows)))
+    toxicity.train(docs, labels, sample_rows=2)
+    assert seen == [2]
