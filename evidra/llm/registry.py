@@ -12,7 +12,6 @@ from evidra.llm import (
     byte_bpe, graph_dedup, jaccard_join, license_scan, packing, periodic_runs, prefix_trie, projection_forest, suffix_dedup, toxicity,
     training_order, warc, winnowing,
 )
-from evidra.llm.common import shuffle_partitions
 from evidra.session import load_table, work_folder
 
 
@@ -27,14 +26,12 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token piece of the documents in its slot, written to shards and read back: slot, shard, offset, length, record_crc32."""
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    tokens = packing.pieces(load_table(spark, sf_dir, "documents"), path, keep_ids=True, id_type="<u2")
-    order = training_order.ordered(tokens, key=20261201, shard_rows=8192, id_bytes=2)
+    """The token stream of the documents in training order, written to shards and read back: slot, shard, offset, length, record_crc32."""
+    stream = training_order.token_sequences(load_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    order, n = training_order.ordered(stream, key=20261201)
     folder = work_folder(spark, "shards")
-    training_order.write_shards(order, folder, shuffle_partitions(spark))
-    return training_order.read_from(spark, folder, 0).select(
-        "slot", F.col("shard").cast("long").alias("shard"), "offset", "length", F.crc32("record").alias("record_crc32"))
+    training_order.write_shards(order, n, folder)
+    return training_order.read_from(spark, folder).select("slot", "shard", "offset", "length", F.crc32("ids").alias("record_crc32"))
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
