@@ -60,14 +60,15 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     context.setCheckpointDir(configured or tempfile.mkdtemp(prefix="evidra-checkpoint-"))
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Write an intermediate result once to a table in the shared folder and continue from it.
+def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
+    """Write an intermediate result once to a table in the shared folder and continue from it; ``compression`` names a
+    Parquet codec other than the session's.
 
     The lineage ends there, an executor lost later costs no recomputation, and the table's
     size is known to the planner of every later job.
     """
     folder = work_folder(df.sparkSession, "stage")
-    df.write.parquet(folder)
+    df.write.parquet(folder, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
