@@ -28,9 +28,8 @@ def op2_projection_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The token stream of the documents in training order, written to shards and read back: slot, shard, offset, length, record_crc32."""
     stream = training_order.token_sequences(load_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
-    order, n = training_order.ordered(stream, key=20261201)
     folder = work_folder(spark, "shards")
-    training_order.write_shards(order, n, folder)
+    training_order.write_shards(training_order.ordered(stream, key=20261201), folder)
     return training_order.read_from(spark, folder).select("slot", "shard", "offset", "length", F.crc32("ids").alias("record_crc32"))
 
 

@@ -24,10 +24,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evidra.llm.byte_bpe import encode_text, encoding
-from evidra.llm.common import materialize, mix64, rebatch, small_batches
-from evidra.session import broadcast_if_small
+from evidra.llm.common import mix64, rebatch, release, small_batches, tidy
+from evidra.session import broadcast_if_small, materialize
 
-ROUNDS, STRIDE_TOKENS, SHARD_ROWS = 6, 2048, 8192
+ROUNDS, STRIDE_TOKENS, SHARD_ROWS = 6, 2048, 4096
+#: Parts in which the shards are written; only one part's records are in the shuffle at a time.
+WRITE_PARTS = 4
 HEAD_BYTES, END = 4, b"\n"
 
 
@@ -107,7 +109,7 @@ def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
                                              [*batch.schema.names, "_block", "_nth"])
 
     schema = ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in sequences.schema.fields], "_block long", "_nth long"])
-    staged = materialize(sequences.mapInArrow(count, schema))
+    staged = materialize(sequences.mapInArrow(count, schema), compression="zstd")
     sizes = staged.groupBy("_block").agg(F.count("*").alias("_n"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)  # one row per task
     starts = broadcast_if_small(materialize(sizes.select("_block", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))))
@@ -115,43 +117,67 @@ def numbered(sequences: DataFrame) -> tuple[DataFrame, int]:
     return staged.join(starts, "_block").withColumn("index", F.col("_start") + F.col("_nth")).drop("_block", "_nth", "_start"), int(total)
 
 
-def ordered(sequences: DataFrame, key: int, layout: Layout = Layout(), ids: str = "ids", pad: int = 0) -> tuple[DataFrame, int]:
-    """(slot, shard, offset long, length int (tokens), record binary; number of sequences).
+@dataclass(frozen=True)
+class TrainingOrder:
+    """Numbered sequences (staged) and the key that orders them."""
+
+    rows: DataFrame
+    n: int
+    key: int
+    layout: Layout
+    pad: int
+
+    @property
+    def shards(self) -> int:
+        return -(-self.n // self.layout.shard_rows)
+
+    def records(self, first_shard: int = 0, end_shard: int | None = None) -> DataFrame:
+        """slot, shard, offset long, length int (tokens), record binary, of the shards from ``first_shard`` to before ``end_shard``."""
+        n, key, layout, pad = self.n, self.key, self.layout, self.pad
+        wide, width, end = layout.stride * layout.id_bytes, layout.id_bytes, self.shards if end_shard is None else end_shard
+
+        def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            fill = pad.to_bytes(width, "little")
+            for batch in batches:
+                slot = slots(batch.column("index").to_numpy(), n, key)
+                here = np.flatnonzero((slot // layout.shard_rows >= first_shard) & (slot // layout.shard_rows < end))
+                slot, packed = slot[here], batch.column("ids").take(pa.array(here)).to_pylist()
+                if any(len(p) > wide or len(p) % width for p in packed):
+                    raise ValueError(f"a sequence is longer than {layout.stride} tokens, or ends inside an id")
+                records = [(len(p) // width).to_bytes(HEAD_BYTES, "little") + p + fill * ((wide - len(p)) // width) for p in packed]
+                yield pa.RecordBatch.from_arrays([
+                    pa.array(slot), pa.array(slot // layout.shard_rows), pa.array(slot % layout.shard_rows * layout.record_bytes),
+                    pa.array([len(p) // width for p in packed], pa.int32()), pa.array(records, pa.binary())],
+                    ["slot", "shard", "offset", "length", "record"])
+
+        return self.rows.select("index", "ids").mapInArrow(place, "slot long, shard long, offset long, length int, record binary")
+
+
+def ordered(sequences: DataFrame, key: int, layout: Layout = Layout(), ids: str = "ids", pad: int = 0) -> TrainingOrder:
+    """Every row of ``sequences`` with its global slot.
 
     ``ids`` holds packed ids of at most ``stride`` tokens; shorter records are filled with ``pad``, null ones are all padding, longer ones
-    are refused. Every repeated row is a sequence of its own; other columns are ignored; an empty table gives an empty table.
+    are refused. Every repeated row is a sequence of its own; other columns are ignored; an empty table has no slot.
     """
     small_batches(sequences.sparkSession)
     rows, n = numbered(sequences.select(F.coalesce(F.col(ids), F.lit(b"")).alias("ids")))
-    wide, width = layout.stride * layout.id_bytes, layout.id_bytes
-
-    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fill = pad.to_bytes(width, "little")
-        for batch in batches:
-            slot = slots(batch.column("index").to_numpy(), n, key)
-            packed = batch.column("ids").to_pylist()
-            if any(len(p) > wide or len(p) % width for p in packed):
-                raise ValueError(f"a sequence is longer than {layout.stride} tokens, or ends inside an id")
-            records = [(len(p) // width).to_bytes(HEAD_BYTES, "little") + p + fill * ((wide - len(p)) // width) for p in packed]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(slot), pa.array(slot // layout.shard_rows), pa.array(slot % layout.shard_rows * layout.record_bytes),
-                pa.array([len(p) // width for p in packed], pa.int32()), pa.array(records, pa.binary())],
-                ["slot", "shard", "offset", "length", "record"])
-
-    return rows.select("index", "ids").mapInArrow(place, "slot long, shard long, offset long, length int, record binary"), n
+    return TrainingOrder(rows, n, key, layout, pad)
 
 
-def write_shards(order: DataFrame, n: int, folder: str, layout: Layout = Layout(), shards_per_task: int = 1) -> None:
+def write_shards(order: TrainingOrder, folder: str, shards_per_task: int = 1, parts: int = WRITE_PARTS) -> None:
     """One raw file per shard below ``folder`` (which must not exist), committed by Spark like any other output.
 
     A shard goes to one task, and ``shards_per_task`` of them to each; the permutation fills them evenly, so no key is hot.
-    The rows of a task are sorted by (shard, slot), which is the order the writer keeps.
+    The rows of a task are sorted by (shard, slot), which is the order the writer keeps. Stretches of shards are written one after
+    the other, so that the shuffle never holds all records beside the finished shards.
     """
-    shards = -(-n // layout.shard_rows)
-    tasks = max(1, -(-shards // shards_per_task))
-    dealt = order.repartitionById(tasks, F.floor(F.col("shard") / shards_per_task).cast("int"))
-    lines = dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
-    lines.write.partitionBy("shard").option("lineSep", END.decode()).option("compression", "none").text(folder)
+    step = max(1, -(-order.shards // parts))
+    for first in range(0, max(order.shards, 1), step):
+        tasks = max(1, -(-min(step, order.shards - first) // shards_per_task))
+        dealt = order.records(first, first + step).repartitionById(tasks, F.floor((F.col("shard") - first) / shards_per_task).cast("int"))
+        lines = dealt.sortWithinPartitions("shard", "slot").select(F.col("record").cast("string").alias("value"), "shard")
+        lines.write.partitionBy("shard").mode("append").option("lineSep", END.decode()).option("compression", "none").text(folder)
+        release(order.rows.sparkSession)
 
 
 def read_from(spark: SparkSession, folder: str, slot: int = 0, layout: Layout = Layout()) -> DataFrame:
@@ -180,6 +206,8 @@ def read_from(spark: SparkSession, folder: str, slot: int = 0, layout: Layout =
                         pa.array([shard * layout.shard_rows + a // size for a in at], pa.int64()), pa.array([shard] * len(at), pa.int64()),
                         pa.array(at, pa.int64()), pa.array(tokens, pa.int32()), pa.array(ids, pa.binary())],
                         ["slot", "shard", "offset", "length", "ids"])
+                del data, content
+        tidy()
 
     return files.where(F.col("shard") >= first).mapInArrow(cut, "slot long, shard long, offset long, length int, ids binary")
 

@@ -46,18 +46,18 @@ def test_slots_against_plain_python(n, key):
     assert training_order.slots(np.arange(n), n, key).tolist() == [plain_slot(i, n, key) for i in range(n)]
 
 
-def written(spark, folder, packed, layout=SMALL, per_task=1):
+def written(spark, folder, packed, layout=SMALL, per_task=1, parts=4):
     source = spark.createDataFrame([(p, 1, 2) for p in packed], "ids binary, slot int, index int").repartition(5)
-    order, n = training_order.ordered(source, 3, layout)
-    training_order.write_shards(order, n, folder, layout, per_task)
-    return n
+    order = training_order.ordered(source, 3, layout)
+    training_order.write_shards(order, folder, per_task, parts)
+    return order.n
 
 
-@pytest.mark.parametrize("per_task", [1, 3])
-def test_files_hold_the_order_byte_by_byte(spark, tmp_path, per_task):
+@pytest.mark.parametrize(("per_task", "parts"), [(1, 4), (3, 1), (2, 100)])
+def test_files_hold_the_order_byte_by_byte(spark, tmp_path, per_task, parts):
     packed = [np.array([10, i] + [10] * (i % 7), "<u4").tobytes() for i in range(500)] + [None]  # 10 is the line end
     folder = tmp_path / "out"
-    n = written(spark, str(folder), packed, per_task=per_task)
+    n = written(spark, str(folder), packed, per_task=per_task, parts=parts)
     assert n == 501
     files = sorted(folder.glob("shard=*/*.txt"), key=lambda f: int(f.parent.name[6:]))
     assert [int(f.parent.name[6:]) for f in files] == list(range(8))  # one file a shard
@@ -101,15 +101,15 @@ def test_a_damaged_shard_is_noticed(spark, tmp_path):
 
 def test_sequences_refused(spark):
     for bad in (b"\0" * 36, b"\0" * 5):
-        order, _ = training_order.ordered(spark.createDataFrame([(bad,)], "ids binary"), 3, SMALL)
+        order = training_order.ordered(spark.createDataFrame([(bad,)], "ids binary"), 3, SMALL).records()
         with pytest.raises(Exception, match="longer than"):
             order.collect()
 
 
 def test_empty_table(spark, tmp_path):
-    order, n = training_order.ordered(spark.createDataFrame([], "ids binary"), 3, SMALL)
-    assert (order.count(), n) == (0, 0)
-    training_order.write_shards(order, n, str(tmp_path / "none"), SMALL)
+    order = training_order.ordered(spark.createDataFrame([], "ids binary"), 3, SMALL)
+    assert (order.records().count(), order.n) == (0, 0)
+    training_order.write_shards(order, str(tmp_path / "none"))
     assert training_order.read_from(spark, str(tmp_path / "none"), 0, SMALL).count() == 0
 
 
