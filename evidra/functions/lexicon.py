@@ -53,5 +53,5 @@ CONFIDENCE_BY_SOURCE_TYPE = {"cn_literature": 0.86, "pubmed": 0.74}
 RRF_K = 60
 RRF_LIST_LIMIT = 50
 
-# Fixed value: the large-corpus stop rule for IDF applies above this many items.
-IDF_STOP_MIN_ITEMS = 100
+# Fixed value: share of the items above which a token of a large corpus weighs nothing.
+IDF_STOP_SHARE = 0.5

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from evidra.functions.stats import hypergeometric_tail
 from evidra.session import union_all
 
+# Defaults of the source system.
 TOP_TERMS = 20
 MIN_OVERLAP = 2
 MAX_P = 0.05
@@ -36,19 +37,19 @@ def overlaps(inputs: DataFrame, terms: DataFrame) -> DataFrame:
 
 
 def enrich(
-    inputs: DataFrame, terms: DataFrame, background: int = 20000, top: int = TOP_TERMS
+    inputs: DataFrame, terms: DataFrame, background: int = 20000, top: int = TOP_TERMS, max_p: float = MAX_P, min_overlap: int = MIN_OVERLAP
 ) -> DataFrame:
-    """Significant terms per task and collection, best ``top`` by p; adjusted p multiplies by
-    the number of all terms of the collection, empty ones included."""
+    """Terms per task and collection with at least ``min_overlap`` shared symbols and p below ``max_p``, best ``top`` by p; adjusted p
+    multiplies by the number of all terms of the collection, empty ones included."""
     sizes = terms.groupBy("collection").agg(F.count("*").alias("n_terms"))
     scored = (
         overlaps(inputs.where(F.size("symbols") >= 2), terms)
-        .where(F.col("overlap_count") >= MIN_OVERLAP)
+        .where(F.col("overlap_count") >= min_overlap)
         .withColumn(
             "p_value",
             hypergeometric_tail(F.col("overlap_count"), F.lit(background), F.col("gene_count"), F.col("n_input")),
         )
-        .where(F.col("p_value") < MAX_P)
+        .where(F.col("p_value") < max_p)
         .join(sizes, "collection")
         .withColumn("adjusted_p_value", F.least(F.col("p_value") * F.col("n_terms"), F.lit(1.0)))
         .drop("n_terms", "n_input")

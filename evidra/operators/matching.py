@@ -1,147 +1,404 @@
-"""Term matching between a text table and a term table, as an inverted-index join.
+"""Term matching over text tables: a single pass, or a positional inverted index.
 
-A term without separators (white space, Chinese sentence marks) lies in a text exactly when it
-lies in one of the text's pieces (maximal runs without separators). The corpus is therefore reduced to its distinct
-pieces; terms meet pieces on an equal character gram and are verified there, and the hits
-are joined back to the postings. Nothing is compared pairwise, the work is linear in the
-corpus, and only the hit table, whose size is measured, is ever broadcast.
+``match_fields`` reads the texts once with a multi-pattern automaton and needs no shuffle; it suits one batch of terms. ``build_index``
+pays once and then answers any number of batches from the distinct units of the corpus. Both give the same rows.
+
+Texts become units: maximal runs without separators (white space, Chinese sentence marks), Chinese runs as overlapping
+pairs of characters, so that every character outside the separators starts or lies in exactly one unit and Chinese text needs no marks.
+The index holds, per document, its distinct units with the field and the gap-coded positions in the document (fields lie one
+space apart). A term of one unit is a hit wherever a unit that holds it occurs. A longer one (a phrase, a longer Chinese word) is
+looked for only at the positions of its rarest part, also from the end of one field into the next. Terms come in batches of bounded
+size, nothing is truncated, and the hit table is broadcast only within a measured size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-from dataclasses import dataclass
+import re
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, field
+from functools import reduce
 
+import ahocorasick
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.functions.text import keyword_in_text, token_matches
-from evidra.session import BROADCAST_MAX_BYTES, materialize, union_all
+from evidra.session import BROADCAST_MAX_BYTES, broadcast_if_small, materialize, union_all
 
-GRAM = 3
-SEPARATORS = "[\\s\u3000，。；：！？、]+"
+SEPARATORS = r"\s　，。；：！？、"
+CJK_RANGE = "一-鿿"
+CJK = re.compile(f"[{CJK_RANGE}]")
+UNIT = re.compile(f"[{CJK_RANGE}]+|[^{SEPARATORS}{CJK_RANGE}]+")
+WORD = re.compile(r"\w+")
+SPACE = re.compile(f"[{SEPARATORS}]")
+#: Characters of terms that one pattern automaton holds; more terms take further passes over the units.
+PART_CHARS = 4_000_000
+#: Bit of ``fields`` for a phrase that runs from one field into the next.
+CROSSING = 62
 
 
 @dataclass(frozen=True)
 class Matcher:
-    """How a term matches a text. Terms of the ``whole_word`` pattern equal one of the text's
-    words; all others are found by ``verify(term, text)``, which implies containment."""
+    """How a term matches a text: terms of the ``whole_word`` pattern need a word boundary at both ends, all others are
+    found anywhere."""
 
-    verify: Callable[[Column, Column], Column]
     whole_word: str | None = None
 
 
-TOKEN = Matcher(token_matches, "^[a-z0-9]{1,2}$")
-KEYWORD = Matcher(keyword_in_text, "^[a-z0-9]+$")
-SUBSTRING = Matcher(lambda term, text: F.contains(text, term))
-
-
-def text_pieces(text: Column) -> Column:
-    """Distinct pieces of the lower-cased text; the empty piece is dropped after exploding."""
-    return F.array_distinct(F.split(F.lower(text), SEPARATORS))
-
-
-def _grams(piece: Column) -> Column:
-    """Distinct grams of three characters, and the shorter ones that are not plain ASCII:
-    shorter ASCII terms are whole words. The short words of a phrase end, start or are a
-    piece, so both ends of the piece count as well."""
-    patterns = ["(?s)(?=(...))", "(?s)(?=([^a-z0-9]))", "(?s)(?=([^a-z0-9].|.[^a-z0-9]))"]
-    ends = F.array(F.left(piece, F.lit(1)), F.left(piece, F.lit(2)), F.right(piece, F.lit(1)), F.right(piece, F.lit(2)))
-    return F.array_distinct(F.concat(*[F.regexp_extract_all(piece, F.lit(p), F.lit(1)) for p in patterns], ends))
-
-
-def _short_grams(piece: Column) -> Column:
-    """All grams of one to three characters, for matchers without a whole-word rule."""
-    return F.array_distinct(F.concat(*[
-        F.regexp_extract_all(piece, F.lit("(?s)(?=(" + "." * n + "))"), F.lit(1)) for n in range(1, GRAM + 1)]))
-
-
-def term_anchors(terms: DataFrame, matcher: Matcher) -> DataFrame:
-    """(term) -> (term, anchor, gram, is_phrase, is_word); a phrase is anchored on its longest
-    word. Terms of separators alone match nothing."""
-    words = F.filter(F.split("term", SEPARATORS), lambda w: w != "")
-    longest = F.reduce(
-        words, F.lit(""), lambda acc, w: F.when(F.length(w) > F.length(acc), w).otherwise(acc)
-    )
-    is_word = F.col("term").rlike(matcher.whole_word) if matcher.whole_word else F.lit(False)
-    return (
-        terms.select("term").where("term is not null and length(trim(term)) > 0").distinct()
-        .withColumn("anchor", longest).where("anchor <> ''")
-        .withColumn("is_phrase", F.col("anchor") != F.col("term"))
-        .withColumn("is_word", is_word)
-        .withColumn("gram", F.substring("anchor", 1, GRAM))
-    )
-
-
-def match_terms(
-    texts: DataFrame,
-    terms: DataFrame,
-    keys: list[str],
-    text_col: str = "text",
-    weight_col: str | None = None,
-    matcher: Matcher = TOKEN,
-) -> DataFrame:
-    """Distinct (keys..., term[, weight]) where the lower-cased text contains the term.
-
-    ``texts`` holds one row per text field; ``weight`` is the best weight of a matching field.
-    ``matcher`` decides on a piece (or, for phrases, on the whole text).
-    """
-    weight = F.col(weight_col) if weight_col else F.lit(1)
-    fields = texts.where(F.col(text_col).isNotNull()).select(
-        *keys, weight.alias("weight"), F.col(text_col).alias("_text")
-    )
-    anchors = term_anchors(terms, matcher)
-    postings = fields.select(*keys, "weight", F.explode(text_pieces(F.col("_text"))).alias("piece")).where("piece <> ''")
-    vocabulary = postings.select("piece").distinct()
-    hits = materialize(_piece_hits(vocabulary, anchors, matcher))
-    size, any_phrase = hits.agg(
-        F.sum(F.length("piece") + F.length("term") + 16), F.bool_or("is_phrase")).first()
-    if (size or 0) <= BROADCAST_MAX_BYTES:
-        hits = F.broadcast(hits)
-    found = postings.join(hits, "piece")
-    matched = found.where(~F.col("is_phrase")).select(*keys, "weight", "term")
-    if any_phrase:
-        matched = union_all([matched, _phrase_hits(fields, found, keys, matcher)])
-    return matched.groupBy(*keys, "term").agg(F.max("weight").alias("weight"))
-
-
-def _piece_hits(pieces: DataFrame, anchors: DataFrame, matcher: Matcher) -> DataFrame:
-    """Pieces (with whatever columns they carry) that hold a term, or a phrase's anchor."""
-    kept = [c for c in pieces.columns if c != "piece"]
-    grams = _grams if matcher.whole_word else _short_grams
-    by_gram = (
-        pieces.select("*", F.explode(grams(F.col("piece"))).alias("gram"))
-        .join(anchors.where("not is_word"), "gram")
-        .where(F.when(F.col("is_phrase"), F.contains("piece", "anchor")).otherwise(matcher.verify(F.col("term"), F.col("piece"))))
-        .select(*kept, "piece", "term", "is_phrase")
-    )
-    if not matcher.whole_word:
-        return by_gram
-    words = F.array_distinct(F.regexp_extract_all("piece", F.lit("(?U)(\\w+)"), F.lit(1)))
-    by_word = (
-        pieces.select("*", F.explode(words).alias("term"))
-        .join(anchors.where("is_word").select("term", "is_phrase"), "term")
-        .select(*kept, "piece", "term", "is_phrase")
-    )
-    return union_all([by_gram, by_word])
-
-
-def _phrase_hits(fields: DataFrame, found: DataFrame, keys: list[str], matcher: Matcher) -> DataFrame:
-    """Candidates of phrases verified on the whole text; only candidate texts are joined."""
-    candidates = found.where("is_phrase").select(*keys, "term").distinct()
-    return (
-        fields.join(candidates, keys).where(matcher.verify(F.col("term"), F.lower("_text"))).select(*keys, "weight", "term")
-    )
-
-
-def match_short_texts(
-    texts: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text", matcher: Matcher = TOKEN
-) -> DataFrame:
-    """match_terms for query-like tables: no vocabulary pass, every text meets the terms in
-    one job."""
-    fields = texts.where(F.col(text_col).isNotNull()).select(*keys, F.lit(1).alias("weight"), F.col(text_col).alias("_text"))
-    pieces = fields.select(*keys, F.explode(text_pieces(F.col("_text"))).alias("piece")).where("piece <> ''")
-    found = _piece_hits(pieces, term_anchors(terms, matcher), matcher)
-    single = found.where(~F.col("is_phrase")).select(*keys, "term")
-    phrases = _phrase_hits(fields, found, keys, matcher).select(*keys, "term")
-    return union_all([single, phrases]).distinct()
+# Which terms match whole words only.
+TOKEN = Matcher("^[a-z0-9]{1,2}$")
+KEYWORD = Matcher("^[a-z0-9][a-z0-9\\-]*$")
+SUBSTRING = Matcher()
+
+
+@dataclass(frozen=True)
+class TextIndex:
+    """``postings``: keys, unit, field, gaps; ``texts``: keys, texts array<string> in field order."""
+
+    keys: list[str]
+    names: list[str]
+    postings: DataFrame
+    texts: DataFrame
+    units: list[DataFrame] = field(default_factory=list)
+
+    def vocabulary(self) -> DataFrame:
+        """(unit, n): the distinct units with the number of their postings, staged at their first use."""
+        if not self.units:
+            self.units.append(materialize(self.postings.groupBy("unit").agg(F.count("*").alias("n"))))
+        return self.units[0]
+
+    def weigh(self, weights: dict[str, int], combine: Callable[[Column, Column], Column]) -> Column:
+        return weigh(self.names, weights, combine)
+
+
+def weigh(names: Iterable[str], weights: dict[str, int], combine: Callable[[Column, Column], Column]) -> Column:
+    """Weights of the fields in ``fields``, combined; 0 where a term only runs across fields."""
+    parts = [F.when(F.getbit("fields", F.lit(i)) == 1, F.lit(weights[n])).otherwise(0) for i, n in enumerate(names)]
+    return reduce(combine, parts, F.lit(0)).cast("int")
+
+
+def best_of(a: Column, b: Column) -> Column:
+    return F.greatest(a, b)
+
+
+def sum_of(a: Column, b: Column) -> Column:
+    return a + b
+
+
+# --- units ---------------------------------------------------------------------------------------
+
+
+def is_cjk(char: str) -> bool:
+    return "一" <= char <= "鿿"
+
+
+def is_word(char: str) -> bool:
+    return char.isalnum() or char == "_"
+
+
+def units_of(text: str) -> Iterator[tuple[str, int]]:
+    """(unit, position). The last character of a unit tells its kind: c for Chinese; 0 to 3 for other runs, 1 with a Chinese
+    neighbour on the left, 2 with one on the right, so that word boundaries can be told from the unit alone."""
+    for match in UNIT.finditer(text):
+        run, at, end = match[0], match.start(), match.end()
+        if is_cjk(run[0]):
+            for i in range(len(run) - 1):
+                yield run[i:i + 2] + "c", at + i
+            yield run[-1] + "c", end - 1
+        else:
+            left, right = at > 0 and is_cjk(text[at - 1]), end < len(text) and is_cjk(text[end])
+            yield run + "0123"[left + 2 * right], at
+
+
+def term_parts(term: str, whole_word: bool) -> list[tuple[str, str, int]]:
+    """(part, kind, place in the term). Kinds: word and sub lie anywhere in a unit, suffix ends it, prefix and start begin it, exact fills it."""
+    out = []
+    for match in UNIT.finditer(term):
+        run, at, end = match[0], match.start(), match.end()
+        alone = at == 0 and end == len(term)
+        if not is_cjk(run[0]) or (alone and len(run) <= 2):
+            kind = "word" if whole_word else "sub" if alone else "suffix" if at == 0 else "prefix" if end == len(term) else "exact"
+            out.append((run, kind, at))
+        elif len(run) == 1:
+            out.append((run, "start", at))
+        else:
+            out += [(run[i:i + 2], "exact", at + i) for i in range(len(run) - 1)]
+    return out
+
+
+def _bounded(core: str, flag: str, start: int, end: int) -> bool:
+    """Word boundaries at both ends of core[start:end]."""
+    before = is_word(core[start - 1]) if start else flag in "13"
+    after = is_word(core[end]) if end < len(core) else flag in "23"
+    return before != is_word(core[start]) and after != is_word(core[end - 1])
+
+
+def _fits(kind: str, core: str, flag: str, start: int, end: int) -> bool:
+    match kind:
+        case "sub":
+            return True
+        case "word":
+            return _bounded(core, flag, start, end)
+        case "suffix":
+            return flag != "c" and end == len(core)
+        case "prefix":
+            return flag != "c" and start == 0
+        case "start":
+            return flag == "c" and start == 0
+    return start == 0 and end == len(core)
+
+
+# --- building ------------------------------------------------------------------------------------
+
+
+def _joined_fields(docs: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
+    return docs.select(*keys, F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in fields.values()]).alias("texts"))
+
+
+def _types(df: DataFrame, columns: list[str]) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in columns)
+
+
+def build_index(docs: DataFrame, keys: list[str], fields: dict[str, Column]) -> TextIndex:
+    """The index of ``docs`` (one row per key), its fields in the given order. Null texts are empty; the postings are staged."""
+    names, texts = list(fields), _joined_fields(docs, keys, fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, 256):
+                part = batch.slice(start, 256)
+                row, units, of, gaps, cuts = [], [], [], [], [0]
+                for r, texts_of_row in enumerate(part.column("texts").to_pylist()):
+                    base = 0
+                    for i, text in enumerate(texts_of_row):
+                        found: dict[str, list[int]] = {}
+                        if CJK.search(text):
+                            for unit, at in units_of(text):
+                                found.setdefault(unit, []).append(at)
+                        else:
+                            for run_ in UNIT.finditer(text):
+                                unit = run_[0]
+                                if unit in found:
+                                    found[unit].append(run_.start())
+                                else:
+                                    found[unit] = [run_.start()]
+                            found = {unit + "0": at for unit, at in found.items()}
+                        for places in found.values():
+                            last = -base
+                            for at in places:
+                                gaps.append(at - last)
+                                last = at
+                            cuts.append(len(gaps))
+                        base += len(text) + 1
+                        units += found
+                        of += [i] * len(found)
+                        row += [r] * len(found)
+                lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(gaps, pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(part.column(k).take(pa.array(row, pa.int64())) for k in keys), pa.array(units, pa.string()),
+                                                  pa.array(of, pa.int8()), lists], [*keys, "unit", "field", "gaps"])
+
+    postings = materialize(texts.mapInArrow(run, f"{_types(texts, keys)}, unit string, field tinyint, gaps array<int>"))
+    return TextIndex(keys, names, postings, texts)
+
+
+# --- matching ------------------------------------------------------------------------------------
+
+
+def _numbered(terms: DataFrame, matcher: Matcher) -> DataFrame:
+    """Distinct usable terms with a number (staged, so that it stays) and the whole-word flag."""
+    clean = terms.select("term").where("term is not null and length(trim(term)) > 0").distinct()
+    whole = F.col("term").rlike(matcher.whole_word) if matcher.whole_word else F.lit(False)
+    return materialize(clean.withColumn("term_id", F.monotonically_increasing_id()).withColumn("whole_word", whole))
+
+
+def _batches_of(terms: DataFrame) -> Iterator[list[tuple[str, int, bool]]]:
+    """The terms in batches of about PART_CHARS characters, whatever their number."""
+    total = terms.agg(F.sum(F.length("term"))).first()[0] or 0
+    n = int(total) // PART_CHARS + 1
+    for i in range(n):
+        yield [tuple(r) for r in terms.where(F.pmod(F.col("term_id"), F.lit(n)) == i).select("term", "term_id", "whole_word").collect()]
+
+
+def _automaton(patterns: dict[str, list]) -> ahocorasick.Automaton | None:
+    if not patterns:
+        return None
+    machine = ahocorasick.Automaton()
+    for pattern, what in patterns.items():
+        machine.add_word(pattern, (len(pattern), what))
+    machine.make_automaton()
+    return machine
+
+
+def _unit_hits(units: DataFrame, terms: DataFrame) -> DataFrame:
+    """unit, n, term_id, n_parts, spaced, part, shift: where a unit holds a part of a term, and the term's start seen from the unit's."""
+    schema = "unit string, n long, term_id long, n_parts int, spaced boolean, part int, shift int"
+    types = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
+    names = [c.split()[0] for c in schema.split(", ")]
+    found = []
+    for batch in _batches_of(terms):
+        patterns: dict[str, list] = {}
+        for term, number, whole in batch:
+            parts = term_parts(term, whole)
+            spaced = sum(len(m[0]) for m in UNIT.finditer(term)) < len(term)
+            for i, (part, kind, place) in enumerate(parts):
+                patterns.setdefault(part, []).append((number, len(parts), spaced, i, kind, place))
+
+        def run(rows: Iterator[pa.RecordBatch], patterns=patterns) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(patterns)
+            for each in rows:
+                out: list[tuple] = []
+                for unit, n in zip(each.column("unit").to_pylist(), each.column("n").to_pylist(), strict=True):
+                    core, flag = unit[:-1], unit[-1]
+                    hits = {(number, parts, spaced, i, last + 1 - size - place if parts > 1 or spaced else 0)
+                            for last, (size, what) in machine.iter(core) for number, parts, spaced, i, kind, place in what
+                            if _fits(kind, core, flag, last + 1 - size, last + 1)}
+                    out += [(unit, n, *h) for h in hits]
+                columns = list(zip(*out, strict=True)) or [[]] * len(types)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+        if patterns:
+            found.append(units.mapInArrow(run, schema))
+    return materialize(union_all(found) if found else units.sparkSession.createDataFrame([], schema))
+
+
+def match_index(index: TextIndex, terms: DataFrame, matcher: Matcher = TOKEN) -> DataFrame:
+    """keys, term, fields: one row for every document that holds the term; bit i of ``fields`` stands for the i-th field, bit
+    CROSSING for a phrase that only runs from one field into the next (one space between them)."""
+    numbered = _numbered(terms, matcher)
+    hits = _unit_hits(index.vocabulary(), numbered)
+    size, longer = hits.agg(F.sum(F.length("unit") + 24), F.bool_or(F.expr("n_parts > 1 or spaced"))).first()
+    small = (size or 0) <= BROADCAST_MAX_BYTES
+    whole = hits.where("n_parts = 1 and not spaced").groupBy("unit").agg(F.collect_list("term_id").alias("ids"))  # terms inside one unit
+    direct = index.postings.drop("gaps").join(F.broadcast(whole) if small else whole, "unit").select(
+        *index.keys, "field", F.explode("ids").alias("term_id"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("field").cast("int"))
+    found = [direct.groupBy(*index.keys, "term_id").agg(F.bit_or(bit).alias("fields"))]
+    if longer:
+        parts = _rarest(hits.where("n_parts > 1 or spaced"))
+        found.append(_by_position(index, index.postings.join(F.broadcast(parts) if small else parts, "unit"), numbered))
+    return union_all(found).join(broadcast_if_small(numbered.select("term_id", "term")), "term_id").select(*index.keys, "term", "fields")
+
+
+def _rarest(hits: DataFrame) -> DataFrame:
+    """(unit, term_id, shift) of each term's part with the fewest postings; terms that lack a part are gone."""
+    each = hits.groupBy("term_id", "n_parts", "part").agg(F.sum("n").alias("n"))
+    kept = each.groupBy("term_id", "n_parts").agg(F.count("*").alias("have"), F.min(F.struct("n", "part")).alias("least")).where("have = n_parts")
+    return hits.join(kept.select("term_id", F.col("least.part").alias("part")), ["term_id", "part"]).select("unit", "term_id", "shift")
+
+
+def _by_position(index: TextIndex, met: DataFrame, numbered: DataFrame) -> DataFrame:
+    """Terms of several parts, or with separators at an end: the text is compared at the positions of the rarest part."""
+    keys = index.keys
+    named = met.join(broadcast_if_small(numbered.select("term_id", "term")), "term_id")
+    asked = named.groupBy(*keys).agg(F.collect_list(F.struct("term_id", "term", "shift", "gaps")).alias("asked"))  # as long as a document's postings
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, numbers, masks = [], [], []
+            for r, (texts, wanted) in enumerate(zip(batch.column("texts").to_pylist(), batch.column("asked").to_pylist(), strict=True)):
+                whole = " ".join(texts)
+                ends = np.cumsum([len(t) + 1 for t in texts]) - 1
+                held: dict[int, int] = {}
+                for ask in wanted:
+                    term, at = ask["term"], ask["shift"]
+                    for gap in ask["gaps"]:
+                        at += gap
+                        if at >= 0 and whole.startswith(term, at):
+                            first, last = np.searchsorted(ends, [at, at + len(term) - 1])
+                            inside = first == last and at + len(term) <= ends[first]
+                            held[ask["term_id"]] = held.get(ask["term_id"], 0) | 1 << (int(first) if inside else CROSSING)
+                row += [r] * len(held)
+                numbers += held
+                masks += [m & ~(1 << CROSSING) or m for m in held.values()]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(row, pa.int64())) for k in keys), pa.array(numbers, pa.int64()),
+                                              pa.array(masks, pa.int64())], [*keys, "term_id", "fields"])
+
+    return index.texts.join(asked, keys).mapInArrow(compare, f"{_types(index.texts, keys)}, term_id long, fields long")
+
+
+def _split_words(batch: list[tuple[str, int, bool]]) -> tuple[dict[str, list], set[str]]:
+    """(patterns of the automaton, terms that equal a whole word): a term of word characters alone with a boundary at both ends is a word."""
+    usable = [(term, whole) for term, _, whole in batch if UNIT.search(term)]
+    words = {term for term, whole in usable if whole and all(map(is_word, term))}
+    return {term: [(term, whole)] for term, whole in usable if term not in words}, words
+
+
+def _held(text: str, machine: ahocorasick.Automaton | None, words: set[str]) -> set[str]:
+    """The terms that one text holds."""
+    here = words.intersection(WORD.findall(text)) if words else set()
+    if machine:
+        here |= {what[0][0] for last, (size, what) in machine.iter(text) if not what[0][1] or _bounded(text, "0", last + 1 - size, last + 1)}
+    return here
+
+
+def match_fields(docs: DataFrame, keys: list[str], fields: dict[str, Column], terms: DataFrame, matcher: Matcher = TOKEN) -> DataFrame:
+    """The rows of ``match_index`` without an index: one pass over the texts for each batch of terms, and no shuffle of texts."""
+    texts = _joined_fields(docs, keys, fields)
+    found = []
+    for batch in _batches_of(_numbered(terms, matcher)):
+        patterns, single_words = _split_words(batch)
+
+        def run(rows: Iterator[pa.RecordBatch], patterns=patterns, single_words=single_words) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(patterns)
+            for each in rows:
+                row, names, masks = [], [], []
+                for r, parts in enumerate(each.column("texts").to_pylist()):
+                    held: dict[str, int] = {}
+                    for i, text in enumerate(parts):
+                        for term in _held(text, machine, single_words):
+                            held[term] = held.get(term, 0) | 1 << i
+                    if phrases:
+                        for term in _over_borders(machine, parts):
+                            held.setdefault(term, 1 << CROSSING)
+                    row += [r] * len(held)
+                    names += held
+                    masks += held.values()
+                yield pa.RecordBatch.from_arrays([*(each.column(k).take(pa.array(row, pa.int64())) for k in keys), pa.array(names, pa.string()),
+                                                  pa.array(masks, pa.int64())], [*keys, "term", "fields"])
+
+        longest = max(map(len, patterns), default=0)
+        phrases = {t: w for t, w in patterns.items() if SPACE.search(t)}
+
+        def _over_borders(machine: ahocorasick.Automaton, parts: list[str], phrases=phrases, longest=longest) -> set[str]:
+            """Phrases that hold a border between two fields: only the ends of a field can take part."""
+            cut = [t if len(t) <= 2 * longest else f"{t[:longest]}\0{t[-longest:]}" for t in parts]
+            text, borders = " ".join(cut), np.cumsum([len(c) + 1 for c in cut])[:-1] - 1
+            out = set()
+            for last, (size, what) in machine.iter(text):
+                first = last + 1 - size
+                if what[0][0] in phrases and np.searchsorted(borders, first) != np.searchsorted(borders, last + 1):
+                    out.add(what[0][0])
+            return out
+
+        if patterns or single_words:
+            found.append(texts.mapInArrow(run, f"{_types(texts, keys)}, term string, fields long"))
+    if not found:
+        return docs.sparkSession.createDataFrame([], f"{_types(texts, keys)}, term string, fields long")
+    return union_all(found)  # a term is in one batch
+
+
+def match_texts(texts: DataFrame, terms: DataFrame, keys: list[str], text_col: str = "text", matcher: Matcher = TOKEN) -> DataFrame:
+    """Distinct (keys, term) in one pass over the texts, without an index: for tables that are searched once for few terms."""
+    numbered = _numbered(terms, matcher)
+    rows = texts.where(F.col(text_col).isNotNull()).select(*keys, F.lower(text_col).alias("_text"))
+    kinds = _types(rows, keys)
+    found = []
+    for batch in _batches_of(numbered):
+        patterns, single_words = _split_words(batch)
+
+        def run(rows: Iterator[pa.RecordBatch], patterns=patterns, single_words=single_words) -> Iterator[pa.RecordBatch]:
+            machine = _automaton(patterns)
+            for each in rows:
+                row, names = [], []
+                for i, text in enumerate(each.column("_text").to_pylist()):
+                    here = _held(text, machine, single_words)
+                    row += [i] * len(here)
+                    names += here
+                yield pa.RecordBatch.from_arrays([*(each.column(k).take(pa.array(row, pa.int64())) for k in keys), pa.array(names, pa.string())], [*keys, "term"])
+
+        if patterns or single_words:
+            found.append(rows.mapInArrow(run, f"{kinds}, term string"))
+    if not found:
+        return texts.sparkSession.createDataFrame([], f"{kinds}, term string")
+    return union_all(found).distinct()

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from evidra.functions import lexicon
 from evidra.functions.embedding import hashing_embedding
 from evidra.functions.text import preferred_source_type
-from evidra.operators.matching import SUBSTRING, match_terms
+from evidra.operators.matching import SUBSTRING, TextIndex, best_of, build_index, match_fields, match_index, match_texts, weigh
 from evidra.session import union_all, broadcast_if_small, materialize
 
 
@@ -29,30 +29,14 @@ def field_text(df: DataFrame, name: str) -> Column:
     return F.lower(F.coalesce(F.col(name), F.lit("")))
 
 
-def weighted_fields(df: DataFrame, weights: dict[str, int], keys: list[str]) -> DataFrame:
-    """One row (keys..., weight, text) per non-empty field."""
-    entries = F.array(*[
-        F.struct(F.lit(w).alias("weight"), field_text(df, name).alias("text"))
-        for name, w in weights.items() if name in df.columns
-    ])
-    return (
-        df.select(*keys, F.explode(entries).alias("f"))
-        .select(*keys, F.col("f.weight").alias("weight"), F.col("f.text").alias("text"))
-        .where("text <> ''")
-    )
-
-
 def tag_bonus(
     owners: DataFrame, key: str, tokens: DataFrame, canonical: DataFrame, weight: int
 ) -> DataFrame:
     """(query_id, key, bonus): weight x canonical query tokens contained in any tag."""
     wanted = tokens.join(canonical, "token", "left_semi")
     tags = owners.select(key, F.explode("evidence_tags").alias("tag"))
-    tag_terms = match_terms(
-        tags.select("tag", F.col("tag").alias("text")).distinct(),
-        wanted.select(F.col("token").alias("term")),
-        ["tag"],
-        matcher=SUBSTRING,
+    tag_terms = match_texts(
+        tags.select("tag", F.col("tag").alias("text")).distinct(), wanted.select(F.col("token").alias("term")), ["tag"], matcher=SUBSTRING,
     ).where(F.contains("tag", "term"))
     owner_terms = tags.join(tag_terms.select("tag", "term"), "tag").select(key, F.col("term").alias("token")).distinct()
     return (
@@ -61,37 +45,72 @@ def tag_bonus(
     )
 
 
-def token_idf(matched: DataFrame, n_items: DataFrame) -> DataFrame:
-    """(token, idf) from item-level document frequency; ln((N+1)/(df+1))+1, and zero above
-    half of a corpus of more than 100 items."""
+def token_idf(matched: DataFrame, n_items: DataFrame, stop_share: float | None = None) -> DataFrame:
+    """(token, df, idf) from item-level document frequency; ln((N+1)/(df+1))+1.
+
+    With ``stop_share`` tokens in more than that share of the items weigh nothing, whatever the corpus size. The source system
+    takes half for corpora of more than a hundred items and no limit for smaller ones.
+    """
     df = matched.select("term", "item_id").distinct().groupBy("term").agg(F.count("*").alias("df"))
     n, freq = F.col("n"), F.col("df")
-    stop = (n > lexicon.IDF_STOP_MIN_ITEMS) & (freq > n * 0.5)
+    idf = F.log((n + 1) / (freq + 1)) + 1
     return (
         df.join(F.broadcast(n_items.select(F.count("*").alias("n"))))  # one row
-        .select(
-            F.col("term").alias("token"), "df",
-            F.when(stop, F.lit(0.0)).otherwise(F.log((n + 1) / (freq + 1)) + 1).alias("idf"),
-        )
+        .select(F.col("term").alias("token"), "df", (idf if stop_share is None else F.when(freq > n * stop_share, F.lit(0.0)).otherwise(idf)).alias("idf"))
     )
 
 
-def match_candidates(items: DataFrame, chunks: DataFrame | None, tokens: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Matched query tokens per item and per chunk with the best field weight."""
-    terms = tokens.select(F.col("token").alias("term"))
-    item_matches = match_terms(
-        weighted_fields(items, lexicon.ITEM_FIELD_WEIGHTS, ["item_id"]), terms, ["item_id"],
-        weight_col="weight",
-    )
-    # read twice, for document frequencies and for scores
-    item_matches = materialize(item_matches)
+def _fields(df: DataFrame, weights: dict[str, int]) -> dict[str, Column]:
+    """All fields in order; a missing one is empty, so that its neighbours lie two spaces apart."""
+    return {name: field_text(df, name) for name in weights}
+
+
+def _seams(items: DataFrame, chunks: DataFrame, terms: DataFrame) -> DataFrame:
+    """(item_id, term) of phrases that run between an item's fields and its chunks'. An item with chunks reads as item, chunk, item,
+    chunk, ... in chunk order, all fields one space apart; of a long field only the ends can take part, so its middle stays out."""
+    phrases = terms.where(F.col("term").rlike("[\\s\u3000]"))
+    longest = phrases.agg(F.max(F.length("term"))).first()[0]
+    if longest is None:
+        return items.select("item_id", F.lit("").alias("term")).limit(0)
+    keep = F.lit(int(longest))
+
+    def ends(df: DataFrame, weights: dict[str, int]) -> Column:
+        parts = [field_text(df, name) for name in weights]
+        cut = [F.when(F.length(t) <= 2 * keep, t).otherwise(F.concat(F.left(t, keep), F.lit("\u0000"), F.right(t, keep))) for t in parts]
+        return F.array_join(F.array(*cut), " ")
+
+    around = items.select("item_id", ends(items, lexicon.ITEM_FIELD_WEIGHTS).alias("outer"))
+    inner = chunks.select("item_id", "chunk_id", ends(chunks, lexicon.CHUNK_FIELD_WEIGHTS).alias("inner"))
+    last = chunks.groupBy("item_id").agg(F.max("chunk_id").alias("last"))
+    rows = around.join(inner, "item_id").join(last, "item_id").select(
+        "item_id", "chunk_id", F.concat_ws(" ", "outer", "inner", F.when(F.col("chunk_id") != F.col("last"), F.col("outer"))).alias("text"))
+    return match_texts(rows, phrases, ["item_id", "chunk_id"]).select("item_id", "term").distinct()
+
+
+def item_index(items: DataFrame) -> TextIndex:
+    """The positional index of all item fields, for a corpus that is asked more than once."""
+    return build_index(items, ["item_id"], _fields(items, lexicon.ITEM_FIELD_WEIGHTS))
+
+
+def match_candidates(
+    items: DataFrame, chunks: DataFrame | None, tokens: DataFrame, index: TextIndex | None = None
+) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """(item_id, term, weight) and (item_id, chunk_id, term, weight) with the best field weight, and (item_id, term) of every item
+    that holds the term, be it from one field into the next. All staged. With ``index`` the items' texts are not read again."""
+    terms = materialize(tokens.select(F.col("token").alias("term")).distinct())
+
+    def weighed(df: DataFrame, keys: list[str], weights: dict[str, int]) -> DataFrame:
+        return materialize(df.select(*keys, "term", weigh(weights, weights, best_of).alias("weight")))
+
+    matched = match_fields(items, ["item_id"], _fields(items, lexicon.ITEM_FIELD_WEIGHTS), terms) if index is None else match_index(index, terms)
+    found = weighed(matched, ["item_id"], lexicon.ITEM_FIELD_WEIGHTS)
+    item_matches, held = found.where("weight > 0"), found.select("item_id", "term")
     if chunks is None:
-        return item_matches, None
-    chunk_matches = match_terms(
-        weighted_fields(chunks, lexicon.CHUNK_FIELD_WEIGHTS, ["item_id", "chunk_id"]), terms,
-        ["item_id", "chunk_id"], weight_col="weight",
-    )
-    return item_matches, materialize(chunk_matches)
+        return item_matches, None, held
+    keys = ["item_id", "chunk_id"]
+    parts = weighed(match_fields(chunks, keys, _fields(chunks, lexicon.CHUNK_FIELD_WEIGHTS), terms), keys, lexicon.CHUNK_FIELD_WEIGHTS)
+    held = union_all([held, parts.select("item_id", "term"), _seams(items, chunks, terms)])
+    return item_matches, parts.where("weight > 0"), held
 
 
 def keyword_scores(
@@ -99,17 +118,15 @@ def keyword_scores(
     tokens: DataFrame,
     chunks: DataFrame | None = None,
     canonical: DataFrame | None = None,
+    stop_share: float | None = None,
 ) -> DataFrame:
     """Positive keyword scores: (query_id, item_id, chunk_id, score).
 
     Per token the best field weight of item and chunk counts once, times its IDF. Items
     without chunks stand as a candidate with a null chunk.
     """
-    item_matches, chunk_matches = match_candidates(items, chunks, tokens)
-    all_matches = item_matches.select("item_id", "term")
-    if chunks is not None:
-        all_matches = all_matches.unionByName(chunk_matches.select("item_id", "term"))
-    idf = token_idf(all_matches, items)
+    item_matches, chunk_matches, held = match_candidates(items, chunks, tokens)
+    idf = token_idf(held, items, stop_share)
     weights = tokens.join(idf, "token").where("idf > 0").select("query_id", F.col("token").alias("term"), "idf")
     weights = broadcast_if_small(materialize(weights))
     if chunks is None:
@@ -196,9 +213,10 @@ def keyword_candidates(
     tokens: DataFrame,
     chunks: DataFrame | None = None,
     canonical: DataFrame | None = None,
+    stop_share: float | None = None,
 ) -> DataFrame:
     """All positive candidates; ``rank`` is their order key."""
-    scores = keyword_scores(items, tokens, chunks, canonical)
+    scores = keyword_scores(items, tokens, chunks, canonical, stop_share)
     return with_item_keys(scores, items, queries).withColumn("rank", order_key())
 
 
@@ -210,9 +228,10 @@ def rank_keyword(
     canonical: DataFrame | None = None,
     k: int = 50,
     encode: Callable | None = None,
+    stop_share: float | None = None,
 ) -> DataFrame:
     """Best k candidates per query, numbered from 1; ``encode`` is not needed here."""
-    return rank_candidates(keyword_candidates(queries, items, tokens, chunks, canonical), k=k)
+    return rank_candidates(keyword_candidates(queries, items, tokens, chunks, canonical, stop_share), k=k)
 
 
 def fallback_candidates(
@@ -324,11 +343,11 @@ def _best_of_cell(k: int) -> Callable:
 
 def rank_vector(
     queries: DataFrame, items: DataFrame, tokens: DataFrame | None = None, chunks: DataFrame | None = None,
-    canonical: DataFrame | None = None, k: int = 50, encode: Callable = hashing_embedding,
+    canonical: DataFrame | None = None, k: int = 50, encode: Callable = hashing_embedding, stop_share: float | None = None,
 ) -> DataFrame:
     """Vector ranking of chunks with score = pool - rank (rank from 0), then items without chunks
     at score 0 in input order, k candidates per query in all; ``encode`` maps a text column to a
-    vector column. ``tokens`` and ``canonical`` belong to the calling convention of ``STRATEGIES``."""
+    vector column. ``tokens``, ``canonical`` and ``stop_share`` belong to the calling convention of ``STRATEGIES``."""
     vectors = chunks.select(F.col("chunk_id").alias("vec_id"), encode(F.col("text")).alias("vec"))
     qvecs = queries.select("query_id", encode(F.col("text")).alias("qvec"))
     hits = vector_top_k(qvecs, vectors, k)
@@ -388,13 +407,13 @@ def fuse(lists: list[DataFrame], k: int | None = None) -> DataFrame:
 def rank_hybrid(
     queries: DataFrame, items: DataFrame, tokens: DataFrame, chunks: DataFrame,
     canonical: DataFrame | None = None, k: int | None = None, encode: Callable = hashing_embedding,
-    list_limit: int = lexicon.RRF_LIST_LIMIT,
+    list_limit: int = lexicon.RRF_LIST_LIMIT, stop_share: float | None = None,
 ) -> DataFrame:
     """Fused keyword and vector ranking; each list gives its best ``list_limit`` candidates, ``k`` at least.
     A question without a positive keyword hit takes the first unscored candidates as its keyword list."""
     list_limit = max(list_limit, k or 0)
     positive = materialize(list_heads(
-        keyword_candidates(queries, items, tokens, chunks, canonical), 0, [F.asc("rank")], list_limit,
+        keyword_candidates(queries, items, tokens, chunks, canonical, stop_share), 0, [F.asc("rank")], list_limit,
     ))
     unscored = fallback_candidates(items, queries, positive, list_limit, chunks).withColumn("list_no", F.lit(0))
     vector = list_heads(

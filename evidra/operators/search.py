@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import lexicon
 from evidra.functions.text import preferred_source_type
-from evidra.operators.matching import KEYWORD, match_terms
+from evidra.operators.matching import KEYWORD, match_fields, sum_of, weigh
 from evidra.operators.retrieval import field_text
 from evidra.operators.tokenize import broad_disease_queries, tokenize_searches
 from evidra.session import broadcast_if_small, materialize
@@ -27,23 +27,16 @@ def filter_items(items: DataFrame, source: str = "all", has_upload: bool | None
 
 def search_scores(items: DataFrame, search_terms: DataFrame) -> DataFrame:
     """(query_id, item_id, score > 0): every matching (field, term) adds the field's weight."""
-    entries = []
-    for name, weight in lexicon.SEARCH_FIELD_WEIGHTS.items():
+    fields = {}
+    for name in lexicon.SEARCH_FIELD_WEIGHTS:
         if name not in items.columns:
             continue
-        text = field_text(items, name)
+        fields[name] = field_text(items, name)
         if name == "evidence_tags":
             spaced = F.transform("evidence_tags", lambda t: F.replace(t, F.lit("_"), F.lit(" ")))
-            text = F.lower(F.concat_ws(" ", F.concat("evidence_tags", spaced)))
-        entries.append(F.struct(F.lit(name).alias("field"), F.lit(weight).alias("weight"), text.alias("text")))
-    fields = (
-        items.select("item_id", F.explode(F.array(*entries)).alias("f"))
-        .select("item_id", "f.field", "f.weight", "f.text").where("text <> ''")
-    )
-    matched = match_terms(
-        fields, search_terms.select("term"), ["item_id", "field"], weight_col="weight",
-        matcher=KEYWORD,
-    )
+            fields[name] = F.lower(F.concat_ws(" ", F.concat("evidence_tags", spaced)))
+    found = match_fields(items, ["item_id"], fields, search_terms.select("term"), KEYWORD)
+    matched = found.withColumn("weight", weigh(fields, lexicon.SEARCH_FIELD_WEIGHTS, sum_of)).where("weight > 0")
     return (
         matched.join(broadcast_if_small(search_terms), "term")
         .groupBy("query_id", "item_id").agg(F.sum("weight").cast("int").alias("score"))

@@ -10,7 +10,7 @@ from evidra.functions import lexicon
 from evidra.functions.text import (
     CJK_CLASS, cjk_chars, normalized, plain_tokens, replace_first,
 )
-from evidra.operators.matching import KEYWORD, match_short_texts
+from evidra.operators.matching import KEYWORD, match_texts
 from evidra.session import union_all
 
 
@@ -114,7 +114,7 @@ def tokenize_queries(
     if entity_aliases is not None:
         bridges.append(bridge_of(entity_aliases, F.col("terms"), F.col("tokens")))
     bridge = union_all(bridges).where("term <> ''").distinct()
-    matched = match_short_texts(texts, bridge.select("term"), ["query_id"])
+    matched = match_texts(texts, bridge.select("term"), ["query_id"])
     injected = matched.join(bridge, "term").select("query_id", "token")
     plain = texts.select("query_id", F.explode(plain_tokens(F.col("text"))).alias("token"))
     chars = leftover_characters(texts, matched, cjk_terms)
@@ -157,7 +157,7 @@ def tokenize_searches(queries: DataFrame) -> DataFrame:
     plain = queries.select("query_id", F.explode(F.array_distinct(F.concat(words, runs))).alias("term"))
     aliases = search_alias_table(spark)
     texts = queries.select("query_id", text.alias("text"))
-    matched = match_short_texts(texts, aliases.select("term"), ["query_id"], matcher=KEYWORD)
+    matched = match_texts(texts, aliases.select("term"), ["query_id"], matcher=KEYWORD)
     groups = matched.join(aliases, "term").select("query_id", "canonical").distinct()
     return plain.unionByName(groups.join(aliases, "canonical").select("query_id", "term")).distinct()
 

@@ -14,7 +14,7 @@ from evidra.session import load_table, materialize
 THRESHOLDS = [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
 
-# --- retrieval metrics on vectors: whole vectors retrieve, half vectors say what to expect ---
+# --- retrieval metrics on vectors: whole vectors retrieve, the table's labels say what to expect ---
 
 
 def _metric_inputs(spark, sf):
@@ -23,14 +23,13 @@ def _metric_inputs(spark, sf):
     langs = vectors.select(F.col("vec_id").alias("item_id"), F.when(side, "cn").otherwise("pubmed").alias("item_lang"))
     questions = vectors.select(F.col("vec_id").alias("query_id"), F.when(side, "zh").otherwise("en").alias("lang"))
     whole = vectors.select("vec_id", F.col("embedding").alias("vec"))
-    half = vectors.select("vec_id", F.slice("embedding", 1, 32).alias("vec"))
-
-    def near(table):
-        queries = table.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
-        found = retrieval.vector_top_k(queries, table, 10)
-        return found.select("query_id", F.col("vec_id").alias("item_id"), "rank").join(langs, "item_id")
-
-    return questions, near(whole), near(half).drop("rank")
+    queries = whole.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
+    found = retrieval.vector_top_k(queries, whole, 10).select("query_id", F.col("vec_id").alias("item_id"), "rank").join(langs, "item_id")
+    # expected are the rows of the query's label in its hundred of ids, so the lists stay short whatever the label's share
+    block = vectors.select("vec_id", "label", F.floor(F.col("vec_id") / 100).alias("block"))
+    expected = block.withColumnRenamed("vec_id", "query_id").join(block.withColumnRenamed("vec_id", "item_id"), ["label", "block"]).where(
+        "query_id <> item_id").select("query_id", "item_id").join(langs, "item_id")
+    return questions, found, expected
 
 
 def retrieval_metrics(spark, sf):
@@ -45,10 +44,10 @@ def retrieval_summary(spark, sf):
 
 _METRICS_SQL = """
 v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e, CASE WHEN embedding[1] > 0 THEN 'cn' ELSE 'pubmed' END AS lg FROM embeddings),
-p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.lg, list_inner_product(a.e, b.e) AS w,
-             list_inner_product(a.e[1:32], b.e[1:32]) AS h FROM v a, v b),
+p AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, b.lg, list_inner_product(a.e, b.e) AS w FROM v a, v b),
 got AS (SELECT * FROM (SELECT query_id, item_id, lg, row_number() OVER (PARTITION BY query_id ORDER BY w DESC, item_id) AS rank FROM p) WHERE rank <= 10),
-want AS (SELECT query_id, item_id, lg FROM (SELECT query_id, item_id, lg, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, item_id) AS rank FROM p) WHERE rank <= 10),
+want AS (SELECT a.vec_id AS query_id, b.vec_id AS item_id, v.lg FROM embeddings a JOIN embeddings b ON a.label = b.label AND a.vec_id // 100 = b.vec_id // 100 AND a.vec_id <> b.vec_id
+  JOIN v ON v.vec_id = b.vec_id),
 hits AS (SELECT g.query_id, count(*) FILTER (g.lg = 'cn') AS cn_hits, count(*) FILTER (g.lg = 'pubmed') AS pubmed_hits,
   count(*) FILTER (w.lg = 'cn') AS hit_cn, count(*) FILTER (w.lg = 'pubmed') AS hit_pub, min(rank) FILTER (w.lg IS NOT NULL) AS fr
   FROM got g LEFT JOIN want w USING (query_id, item_id) GROUP BY 1),
@@ -58,7 +57,7 @@ m AS (SELECT vec_id AS query_id, CASE WHEN lg = 'cn' THEN 'zh' ELSE 'en' END AS
   round(CASE WHEN lg = 'cn' THEN coalesce(hit_pub / nullif(all_pub, 0), 0) ELSE coalesce(hit_cn / nullif(all_cn, 0), 0) END, 4) AS cross_lingual_recall,
   round(least(cn_hits, pubmed_hits) / greatest(cn_hits, pubmed_hits, 1), 4) AS language_diversity,
   round(coalesce(1.0 / fr, 0), 4)::DOUBLE AS mean_reciprocal_rank, round((hit_cn + hit_pub) / 10, 4) AS precision_at_k
-  FROM v JOIN hits ON query_id = vec_id JOIN tot USING (query_id))"""
+  FROM v JOIN hits ON query_id = vec_id LEFT JOIN tot USING (query_id))"""
 
 
 # --- answers: every document as an answer --------------------------------------------------
@@ -179,12 +178,11 @@ def run_comparison(spark, sf):
 
 
 def run_differences(spark, sf):
-    """Nearest vectors by whole against half vectors: queries whose third hit differs."""
+    """Nearest vectors of each vector against those of its reversed one: queries whose third hit differs."""
     _, whole, _ = _metric_inputs(spark, sf)
-    vectors = load_table(spark, sf, "embeddings")
-    half = vectors.select("vec_id", F.slice("embedding", 1, 32).alias("vec"))
-    queries = half.select(F.col("vec_id").alias("query_id"), F.col("vec").alias("qvec"))
-    short = retrieval.vector_top_k(queries, half, 3).select("query_id", F.col("vec_id").alias("item_id"), "rank")
+    vectors = load_table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("vec"))
+    queries = vectors.select(F.col("vec_id").alias("query_id"), F.reverse("vec").alias("qvec"))
+    short = retrieval.vector_top_k(queries, vectors, 3).select("query_id", F.col("vec_id").alias("item_id"), "rank")
 
     def run(df):
         ordered = F.transform(F.sort_array(F.collect_list(F.struct("rank", "item_id"))), lambda s: s["item_id"])
@@ -530,7 +528,8 @@ QUERIES = {
     ),
     "run_differences": (
         run_differences,
-        f"""WITH {_METRICS_SQL}, f AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, item_id) AS rank FROM p),
+        f"""WITH {_METRICS_SQL}, f AS (SELECT query_id, item_id, row_number() OVER (PARTITION BY query_id ORDER BY h DESC, item_id) AS rank
+          FROM (SELECT a.vec_id AS query_id, b.vec_id AS item_id, list_inner_product(list_reverse(a.e), b.e) AS h FROM v a, v b)),
         a AS (SELECT query_id, string_agg(item_id, ',' ORDER BY rank) AS ids, max_by(item_id, rank) AS top FROM got WHERE rank <= 3 GROUP BY 1),
         b AS (SELECT query_id, string_agg(item_id, ',' ORDER BY rank) AS ids, max_by(item_id, rank) AS top FROM f WHERE rank <= 3 GROUP BY 1)
         SELECT query_id AS item_id, a.top AS a_value, a.ids AS a_ids, b.top AS b_value, b.ids AS b_ids FROM a JOIN b USING (query_id) WHERE a.top <> b.top""",

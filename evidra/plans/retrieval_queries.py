@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from evidra.functions import lexicon
 from evidra.functions.embedding import hashing_embedding
 from evidra.functions.text import query_language
-from evidra.operators import retrieval, search, tokenize
+from evidra.operators import matching, retrieval, search, tokenize
 from evidra.plans import shapes
 from evidra.session import load_table, materialize
 
@@ -69,7 +69,7 @@ matched AS MATERIALIZED (
   SELECT item_id, token, max(w) AS w FROM (
     SELECT item_id, token, 1 AS w FROM in_text UNION ALL SELECT item_id, token, 3 FROM in_title) GROUP BY ALL),
 idf AS MATERIALIZED (
-  SELECT token, CASE WHEN n > 100 AND df > n * 0.5 THEN 0.0 ELSE ln((n + 1) / (df + 1)) + 1 END AS idf, df
+  SELECT token, CASE WHEN df > n * 0.5 THEN 0.0 ELSE ln((n + 1) / (df + 1)) + 1 END AS idf, df
   FROM (SELECT token, count(*) AS df FROM matched GROUP BY token), (SELECT count(*) AS n FROM items)),
 scores AS (
   SELECT query_id, item_id, sum(w * idf) AS score
@@ -89,11 +89,11 @@ def query_tokens(spark, sf):
 def _ranked(spark, sf, k):
     queries = shapes.questions(spark, sf)
     tokens = query_tokens(spark, sf)
-    return retrieval.rank_keyword(queries, shapes.corpus(spark, sf), tokens, k=k)
+    return retrieval.rank_keyword(queries, shapes.corpus(spark, sf), tokens, k=k, stop_share=lexicon.IDF_STOP_SHARE)
 
 
 def _candidates(spark, sf, tokens):
-    return retrieval.keyword_candidates(shapes.questions(spark, sf), shapes.corpus(spark, sf), tokens)
+    return retrieval.keyword_candidates(shapes.questions(spark, sf), shapes.corpus(spark, sf), tokens, stop_share=lexicon.IDF_STOP_SHARE)
 
 
 def keyword_ranking(spark, sf):
@@ -102,11 +102,64 @@ def keyword_ranking(spark, sf):
     )
 
 
-def token_idf(spark, sf):
-    tokens = query_tokens(spark, sf)
+def _idf(spark, sf, stop_share):
     items = shapes.corpus(spark, sf)
-    matched, _ = retrieval.match_candidates(items, None, tokens)
-    return retrieval.token_idf(matched, items).select("token", "df", F.round("idf", 6).alias("idf"))
+    _, _, held = retrieval.match_candidates(items, None, query_tokens(spark, sf))
+    return retrieval.token_idf(held, items, stop_share).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+def token_idf(spark, sf):
+    """Every token weighs something, as in a small corpus."""
+    return _idf(spark, sf, None)
+
+
+def token_idf_stopped(spark, sf):
+    """Tokens in more than half of the documents weigh nothing, as in a large corpus."""
+    return _idf(spark, sf, lexicon.IDF_STOP_SHARE)
+
+
+def phrase_frequencies(spark, sf):
+    """Pairs of neighbouring words of the questions, and pairs made of a title's last word and a language's name, as phrases over
+    documents with three fields."""
+    items = _phrase_items(spark, sf)
+    words = F.split(F.lower(F.trim("text")), " +")
+    pairs = load_table(spark, sf, "benchmark").select(F.explode(F.transform(
+        F.sequence(F.lit(0), F.greatest(F.size(words) - 2, F.lit(0))), lambda i: F.concat_ws(" ", F.get(words, i), F.get(words, i + 1)))).alias("term"))
+    ends = items.select(F.concat_ws(" ", F.regexp_extract(F.lower("title"), "([^ ]+)$", 1), F.element_at("keywords", 1)).alias("term"))
+    terms = pairs.unionByName(ends).where("term rlike '^[^ ]+ [^ ]+$'").distinct()
+    index = retrieval.item_index(items)
+    _, _, held = retrieval.match_candidates(items, None, terms.select(F.lit(0).alias("query_id"), F.col("term").alias("token")), index)
+    return held.groupBy(F.col("term").alias("phrase")).agg(F.count("*").alias("n_items"))
+
+
+def _phrase_items(spark, sf):
+    return shapes.corpus(spark, sf).withColumn("keywords", F.array("lang", "source"))
+
+
+PHRASE_SQL = """
+WITH item AS (SELECT doc_id, lower(split_part(text, chr(10), 1)) AS title, lang, lower(split_part(text, chr(10), 1)) || ' ' || lang || ' ' || source || '    ' || lower(text) AS whole FROM documents),
+word AS (SELECT string_split_regex(lower(trim(text)), ' +') AS w FROM benchmark),
+term AS (SELECT DISTINCT t FROM (SELECT w[i] || ' ' || w[i + 1] AS t FROM (SELECT w, unnest(range(1, len(w))) AS i FROM word)
+  UNION ALL SELECT regexp_extract(title, '([^ ]+)$', 1) || ' ' || lang FROM item) WHERE regexp_full_match(t, '(?s)[^ ]+ [^ ]+'))
+SELECT t AS phrase, count(*) AS n_items FROM item JOIN term ON contains(whole, t) GROUP BY t"""
+
+
+def chinese_terms(spark, sf):
+    """Question words in Chinese signs (a-z as 一, 丁, ...), written without marks or spaces, as terms over titles written so."""
+    letters, signs = "abcdefghijklmnopqrstuvwxyz", "".join(chr(0x4E00 + i) for i in range(26))
+    han = lambda c: F.translate(F.regexp_replace(F.lower(c), "[^a-z]", ""), letters, signs)
+    docs = load_table(spark, sf, "documents").select("doc_id", han(F.split_part("text", F.lit("\n"), F.lit(1))).alias("text"))
+    words = load_table(spark, sf, "benchmark").select(F.explode(F.split("text", " ")).alias("w")).select(han(F.col("w")).alias("term"))
+    index = matching.build_index(docs, ["doc_id"], {"text": F.col("text")})
+    found = matching.match_index(index, words.where("length(term) between 1 and 8"))
+    return found.groupBy(F.md5("term").alias("term_md5"), F.length("term").alias("n_signs")).agg(F.count("*").alias("n_docs"))
+
+
+_SIGNS = "".join(chr(0x4E00 + i) for i in range(26))
+CHINESE_SQL = f"""
+WITH d AS (SELECT doc_id, translate(regexp_replace(lower(split_part(text, chr(10), 1)), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{_SIGNS}') AS t FROM documents),
+w AS (SELECT DISTINCT translate(regexp_replace(lower(unnest(string_split(text, ' '))), '[^a-z]', '', 'g'), 'abcdefghijklmnopqrstuvwxyz', '{_SIGNS}') AS term FROM benchmark)
+SELECT md5(term) AS term_md5, CAST(length(term) AS INTEGER) AS n_signs, count(*) AS n_docs FROM w JOIN d ON contains(t, term) WHERE length(term) BETWEEN 1 AND 8 GROUP BY term"""
 
 
 def query_languages(spark, sf):
@@ -118,7 +171,7 @@ def chunk_ranking(spark, sf):
     queries = shapes.questions(spark, sf)
     tokens = query_tokens(spark, sf)
     ranked = retrieval.rank_keyword(
-        queries, shapes.conversation_items(spark, sf), tokens, shapes.conversation_chunks(spark, sf), k=5
+        queries, shapes.conversation_items(spark, sf), tokens, shapes.conversation_chunks(spark, sf), k=5, stop_share=lexicon.IDF_STOP_SHARE
     )
     return ranked.select("query_id", "item_id", "chunk_id", F.round("score", 6).alias("score"), "rank")
 
@@ -130,7 +183,7 @@ terms AS (SELECT DISTINCT token FROM tokens),
 {_matched('im', 'items', 'item_id', 'title', 'terms', 'token', SHORT)},
 {_matched('cm', 'chunks', 'item_id, chunk_id', 't', 'terms', 'token', SHORT)},
 idf AS MATERIALIZED (
-  SELECT token, CASE WHEN n > 100 AND df > n * 0.5 THEN 0.0 ELSE ln((n + 1) / (df + 1)) + 1 END AS idf
+  SELECT token, CASE WHEN df > n * 0.5 THEN 0.0 ELSE ln((n + 1) / (df + 1)) + 1 END AS idf
   FROM (SELECT token, count(DISTINCT item_id) AS df FROM (SELECT item_id, token FROM im UNION ALL SELECT item_id, token FROM cm) GROUP BY 1),
        (SELECT count(*) AS n FROM items)),
 best AS (
@@ -287,7 +340,7 @@ def hybrid_ranking(spark, sf):
     queries = shapes.questions(spark, sf)
     ranked = retrieval.rank_hybrid(
         queries, shapes.conversation_items(spark, sf), query_tokens(spark, sf),
-        shapes.conversation_chunks(spark, sf), k=10, encode=hashing_embedding,
+        shapes.conversation_chunks(spark, sf), k=10, encode=hashing_embedding, stop_share=lexicon.IDF_STOP_SHARE,
     )
     return ranked.select("query_id", "item_id", "chunk_id", F.round("rrf", 8).alias("rrf"), "score", "rank")
 
@@ -316,7 +369,7 @@ def first_candidate_per_item(spark, sf):
     queries = shapes.questions(spark, sf)
     candidates = retrieval.keyword_candidates(
         queries, shapes.conversation_items(spark, sf), query_tokens(spark, sf),
-        shapes.conversation_chunks(spark, sf),
+        shapes.conversation_chunks(spark, sf), stop_share=lexicon.IDF_STOP_SHARE,
     )
     return retrieval.first_per_item(candidates, 10)
 
@@ -401,7 +454,10 @@ QUERIES = {
         keyword_ranking,
         f"WITH {KEYWORD_SQL} SELECT query_id, item_id, round(score, 6) AS score, bonus, year, rank FROM ranked WHERE rank <= 10",
     ),
-    "token_idf": (token_idf, f"WITH {KEYWORD_SQL} SELECT token, df, round(idf, 6) AS idf FROM idf"),
+    "token_idf": (token_idf, f"WITH {KEYWORD_SQL} SELECT token, df, round(ln((n + 1) / (df + 1)) + 1, 6) AS idf FROM idf, (SELECT count(*) AS n FROM items)"),
+    "token_idf_stopped": (token_idf_stopped, f"WITH {KEYWORD_SQL} SELECT token, df, round(idf, 6) AS idf FROM idf"),
+    "phrase_frequencies": (phrase_frequencies, PHRASE_SQL),
+    "chinese_terms": (chinese_terms, CHINESE_SQL),
     "query_languages": (
         query_languages,
         "SELECT lang, CASE WHEN regexp_matches(text, '[一-鿿]') THEN 'zh' ELSE 'en' END AS detected, count(*) AS n FROM documents GROUP BY ALL",

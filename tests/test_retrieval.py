@@ -38,9 +38,10 @@ def test_matching_equals_brute_force(spark):
     term_table = spark.createDataFrame([(t,) for t in terms], "term string")
     for matcher, brute in ((matching.TOKEN, brute_token), (matching.KEYWORD, brute_keyword), (matching.SUBSTRING, lambda t, x: t in x)):
         want = sorted((i, t) for i, x in enumerate(texts) for t in terms if brute(t, x))
-        got = matching.match_terms(table, term_table, ["id"], matcher=matcher)
+        index = matching.build_index(table, ["id"], {"text": F.col("text")})
+        got = matching.match_index(index, term_table, matcher)
         assert sorted((r.id, r.term) for r in got.collect()) == want
-        short = matching.match_short_texts(table, term_table, ["id"], matcher=matcher)
+        short = matching.match_texts(table, term_table, ["id"], matcher=matcher)
         assert sorted((r.id, r.term) for r in short.collect()) == want
 
 
@@ -110,12 +111,65 @@ def test_chinese_text_is_cut_at_its_marks(spark):
     texts = spark.createDataFrame([
         (1, "特应性皮炎，皮肤屏障受损。　黄芩苷抑制 IL-4、IL-13表达！"), (2, "皮肤，屏障"), (3, "长" * 5000 + "；黄芩苷"), (4, "，。"), (5, None)], "i int, text string")
     terms = spark.createDataFrame([(t,) for t in ("皮肤屏障", "皮肤，屏障", "黄芩苷", "il-13表达", "炎，皮", "，", "受损。")], "term string")
-    assert max(r.n for r in texts.where("i <> 3").select(F.array_max(F.transform(matching.text_pieces(F.col("text")), F.length)).alias("n")).collect() if r.n) <= 8
-    found = matching.match_terms(texts, terms, ["i"], matcher=matching.SUBSTRING).collect()
+    index = matching.build_index(texts, ["i"], {"text": F.col("text")})
+    assert max(len(r.unit) for r in index.vocabulary().collect() if r.unit[-1] == "c") == 3  # pairs of signs and their kind
+    found = matching.match_index(index, terms, matching.SUBSTRING).collect()
     want = {(i, t.term) for i, x in texts.collect() for t in terms.collect() if x and t.term in x.lower() and t.term != "，"}
     assert {(r.i, r.term) for r in found} == want and len(want) == 7
 
 
+def test_index_against_brute_force_over_fields(spark, monkeypatch):
+    rng = random.Random(6)
+    parts = ["ad", "adx", "ad治", "治疗", "皮肤屏障", "屏", "x y", "a,b", "-", "il-31", "。", "\n", "é", "foo", "皮"]
+    make = lambda n: rng.choice(["", " "]).join(rng.choice(parts) + rng.choice(["", " ", "  "]) for _ in range(rng.randint(0, n)))
+    docs = [(i, make(5), make(2), make(9)) for i in range(150)]
+    terms = {make(3) for _ in range(150)} | {"ad", "治", "治疗", "肤屏障", "x", "ad 治", " ad", "ad ", "d治疗皮", "y a,b", "屏 屏", "  ", "foo ad"}
+    table = spark.createDataFrame([(*d, 1, "z") for d in docs], "id int, a string, b string, c string, field int, unit string").repartition(3)
+    term_table = spark.createDataFrame([(t,) for t in terms], "term string")
+    for part_chars in (matching.PART_CHARS, 40):
+        monkeypatch.setattr(matching, "PART_CHARS", part_chars)
+        for matcher, brute in ((matching.TOKEN, brute_token), (matching.KEYWORD, brute_keyword)):
+            index = matching.build_index(table, ["id"], {n: F.col(n) for n in "abc"})
+            got = {(r.id, r.term): r.fields for r in matching.match_index(index, term_table, matcher).collect()}
+            once = {(r.id, r.term): r.fields for r in matching.match_fields(table, ["id"], {n: F.col(n) for n in "abc"}, term_table, matcher).collect()}
+            want = {}
+            for i, *texts in docs:
+                for t in terms:
+                    if matching.UNIT.search(t) is None:
+                        continue
+                    inside = sum(brute(t, x) << n for n, x in enumerate(texts))
+                    if inside or brute(t, " ".join(texts)):
+                        want[i, t] = inside or 1 << matching.CROSSING
+            assert got == want and once == want
+
+
+def test_index_keeps_positions_gap_coded(spark):
+    table = spark.createDataFrame([(1, "gut skin gut", "gut")], "id int, a string, b string")
+    index = matching.build_index(table, ["id"], {"a": F.col("a"), "b": F.col("b")})
+    entries = {(e.unit, e.field): e.gaps for e in index.postings.collect()}
+    assert entries == {("gut0", 0): [0, 9], ("skin0", 0): [4], ("gut0", 1): [13]}
+
+
+def test_document_frequency_of_phrases_over_fields_and_chunks(spark):
+    schema = "item_id string, title string, keywords array<string>, abstract string"
+    items = spark.createDataFrame([("a", "the skin", ["barrier", "gut"], "ends here"), ("b", "skin barrier", [], "x"), ("c", "no", [], "last")], schema)
+    chunks = spark.createDataFrame([("a1", "a", "now begins"), ("a2", "a", "and stops"), ("c1", "c", "word")], "chunk_id string, item_id string, text string")
+    tokens = spark.createDataFrame([(1, t) for t in (
+        "skin barrier", "barrier gut", "gut ends", "here now", "here and", "begins the", "last word", "stops the", "begins   the")], "query_id int, token string")
+    _, _, held = retrieval.match_candidates(items, chunks, tokens)
+    # keywords, two empty fields and the snippet lie between gut and ends; a chunk's two empty fields before the next title
+    assert {tuple(r) for r in held.distinct().collect()} == {
+        ("a", "skin barrier"), ("b", "skin barrier"), ("a", "barrier gut"), ("a", "here now"), ("a", "here and"), ("c", "last word"), ("a", "begins   the")}
+
+
+def test_stop_share_is_the_callers(spark):
+    items = spark.createDataFrame([(i,) for i in range(6)], "item_id int")
+    matched = spark.createDataFrame([(i, "all") for i in range(6)] + [(i, "half") for i in range(3)], "item_id int, term string")
+    free = {r.token: r.idf for r in retrieval.token_idf(matched, items).collect()}
+    stopped = {r.token: r.idf for r in retrieval.token_idf(matched, items, 0.5).collect()}
+    assert free["all"] == 1.0 and stopped["all"] == 0.0 and free["half"] == stopped["half"] > 1
+
+
 def test_fallback_names_every_chunk(spark):
     queries = spark.createDataFrame([(1, "zzz")], "query_id int, text string")
     none = spark.createDataFrame([], "query_id int")
