@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evidra.session import BROADCAST_MAX_BYTES, broadcast_if_small, materialize, union_all
+from evidra.session import BROADCAST_MAX_BYTES, broadcast_if_small, materialize, spread, union_all
 
 SEPARATORS = r"\s　，。；：！？、"
 CJK_RANGE = "一-鿿"
@@ -153,7 +153,7 @@ def _fits(kind: str, core: str, flag: str, start: int, end: int) -> bool:
 
 
 def _joined_fields(docs: DataFrame, keys: list[str], fields: dict[str, Column]) -> DataFrame:
-    return docs.select(*keys, F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in fields.values()]).alias("texts"))
+    return spread(docs.select(*keys, F.array(*[F.lower(F.coalesce(c, F.lit(""))) for c in fields.values()]).alias("texts")))
 
 
 def _types(df: DataFrame, columns: list[str]) -> str:

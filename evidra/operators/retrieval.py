@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from evidra.functions import lexicon
 from evidra.functions.embedding import hashing_embedding
 from evidra.functions.text import preferred_source_type
+from evidra.operators import topk
 from evidra.operators.matching import SUBSTRING, TextIndex, best_of, build_index, match_fields, match_index, match_texts, weigh
 from evidra.session import union_all, broadcast_if_small, materialize
 
@@ -230,10 +231,29 @@ def rank_keyword(
     encode: Callable | None = None,
     stop_share: float | None = None,
 ) -> DataFrame:
-    """Best k candidates per query, numbered from 1; ``encode`` is not needed here."""
+    """Best k candidates per query, numbered from 1; ``encode`` is not needed here. Whole items without tags are ranked by
+    score bounds, without forming all pairs."""
+    if chunks is None and (canonical is None or "evidence_tags" not in items.columns):
+        matches, weights = weighed_terms(items, tokens, stop_share)
+        return rank_candidates(top_candidates(queries, items, matches, weights, k))
     return rank_candidates(keyword_candidates(queries, items, tokens, chunks, canonical, stop_share), k=k)
 
 
+def weighed_terms(items: DataFrame, tokens: DataFrame, stop_share: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """(item_id, term, weight) of the items and (query_id, term, idf) of the queries' tokens with a weight; both staged."""
+    matches, _, held = match_candidates(items, None, tokens)
+    idf = token_idf(held, items, stop_share).where("idf > 0")
+    weights = tokens.join(idf, "token").select("query_id", F.col("token").alias("term"), "idf").distinct()
+    return matches, materialize(weights)
+
+
+def top_candidates(queries: DataFrame, items: DataFrame, matches: DataFrame, weights: DataFrame, k: int) -> DataFrame:
+    """The k best candidates of every query with their keys; ``rank`` is their order key."""
+    first = items.where("record_origin <> 'seed_sample'")  # real evidence comes before all other
+    scores = topk.top_scores(matches, weights, first, k).withColumn("chunk_id", F.lit(None).cast("string"))
+    return rank_candidates(with_item_keys(scores, items, queries), k=k).withColumn("rank", order_key())
+
+
 def fallback_candidates(
     items: DataFrame, queries: DataFrame, hits: DataFrame, k: int, chunks: DataFrame | None = None
 ) -> DataFrame:

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
 from evidra.functions.embedding import register_entailment, select_backend, select_entailment
-from evidra.operators import answers, evaluation, grounding, ordering, retrieval
+from evidra.functions import lexicon
+from evidra.operators import answers, evaluation, grounding, ordering, retrieval, topk
 from evidra.plans import shapes
 from evidra.plans.retrieval_queries import _HASH_SQL, KEYWORD_SQL, _candidates, _ranked, query_tokens
 from evidra.session import load_table, materialize
@@ -362,17 +363,29 @@ def _citation_inputs(spark, sf):
     return tokens, ranked, vocabulary
 
 
+def _top_inputs(spark, sf):
+    """Tokens, the three best candidates and the number of candidates of every question, without all pairs."""
+    tokens, items = query_tokens(spark, sf), shapes.corpus(spark, sf)
+    matches, weights = retrieval.weighed_terms(items, tokens, lexicon.IDF_STOP_SHARE)
+    best = materialize(retrieval.top_candidates(shapes.questions(spark, sf), items, matches, weights, 3))
+    return tokens, best, matches, weights, items
+
+
+def _picked(spark, sf):
+    tokens, best, *_ = _top_inputs(spark, sf)
+    topical = answers.topical_queries(best, tokens, tokens.select("token").distinct())
+    return answers.select_citations(best, topical, None, top_k=3, source="pubmed")[0]
+
+
 def citation_selection(spark, sf):
-    tokens, ranked, vocabulary = _citation_inputs(spark, sf)
-    topical = answers.topical_queries(ranked, tokens, vocabulary)
-    chosen, _ = answers.select_citations(ranked, topical, None, top_k=3, source="pubmed")
-    return chosen.select("query_id", "item_id", "position", "match_score")
+    return _picked(spark, sf).select("query_id", "item_id", "position", "match_score")
 
 
 def available_citations(spark, sf):
-    tokens, ranked, vocabulary = _citation_inputs(spark, sf)
-    topical = answers.topical_queries(ranked, tokens, vocabulary)
-    return answers.select_citations(ranked, topical, None, top_k=3)[1]
+    tokens, best, matches, weights, items = _top_inputs(spark, sf)
+    topical = answers.topical_queries(best, tokens, tokens.select("token").distinct())
+    counts = topk.positive_counts(matches, weights, items)
+    return counts.join(topical, "query_id", "left_semi").select("query_id", F.col("n").alias("available_citation_count"))
 
 
 def answer_batch(spark, sf):
@@ -385,9 +398,7 @@ def answer_batch(spark, sf):
 
 
 def evidence_packs(spark, sf):
-    tokens, ranked, vocabulary = _citation_inputs(spark, sf)
-    topical = answers.topical_queries(ranked, tokens, vocabulary)
-    chosen, _ = answers.select_citations(ranked, topical, None, top_k=3, source="pubmed")
+    chosen = _picked(spark, sf)
     items = shapes.corpus(spark, sf).withColumn("snippet", F.col("abstract")).withColumn("evidence_tags", F.array("lang", "source"))
     packs = answers.evidence_packs(answers.citation_cards(chosen, items, None))
     return packs.select("query_id", F.md5("evidence_text").alias("evidence_md5"), F.length("evidence_text").alias("n_chars"))

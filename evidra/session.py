@@ -72,6 +72,13 @@ def materialize(df: DataFrame, compression: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows dealt over all cores where they come from few files, which Spark may not be able to split; a table of many files stays
+    where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * len(df.inputFiles()) <= cores else df
+
+
 def measured_bytes(df: DataFrame) -> int:
     """Serialised size of a (small or already materialised) table, summed by Spark."""
     if not df.columns:
