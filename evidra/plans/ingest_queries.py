@@ -12,7 +12,7 @@ from evidra.functions import text as tx
 from evidra.operators import answers, audits, documents, lineage
 from evidra.plans import review_queries as rq
 from evidra.plans.evaluation_queries import _CLAIMS_SQL, _turn_claims
-from evidra.session import load_table, materialize
+from evidra.session import load_table, materialize, work_folder
 from evidra.sources import connectors, literature, omics
 
 J = lambda *cols: F.to_json(F.struct(*cols))
@@ -390,6 +390,66 @@ def snapshot_store_issues(spark, sf):
 STORE_SQL = """SELECT rule, count(*) AS n FROM (SELECT CASE page_id % 10 WHEN 1 THEN 'snapshot_id_mismatch' WHEN 2 THEN 'artifact_missing' WHEN 3 THEN 'artifact_hash_mismatch' END AS rule FROM pages) WHERE rule IS NOT NULL GROUP BY 1"""
 
 
+def _written_lines(spark, rows):
+    """(dataset, line_no, line) as text files, one per dataset, read back by the splitting reader."""
+    folder = work_folder(spark, "lines")
+    ordered = rows.withColumnRenamed("dataset", "of").repartition("of").sortWithinPartitions("of", "line_no")
+    ordered.select("of", F.col("line").alias("value")).write.partitionBy("of").text(folder)
+    return omics.read_lines(spark, folder).withColumn("dataset", F.regexp_extract("dataset", "of=([^/]*)/", 1))
+
+
+def _matrix_lines(spark, sf):
+    """Orders as expression matrices of fifty datasets: each order a probe of two samples, text before and after the table; every
+    dataset of a multiple of ten lacks the begin marker, every fiftieth order has a cell that is no number."""
+    orders = load_table(spark, sf, "orders").select((F.col("o_custkey") % 50).alias("dataset"), "o_orderkey", "o_totalprice")
+    price = F.when(F.col("o_orderkey") % 50 == 7, F.lit("n/a")).otherwise(F.col("o_orderkey").cast("string"))
+    probe = F.concat(F.lit("p"), (F.col("o_orderkey") % 1000).cast("string"))
+    late = F.col("o_orderkey") % 4 == 3  # after the end marker
+    body = orders.select("dataset", (F.col("o_orderkey") + F.when(late, 1 << 40).otherwise(10)).alias("line_no"), F.concat_ws("\t", probe, price, F.lit("1.5")).alias("line"))
+    frame = [(0, "!Sample_characteristics_ch1\tcondition:AL\tcondition:normal"), (1, "loose\ttext"), (2, "!series_matrix_table_begin"), (3, "\"ID_REF\"\ta\tb"),
+             (4, ""), (1 << 39, "!series_matrix_table_end")]
+    marks = orders.select("dataset").distinct().select("dataset", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("line_no"), F.lit(t).alias("line")) for n, t in frame])).alias("m"))
+    marks = marks.select("dataset", "m.line_no", "m.line").where("not (dataset % 10 = 0 and line_no = 2)")
+    return _written_lines(spark, body.unionByName(marks))
+
+
+def matrix_violations(spark, sf):
+    return omics.matrix_violations(_matrix_lines(spark, sf)).groupBy("dataset", "rule").agg(F.count("*").alias("n"), F.max("detail").alias("detail"))
+
+
+def matrix_values(spark, sf):
+    values = omics.expression_values(_matrix_lines(spark, sf))
+    return values.groupBy("dataset", "sample_idx").agg(F.count("*").alias("n"), F.count("value").alias("n_numbers"), F.sum(F.col("value").cast("decimal(18,2)")).alias("total"))
+
+
+_MATRIX_SQL = """WITH o AS (SELECT o_custkey % 50 AS d, o_orderkey AS k, 'p' || o_orderkey % 1000 AS probe FROM orders WHERE o_orderkey % 4 <> 3 AND o_custkey % 50 % 10 <> 0),
+alld AS (SELECT DISTINCT o_custkey % 50 AS d FROM orders)"""
+
+MATRIX_RULES_SQL = f"""{_MATRIX_SQL}
+SELECT CAST(d AS VARCHAR) AS dataset, rule, count(*) AS n, max(detail) AS detail FROM (
+  SELECT d, 'non_numeric_value' AS rule, probe AS detail FROM o WHERE k % 50 = 7
+  UNION ALL SELECT d, 'no_expression_rows', '' FROM alld WHERE d NOT IN (SELECT d FROM o)) GROUP BY ALL"""
+
+MATRIX_VALUES_SQL = f"""{_MATRIX_SQL}, last AS (SELECT d, probe, max(k) AS k FROM o GROUP BY ALL)
+SELECT CAST(d AS VARCHAR) AS dataset, CAST(0 AS INTEGER) AS sample_idx, count(*) AS n, count(*) FILTER (k % 50 <> 7) AS n_numbers,
+  sum(CASE WHEN k % 50 <> 7 THEN CAST(k AS DECIMAL(18,2)) END) AS total FROM last GROUP BY d
+UNION ALL SELECT CAST(d AS VARCHAR), 1, count(*), count(*), sum(CAST(1.5 AS DECIMAL(18,2))) FROM last GROUP BY d"""
+
+
+def annotation_symbols(spark, sf):
+    """Parts as platform annotations per size: type as symbol with an alternative, blanks for every seventh part, loose lines outside the markers."""
+    parts = load_table(spark, sf, "part").select(F.col("p_size").alias("dataset"), "p_partkey", "p_type")
+    symbol = F.when(F.col("p_partkey") % 7 == 0, F.lit("  ")).otherwise(F.concat("p_type", F.lit(" /// other")))
+    body = parts.select("dataset", (F.col("p_partkey") + 10).alias("line_no"), F.concat_ws("\t", (F.col("p_partkey") % 300).cast("string"), F.lit("x"), symbol).alias("line"))
+    frame = [(0, "^Annotation"), (1, "loose\tx\tSYM"), (2, "!platform_table_begin"), (3, "ID\tx\tGene symbol"), (1 << 39, "!platform_table_end"), (1 << 40, "late\tx\tSYM")]
+    marks = parts.select("dataset").distinct().select("dataset", F.explode(F.array(*[F.struct(F.lit(n).cast("long").alias("line_no"), F.lit(t).alias("line")) for n, t in frame])).alias("m"))
+    return omics.annotation_symbols(_written_lines(spark, body.unionByName(marks.select("dataset", "m.line_no", "m.line"))))
+
+
+ANNOTATION_SQL = """SELECT CAST(p_size AS VARCHAR) AS dataset, CAST(p_partkey % 300 AS VARCHAR) AS probe, max_by(p_type, p_partkey) AS symbol
+FROM part WHERE p_partkey % 7 <> 0 GROUP BY ALL"""
+
+
 # --- documents --------------------------------------------------------------------------------------
 
 
@@ -588,6 +648,9 @@ QUERIES = {
     "parse_status_updates": (parse_status_updates, STATUS_SQL),
     "sealed_snapshots": (sealed_snapshots, SEALED_SQL),
     "snapshot_store_issues": (snapshot_store_issues, STORE_SQL),
+    "matrix_violations": (matrix_violations, MATRIX_RULES_SQL),
+    "matrix_values": (matrix_values, MATRIX_VALUES_SQL),
+    "annotation_symbols": (annotation_symbols, ANNOTATION_SQL),
     "transcript_documents": (transcript_documents, TRANSCRIPT_SQL),
     "network_reports": (network_reports, None),
     "reviewer_packets": (reviewer_packets, PACKET_SQL),

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+
+from evidra.sources.positions import positioned
 
 SCHEMAS = {
     "herb": "id string, name string, pinyin string, latin_name string, category string, evidence_tags array<string>",
@@ -18,7 +19,7 @@ SCHEMAS = {
 
 def read_entities(spark: SparkSession, path: str, kind: str) -> DataFrame:
     """One typed table with ``ord``; the id column is named after the kind (herb_id, ...)."""
-    table = spark.read.schema(SCHEMAS[kind]).option("multiLine", True).json(path).withColumn("ord", F.monotonically_increasing_id())
+    table = positioned(spark.read.schema(SCHEMAS[kind]).option("multiLine", True).json(path), "ord")
     return table if kind in ("edge", "gene_set") else table.withColumnRenamed("id", f"{kind}_id")
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
+from evidra.sources.positions import positioned
 
 ITEM_SCHEMA = (
     "id string, title string, language string, source_type string, source string, record_origin string, year int, "
@@ -42,13 +43,12 @@ def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def read_items(spark: SparkSession, path: str) -> DataFrame:
     """Items with derived origin and ``ord``, the input position ties fall back to."""
-    raw = read_json_list(spark, path, ITEM_SCHEMA)
-    return raw.withColumn("record_origin", record_origin(F.col("source"), F.col("record_origin"))).withColumn(
-        "ord", F.monotonically_increasing_id())
+    raw = positioned(read_json_list(spark, path, ITEM_SCHEMA), "ord")
+    return raw.withColumn("record_origin", record_origin(F.col("source"), F.col("record_origin")))
 
 
 def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    return read_json_list(spark, path, CHUNK_SCHEMA).withColumn("ord", F.monotonically_increasing_id())
+    return positioned(read_json_list(spark, path, CHUNK_SCHEMA), "ord")
 
 
 def chunks_of(chunks: DataFrame, literature_id: str) -> DataFrame:

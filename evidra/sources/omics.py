@@ -7,13 +7,14 @@ from pyspark.sql import functions as F
 
 from evidra.functions.canonical import canonical_json, canonical_text
 from evidra.operators.expression import canonical_group
-from evidra.session import union_all
+from evidra.session import broadcast_if_small, materialize, union_all
+from evidra.sources.positions import positioned, table_region
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
-    """Lines of plain or gzip text files: (dataset = file path, line_no, line)."""
-    return spark.read.text(path).select(
-        F.col("_metadata.file_path").alias("dataset"), F.monotonically_increasing_id().alias("line_no"), F.col("value").alias("line"))
+    """Lines of plain or gzip text files: (dataset = file path, line_no from 0, line). Plain files may be cut into splits."""
+    return positioned(spark.read.text(path), "line_no", within_file=True, file="dataset").withColumnRenamed("value", "line").select(
+        "dataset", "line_no", "line")
 
 
 def _cells(line: Column) -> Column:
@@ -33,16 +34,26 @@ def sample_groups(lines: DataFrame) -> DataFrame:
     return spread.select("dataset", "sample_idx", canonical_group(label(F.col("cell"))).alias("grp"))
 
 
+# Lines that enclose the tables.
+MATRIX_MARKS = ("!series_matrix_table_begin", "!series_matrix_table_end")
+PLATFORM_MARKS = ("!platform_table_begin", "!platform_table_end")
+
+
 def matrix_rows(lines: DataFrame) -> DataFrame:
-    """(dataset, probe, cells) of the table region: lines that are neither metadata nor header."""
-    cells = _cells(F.col("line"))
-    rows = lines.where(~F.col("line").startswith("!") & (F.trim("line") != "")).select("dataset", F.col("line_no"), cells.alias("cells"))
+    """(dataset, line_no, probe, cells) of the table between its markers, without the header; what lies outside is ignored."""
+    rows = table_region(lines, *MATRIX_MARKS).select("dataset", "line_no", _cells(F.col("line")).alias("cells"))
     return rows.where(F.col("cells")[0] != "ID_REF").select("dataset", "line_no", F.col("cells")[0].alias("probe"), F.slice("cells", 2, 1_000_000_000).alias("cells"))
 
 
+def last_of_probe(rows: DataFrame) -> DataFrame:
+    """Of rows that repeat a probe the last one counts."""
+    last = rows.groupBy("dataset", "probe").agg(F.max("line_no").alias("line_no"))
+    return rows.join(last, ["dataset", "probe", "line_no"], "left_semi")
+
+
 def expression_values(lines: DataFrame) -> DataFrame:
     """Long table (dataset, probe, sample_idx, value)."""
-    rows = matrix_rows(lines)
+    rows = last_of_probe(matrix_rows(lines))
     return rows.select("dataset", "probe", F.posexplode("cells").alias("sample_idx", "cell")).select(
         "dataset", "probe", "sample_idx", F.col("cell").try_cast("double").alias("value"))
 
@@ -65,14 +76,17 @@ def matrix_violations(lines: DataFrame) -> DataFrame:
 
 
 def annotation_symbols(lines: DataFrame) -> DataFrame:
-    """(dataset, probe, symbol): first entry of the ``Gene symbol`` column, blanks dropped."""
-    table = lines.where(~F.col("line").rlike("^[!#^]") & (F.trim("line") != "")).select("dataset", "line_no", F.split("line", "\t").alias("cells"))
-    # the header is the first table line of a file; it names the symbol column
-    header = table.groupBy("dataset").agg(F.min_by(F.struct("line_no", "cells"), "line_no").alias("h")).select(
-        "dataset", F.col("h.line_no").alias("header_no"), F.array_position("h.cells", "Gene symbol").cast("int").alias("at"))
-    rows = table.join(F.broadcast(header), "dataset").where("line_no > header_no and at > 0")  # one row per file
+    """(dataset, probe, symbol) of the table between its markers: first entry of the ``Gene symbol`` column, blanks dropped; the last row
+    of a probe counts."""
+    table = table_region(lines, *PLATFORM_MARKS).select("dataset", "line_no", F.split("line", "\t").alias("cells"))
+    # the first line of the table names the symbol column
+    first = table.groupBy("dataset").agg(F.min("line_no").alias("line_no"))
+    header = table.join(broadcast_if_small(materialize(first)), ["dataset", "line_no"]).select(
+        "dataset", F.col("line_no").alias("header_no"), F.array_position("cells", "Gene symbol").cast("int").alias("at"))
+    rows = table.join(broadcast_if_small(materialize(header)), "dataset").where("line_no > header_no and at > 0")
     raw = F.trim(F.try_element_at("cells", F.col("at")))
-    return rows.where(raw != "").select("dataset", F.trim(F.col("cells")[0]).alias("probe"), F.trim(F.split_part(raw, F.lit("///"), F.lit(1))).alias("symbol"))
+    found = rows.where(raw != "").select("dataset", "line_no", F.trim(F.col("cells")[0]).alias("probe"), F.trim(F.split_part(raw, F.lit("///"), F.lit(1))).alias("symbol"))
+    return last_of_probe(found).select("dataset", "probe", "symbol")
 
 
 # --- sealed snapshots ----------------------------------------------------------------------------------
