@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -292,6 +294,8 @@ def fallback_candidates(
 #: Bytes of vectors on either side of a grid cell, and cells of the score matrix formed at a time.
 CELL_BYTES = 16 * 1024 * 1024
 CELL_SCORES = 4 * 1024 * 1024
+#: Vectors a cell has on average, the greatest number of cells, and vectors sampled per cell for its centroid.
+CELL_ROWS, MOST_CELLS, SAMPLE_PER_CELL = 4096, 1024, 16
 
 
 def cosine(a: Column, b: Column) -> Column:
@@ -306,30 +310,115 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(products, F.lit(0.0), lambda acc, x: acc + x)
 
 
-def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int) -> DataFrame:
+def vector_top_k(queries: DataFrame, vectors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Exact inner-product top-k: queries (query_id, qvec), vectors (vec_id, vec) ->
     (query_id, vec_id, score, rank); ties go to the smaller id. Null vectors take no part.
 
-    Both sides are dealt into blocks of bounded bytes; executors multiply one query block with
-    one vector block at a time and keep k rows per query and cell. Neither side is broadcast
-    or brought to the driver.
+    Vectors are dealt to the nearest of some centroids. No vector of a cell scores more than q.c + |q| r, so a query first meets the
+    cells with the best bounds, and then only those whose bound reaches its k-th score. Cells and queries meet in blocks of bounded
+    bytes on executors, which emit k rows per query and block. Neither side is broadcast or brought to the driver.
     """
-    id_type = dict(vectors.dtypes)["vec_id"]
-    query_type = dict(queries.dtypes)["query_id"]
+    return pruned_top_k(queries, vectors, k, cell_rows)[0]
+
+
+def pruned_top_k(queries: DataFrame, vectors: DataFrame, k: int, cell_rows: int = CELL_ROWS) -> tuple[DataFrame, DataFrame]:
+    """(the rows of ``vector_top_k``, (query_id, met, cells): how many of the cells each query met)."""
+    spark = vectors.sparkSession
+    id_type, query_type = dict(vectors.dtypes)["vec_id"], dict(queries.dtypes)["query_id"]
     schema = f"query_id {query_type}, vec_id {id_type}, score double"
-    if k <= 0:
-        return vectors.sparkSession.createDataFrame([], schema + ", rank int")
     queries, vectors = queries.where("qvec is not null"), vectors.where("vec is not null")
+    total = vectors.count() if k > 0 else 0
+    if not total:
+        return spark.createDataFrame([], schema + ", rank int"), spark.createDataFrame([], f"query_id {query_type}, met long, cells long")
+    n_cells = max(1, min(MOST_CELLS, total // cell_rows))
+    vectors = vectors.select("vec_id", F.col("vec").cast("array<double>").alias("vec"))
+    queries = queries.select("query_id", F.col("qvec").cast("array<double>").alias("qvec"))
+    if n_cells == 1:
+        found = _grid(queries.withColumn("cell", F.lit(0)), vectors.withColumn("cell", F.lit(0)), k, schema)
+        return _ranked_vectors(found, k), queries.select("query_id", F.lit(1).cast("long").alias("met"), F.lit(1).cast("long").alias("cells"))
+    # twice as many distinct vectors as cells, by a hash of the vector, at most: the spread ones of them are the centroids
+    sample = vectors.select("vec").distinct().orderBy(F.xxhash64("vec")).limit(SAMPLE_PER_CELL * n_cells)
+    centres = _spread_centres([r["vec"] for r in sample.collect()], n_cells)
+    dealt = materialize(vectors.mapInArrow(_nearest_centre(centres), f"vec_id {id_type}, vec array<double>, cell int, far double"))
+    size = {r["cell"]: (r["far"], r["n"]) for r in dealt.groupBy("cell").agg(F.max("far").alias("far"), F.count("*").alias("n")).collect()}  # one row per cell
+    # a query meets the best cells that hold k vectors, then those that its k-th score leaves open
+    opening = materialize(queries.withColumn("least", F.lit(None).cast("double")).mapInArrow(
+        _open_cells(centres, size, k), f"query_id {query_type}, qvec array<double>, cell int"))
+    first = materialize(_grid(opening, dealt.drop("far"), k, schema))
+    least = _ranked_vectors(first, k).where(F.col("rank") == k).select("query_id", F.col("score").alias("least"))
+    later = materialize(queries.join(least, "query_id", "left").select("query_id", "qvec", F.coalesce("least", F.lit(float("-inf"))).alias("least")).mapInArrow(
+        _open_cells(centres, size, k), f"query_id {query_type}, qvec array<double>, cell int"))
+    rest = later.join(opening.select("query_id", "cell"), ["query_id", "cell"], "left_anti").select("query_id", "qvec", "cell")
+    found = first.unionByName(_grid(rest, dealt.drop("far"), k, schema))
+    met = opening.select("query_id", "cell").unionByName(rest.select("query_id", "cell")).groupBy("query_id").agg(F.count("*").alias("met"))
+    return _ranked_vectors(found, k), met.withColumn("cells", F.lit(len(size)).cast("long"))
+
+
+def _ranked_vectors(found: DataFrame, k: int) -> DataFrame:
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+
+def _grid(queries: DataFrame, vectors: DataFrame, k: int, schema: str) -> DataFrame:
+    """Every query with every vector of its cells: a cell's vectors and the queries are dealt into blocks of bounded bytes."""
     n_vector = _n_blocks(vectors, "vec")
     # small inputs are cut finer on the query side, which adds no result rows
     n_query = max(_n_blocks(queries, "qvec"), -(-2 * vectors.sparkSession.sparkContext.defaultParallelism // n_vector))
     dealt = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(n - 1).cast("bigint")))
-    left = queries.select("query_id", "qvec", dealt("query_id", n_query).alias("_q"), every(n_vector).alias("_v"))
-    right = vectors.select("vec_id", "vec", every(n_query).alias("_q"), dealt("vec_id", n_vector).alias("_v"))
-    found = left.groupBy("_q", "_v").cogroup(right.groupBy("_q", "_v")).applyInPandas(_best_of_cell(k), schema)
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    # a cell with a share of the vectors takes that share of the blocks
+    parts = vectors.groupBy("cell").agg(F.ceil(F.sum(F.size("vec").cast("bigint") * 8) / CELL_BYTES).alias("parts"))
+    parts = F.broadcast(materialize(parts))  # one row per cell, MOST_CELLS at most
+    left = queries.join(parts, "cell").select("query_id", "qvec", "cell", dealt("query_id", n_query).alias("_q"), F.explode(
+        F.sequence(F.lit(0).cast("bigint"), F.col("parts") - 1)).alias("_v"))
+    right = vectors.join(parts, "cell").select("vec_id", "vec", "cell", every(n_query).alias("_q"), F.pmod(F.xxhash64("vec_id"), F.col("parts")).alias("_v"))
+    return left.groupBy("cell", "_q", "_v").cogroup(right.groupBy("cell", "_q", "_v")).applyInPandas(_best_of_cell(k), schema)
+
+
+def _spread_centres(sample: list[list[float]], n: int) -> np.ndarray:
+    """``n`` vectors of a bounded sample, each the farthest from those before it, moved once to the mean of their neighbours."""
+    rows = np.asarray(sample, dtype=np.float64)
+    chosen, gap = [0], ((rows - rows[0]) ** 2).sum(1)
+    while len(chosen) < min(n, len(rows)):
+        chosen.append(int(gap.argmax()))
+        gap = np.minimum(gap, ((rows - rows[chosen[-1]]) ** 2).sum(1))
+    centres = rows[chosen]
+    owner = np.argmin((centres**2).sum(1) - 2 * rows @ centres.T, axis=1)
+    return np.stack([rows[owner == i].mean(0) if (owner == i).any() else c for i, c in enumerate(centres)])
+
+
+def _nearest_centre(centres: np.ndarray) -> Callable:
+    def run(batches):
+        for batch in batches:
+            rows = np.asarray(batch.column("vec").to_pylist(), dtype=np.float64).reshape(-1, centres.shape[1])
+            cell = np.argmin((centres**2).sum(1) - 2 * rows @ centres.T, axis=1)
+            far = np.sqrt(((rows - centres[cell]) ** 2).sum(1))
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("vec"), pa.array(cell, pa.int32()), pa.array(far)], ["vec_id", "vec", "cell", "far"])
+
+    return run
+
+
+def _open_cells(centres: np.ndarray, size: dict[int, tuple[float, int]], k: int) -> Callable:
+    """One row per query and cell that it has to meet: those whose bound reaches ``least``, or without it the best that hold k vectors."""
+    cells = np.array(sorted(size))
+    far, held = np.array([size[c][0] for c in cells]), np.array([size[c][1] for c in cells])
+
+    def run(batches):
+        for batch in batches:
+            rows = np.asarray(batch.column("qvec").to_pylist(), dtype=np.float64).reshape(-1, centres.shape[1])
+            norm = np.sqrt((rows**2).sum(1))[:, None]
+            bound = rows @ centres[cells].T + norm * far
+            bound += 1e-9 * (1 + norm * (far + np.sqrt((centres[cells] ** 2).sum(1))))  # rounding
+            least = batch.column("least").to_numpy(zero_copy_only=False).astype(float)
+            order = np.argsort(-bound, axis=1, kind="stable")
+            before = np.cumsum(held[order], axis=1) - held[order]
+            opening = np.zeros(bound.shape, bool)
+            np.put_along_axis(opening, order, before < k, axis=1)
+            row, at = np.where(np.isnan(least)[:, None], opening, bound >= np.nan_to_num(least, nan=0.0, neginf=-np.inf)[:, None]).nonzero()
+            yield pa.RecordBatch.from_arrays([batch.column("query_id").take(pa.array(row)), batch.column("qvec").take(pa.array(row)), pa.array(cells[at], pa.int32())],
+                                             ["query_id", "qvec", "cell"])
+
+    return run
 
 
 def _n_blocks(df: DataFrame, column: str) -> int:

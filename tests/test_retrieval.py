@@ -262,3 +262,26 @@ def test_small_functions(spark):
     got = [(r.v, r.l) for r in df.select(entity_token_variants(F.col("t")).alias("v"), query_language(F.col("q")).alias("l")).collect()]
     assert got == [(["formula-a-b", "formula:a-b"], "zh"), (["plain"], "en")]
     assert retrieval.select_strategy("Hybrid ") == "hybrid" and retrieval.select_strategy("x") == "keyword"
+
+
+def test_pruned_vector_search_equals_brute_force(spark):
+    rng = np.random.default_rng(3)
+    centres = rng.standard_normal((12, 8)) * 6
+    vecs = np.concatenate([c + rng.standard_normal((60, 8)) * 0.3 for c in centres] + [np.tile(centres[0], (90, 1)), rng.standard_normal((40, 8))])
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(vecs)] + [(9999, None)], "vec_id long, vec array<double>").repartition(3)
+    asked = vecs[::7]
+    queries = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(asked)] + [(777, None)], "query_id long, qvec array<double>")
+    scores = asked @ vecs.T
+    for k, cell_rows in ((5, 30), (5, 100_000), (100, 30), (2000, 50)):
+        found, met = retrieval.pruned_top_k(queries, table, k, cell_rows)
+        got = {}
+        for r in found.orderBy("query_id", "rank").collect():
+            got.setdefault(r.query_id, []).append((round(r.score, 9), r.vec_id))
+        for q, row in enumerate(scores):
+            want = sorted(((-round(float(x), 9), i) for i, x in enumerate(row)))[:k]
+            assert [(-a, b) for a, b in want] == got[q]
+        assert len(got) == len(asked)
+        rows = met.collect()
+        if (k, cell_rows) == (5, 30):
+            assert rows[0].cells > 10 and sum(r.met for r in rows) < 0.5 * sum(r.cells for r in rows)
+    assert retrieval.pruned_top_k(queries, table.limit(0), 3)[0].count() == 0
