@@ -12,8 +12,8 @@ from evidra.functions import text as tx
 from evidra.operators import answers, audits, documents, lineage
 from evidra.plans import review_queries as rq
 from evidra.plans.evaluation_queries import _CLAIMS_SQL, _turn_claims
-from evidra.session import load_table, materialize, work_folder
-from evidra.sources import connectors, literature, omics
+from evidra.session import load_table, materialize, union_all, work_folder
+from evidra.sources import buckets, connectors, literature, omics
 
 J = lambda *cols: F.to_json(F.struct(*cols))
 
@@ -321,6 +321,28 @@ def corpus_upsert(spark, sf):
     return literature.upsert_items(existing, incoming)
 
 
+def corpus_versions(spark, sf):
+    """A bucketed corpus of the English documents after two batches: the labelled documents, then those of benchmark-sized ids."""
+    docs = load_table(spark, sf, "documents").select(
+        F.concat(F.lit("pmid-"), F.col("doc_id").cast("string")).alias("id"), F.col("source").alias("title"), F.col("n_chars").cast("int").alias("year"), "doc_id", "lang")
+    table, schema = work_folder(spark, "corpus"), "id string, title string, year int"
+    buckets.create(docs.where("lang = 'en'").select("id", "title", "year"), table)
+    labelled = docs.join(load_table(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi")
+    asked = docs.join(load_table(spark, sf, "benchmark").select(F.col("item_id").alias("doc_id")), "doc_id", "left_semi")
+    buckets.merge(labelled.select("id", F.lit("labelled").alias("title"), (F.col("year") + 1).alias("year")), table, schema, 1)
+    buckets.merge(asked.select("id", F.lit("asked").alias("title"), (F.col("year") + 2).alias("year")), table, schema, 2)
+    versions = [buckets.read(spark, table, schema, v).withColumn("version", F.lit(v)) for v in range(3)]
+    return union_all(versions)
+
+
+VERSIONS_SQL = """WITH d AS (SELECT 'pmid-' || doc_id AS id, source AS title, CAST(n_chars AS INTEGER) AS year, lang = 'en' AS old, doc_id IN (SELECT doc_id FROM labels) AS labelled,
+  doc_id IN (SELECT item_id FROM benchmark) AS asked FROM documents)
+SELECT id, title, year, 0 AS version FROM d WHERE old
+UNION ALL SELECT id, CASE WHEN labelled THEN 'labelled' ELSE title END, CASE WHEN labelled THEN CAST(year + 1 AS INTEGER) ELSE year END, 1 FROM d WHERE old OR labelled
+UNION ALL SELECT id, CASE WHEN asked THEN 'asked' WHEN labelled THEN 'labelled' ELSE title END, CASE WHEN asked THEN CAST(year + 2 AS INTEGER) WHEN labelled THEN CAST(year + 1 AS INTEGER) ELSE year END, 2
+FROM d WHERE old OR labelled OR asked"""
+
+
 UPSERT_SQL = """WITH d AS (SELECT 'pmid-' || doc_id AS id, source AS title, CAST(n_chars AS INTEGER) AS year, lang = 'en' AS old, doc_id IN (SELECT doc_id FROM labels) AS fresh FROM documents)
 SELECT id, CASE WHEN fresh THEN 'fresh' ELSE title END AS title, CASE WHEN fresh THEN CAST(year + 1 AS INTEGER) ELSE year END AS year, CASE WHEN old THEN 'kept' END AS pdf_upload_id,
   CASE WHEN old AND fresh THEN 'updated' WHEN fresh THEN 'created' ELSE 'kept' END AS sync_state FROM d WHERE old OR fresh"""
@@ -644,6 +666,7 @@ QUERIES = {
     "redacted_texts": (redacted_texts, REDACTED_SQL),
     "upload_ids": (upload_ids, UPLOAD_SQL),
     "corpus_upsert": (corpus_upsert, UPSERT_SQL),
+    "corpus_versions": (corpus_versions, VERSIONS_SQL),
     "chunk_upsert": (chunk_upsert, CHUNK_UPSERT_SQL),
     "parse_status_updates": (parse_status_updates, STATUS_SQL),
     "sealed_snapshots": (sealed_snapshots, SEALED_SQL),

@@ -16,7 +16,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 
 from evidra.operators import review
 from evidra.operators.latency import WINDOW
-from evidra.sources import literature
+from evidra.sources import buckets, literature
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -162,7 +162,9 @@ CONSUMPTION_SCHEMA = (
 
 def consume_batches(requests: DataFrame, tasks: DataFrame, plans: DataFrame, selection: DataFrame, store: str, outcomes: str, checkpoint: str):
     """Plan consumption, exactly once: every micro-batch is judged against stored consumptions
-    of earlier batches and overwrites its own batch folder, so a replayed batch writes the same."""
+    of earlier batches and overwrites its own batch folder, so a replayed batch writes the same. A consumption's time is the
+    request's ``requested_at``; requests without that column count as made in second ``batch_id``."""
+    timed = "requested_at" in requests.columns
 
     def judge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
@@ -172,27 +174,28 @@ def consume_batches(requests: DataFrame, tasks: DataFrame, plans: DataFrame, sel
         judged = spark.read.parquet(f"{outcomes}/batch_id={batch_id}")
         rows = judged.where("state = 'created'").join(
             plans.select("plan_id", "canonical_plan_input_sha256"), "plan_id").join(tasks.select("task_id", "source_task_id"), "task_id")
+        when = F.timestamp_seconds(F.lit(batch_id))
+        if timed:
+            times = batch.select("request_seq", "requested_at")
+            rows, when = rows.drop("requested_at").join(times, "request_seq"), F.coalesce("requested_at", when)
+        rows = rows.withColumn("consumed_at", when)
         created = review.output_ids(rows).select(
             "task_id", "owner_id", "plan_id", F.col("plan_sequence").cast("int").alias("plan_sequence"), "output_id", "output_sha256", "writer_id",
-            F.current_timestamp().alias("consumed_at"))
+            "consumed_at")
         created.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
 
     return requests.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def sync_batches(records: DataFrame, corpus: str, checkpoint: str, order: str | None = None):
-    """Fetched records merged into the corpus: each batch writes the next corpus version from
-    the previous one; a replay rewrites the same version. Of a batch's records with one ``pmid``
-    the latest by ``order`` wins, ties and batches without that column by content."""
+def sync_batches(records: DataFrame, corpus: str, schema, checkpoint: str, order: str | None = None, n_buckets: int = buckets.BUCKETS):
+    """Fetched records merged into a corpus made by ``buckets.create``: batch n writes version n + 1, and of the data only the buckets it
+    touches; a replay finds its version. Of a batch's records with one ``pmid`` the latest by ``order`` wins, ties and batches without
+    that column by content."""
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        previous = spark.read.parquet(f"{corpus}/version={batch_id}")
         latest = [F.desc(c) for c in ([order] if order else [])]
         w = Window.partitionBy("pmid").orderBy(*latest, F.to_json(F.struct(*batch.columns)).desc())
         single = batch.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", *([order] if order else []))
-        incoming = literature.records_to_items(single)
-        merged = literature.upsert_items(previous, incoming)
-        merged.drop("sync_state").write.mode("overwrite").parquet(f"{corpus}/version={batch_id + 1}")
+        buckets.merge(literature.records_to_items(single), corpus, schema, batch_id + 1, n_buckets=n_buckets)
 
     return records.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
