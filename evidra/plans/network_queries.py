@@ -397,30 +397,39 @@ def protocol_mismatch(spark, sf):
 
 
 def _enrichment_inputs(spark, sf):
+    """Parts of each supplier against brands and sizes of a type, all as long tables."""
     parts = load_table(spark, sf, "part")
-    inputs = load_table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("task_id")).agg(F.collect_set(F.col("l_partkey")).alias("symbols"))
-    brands = parts.groupBy("p_brand").agg(F.collect_list("p_partkey").alias("genes")).select(F.lit("GO").alias("collection"), F.col("p_brand").alias("term_id"), "genes", F.col("p_brand").alias("ord"))
-    types = parts.groupBy("p_type", "p_size").agg(F.collect_list("p_partkey").alias("genes")).select(
-        F.lit("KEGG").alias("collection"), F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("term_id"), "genes", F.concat_ws("/", "p_type", F.col("p_size").cast("string")).alias("ord"))
-    return inputs, union_all([brands, types]), parts.count()
+    inputs = load_table(spark, sf, "lineitem").select(F.col("l_suppkey").alias("task_id"), F.col("l_partkey").alias("symbol")).distinct()
+    size = F.concat_ws("/", "p_type", F.col("p_size").cast("string"))
+    genes = union_all([parts.select(F.lit(c).alias("collection"), of.alias("term_id"), F.col("p_partkey").alias("symbol")) for c, of in (("GO", F.col("p_brand")), ("KEGG", size))])
+    terms = genes.select("collection", "term_id", F.col("term_id").alias("ord")).distinct()
+    return inputs, terms, genes, parts.count()
+
+
+def _enriched(spark, sf):
+    inputs, terms, genes, background = _enrichment_inputs(spark, sf)
+    return inputs, terms, genes, background, enrichment.enrich(inputs, terms, background, genes=genes)
 
 
 def enrichment_terms(spark, sf):
-    inputs, terms, background = _enrichment_inputs(spark, sf)
-    rows = enrichment.enrich(inputs, terms, background)
-    return rows.select("task_id", "collection", "term_id", "gene_count", "overlap_count", F.round("p_value", 9).alias("p_value"), F.round("adjusted_p_value", 7).alias("adjusted_p_value"), "rank")
+    rows = _enriched(spark, sf)[-1]
+    return rows.select("task_id", "collection", "term_id", F.col("gene_count").cast("int").alias("gene_count"), "overlap_count", F.round("p_value", 9).alias("p_value"), F.round("adjusted_p_value", 7).alias("adjusted_p_value"), "rank")
+
+
+def enrichment_symbols(spark, sf):
+    """The shared symbols of every kept term, one row each."""
+    inputs, terms, genes, _, rows = _enriched(spark, sf)
+    return enrichment.shared_symbols(rows, inputs, terms, genes)
 
 
 def combined_enrichment(spark, sf):
-    inputs, terms, background = _enrichment_inputs(spark, sf)
-    rows = enrichment.combined(enrichment.enrich(inputs, terms, background), ["GO", "KEGG"])
+    rows = enrichment.combined(_enriched(spark, sf)[-1], ["GO", "KEGG"])
     return rows.select("task_id", "collection", "term_id", F.round("p_value", 9).alias("p_value"), "combined_rank")
 
 
 def enrichment_totals(spark, sf):
-    inputs, terms, background = _enrichment_inputs(spark, sf)
-    rows = enrichment.combined(enrichment.enrich(inputs, terms, background), ["GO", "KEGG"])
-    return enrichment.enrichment_summary(inputs, rows, background)
+    inputs, _, _, background, rows = _enriched(spark, sf)
+    return enrichment.enrichment_summary(inputs, enrichment.combined(rows, ["GO", "KEGG"]), background)
 
 
 _ENRICH_SQL = """
@@ -657,6 +666,10 @@ QUERIES = {
         enrichment_terms,
         f"WITH {_ENRICH_SQL} SELECT task_id, collection, term_id, CAST(gene_count AS INTEGER) AS gene_count, overlap_count, round(p_value, 9) AS p_value, round(least(1.0, p_value * n_terms), 7) AS adjusted_p_value, rank FROM r WHERE rank <= 20",
     ),
+    "enrichment_symbols": (
+        enrichment_symbols,
+        f"WITH {_ENRICH_SQL} SELECT task_id, collection, term_id, sym AS symbol FROM r JOIN term USING (collection, term_id) JOIN inp USING (task_id, sym) WHERE rank <= 20",
+    ),
     "combined_enrichment": (combined_enrichment, f"WITH {_ENRICH_SQL} SELECT task_id, collection, term_id, round(p_value, 9) AS p_value, combined_rank FROM top WHERE combined_rank <= 20"),
     "enrichment_totals": (
         enrichment_totals,

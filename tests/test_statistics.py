@@ -43,6 +43,17 @@ def test_enrichment_rules(spark):
     assert rows(summary, "task_id", "n_terms") == [(1, 1)]
 
 
+def test_enrichment_of_long_tables(spark):
+    genes = spark.createDataFrame([("GO", "t0", g) for g in ("a", "b", "b", "c", "x")] + [("GO", "t1", "a")], "collection string, term_id string, symbol string")
+    terms = spark.createDataFrame([("GO", "t0", 0), ("GO", "t1", 1), ("GO", "empty", 2)], "collection string, term_id string, ord int")
+    inputs = spark.createDataFrame([(1, s) for s in ("a", "b", "c", "c")] + [(2, "a")], "task_id int, symbol string")
+    got = enrichment.enrich(inputs, terms, genes=genes, max_p=1.1, min_overlap=1)
+    assert rows(got, "task_id", "term_id", "overlap_count", "gene_count") == [(1, "t0", 3, 5), (1, "t1", 1, 1)]
+    assert enrichment.enrich(inputs, terms, genes=genes, max_p=1e-30).count() == 0
+    assert rows(enrichment.shared_symbols(got, inputs, terms, genes)) == [(1, "GO", "t0", "a"), (1, "GO", "t0", "b"), (1, "GO", "t0", "c"), (1, "GO", "t1", "a")]
+    assert rows(enrichment.enrichment_summary(inputs, got), "task_id", "input_gene_count", "n_terms") == [(1, 4, 2)]
+
+
 def brute_bh(p):
     p = np.array(p)
     order = np.argsort(p, kind="stable")
