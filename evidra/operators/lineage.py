@@ -10,7 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evidra.functions.canonical import content_id
-from evidra.session import union_all
+from evidra.operators.digests import streamed_sha256
+from evidra.session import materialize, union_all
 
 SAMPLE_DATABASE = "sample_network"
 
@@ -93,6 +94,27 @@ def intersections(disease: DataFrame, compound: DataFrame) -> DataFrame:
     return joined.withColumn("lineage_row_id", content_id("intersection", body))
 
 
+def intersection_ids(disease: DataFrame, compound: DataFrame) -> DataFrame:
+    """task_id, canonical_symbol, lineage_row_id, n_disease, n_compound: the ids of ``intersections`` for symbols with any number of rows.
+
+    The canonical text of a row (keys sorted, compact) is digested as a stream: head, compound ids, middle, disease ids, end.
+    """
+    keys = ["task_id", "canonical_symbol"]
+    sides = [df.where("lineage_row_id is not null").select(*keys, F.lit(part).alias("part"), F.col("lineage_row_id").alias("id")) for part, df in ((1, compound), (3, disease))]
+    rows = union_all(sides)
+    sizes = materialize(rows.groupBy(*keys).agg(F.count_if(F.col("part") == 3).alias("n_disease"), F.count_if(F.col("part") == 1).alias("n_compound")).where(
+        "n_disease > 0 and n_compound > 0"))
+    quoted = lambda c: F.regexp_replace(F.to_json(F.array(c)), "^\\[|\\]$", "")
+    frame = F.array(
+        F.struct(F.lit(0).alias("part"), F.concat(F.lit('{"canonical_symbol":'), quoted(F.col("canonical_symbol")), F.lit(',"compound_lineage_row_ids":[')).alias("text")),
+        F.struct(F.lit(2).alias("part"), F.lit('],"derivation":"canonical_symbol_exact_match_v1","disease_lineage_row_ids":[').alias("text")),
+        F.struct(F.lit(4).alias("part"), F.lit("]}").alias("text")))
+    fixed = sizes.select(*keys, F.explode(frame).alias("f")).select(*keys, "f.part", F.lit("").alias("id"), "f.text")
+    ids = rows.join(sizes.select(*keys), keys, "left_semi").select(*keys, "part", "id", quoted(F.col("id")).alias("text"))
+    digests = streamed_sha256(fixed.unionByName(ids), keys, ["part", "id"], "text", "part")
+    return sizes.join(digests, keys).select(*keys, F.concat(F.lit("intersection-"), F.col("sha256")).alias("lineage_row_id"), "n_disease", "n_compound")
+
+
 def shared_symbols(disease: DataFrame, compound: DataFrame) -> DataFrame:
     return disease.select("task_id", "canonical_symbol").intersect(compound.select("task_id", "canonical_symbol"))
 

@@ -317,8 +317,8 @@ def _sides(spark, sf):
 
 
 def target_intersections(spark, sf):
-    rows = lineage.intersections(*_sides(spark, sf))
-    return rows.select("task_id", "canonical_symbol", "lineage_row_id", F.size("disease_lineage_row_ids").alias("n_disease"), F.size("compound_lineage_row_ids").alias("n_compound"))
+    rows = lineage.intersection_ids(*_sides(spark, sf))
+    return rows.select("task_id", "canonical_symbol", "lineage_row_id", F.col("n_disease").cast("int").alias("n_disease"), F.col("n_compound").cast("int").alias("n_compound"))
 
 
 _SIDES_SQL = """
