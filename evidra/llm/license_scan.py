@@ -114,7 +114,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: A line is a sentence; so is a stretch of unwrapped text up to a sentence mark or blank line.
 LINES, STRETCHES = r"[\r\n]+|[.!?;][ \t]+", r"\r?\n[ \t]*\r?\n|[.!?;:][ \t\r\n]+"
 #: Marks inside a sentence, the next line's comment signs allowed: "v. 2.0", and "Free Software Foundation; either version 2".
-#: The SQL counterpart still splits at them.
+#: The SQL counterpart, whose expressions know no look-behind, blanks these marks before it splits.
 NO_END = r"(?!(?<=\b[vV]\.)[ \t\r\n/*#]+[0-9]|(?<=[fF]oundation;)[ \t\r\n/*#]+either version)"
 WHOLE_LINES, WHOLE_STRETCHES = (p.replace("?;]", f"?;]{NO_END}").replace("?;:]", f"?;:]{NO_END}") for p in (LINES, STRETCHES))
 
@@ -164,12 +164,16 @@ def scan(docs: DataFrame, key: str = "doc_id", text: str = "text", sentences: di
 
 
 def scan_sql() -> str:
-    """The same on DuckDB, except that it splits at the marks of ``NO_END`` (its expressions know no look-behind)."""
+    """The same on DuckDB. The marks of ``NO_END`` are blanked first: no sentence keeps its marks anyway."""
+    after = r"([ \t\r\n/*#]+"
+    body = "coalesce(text, '')"
+    for mark in (rf"\b([vV])\.{after}[0-9])", rf"([fF]oundation);{after}either version)"):
+        body = rf"regexp_replace({body}, '{mark}', '\1 \2', 'g')"
     pairs = [(s, i) for i, forms in SENTENCES.items() for s in forms]
     quoted = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
     norm = f"trim(regexp_replace(translate(s, '{UPPER}', '{LOWER}'), '[^a-z0-9]+', ' ', 'g'))"
     ids = lambda splitter: (
-        f"list_aggregate(list_prepend('', list_transform(list_filter(list_transform(string_split_regex(coalesce(text, ''), '{splitter}'), "
+        f"list_aggregate(list_prepend('', list_transform(list_filter(list_transform(string_split_regex({body}, '{splitter}'), "
         f"lambda s: {norm}), lambda s: list_contains({quoted(s for s, _ in pairs)}, s)), "
         f"lambda s: '<' || {quoted(i for _, i in pairs)}[list_position({quoted(s for s, _ in pairs)}, s)] || '>')), 'string_agg', '')")
     like = lambda r: "'%" + "%".join(f"<{i}>" for i in r[2]) + "%'"

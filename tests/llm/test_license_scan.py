@@ -124,3 +124,13 @@ def test_every_rule_holds_on_its_published_text(docs_of):
     got = {r.doc_id: (r.license, r.rule) for r in license_scan.scan(docs_of([(i, t) for i, (*_, t) in enumerate(PUBLISHED)])).collect()}
     assert got == {i: (name, rule) for i, (name, rule, _) in enumerate(PUBLISHED)}
     assert {(name, rule) for name, rule, _ in PUBLISHED} == {(name, rule) for name, rule, _ in RULES}
+
+
+def test_sql_reads_the_published_texts_alike(docs_of):
+    """The forms with a mark inside a sentence among them."""
+    texts = [t for *_, t in PUBLISHED] + ["Public License, v.\n# 2.0. If a copy", "Software Foundation;\n// either version 2", "v. x. Foundation; neither", None, ""]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts)))
+    found = con.execute(license_scan.scan_sql()).fetchall()
+    assert sorted(found) == sorted(tuple(r) for r in license_scan.scan(docs_of(list(enumerate(texts)))).collect())
