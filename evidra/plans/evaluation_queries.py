@@ -9,8 +9,8 @@ from evidra.functions.embedding import register_entailment, select_backend, sele
 from evidra.functions import lexicon
 from evidra.operators import answers, evaluation, grounding, ordering, retrieval, topk
 from evidra.plans import shapes
-from evidra.plans.retrieval_queries import _HASH_SQL, KEYWORD_SQL, _candidates, _ranked, query_tokens
-from evidra.session import load_table, materialize
+from evidra.plans.retrieval_queries import _HASH_SQL, CHUNK_SQL, KEYWORD_SQL, _candidates, _ranked, query_tokens
+from evidra.session import load_table, materialize, union_all
 
 THRESHOLDS = [0.2, 0.3, 0.35, 0.4, 0.45, 0.5, 0.55, 0.6, 0.65, 0.7, 0.75, 0.8]
 
@@ -404,6 +404,42 @@ def evidence_packs(spark, sf):
     return packs.select("query_id", F.md5("evidence_text").alias("evidence_md5"), F.length("evidence_text").alias("n_chars"))
 
 
+def entity_citations(spark, sf):
+    """Turns as evidence of questions that name a herb (those below forty of their number have one) and, every second one, the network
+    domain: entity pool, domain order and the last slot for the other language."""
+    tokens, q = query_tokens(spark, sf), F.col("query_id")
+    questions, chunks = shapes.questions(spark, sf), shapes.conversation_chunks(spark, sf)
+    items = shapes.conversation_items(spark, sf).withColumn("source_type", F.when(F.col("item_id") % 3 == 0, "cn_literature").otherwise("pubmed"))
+    ranked = materialize(retrieval.keyword_candidates(questions, items, tokens, chunks, stop_share=lexicon.IDF_STOP_SHARE))
+    named = union_all([tokens, questions.select(q, F.concat(F.lit("herb-"), (q % 40).cast("string")).alias("token")),
+                       questions.where(q % 2 == 0).select(q, F.lit("network").alias("token"))]).distinct()
+    tag = lambda n, name: F.when(F.col("item_id") % n == 0, F.lit(name))
+    linked = items.withColumn("related_entity_ids", F.array(F.concat(F.lit("HERB:"), (F.col("item_id") % 20).cast("string")))).withColumn(
+        "evidence_tags", F.array_compact(F.array(tag(5, "network_pharmacology"), tag(7, "targeted_therapy"))))
+    ordered = answers.domain_order(ranked, linked, named)
+    topical = answers.topical_queries(ordered, tokens, tokens.select("token").distinct())
+    entities = answers.entity_matches(ordered, named, linked, chunks)
+    chosen, available = answers.select_citations(ordered, topical, entities, top_k=3)
+    return chosen.join(available, "query_id").select("query_id", "item_id", "chunk_id", "position", "match_score", "available_citation_count")
+
+
+ENTITY_SQL = CHUNK_SQL.split("SELECT query_id, item_id, chunk_id, round(score, 6)")[0].rstrip() + """,
+base AS (SELECT query_id, item_id, chunk_id, score, year, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 1 END AS bonus, item_id % 20 = query_id % 40 AS hit,
+    row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id % 3 = 0, year DESC, item_id, chunk_id) AS r FROM scores JOIN items USING (item_id)),
+pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id % 2 = 0 THEN item_id % 5 <> 0 END, CASE WHEN query_id % 2 = 0 THEN item_id % 7 <> 0 END,
+    CASE WHEN query_id % 2 = 0 THEN -bonus END, CASE WHEN query_id % 2 = 0 THEN -score END, CASE WHEN query_id % 2 = 0 THEN -year END, r) AS o,
+    bool_or(hit) OVER (PARTITION BY query_id) AS named
+  FROM base WHERE query_id IN (SELECT query_id FROM base GROUP BY 1 HAVING max(score) >= 3 INTERSECT SELECT query_id FROM tokens
+    WHERE token NOT IN ('therapy','treatment','intervention','acupuncture','topical','external'))),
+citable AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY o) AS position FROM pool WHERE hit OR NOT named),
+top AS (SELECT * FROM citable WHERE position <= 3),
+other AS (SELECT *, 3 AS position FROM pool WHERE bonus = 0 AND query_id IN (SELECT query_id FROM top GROUP BY 1 HAVING count(*) = 3 AND min(bonus) = 1)
+  QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY o) = 1),
+chosen AS (SELECT query_id, item_id, chunk_id, score, position FROM top WHERE NOT (position = 3 AND query_id IN (SELECT query_id FROM other))
+  UNION ALL SELECT query_id, item_id, chunk_id, score, position FROM other)
+SELECT query_id, item_id, chunk_id, CAST(position AS INTEGER) AS position, round(score / max(score) OVER (PARTITION BY query_id), 4) AS match_score, n AS available_citation_count
+FROM chosen JOIN (SELECT query_id, count(*) AS n FROM citable GROUP BY 1) USING (query_id)"""
+
 _TOPICAL_SQL = f"""WITH {KEYWORD_SQL},
 topical AS (SELECT query_id FROM ranked GROUP BY 1 HAVING max(score) >= 3 INTERSECT SELECT query_id FROM tokens
   WHERE token NOT IN ('therapy','treatment','intervention','acupuncture','topical','external')),
@@ -566,6 +602,7 @@ QUERIES = {
     "bilingual_questions": (bilingual_questions, _BILINGUAL_SQL),
     "bracketed_references": (bracketed_references, _BRACKET_SQL),
     "citation_selection": (citation_selection, f"{_TOPICAL_SQL} SELECT query_id, item_id, position, match_score FROM picked"),
+    "entity_citations": (entity_citations, ENTITY_SQL),
     "available_citations": (
         available_citations, f"{_TOPICAL_SQL} SELECT query_id, count(*) AS available_citation_count FROM ranked SEMI JOIN topical USING (query_id) GROUP BY 1"),
     "answer_batch": (answer_batch, _ANSWER_SQL),
