@@ -217,3 +217,72 @@ def import_violations(records: DataFrame) -> DataFrame:
         F.min("canonical_symbol").alias("a"), F.max("canonical_symbol").alias("b")).where("a <> b").select(
         "import_id", F.lit("record_id_ambiguous").alias("rule"), F.col("source_record_id").alias("detail"))
     return union_all([per_row, repeated, ambiguous])
+
+
+# Greatest score and shape of identifiers per kind of import, and the fields an import shares with its protocol.
+IMPORT_KINDS = {"disease": (1.0, "^.{1,100}$"), "compound": (20.0, "^CHEMBL[0-9]+$")}
+IMPORT_SYMBOL = "^[A-Z][A-Z0-9.-]{0,39}$"
+PROTOCOL_FIELDS = ["disease", "phenotype", "species", "query_date"]
+
+
+def _kind_of(value: Column) -> Column:
+    """BOOLEAN, STRING, BIGINT, ... of a JSON value; null without one."""
+    return F.schema_of_variant(value)
+
+
+def _is_number(value: Column) -> Column:
+    return _kind_of(value).rlike("^(BIGINT|DOUBLE|DECIMAL)")
+
+
+def landed_import_violations(imports: DataFrame) -> DataFrame:
+    """(import_id, rule, detail) of imports as they landed, where types still show: booleans in place of numbers, times without a zone, query
+    parameters that disagree with the import, and fields that disagree with its protocol.
+
+    imports: import_id, kind (disease or compound), body (JSON text), protocol (JSON text or null), as_of (timestamp of the check).
+    """
+    top = F.col("kind").isin("disease")
+    limit = F.when(top, F.lit(IMPORT_KINDS["disease"][0])).otherwise(F.lit(IMPORT_KINDS["compound"][0]))
+    part = lambda path, kind: F.try_variant_get("doc", f"$.{path}", kind)
+    agreed = lambda path: F.coalesce(F.try_variant_get("plan", f"$.{path}", "string"), F.lit("")) == F.coalesce(part(path, "string"), F.lit(""))
+    docs = imports.select("import_id", "kind", "as_of", F.try_parse_json("body").alias("doc"), F.try_parse_json("protocol").alias("plan")).withColumn(
+        "threshold", F.when(_is_number(part("applied_threshold", "variant")), part("applied_threshold", "double")))  # a boolean casts to a number
+    written, minimum = part("retrieved_at", "string"), part("source_query_parameters.pchembl_value_min", "variant")
+    zoned = F.coalesce(written.rlike("(Z|[+-][0-9]{2}:?[0-9]{2})$"), F.lit(False))
+    rule = lambda cond, name, detail="": F.when(F.coalesce(cond, F.lit(False)), F.struct(F.lit(name).alias("rule"), F.lit(detail).alias("detail") if isinstance(detail, str) else detail.alias("detail")))
+    differing = F.array_join(F.array_compact(F.array(*[F.when(~agreed(f), F.lit(f)) for f in PROTOCOL_FIELDS])), ",")
+    threshold_ok = _is_number(part("applied_threshold", "variant"))
+    per_import = F.array_compact(F.array(
+        rule(F.col("doc").isNull(), "body_unreadable"),
+        rule(F.col("doc").isNotNull() & ~F.coalesce(threshold_ok, F.lit(False)), "threshold_not_numeric"),
+        rule(threshold_ok & ~F.col("threshold").between(0, limit), "threshold_out_of_range"),
+        rule(F.try_to_date(part("query_date", "string")) > F.to_date("as_of"), "query_date_in_future"),
+        rule(F.col("doc").isNotNull() & ~zoned, "retrieved_at_without_zone"),
+        rule(zoned & (written.try_cast("timestamp") > F.col("as_of")), "retrieved_at_in_future"),
+        rule(top & F.col("doc").isNotNull() & ~F.coalesce(_kind_of(part("source_query_parameters", "variant")).rlike("^OBJECT<.+:"), F.lit(False)), "parameters_missing"),
+        rule(~top & ~part("source_query_id", "string").eqNullSafe(part("compound_id", "string")), "query_id_mismatch"),
+        rule(~top & ~part("source_query_parameters.assay_organism", "string").eqNullSafe(part("species", "string")), "organism_mismatch"),
+        rule(~top & F.col("doc").isNotNull() & ~F.coalesce(_is_number(minimum), F.lit(False)), "minimum_not_numeric"),
+        rule(~top & _is_number(minimum) & ~part("source_query_parameters.pchembl_value_min", "double").eqNullSafe(F.col("threshold")), "minimum_mismatch"),
+        rule(top & F.col("doc").isNotNull() & F.col("plan").isNotNull() & (differing != ""), "protocol_mismatch", differing),
+    ))
+    found = docs.select("import_id", F.explode(per_import).alias("r")).select("import_id", "r.*")
+
+    rows = docs.select("import_id", "kind", "threshold", F.explode(part("records", "array<variant>")).alias("record"))
+    text = lambda path: F.trim(F.try_variant_get("record", f"$.{path}", "string"))
+    rows = rows.select("import_id", "kind", "threshold", text("raw_identifier").alias("raw"), text("canonical_symbol").alias("symbol"), text("source_record_id").alias("record_id"),
+                       F.try_variant_get("record", "$.source_score", "variant").alias("given"), F.try_variant_get("record", "$.source_score", "double").alias("score"))
+    detail = F.concat_ws(":", "record_id", "raw", "symbol")
+    shape = F.when(top, F.col("raw").rlike(IMPORT_KINDS["disease"][1])).otherwise(F.col("raw").rlike(IMPORT_KINDS["compound"][1]))
+    numeric = F.coalesce(_is_number(F.col("given")), F.lit(False))
+    per_row = F.array_compact(F.array(
+        F.when(~numeric, F.lit("score_not_numeric")), F.when(numeric & ~F.col("score").between(0, limit), F.lit("score_out_of_range")),
+        F.when(numeric & (F.col("score") < F.col("threshold")), F.lit("below_threshold")),
+        F.when(~F.coalesce(F.col("symbol").rlike(IMPORT_SYMBOL), F.lit(False)), F.lit("symbol_malformed")),
+        F.when(~F.coalesce(shape, F.lit(False)), F.lit("identifier_malformed"))))
+    by_row = rows.select("import_id", F.explode(per_row).alias("rule"), detail.alias("detail"))
+    repeated = rows.groupBy("import_id", "record_id", "raw", "symbol").agg(F.count("*").alias("n")).where("n > 1").select(
+        "import_id", F.lit("observation_not_unique").alias("rule"), detail.alias("detail"))
+    names = rows.groupBy("import_id", "kind", "record_id").agg(F.count("*").alias("n"), F.min("symbol").alias("a"), F.max("symbol").alias("b")).where(
+        F.when(top, F.col("a") != F.col("b")).otherwise(F.col("n") > 1))
+    ambiguous = names.select("import_id", F.when(top, F.lit("record_id_ambiguous")).otherwise(F.lit("record_id_not_unique")).alias("rule"), F.col("record_id").alias("detail"))
+    return union_all([found, by_row, repeated, ambiguous])

@@ -383,6 +383,51 @@ v AS (SELECT i, 'symbol_malformed' AS rule FROM r WHERE sym = 'bad symbol' UNION
 SELECT rule, count(*) AS n, count(DISTINCT i) AS n_imports FROM v GROUP BY 1"""
 
 
+def landed_imports(spark, sf):
+    """Orders as landed imports, even ones of diseases, odd ones of compounds; their lines are the records. Remainders of the keys plant the faults."""
+    k, j = F.col("l_orderkey"), lambda c: F.concat(F.lit('"'), c.cast("string"), F.lit('"'))
+    lines = load_table(spark, sf, "lineitem")
+    odd = k % 2 == 1
+    score = F.when((F.col("l_linenumber") == 5) & (F.col("l_partkey") % 10 == 0), "true").when(odd, (F.col("l_quantity") / 2).cast("string")).otherwise(F.col("l_discount").cast("string"))
+    record = F.concat(
+        F.lit('{"raw_identifier":'), j(F.concat(F.when(F.col("l_linenumber") == 7, "X").otherwise("CHEMBL"), F.col("l_partkey").cast("string"))),
+        F.lit(',"canonical_symbol":'), j(F.concat(F.when(F.col("l_tax") < 0.01, "s ").otherwise("S"), F.col("l_partkey").cast("string"))),
+        F.lit(',"source_record_id":'), j(F.when(F.col("l_quantity") > 45, F.lit(0)).otherwise(F.col("l_linenumber"))), F.lit(',"source_score":'), score, F.lit("}"))
+    per = lines.groupBy(k.alias("k")).agg(F.array_join(F.sort_array(F.collect_list(record)), ",").alias("records"))  # the lines of one order
+    k = F.col("k")
+    minimum = F.when(k % 13 == 0, "true").when(k % 11 == 0, "6").otherwise("5")
+    body = F.concat(
+        F.lit('{"applied_threshold":'), F.when(k % 9 == 0, "false").when(k % 2 == 1, "5").otherwise("0.02"), F.lit(',"query_date":"'), F.when(k % 15 == 1, "2031-01-01").otherwise("2020-05-05"),
+        F.lit('","retrieved_at":"'), F.when(k % 8 == 3, "2020-05-05T10:00:00").when(k % 8 == 4, "2031-05-05T10:00:00+02:00").otherwise("2020-05-05T10:00:00Z"),
+        F.lit('","compound_id":"CHEMBL1","source_query_id":"'), F.when(k % 7 == 0, "CHEMBL2").otherwise("CHEMBL1"), F.lit('","species":"Homo sapiens","phenotype":"skin","disease":"ad","source_query_parameters":'),
+        F.when((k % 2 == 0) & (k % 10 == 2), F.lit("{}")).otherwise(F.concat(F.lit('{"assay_organism":"'), F.when(k % 5 == 0, "Mus musculus").otherwise("Homo sapiens"), F.lit('","pchembl_value_min":'), minimum, F.lit("}"))),
+        F.lit(',"records":['), F.col("records"), F.lit("]}"))
+    body = F.when(k % 97 == 0, F.lit("{broken")).otherwise(body)
+    protocol = F.concat(F.lit('{"disease":"ad","phenotype":"'), F.when(k % 6 == 0, "itch").otherwise("skin"), F.lit('","species":"Homo sapiens","query_date":"2020-05-05"}'))
+    imports = per.select(k.alias("import_id"), F.when(k % 2 == 1, "compound").otherwise("disease").alias("kind"), body.alias("body"), protocol.alias("protocol"), F.lit("2025-01-01 00:00:00").cast("timestamp").alias("as_of"))
+    return lineage.landed_import_violations(imports).groupBy("rule").agg(F.count("*").alias("n"), F.count_distinct("import_id").alias("n_imports"), F.max("detail").alias("detail"))
+
+
+LANDED_SQL = """WITH l AS (SELECT l_orderkey AS k, l_orderkey % 2 = 1 AS odd, CASE WHEN l_linenumber = 7 THEN 'X' ELSE 'CHEMBL' END || l_partkey AS raw, CASE WHEN l_tax < 0.01 THEN 's ' ELSE 'S' END || l_partkey AS sym,
+  CAST(CASE WHEN l_quantity > 45 THEN 0 ELSE l_linenumber END AS VARCHAR) AS rec, l_linenumber = 5 AND l_partkey % 10 = 0 AS flag, CASE WHEN l_orderkey % 2 = 1 THEN l_quantity / 2 ELSE l_discount END AS s FROM lineitem WHERE l_orderkey % 97 <> 0),
+o AS (SELECT DISTINCT l_orderkey AS k, l_orderkey % 2 = 1 AS odd FROM lineitem), g AS (SELECT * FROM o WHERE k % 97 <> 0),
+v AS (SELECT k, 'body_unreadable' AS rule, '' AS detail FROM o WHERE k % 97 = 0
+  UNION ALL SELECT k, 'query_id_mismatch', '' FROM g WHERE odd AND k % 7 = 0 UNION ALL SELECT k, 'minimum_not_numeric', '' FROM g WHERE odd AND k % 13 = 0
+  UNION ALL SELECT k, 'threshold_not_numeric', '' FROM g WHERE k % 9 = 0 UNION ALL SELECT k, 'query_date_in_future', '' FROM g WHERE k % 15 = 1
+  UNION ALL SELECT k, 'retrieved_at_without_zone', '' FROM g WHERE k % 8 = 3 UNION ALL SELECT k, 'retrieved_at_in_future', '' FROM g WHERE k % 8 = 4
+  UNION ALL SELECT k, 'parameters_missing', '' FROM g WHERE NOT odd AND k % 10 = 2 UNION ALL SELECT k, 'organism_mismatch', '' FROM g WHERE odd AND k % 5 = 0
+  UNION ALL SELECT k, 'minimum_mismatch', '' FROM g WHERE odd AND k % 13 <> 0 AND (k % 11 = 0 OR k % 9 = 0)
+  UNION ALL SELECT k, 'protocol_mismatch', concat_ws(',', CASE WHEN k % 6 = 0 THEN 'phenotype' END, CASE WHEN k % 15 = 1 THEN 'query_date' END) FROM g WHERE NOT odd AND (k % 6 = 0 OR k % 15 = 1)
+  UNION ALL SELECT k, 'score_not_numeric', rec || ':' || raw || ':' || sym FROM l WHERE flag
+  UNION ALL SELECT k, 'score_out_of_range', rec || ':' || raw || ':' || sym FROM l WHERE NOT flag AND odd AND s > 20
+  UNION ALL SELECT k, 'below_threshold', rec || ':' || raw || ':' || sym FROM l WHERE NOT flag AND k % 9 <> 0 AND s < CASE WHEN odd THEN 5 ELSE 0.02 END
+  UNION ALL SELECT k, 'symbol_malformed', rec || ':' || raw || ':' || sym FROM l WHERE sym LIKE 's %'
+  UNION ALL SELECT k, 'identifier_malformed', rec || ':' || raw || ':' || sym FROM l WHERE odd AND raw LIKE 'X%'
+  UNION ALL SELECT k, 'observation_not_unique', rec || ':' || raw || ':' || sym FROM l GROUP BY k, rec, raw, sym HAVING count(*) > 1
+  UNION ALL SELECT k, CASE WHEN odd THEN 'record_id_not_unique' ELSE 'record_id_ambiguous' END, rec FROM l GROUP BY k, odd, rec HAVING CASE WHEN odd THEN count(*) > 1 ELSE count(DISTINCT sym) > 1 END)
+SELECT rule, count(*) AS n, count(DISTINCT k) AS n_imports, max(detail) AS detail FROM v GROUP BY rule"""
+
+
 def protocol_mismatch(spark, sf):
     """First against last order of every customer: fields that differ, in order."""
     orders = load_table(spark, sf, "orders")
@@ -656,6 +701,7 @@ QUERIES = {
     ),
     "network_readiness": (network_readiness, _readiness_sql()),
     "import_violations": (import_violations, IMPORT_SQL),
+    "landed_imports": (landed_imports, LANDED_SQL),
     "protocol_mismatch": (
         protocol_mismatch,
         """WITH p AS (SELECT o_custkey, arg_min(o_orderstatus, o_orderkey) AS a1, arg_max(o_orderstatus, o_orderkey) AS b1, arg_min(o_orderpriority, o_orderkey) AS a2, arg_max(o_orderpriority, o_orderkey) AS b2,

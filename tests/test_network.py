@@ -1,3 +1,5 @@
+import datetime
+
 from pyspark.sql import functions as F
 
 from evidra.functions.canonical import canonical_json, request_key, upload_id
@@ -93,3 +95,39 @@ def test_canonical_json_matches_python(spark):
     assert got[0] == "pdf-cn-1-my-file-pdf"
     assert got[1] == "pdf-cn-1-pdf-" + hashlib.sha1("中文.pdf".encode()).hexdigest()[:8]
     assert got[2] == "pdf-" + hashlib.sha256(json.dumps(["cn-1", "x" * 120]).encode()).hexdigest()
+
+
+def test_landed_imports_show_types_zones_and_agreement(spark):
+    import json
+
+    def body(**change):
+        whole = {"applied_threshold": 0.1, "query_date": "2020-01-01", "retrieved_at": "2020-01-01T00:00:00Z", "species": "Homo sapiens", "phenotype": "skin", "disease": "ad",
+                 "source_query_parameters": {"q": 1}, "records": [{"raw_identifier": "E1", "canonical_symbol": "IL6", "source_record_id": "r1", "source_score": 0.5}]}
+        return json.dumps(whole | change)
+
+    record = {"raw_identifier": "E1", "canonical_symbol": "IL6", "source_record_id": "r1", "source_score": 0.5}
+    plan = json.dumps({"disease": "ad", "phenotype": "skin", "species": "Homo sapiens", "query_date": "2020-01-01"})
+    compound = {"compound_id": "CHEMBL1", "source_query_id": "CHEMBL1", "applied_threshold": 5, "source_query_parameters": {"assay_organism": "Homo sapiens", "pchembl_value_min": 5.0},
+                "records": [{"raw_identifier": "CHEMBL7", "canonical_symbol": "IL6", "source_record_id": "a", "source_score": 6}]}
+    cases = [
+        ("disease", body(), plan, set()), ("disease", "{", plan, {"body_unreadable"}), ("disease", body(applied_threshold=True), None, {"threshold_not_numeric"}),
+        ("disease", body(applied_threshold=1.5), None, {"threshold_out_of_range", "below_threshold"}), ("disease", body(retrieved_at="2020-01-01T00:00:00"), None, {"retrieved_at_without_zone"}),
+        ("disease", body(retrieved_at="2025-01-01T01:00:00+02:00"), None, set()), ("disease", body(retrieved_at="2025-01-01T01:00:00-02:00"), None, {"retrieved_at_in_future"}),
+        ("disease", body(source_query_parameters={}), None, {"parameters_missing"}), ("disease", body(phenotype="itch", query_date="2020-01-02"), plan, {"protocol_mismatch"}),
+        ("disease", body(records=[record | {"source_score": False}]), None, {"score_not_numeric"}), ("disease", body(records=[record, record]), None, {"observation_not_unique"}),
+        ("disease", body(records=[record, record | {"canonical_symbol": "TNF"}]), None, {"record_id_ambiguous"}), ("disease", body(records=[]), None, set()),
+        ("compound", body(**compound), None, set()), ("compound", body(**compound | {"source_query_id": "X"}), None, {"query_id_mismatch"}),
+        ("compound", body(**compound | {"source_query_parameters": {"assay_organism": "Mus", "pchembl_value_min": True}}), None, {"organism_mismatch", "minimum_not_numeric"}),
+        ("compound", body(**compound | {"applied_threshold": 5.5}), None, {"minimum_mismatch"}),
+        ("compound", body(**compound | {"records": [compound["records"][0], compound["records"][0] | {"raw_identifier": "E2", "source_score": 21}]}), None,
+         {"identifier_malformed", "score_out_of_range", "record_id_not_unique"}),
+    ]
+    table = spark.createDataFrame([(i, k, b, p, datetime.datetime(2025, 1, 1)) for i, (k, b, p, _) in enumerate(cases)],
+                                  "import_id int, kind string, body string, protocol string, as_of timestamp")
+    found = {i: set() for i in range(len(cases))}
+    details = {}
+    for r in lineage.landed_import_violations(table).collect():
+        found[r.import_id].add(r.rule)
+        details[r.import_id, r.rule] = r.detail
+    assert [found[i] for i in range(len(cases))] == [want for *_, want in cases]
+    assert details[8, "protocol_mismatch"] == "phenotype,query_date"
