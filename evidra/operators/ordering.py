@@ -14,6 +14,7 @@ from evidra.session import materialize
 
 BLOCKS = 1024
 BORDERS = 255
+STEP = 16
 
 
 def with_blocks(df: DataFrame, by: list[str], value: str, scale: Column | None = None) -> DataFrame:
@@ -32,10 +33,13 @@ def with_even_blocks(df: DataFrame, by: list[str], value: str) -> DataFrame:
     """Adds ``_block`` with about equally many rows each, whatever the spread of the values. Approximate
     percentiles serve as borders only; they are staged, as every use has to see the same ones."""
     shares = [(i + 1) / (BORDERS + 1) for i in range(BORDERS)]
-    borders = materialize(df.groupBy(*by).agg(F.percentile_approx(value, F.lit(shares), F.lit(10 * BORDERS)).alias("_borders")))
+    found = df.groupBy(*by).agg(F.percentile_approx(value, F.lit(shares), F.lit(10 * BORDERS)).alias("_borders"))
+    borders = materialize(found.withColumn("_steps", F.filter("_borders", lambda b, i: i % STEP == STEP - 1)))
     joined = df.join(borders, by) if by else df.join(F.broadcast(borders))  # one row
-    below = F.filter("_borders", lambda b: b < F.col(value))
-    return joined.withColumn("_block", F.size(below)).drop("_borders")
+    # borders ascend: every sixteenth of them first, then the sixteen in question
+    below = lambda of: F.size(F.filter(of, lambda b: b < F.col(value)))
+    step = joined.withColumn("_step", STEP * below(F.col("_steps")))
+    return step.withColumn("_block", F.col("_step") + below(F.slice("_borders", F.col("_step") + 1, STEP))).drop("_borders", "_steps", "_step")
 
 
 def cumulative_count(blocked: DataFrame, by: list[str], value: str, out: str) -> DataFrame:
