@@ -427,7 +427,7 @@ ENTITY_SQL = CHUNK_SQL.split("SELECT query_id, item_id, chunk_id, round(score, 6
 base AS (SELECT query_id, item_id, chunk_id, score, year, CASE WHEN item_id % 3 = 0 THEN 0 ELSE 1 END AS bonus, item_id % 20 = query_id % 40 AS hit,
     row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, item_id % 3 = 0, year DESC, item_id, chunk_id) AS r FROM scores JOIN items USING (item_id)),
 pool AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY CASE WHEN query_id % 2 = 0 THEN item_id % 5 <> 0 END, CASE WHEN query_id % 2 = 0 THEN item_id % 7 <> 0 END,
-    CASE WHEN query_id % 2 = 0 THEN -bonus END, CASE WHEN query_id % 2 = 0 THEN -score END, CASE WHEN query_id % 2 = 0 THEN -year END, r) AS o,
+    CASE WHEN query_id % 2 = 0 THEN -bonus END, CASE WHEN query_id % 2 = 0 THEN -round(score, 9) END, CASE WHEN query_id % 2 = 0 THEN -year END, r) AS o,
     bool_or(hit) OVER (PARTITION BY query_id) AS named
   FROM base WHERE query_id IN (SELECT query_id FROM base GROUP BY 1 HAVING max(score) >= 3 INTERSECT SELECT query_id FROM tokens
     WHERE token NOT IN ('therapy','treatment','intervention','acupuncture','topical','external'))),
