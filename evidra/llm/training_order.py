@@ -31,6 +31,8 @@ ROUNDS, STRIDE_TOKENS, SHARD_ROWS = 6, 2048, 4096
 #: Parts in which the shards are written; only one part's records are in the shuffle at a time.
 WRITE_PARTS = 4
 HEAD_BYTES, END = 4, b"\n"
+#: Text tokenised at a time.
+TEXT_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -83,7 +85,7 @@ def token_sequences(docs: DataFrame, path: str, text: str = "text", layout: Layo
         if coder.max_token_value >= 1 << 8 * layout.id_bytes:
             raise ValueError("token ids do not fit")
         rest = np.empty(0, kind)
-        for batch in rebatch(batches, "text"):
+        for batch in rebatch(batches, "text", TEXT_BYTES):
             parts = [np.array([*encode_text(coder, split, t), end_id], kind) for t in batch.column("text").to_pylist()]
             held = np.concatenate([rest, *parts])
             whole = len(held) - len(held) % stride
