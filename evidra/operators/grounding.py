@@ -12,20 +12,24 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from evidra.functions.text import parse_structured_claims, strip_space, structured_answer
 from evidra.operators.retrieval import cosine
 
 # Providers whose drafts are checked, and policies that need a tool call.
 EXTERNAL_PROVIDERS = ["anthropic", "opencode_go"]
 TOOL_POLICIES = ["anthropic_tool_use_v1", "opencode_go_tool_use_v1"]
+# Fixed value: shown in place of a blocked draft.
+BLOCKED_TEXT = "当前模型草稿未通过引用证据校验，系统已拦截展示。请核对下方引用卡片，或调整问题、来源与引用数量后重试。"
+
+
+def _with_ref(citations: DataFrame) -> DataFrame:
+    return citations.withColumn("ref", F.coalesce(F.when(F.length("chunk_id") > 0, F.col("chunk_id")), F.col("literature_id")))
 
 
 def reference_texts(citations: DataFrame) -> DataFrame:
     """(answer_id, ref, reference_text): the first citation of a ref wins, quote before snippet."""
-    blank = lambda c: F.when(F.length(c) > 0, F.col(c))
-    rows = citations.select(
-        "answer_id", "position", F.coalesce(blank("chunk_id"), F.col("literature_id")).alias("ref"),
-        F.coalesce(blank("quote"), F.col("snippet")).alias("reference_text"),
-    )
+    quote = F.when(F.length("quote") > 0, F.col("quote"))
+    rows = _with_ref(citations).select("answer_id", "position", "ref", F.coalesce(quote, F.col("snippet")).alias("reference_text"))
     return rows.groupBy("answer_id", "ref").agg(F.min_by("reference_text", "position").alias("reference_text"))
 
 
@@ -107,3 +111,43 @@ def gate(
         F.when(external, reason).alias("reason"),
         F.when(~external, F.lit("skipped")).when(reason.isNull(), F.lit("passed")).otherwise(F.lit("blocked")).alias("status"),
     )
+
+
+def ground(
+    drafts: DataFrame,
+    citations: DataFrame,
+    encode: Callable[[Column], Column] | None = None,
+    semantic_threshold: float | None = None,
+    entail: Callable[[Column, Column], Column] | None = None,
+    entailment_threshold: float | None = None,
+) -> DataFrame:
+    """Every draft with its shown text, gate outcome and evidence references.
+
+    drafts: answer_id, provider_name, policy, text, tool_claims (array of text and evidence_refs, null without a
+    tool call), blocked_reason. Claims come from the tool call or from the draft's JSON. Lists of references are in
+    order of first mention; they are empty where the check ended before it read claims, and for drafts of local
+    providers, which are shown unchecked. A draft's claims and citations are lists in its own row.
+    """
+    external, tool = F.col("provider_name").isin(EXTERNAL_PROVIDERS), F.col("policy").isin(TOOL_POLICIES)
+    called = F.transform("tool_claims", lambda c: F.struct(strip_space(c["text"]).alias("text"), F.array_distinct(c["evidence_refs"]).alias("evidence_refs")))
+    parsed = F.coalesce(called, F.when(~tool, parse_structured_claims(F.col("text"))))
+    rows = drafts.withColumn("claims", F.when(external, parsed))
+    claims = rows.select("answer_id", F.posexplode("claims").alias("claim_no", "c")).select("answer_id", "claim_no", "c.text", "c.evidence_refs")
+    scored = support_scores(
+        claim_refs(claims, citations), encode if semantic_threshold is not None else None, entail if entailment_threshold is not None else None)
+    heads = rows.select(
+        "answer_id", "provider_name", "policy", F.col("tool_claims").isNotNull().alias("has_tool_claims"), "blocked_reason",
+        F.col("claims").isNotNull().alias("claims_parsed"))
+    gated = gate(heads, claims, scored, semantic_threshold, entailment_threshold)
+    places = _with_ref(citations).groupBy("answer_id", "ref").agg(F.min("position").alias("position"))
+    allowed = places.groupBy("answer_id").agg(
+        F.transform(F.sort_array(F.collect_list(F.struct("position", "ref"))), lambda s: s["ref"]).alias("allowed_refs"))
+    none = F.array().cast("array<string>")
+    named = F.coalesce(F.array_distinct(F.flatten(F.transform("claims", lambda c: c["evidence_refs"]))), none)
+    whole = rows.join(gated, "answer_id").join(allowed, "answer_id", "left").withColumn("allowed_refs", F.coalesce("allowed_refs", none))
+    shown = F.when(F.col("status") == "skipped", F.col("text")).when(F.col("status") == "passed", structured_answer("claims")).otherwise(F.lit(BLOCKED_TEXT))
+    return whole.select(
+        "answer_id", "provider_name", "policy", shown.alias("answer"), "status", "reason", "claim_count",
+        F.when(F.col("status") == "passed", F.col("claim_count")).otherwise(F.lit(0)).alias("cited_claim_count"),
+        "allowed_refs", F.array_intersect(named, "allowed_refs").alias("matched_refs"), F.array_except(named, "allowed_refs").alias("unsupported_refs"),
+        "min_semantic", "min_entailment")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
 from evidra.functions.embedding import register_entailment, select_backend, select_entailment
 from evidra.functions import lexicon
-from evidra.operators import answers, evaluation, grounding, ordering, retrieval, topk
+from evidra.operators import answers, evaluation, flow, grounding, ordering, retrieval, topk
 from evidra.plans import shapes
 from evidra.plans.retrieval_queries import _HASH_SQL, CHUNK_SQL, KEYWORD_SQL, _candidates, _ranked, query_tokens
 from evidra.session import load_table, materialize, union_all
@@ -404,9 +405,9 @@ def evidence_packs(spark, sf):
     return packs.select("query_id", F.md5("evidence_text").alias("evidence_md5"), F.length("evidence_text").alias("n_chars"))
 
 
-def entity_citations(spark, sf):
+def _entity_inputs(spark, sf):
     """Turns as evidence of questions that name a herb (those below forty of their number have one) and, every second one, the network
-    domain: entity pool, domain order and the last slot for the other language."""
+    domain: ranked candidates, tokens with these names, the questions' own vocabulary, linked items, chunks."""
     tokens, q = query_tokens(spark, sf), F.col("query_id")
     questions, chunks = shapes.questions(spark, sf), shapes.conversation_chunks(spark, sf)
     items = shapes.conversation_items(spark, sf).withColumn("source_type", F.when(F.col("item_id") % 3 == 0, "cn_literature").otherwise("pubmed"))
@@ -416,8 +417,14 @@ def entity_citations(spark, sf):
     tag = lambda n, name: F.when(F.col("item_id") % n == 0, F.lit(name))
     linked = items.withColumn("related_entity_ids", F.array(F.concat(F.lit("HERB:"), (F.col("item_id") % 20).cast("string")))).withColumn(
         "evidence_tags", F.array_compact(F.array(tag(5, "network_pharmacology"), tag(7, "targeted_therapy"))))
+    return ranked, named, tokens.select("token").distinct(), linked, chunks
+
+
+def entity_citations(spark, sf):
+    """Entity pool, domain order and the last slot for the other language."""
+    ranked, named, vocabulary, linked, chunks = _entity_inputs(spark, sf)
     ordered = answers.domain_order(ranked, linked, named)
-    topical = answers.topical_queries(ordered, tokens, tokens.select("token").distinct())
+    topical = answers.topical_queries(ordered, named, vocabulary)
     entities = answers.entity_matches(ordered, named, linked, chunks)
     chosen, available = answers.select_citations(ordered, topical, entities, top_k=3)
     return chosen.join(available, "query_id").select("query_id", "item_id", "chunk_id", "position", "match_score", "available_citation_count")
@@ -440,6 +447,105 @@ chosen AS (SELECT query_id, item_id, chunk_id, score, position FROM top WHERE NO
 SELECT query_id, item_id, chunk_id, CAST(position AS INTEGER) AS position, round(score / max(score) OVER (PARTITION BY query_id), 4) AS match_score, n AS available_citation_count
 FROM chosen JOIN (SELECT query_id, count(*) AS n FROM citable GROUP BY 1) USING (query_id)"""
 
+FLOW_KEY, FLOW_TIME = b"export key of the tests", "2024-01-01T00:00:00+00:00"
+
+
+def _draft_kinds(evidence, cards):
+    """Drafts of seven kinds by question number: local, without JSON, without tool call, with an unknown reference, with claims of the
+    first card for every card (or, every second one, each card's text said twice), by tool call, with a claim that cites nothing."""
+    kind, q = F.col("query_id") % 7, Window.partitionBy("query_id").orderBy("position")
+    own = F.array("chunk_id")
+    refs = F.when((kind == 3) & (F.col("position") == 2), F.array("chunk_id", F.lit("nowhere"))).when(
+        (kind == 6) & (F.col("position") == 3), F.array().cast("array<string>")).otherwise(own)
+    text = F.when(F.col("query_id") % 14 == 4, F.substring(F.first("quote").over(q), 1, 40)).when(
+        kind == 4, F.concat_ws(" ", "quote", "quote")).otherwise(F.col("quote"))
+    claims = cards.select("query_id", F.struct("position", text.alias("text"), refs.alias("evidence_refs")).alias("c")).groupBy("query_id").agg(
+        F.transform(F.sort_array(F.collect_list("c")), lambda c: F.struct(c["text"].alias("text"), c["evidence_refs"].alias("evidence_refs"))).alias("claims"))
+    rows = evidence.join(claims, "query_id", "left").withColumn("claims", F.coalesce("claims", F.array().cast(claims.schema["claims"].dataType)))
+    tool = kind.isin(2, 5)
+    return rows.select(
+        "query_id", F.when(kind == 0, "deterministic").otherwise("anthropic").alias("provider_name"),
+        F.when(tool, "anthropic_tool_use_v1").otherwise("structured_claim_refs_v3").alias("policy"),
+        F.when(kind == 0, F.col("answer")).when(kind == 1, "no JSON").when(~tool, F.to_json(F.struct("claims"))).alias("text"),
+        F.when(kind == 5, F.col("claims")).alias("tool_claims"), F.lit(None).cast("string").alias("blocked_reason"),
+        F.length("question").cast("long").alias("input_tokens"), F.lit(100).cast("long").alias("output_tokens"))
+
+
+def signed_answers(spark, sf):
+    """The whole answer flow over turns: ranking, entity pool, cards, drafts, both checks of their claims, and signature."""
+    register_entailment("length", lambda premise, claim: F.least(F.lit(1.0), F.length(premise) / F.greatest(F.length(claim), F.lit(1))))
+    ranked, named, vocabulary, linked, chunks = _entity_inputs(spark, sf)
+    items = linked.withColumn("source", F.lit("dialogue")).withColumn("snippet", F.col("title"))
+    topic = F.when(F.col("role") == "user", F.lit("pruritus")).otherwise(F.lit("review"))
+    quoted = chunks.withColumn("source_quote", F.col("text")).withColumn("evidence_tags", F.array(topic, F.col("role")))
+    done = flow.answer_flow(
+        shapes.questions(spark, sf), ranked, items, quoted, named, vocabulary, FLOW_KEY, FLOW_TIME, write=_draft_kinds, top_k=3, price_in=1.0, price_out=2.0,
+        encode=select_backend("hashing"), semantic_threshold=0.5, entail=select_entailment("length"), entailment_threshold=0.9)
+    g = lambda c: F.col(f"grounding.{c}")
+    joined = [F.array_join(g(f"{c}_evidence_refs"), ",").alias(f"{c}_refs") for c in ("allowed", "matched", "unsupported")]
+    return done.select(
+        "query_id", F.md5("answer").alias("answer_md5"), g("status").alias("status"), g("reason").alias("reason"), g("claim_count").alias("claim_count"), *joined,
+        g("min_semantic_score").alias("min_semantic"), g("min_entailment_score").alias("min_entailment"), F.col("sli.estimated_cost_usd").alias("cost"),
+        "integrity_token")
+
+
+def _pad(byte):
+    return bytes(b ^ byte for b in FLOW_KEY.ljust(64, b"\0")).hex()
+
+
+def _number(value):
+    return f"CASE WHEN {value} IS NULL THEN 'null' WHEN {value} = floor({value}) THEN CAST(CAST({value} AS BIGINT) AS VARCHAR) ELSE CAST({value} AS VARCHAR) END"
+
+
+# the flow on the chosen rows of ENTITY_SQL; only one kind of draft needs a cosine, the others cite their own text
+FLOW_SQL = ENTITY_SQL.rsplit("SELECT query_id, item_id, chunk_id, CAST(position", 1)[0].rstrip() + f""",
+turn AS (SELECT conv_id || '-' || lpad(CAST(turn AS VARCHAR), 6, '0') AS chunk_id, text AS quote, role FROM conversations),
+head AS (SELECT conv_id AS item_id, min_by(text, turn) AS title FROM conversations GROUP BY 1),
+card AS (SELECT query_id, item_id, chunk_id, position, quote, role, title, CASE WHEN role = 'user' THEN 'pruritus' ELSE 'review' END AS topic,
+  round(score / max(score) OVER (PARTITION BY query_id), 4) AS match_score, CASE WHEN item_id % 3 = 0 THEN 0.86 ELSE 0.74 END AS confidence,
+  CASE WHEN query_id % 14 = 4 THEN substr(first_value(quote) OVER (PARTITION BY query_id ORDER BY position), 1, 40)
+    WHEN query_id % 14 = 11 THEN quote || ' ' || quote ELSE quote END AS claim
+  FROM chosen JOIN turn USING (chunk_id) JOIN head USING (item_id)),
+text AS (SELECT DISTINCT chunk_id AS id, 'r' AS side, lower(quote) AS t FROM card WHERE query_id % 14 = 4
+  UNION ALL SELECT DISTINCT 'k' || query_id, 'k', lower(claim) FROM card WHERE query_id % 14 = 4), {_HASH_SQL},
+norm AS (SELECT id, sqrt(sum(v * v)) AS n FROM place GROUP BY 1),
+near AS (SELECT query_id, position, greatest(0.0, least(1.0, sum(x.v * y.v) / (max(a.n) * max(b.n)))) AS s FROM card
+  JOIN place x ON x.id = 'k' || query_id JOIN place y ON y.id = chunk_id AND y.i = x.i JOIN norm a ON a.id = x.id JOIN norm b ON b.id = y.id WHERE query_id % 14 = 4 GROUP BY ALL),
+per AS (SELECT query_id, count(*) AS n, min(coalesce(s, 1.0)) AS semantic, min(least(1.0, length(quote) / greatest(length(claim), 1))) AS entailment,
+  list(chunk_id ORDER BY position) AS ids, string_agg(regexp_replace(claim, '[。！？!? ]+$', '') || ' [' || chunk_id || ']。', '' ORDER BY position) AS written,
+  string_agg(position || '.《' || title || '》（dialogue）：' || quote, chr(10) ORDER BY position) AS block,
+  string_agg('{{"chunk_id":' || to_json(chunk_id) || ',"confidence":' || confidence || ',"literature_id":"' || item_id || '","match_score":' || {_number('match_score')}
+    || ',"quote":' || to_json(quote) || ',"reason":"' || topic || ', ' || role || '","snippet":' || to_json(title) || ',"source":"dialogue","title":' || to_json(title) || '}}',
+    ',' ORDER BY position) AS cards FROM card LEFT JOIN near USING (query_id, position) GROUP BY 1),
+topics AS (SELECT query_id, string_agg(CASE topic WHEN 'pruritus' THEN '瘙痒' ELSE '证据综述' END, '、' ORDER BY p) AS topics
+  FROM (SELECT query_id, topic, min(position) AS p FROM card GROUP BY ALL) GROUP BY 1),
+pooled AS (SELECT query_id, any_value(named) AS named, count(*) FILTER (hit OR NOT named) AS available FROM pool GROUP BY 1),
+asked AS (SELECT item_id AS query_id, item_id % 7 AS kind, trim(text) AS question, length(trim(text)) AS n_in, coalesce(n, 0) AS n, semantic, entailment, coalesce(ids, []) AS ids,
+  written, block, coalesce(cards, '') AS cards, topics, named, coalesce(available, 0) AS available
+  FROM benchmark LEFT JOIN per ON per.query_id = item_id LEFT JOIN topics ON topics.query_id = item_id LEFT JOIN pooled ON pooled.query_id = item_id),
+early AS (SELECT *, CASE WHEN kind IN (0, 1, 2) THEN 0 ELSE n END AS claim_count, CASE WHEN kind = 0 THEN NULL WHEN kind = 1 THEN 'structured_claims_parse_error'
+  WHEN kind = 2 THEN 'missing_tool_use' WHEN n = 0 THEN CASE WHEN kind = 5 THEN 'empty_tool_claims' ELSE 'empty_structured_claims' END
+  WHEN kind = 6 AND n > 2 THEN 'claim_without_evidence_ref' WHEN kind = 3 AND n > 1 THEN 'unsupported_evidence_ref' END AS early FROM asked),
+least AS (SELECT *, CASE WHEN kind > 0 AND early IS NULL THEN round(semantic, 6) END AS s, CASE WHEN kind > 0 AND early IS NULL AND semantic >= 0.5 THEN round(entailment, 6) END AS e FROM early),
+judged AS (SELECT *, coalesce(early, CASE WHEN s < 0.5 THEN 'semantic_low_support' WHEN e < 0.9 THEN 'nli_low_entailment' END) AS reason,
+  CASE WHEN kind < 3 THEN [] WHEN kind = 6 THEN ids[1:2] ELSE ids END AS matched, CASE WHEN kind = 3 AND n > 1 THEN ['nowhere'] ELSE [] END AS unsupported FROM least),
+shown AS (SELECT *, CASE WHEN kind = 0 THEN 'skipped' WHEN reason IS NULL THEN 'passed' ELSE 'blocked' END AS status, round(n_in / 1e6 * 1.0 + 100 / 1e6 * 2.0, 6) AS cost,
+  CASE WHEN kind > 0 AND reason IS NULL THEN written WHEN kind > 0 THEN '{grounding.BLOCKED_TEXT}' WHEN n = 0 THEN '{answers._NO_EVIDENCE}'
+  ELSE CASE WHEN question <> '' THEN '针对「' || question || '」，' ELSE '' END || CASE WHEN named THEN '在当前样本文献中检索到 ' || n || ' 条相关证据片段，按相关度排序：'
+    ELSE '在当前样本文献中未检索到与所问实体直接对应的证据片段；以下为按相关度排列的 ' || n || ' 条邻近证据片段，与所问问题的对应性未经证实，仅供横向参考：' END || chr(10) || block
+    || chr(10) || '涉及主题：' || topics || '。' || CASE WHEN named THEN '{answers._CLOSING.format('系统检索命中的原文证据片段')}' ELSE '{answers._CLOSING.format('按相关度排列的样本文献原文片段')}' END
+  END AS answer FROM judged),
+body AS (SELECT *, '{{"answer":' || to_json(answer) || ',"answered_at":"{FLOW_TIME}","citations":[' || cards || '],"disclaimer":"{flow.DISCLAIMER}","grounding":{{"allowed_evidence_refs":'
+  || to_json(ids) || ',"checked":' || CASE WHEN kind = 0 THEN 'false' ELSE 'true' END || ',"cited_claim_count":' || CASE WHEN status = 'passed' THEN claim_count ELSE 0 END || ',"claim_count":' || claim_count
+  || ',"matched_evidence_refs":' || to_json(matched) || ',"min_entailment_score":' || {_number('e')} || ',"min_semantic_score":' || {_number('s')}
+  || ',"policy":"' || CASE WHEN kind IN (2, 5) THEN 'anthropic_tool_use_v1' ELSE 'structured_claim_refs_v3' END || '","reason":' || coalesce('"' || reason || '"', 'null')
+  || ',"status":"' || status || '","unsupported_evidence_refs":' || to_json(unsupported) || '}},"input_tokens":' || n_in || ',"output_tokens":100,"provider_name":"'
+  || CASE WHEN kind = 0 THEN 'deterministic' ELSE 'anthropic' END || '","question":' || to_json(question) || ',"retrieval":{{"applied_source":"all","applied_top_k":3,"available_citation_count":'
+  || available || ',"strategy":"keyword"}},"sli":{{"estimated_cost_usd":' || {_number('cost')} || '}}}}' AS signed FROM shown)
+SELECT query_id, md5(answer) AS answer_md5, status, reason, claim_count, array_to_string(ids, ',') AS allowed_refs, array_to_string(matched, ',') AS matched_refs,
+  array_to_string(unsupported, ',') AS unsupported_refs, s AS min_semantic, e AS min_entailment, cost,
+  sha256(unhex('{_pad(0x5C)}') || unhex(sha256(unhex('{_pad(0x36)}') || encode(signed)))) AS integrity_token FROM body"""
+
 _TOPICAL_SQL = f"""WITH {KEYWORD_SQL},
 topical AS (SELECT query_id FROM ranked GROUP BY 1 HAVING max(score) >= 3 INTERSECT SELECT query_id FROM tokens
   WHERE token NOT IN ('therapy','treatment','intervention','acupuncture','topical','external')),
@@ -603,6 +709,7 @@ QUERIES = {
     "bracketed_references": (bracketed_references, _BRACKET_SQL),
     "citation_selection": (citation_selection, f"{_TOPICAL_SQL} SELECT query_id, item_id, position, match_score FROM picked"),
     "entity_citations": (entity_citations, ENTITY_SQL),
+    "signed_answers": (signed_answers, FLOW_SQL),
     "available_citations": (
         available_citations, f"{_TOPICAL_SQL} SELECT query_id, count(*) AS available_citation_count FROM ranked SEMI JOIN topical USING (query_id) GROUP BY 1"),
     "answer_batch": (answer_batch, _ANSWER_SQL),

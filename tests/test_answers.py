@@ -1,7 +1,13 @@
+import hashlib
+import hmac
+import json
+
 from pyspark.sql import functions as F
 
 from evidra.functions import text as tx
-from evidra.operators import answers, evaluation, grounding
+from evidra.functions.canonical import valid_signature
+from evidra.functions.embedding import select_backend
+from evidra.operators import answers, evaluation, flow, grounding
 from tests.conftest import rows
 
 RANKED = "query_id int, item_id string, chunk_id string, score double, bonus int, real int, year int, rank int"
@@ -121,3 +127,67 @@ def test_text_quality_rules(spark):
     assert got[0].f == ["nul_warning", "short_text", "low_cjk_ratio"] and got[1].d and got[2].f == [] and got[3].f == ["empty_text"]
     page = spark.createDataFrame([("\n".join(f"l{i}" for i in range(10)),), ("a\nb",)], "t string").select(tx.trim_header_footer(F.col("t")).alias("x"))
     assert [r.x for r in page.collect()] == ["\n".join(f"l{i}" for i in range(1, 9)), "a\nb"]
+
+
+CLAIMS = "array<struct<text:string,evidence_refs:array<string>>>"
+CARDS = "answer_id int, position int, chunk_id string, literature_id string, quote string, snippet string"
+
+
+def test_ground_lists_and_shown_text(spark):
+    cards = spark.createDataFrame([(i, p, c, "l", q, "abstract") for i in range(8) for p, c, q in ((1, "c1", "alpha beta"), (2, None, ""), (3, "c1", "later"))], CARDS)
+    tool = "anthropic_tool_use_v1"
+    json_of = lambda *claims: '{"claims":[' + ",".join(f'{{"text":"{t}","evidence_refs":[{r}]}}' for t, r in claims) + "]}"
+    drafts = spark.createDataFrame([
+        (0, "deterministic", "structured_claim_refs_v3", "as written", None, None),
+        (1, "anthropic", "structured_claim_refs_v3", json_of((" alpha beta。", '"c1","c1"'), ("x", '"l"')), None, None),
+        (2, "anthropic", "structured_claim_refs_v3", json_of(("alpha", '"z","c1"'), ("x", '"y","z"')), None, None),
+        (3, "anthropic", tool, json_of(("alpha", '"c1"')), None, "tool_refused"),
+        (4, "opencode_go", tool, None, [("alpha beta", ["c1"])], None),
+        (5, "anthropic", "structured_claim_refs_v3", json_of(("  ", '"c1"'), ("x", "")), None, None),
+        (6, "anthropic", tool, None, [], None),
+        (7, "anthropic", "structured_claim_refs_v3", None, None, None)],
+        f"answer_id int, provider_name string, policy string, text string, tool_claims {CLAIMS}, blocked_reason string")
+    got = {r.answer_id: r for r in grounding.ground(drafts, cards).collect()}
+    assert [got[i].status for i in range(8)] == ["skipped", "passed", "blocked", "blocked", "passed", "blocked", "blocked", "blocked"]
+    assert [got[i].reason for i in range(8)] == [
+        None, None, "unsupported_evidence_ref", "tool_refused", None, "blank_claim_text", "empty_tool_claims", "structured_claims_parse_error"]
+    assert got[0].answer == "as written" and got[1].answer == "alpha beta [c1]。x [l]。" and got[3].answer == grounding.BLOCKED_TEXT
+    assert all(got[i].allowed_refs == ["c1", "l"] for i in range(8))
+    assert (got[2].matched_refs, got[2].unsupported_refs, got[2].claim_count, got[2].cited_claim_count) == (["c1"], ["z", "y"], 2, 0)
+    assert (got[1].matched_refs, got[1].cited_claim_count) == (["c1", "l"], 2) and got[0].matched_refs == got[7].unsupported_refs == []
+
+
+def test_ground_scores_in_two_stages(spark):
+    cards = spark.createDataFrame([(i, 1, "c1", "l", "alpha beta gamma", "") for i in range(3)] + [(3, 1, "c1", "l", "", "")], CARDS)
+    rows_ = [(i, "anthropic", "anthropic_tool_use_v1", None, [(t, ["c1"])], None) for i, t in enumerate(("alpha beta gamma", "delta", "alpha beta", "alpha"))]
+    drafts = spark.createDataFrame(rows_, f"answer_id int, provider_name string, policy string, text string, tool_claims {CLAIMS}, blocked_reason string")
+    same = lambda premise, claim: F.when(premise == claim, 1.0).otherwise(0.25)
+    got = {r.answer_id: r for r in grounding.ground(drafts, cards, select_backend("hashing"), 0.5, same, 0.5).collect()}
+    assert (got[0].status, got[0].min_entailment) == ("passed", 1.0) and abs(got[0].min_semantic - 1) < 1e-9
+    assert (got[1].reason, got[1].min_entailment) == ("semantic_low_support", None)
+    assert (got[2].reason, got[2].min_entailment) == ("nli_low_entailment", 0.25)
+    assert (got[3].reason, got[3].min_semantic) == ("semantic_low_support", 0.0)  # nothing to score against
+    only = {r.answer_id: r for r in grounding.ground(drafts, cards, entail=same, entailment_threshold=0.5).collect()}
+    assert (only[1].reason, only[3].status, only[3].min_entailment) == ("nli_low_entailment", "passed", None)
+
+
+def test_answer_flow_signs_each_response(spark):
+    questions = spark.createDataFrame([(1, " gut? "), (2, "other"), (3, None)], "query_id int, text string")
+    ranked = spark.createDataFrame([(1, "a", "a1", 9.0, 1, 1, 2020, 1), (1, "b", None, 4.0, 1, 1, 2020, 2)], RANKED)
+    items = spark.createDataFrame(
+        [("a", "A", "s", "sa", ["review"], "pubmed", []), ("b", "B", "s", "sb", ["pruritus"], "pubmed", [])],
+        "item_id string, title string, source string, snippet string, evidence_tags array<string>, source_type string, related_entity_ids array<string>")
+    chunks = spark.createDataFrame([("a1", " quoted ", [])], "chunk_id string, source_quote string, evidence_tags array<string>")
+    tokens = spark.createDataFrame([(1, "gut")], "query_id int, token string")
+    done = flow.answer_flow(questions, ranked, items, chunks, tokens, tokens.select("token"), b"k", "now").cache()
+    got = {r.query_id: r for r in done.collect()}
+    assert set(got) == {1, 2, 3} and [c.literature_id for c in got[1].citations] == ["a", "b"] and got[2].citations == []
+    assert got[1].question == "gut?" and "1.《A》（s）：quoted\n2.《B》（s）：sb" in got[1].answer and got[2].answer == answers._NO_EVIDENCE
+    assert got[1].grounding.status == "skipped" and got[1].grounding.allowed_evidence_refs == ["a1", "b"] and got[1].sli.estimated_cost_usd is None
+    payload = json.loads(done.where("query_id = 1").select(F.to_json(F.struct(*flow.SIGNED), {"ignoreNullFields": "false"})).first()[0])
+    payload["citations"][0]["match_score"] = 1  # an integral score is signed as an integer
+    text = json.dumps(payload, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    assert got[1].integrity_token == hmac.new(b"k", text.encode(), hashlib.sha256).hexdigest()
+    edited = done.withColumn("answer", F.lit("edited"))
+    valid = lambda df: [r[0] for r in df.select(valid_signature(F.col("integrity_token"), F.struct(*flow.SIGNED), b"k")).collect()]
+    assert valid(done) == [True] * 3 and valid(edited) == [False] * 3
