@@ -215,17 +215,9 @@ def assemble_from_plans(selected: DataFrame, rows: DataFrame, pathways: DataFram
         kind.alias("target_evidence_type"), evidence_level(mode, kind, F.lit(False)).alias("evidence_level"))
 
 
-def consumption_states(
-    requests: DataFrame, tasks: DataFrame, plans: DataFrame, consumptions: DataFrame, selection: DataFrame,
-    limit: int | None = None,
-) -> DataFrame:
-    """Outcome of every consume request in the fixed order of checks.
-
-    Several requests for one unconsumed plan in the same batch: the first valid one creates,
-    the others compare with it. requests: request_seq, task_id, plan_id, owner_id, writer_id,
-    canonical_plan_input_sha256, output_sha256. ``limit``: consumptions a task may store at
-    most, if the caller wants a bound.
-    """
+def request_checks(requests: DataFrame, tasks: DataFrame, plans: DataFrame, selection: DataFrame) -> DataFrame:
+    """Requests (also a stream of them) with ``plan_sequence`` and the first failing check, in the fixed order: ``fresh_reason`` holds for a
+    plan that nobody has consumed yet, ``used_reason`` for a consumed one; null where none fails."""
     t = tasks.select("task_id", "owner_id", "source_task_id", "protocol_sha256", "target_lineage_sha256", "status")
     parent = tasks.select(F.col("task_id").alias("source_task_id"), "owner_id", F.col("source_task_id").alias("p_parent"),
                           F.col("status").alias("p_status"), F.col("protocol_sha256").alias("p_protocol"))
@@ -233,41 +225,49 @@ def consumption_states(
                      F.col("target_lineage_sha256").alias("plan_lineage"), F.col("adjudication_selection_sha256").alias("plan_selection"),
                      "parent_protocol_sha256", "child_protocol_sha256")
     last = plans.groupBy("task_id").agg(F.max("plan_sequence").alias("last_sequence"))
-    # a plan has one consumption; should storage hold more, the oldest governs
-    used = consumptions.groupBy("task_id", "plan_id").agg(
-        F.min_by(F.struct("writer_id", "output_sha256"), "consumed_at").alias("u")).select(
-        "task_id", "plan_id", F.col("u.writer_id").alias("u_writer"), F.col("u.output_sha256").alias("u_output"))
-    stored = consumptions.groupBy("task_id").agg(F.count("*").alias("n_stored"))
     sel = selection.select("task_id", F.col("adjudication_selection_sha256").alias("now_selection"))
     rows = (
         requests.join(t, ["task_id", "owner_id"], "left").join(p, ["task_id", "plan_id"], "left")
-        .join(parent, ["source_task_id", "owner_id"], "left").join(last, "task_id", "left")
-        .join(used, ["task_id", "plan_id"], "left").join(stored, "task_id", "left").join(sel, "task_id", "left")
+        .join(parent, ["source_task_id", "owner_id"], "left").join(last, "task_id", "left").join(sel, "task_id", "left")
     )
-    fresh = F.col("u_writer").isNull()
-    broken = F.col("p_status").isNull() | F.col("p_parent").isNotNull() | (F.col("p_status") != "completed")
     differs = lambda a, b: ~F.col(a).eqNullSafe(F.col(b))
+    broken = F.col("p_status").isNull() | F.col("p_parent").isNotNull() | (F.col("p_status") != "completed")
     corrupt = (
         (F.col("plan_id") != F.concat(F.lit("assembly-plan-"), F.col("plan_input"))) | (F.col("status") != "completed")
         | differs("target_lineage_sha256", "plan_lineage") | differs("p_protocol", "parent_protocol_sha256") | differs("protocol_sha256", "child_protocol_sha256")
     )
     presented = F.col("canonical_plan_input_sha256")
-    rejected = (
-        F.when(F.col("status").isNull() | F.col("plan_input").isNull(), F.lit("not_found"))
-        .when(presented.isNotNull() & (presented != F.col("plan_input")), F.lit("invalid_request"))
-        .when(fresh & (F.col("plan_sequence") != F.col("last_sequence")), F.lit("superseded"))
-        .when(fresh & differs("now_selection", "plan_selection"), F.lit("conflict"))
-        .when(broken, F.lit("broken_parent_link"))
-        .when(corrupt, F.lit("integrity_failed"))
-    )
-    rows = rows.withColumn("rejected", rejected)
-    # the first acceptable request of an unconsumed plan, and the place it takes in its task
+    named = F.when(F.col("status").isNull() | F.col("plan_input").isNull(), F.lit("not_found")).when(
+        presented.isNotNull() & (presented != F.col("plan_input")), F.lit("invalid_request"))
+    current = F.when(F.col("plan_sequence") != F.col("last_sequence"), F.lit("superseded")).when(differs("now_selection", "plan_selection"), F.lit("conflict"))
+    whole = F.when(broken, F.lit("broken_parent_link")).when(corrupt, F.lit("integrity_failed"))
+    return rows.select(*requests.columns, "plan_sequence", F.coalesce(named, current, whole).alias("fresh_reason"), F.coalesce(named, whole).alias("used_reason"))
+
+
+def consumption_states(
+    requests: DataFrame, tasks: DataFrame, plans: DataFrame, consumptions: DataFrame, selection: DataFrame,
+    limit: int | None = None,
+) -> DataFrame:
+    """Outcome of every consume request in the fixed order of checks.
+
+    Several requests for one unconsumed plan in the same batch: the first valid one creates,
+    the others compare with it. requests: request_seq, task_id, plan_id, owner_id, writer_id,
+    canonical_plan_input_sha256, output_sha256. ``limit``: consumptions a task may store at
+    most, if the caller wants a bound.
+    """
+    rows = request_checks(requests, tasks, plans, selection).join(oldest_consumptions(consumptions), ["task_id", "plan_id"], "left")
+    fresh = F.col("u_writer").isNull()
+    rows = rows.withColumn("rejected", F.when(fresh, F.col("fresh_reason")).otherwise(F.col("used_reason")))
+    # the first acceptable request of an unconsumed plan
     firsts = rows.where(F.col("rejected").isNull() & F.col("u_writer").isNull()).groupBy("task_id", "plan_id").agg(
         F.min_by(F.struct("request_seq", "writer_id", "output_sha256"), "request_seq").alias("f"))
-    w = Window.partitionBy("task_id").orderBy("f.request_seq")
-    firsts = firsts.withColumn("place", F.row_number().over(w))
+    room = F.lit(True)
+    if limit is not None:  # only a bound needs the place that a request takes in its task
+        stored = consumptions.groupBy("task_id").agg(F.count("*").alias("n_stored"))
+        firsts = firsts.withColumn("place", F.row_number().over(Window.partitionBy("task_id").orderBy("f.request_seq")))
+        rows = rows.join(stored, "task_id", "left")
+        room = F.coalesce("n_stored", F.lit(0)) + F.col("place") <= F.lit(limit)
     rows = rows.join(firsts, ["task_id", "plan_id"], "left")
-    room = F.coalesce("n_stored", F.lit(0)) + F.col("place") <= F.lit(limit) if limit is not None else F.lit(True)
     is_first = F.col("request_seq") == F.col("f.request_seq")
     writer = F.coalesce("u_writer", "f.writer_id")
     output = F.coalesce("u_output", "f.output_sha256")
@@ -282,6 +282,13 @@ def consumption_states(
     return rows.select("request_seq", "task_id", "plan_id", "owner_id", "writer_id", "output_sha256", "plan_sequence", state.alias("state"))
 
 
+def oldest_consumptions(consumptions: DataFrame) -> DataFrame:
+    """(task_id, plan_id, u_writer, u_output): a plan has one consumption; should storage hold more, the oldest governs."""
+    return consumptions.groupBy("task_id", "plan_id").agg(
+        F.min_by(F.struct("writer_id", "output_sha256"), "consumed_at").alias("u")).select(
+        "task_id", "plan_id", F.col("u.writer_id").alias("u_writer"), F.col("u.output_sha256").alias("u_output"))
+
+
 def output_ids(outputs: DataFrame) -> DataFrame:
     body = F.struct("task_id", "source_task_id", "plan_id", "plan_sequence", "canonical_plan_input_sha256", "output_sha256")
     return outputs.withColumn("output_id", content_id("assembly-output", body))

@@ -214,6 +214,21 @@ def consumption_states(spark, sf):
     return states.groupBy("state").agg(F.count("*").alias("n"), F.count_distinct("plan_id").alias("n_plans"))
 
 
+def consumption_stream(spark, sf):
+    """The same requests as a stream in two runs, the second from the first one's state: lines up to the third of each order, then the rest."""
+    requests, *static, used, selection = _consumption_inputs(spark, sf)
+    t, plans, used, selection = (materialize(df) for df in (*static, used, selection))
+    line, part = F.col("request_seq.l_linenumber"), F.col("request_seq")
+    number = ((part["l_orderkey"] * 16 + line) * 64 + part["l_quantity"].cast("int")) * 128 + F.ascii(part["l_returnflag"])
+    asked = materialize(requests.withColumn("late", line > 3).withColumn("request_seq", number.cast("long")))
+    folder = work_folder(spark, "consumption")
+    for run, late in enumerate((False, True)):
+        asked.where(F.col("late") == late).drop("late").write.mode("overwrite").parquet(f"{folder}/in/run={run}")
+        stream = spark.readStream.schema(asked.drop("late").schema).parquet(f"{folder}/in/run=*")
+        jobs.consume_batches(stream, t, plans, selection, f"{folder}/store", f"{folder}/out", f"{folder}/checkpoint", used).awaitTermination()
+    return spark.read.parquet(f"{folder}/out").groupBy("state").agg(F.count("*").alias("n"), F.count_distinct("plan_id").alias("n_plans"))
+
+
 CONSUME_SQL = f"""WITH {_DECISIONS}, {_TASKS}, {_PLANS},
 nw AS (SELECT *, max(plan_sequence) OVER (PARTITION BY task_id) AS m FROM pl),
 us AS (SELECT task_id, h FROM nw JOIN orders USING (o_orderkey) WHERE o_orderstatus = 'F'),
@@ -408,6 +423,7 @@ QUERIES = {
     ),
     "plan_chains": (plan_chains, CHAINS_SQL),
     "consumption_states": (consumption_states, CONSUME_SQL),
+    "consumption_stream": (consumption_stream, CONSUME_SQL),
     "confirmation_states": (confirmation_states, CONFIRM_SQL),
     "audit_chain": (audit_chain, AUDIT_SQL),
     "export_signatures": (export_signatures, SIGN_SQL),

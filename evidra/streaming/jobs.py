@@ -32,33 +32,75 @@ def latest_decision_stream(events: DataFrame) -> DataFrame:
     return events.groupBy("task_id", "lineage_row_id").agg(F.max_by(F.struct(*rest), "seq").alias("latest"))
 
 
+def _newest(samples: list[tuple], window: int) -> list[tuple]:
+    return sorted(samples, key=lambda s: (s[0], s[1] is not None, s[1] or 0.0))[-window:]
+
+
+def _merged(a: tuple, b: tuple, window: int) -> tuple:
+    """Two parts of an endpoint: rows, rows with a time, their sum, least and greatest time, newest samples."""
+    return a[0] + b[0], a[1] + b[1], a[2] + b[2], min(a[3], b[3]), max(a[4], b[4]), _newest(a[5] + b[5], window)
+
+
+_NOTHING = (0, 0, 0.0, float("inf"), float("-inf"), [])
+_HELD = 10_000  # endpoints a task holds before it sends their parts on
+_PARTS_SCHEMA = "endpoint string, count bigint, valued bigint, total double, low double, high double, stamps array<bigint>, times array<double>"
+_TIMES = lambda times: [None if t != t else float(t) for t in times]
+
+
+def _latency_parts(window: int):
+    """First stage, before the shuffle: one row per task and endpoint with counters and the newest samples."""
+
+    def sent(held):
+        return pd.DataFrame(
+            [(e, *p[:5], [s for s, _ in p[5]], [m for _, m in p[5]]) for e, p in held.items()],
+            columns=["endpoint", "count", "valued", "total", "low", "high", "stamps", "times"])
+
+    def combine(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: dict = {}
+        for chunk in batches:
+            for endpoint, rows in chunk.groupby("endpoint", dropna=False, sort=False):
+                endpoint, ms = None if pd.isna(endpoint) else endpoint, rows["ms"].dropna()
+                newest = rows.sort_values(["ts", "ms"], na_position="first").tail(window)
+                samples = list(zip(newest["ts"].tolist(), _TIMES(newest["ms"].tolist())))
+                low, high = (float(ms.min()), float(ms.max())) if len(ms) else _NOTHING[3:5]
+                held[endpoint] = _merged(held.get(endpoint, _NOTHING), (len(rows), len(ms), float(ms.sum()), low, high, samples), window)
+            if len(held) > _HELD:
+                yield sent(held)
+                held = {}
+        if held:
+            yield sent(held)
+
+    return combine
+
+
 class _LatencyState(StatefulProcessor):
-    """Counters and the newest samples of one endpoint."""
+    """Second stage: counters and the newest samples of one endpoint, merged from the tasks' parts."""
 
     def __init__(self, window: int):
         self.window = window
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.totals = handle.getValueState("totals", "count bigint, total double, low double, high double")
+        self.totals = handle.getValueState("totals", "count bigint, valued bigint, total double, low double, high double")
         self.samples = handle.getListState("samples", "ts bigint, ms double")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        count, total, low, high = self.totals.get() if self.totals.exists() else (0, 0.0, float("inf"), 0.0)
-        kept = [tuple(s) for s in self.samples.get()] if self.samples.exists() else []
-        for chunk in rows:  # only the newest samples stay, however many rows a batch brings
-            ms = chunk["elapsed_ms"]
-            count, total = count + len(ms), total + float(ms.sum())
-            low, high = min(low, float(ms.min())), max(high, float(ms.max()))
-            stamps = chunk["ts"].astype("int64").tolist()
-            kept = sorted(kept + list(zip(stamps, ms.astype(float).tolist())))[-self.window:]
-        self.totals.update((count, total, low, high))
+        whole = _NOTHING
+        if self.totals.exists():
+            whole = (*self.totals.get(), [tuple(s) for s in self.samples.get()])
+        for chunk in rows:
+            for part in chunk.itertuples(index=False):
+                samples = list(zip(map(int, part.stamps), _TIMES(part.times)))
+                whole = _merged(whole, (int(part.count), int(part.valued), part.total, part.low, part.high, samples), self.window)
+        count, valued, total, low, high, kept = whole
+        self.totals.update((count, valued, total, low, high))
         self.samples.put(kept)
-        ordered = sorted(v for _, v in kept)
+        ordered = sorted(v for _, v in kept if v is not None)
         n = len(ordered)
-        at = lambda q: ordered[min(int(n * q), n - 1)]
+        at = lambda q: ordered[min(int(n * q), n - 1)] if n else None
+        some = lambda v: v if valued else None
         yield pd.DataFrame([{
-            "endpoint": key[0], "count": count, "avg_ms": total / count, "min_ms": low, "max_ms": high,
-            "p50_ms": ordered[n // 2], "p95_ms": at(0.95), "p99_ms": at(0.99)}])
+            "endpoint": key[0], "count": count, "avg_ms": total / valued if valued else None, "min_ms": some(low), "max_ms": some(high),
+            "p50_ms": at(0.5), "p95_ms": at(0.95), "p99_ms": at(0.99)}])
 
     def close(self) -> None:
         pass
@@ -68,9 +110,12 @@ LATENCY_SCHEMA = "endpoint string, count bigint, avg_ms double, min_ms double, m
 
 
 def latency_stream(samples: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Running statistics per endpoint (endpoint, ts, elapsed_ms); update mode."""
+    """Running statistics per endpoint (endpoint, ts, elapsed_ms); update mode. Tasks reduce their samples to one part per endpoint first, so an
+    endpoint's key receives parts of ``window`` samples at most and never a batch's samples. Samples without a time count, and take a place
+    among the newest, but have no part in the figures; those without ``ts`` are the oldest."""
     use_rocksdb(samples.sparkSession)
-    return samples.groupBy("endpoint").transformWithStateInPandas(
+    known = samples.select("endpoint", F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(-(2**62))).alias("ts"), F.col("elapsed_ms").cast("double").alias("ms"))
+    return known.mapInPandas(_latency_parts(window), _PARTS_SCHEMA).groupBy("endpoint").transformWithStateInPandas(
         _LatencyState(window), outputStructType=LATENCY_SCHEMA, outputMode="Update", timeMode="None")
 
 
@@ -148,43 +193,91 @@ def advance_stream(events: DataFrame, advance: Callable[[dict | None, dict], dic
         _AdvanceState(advance), outputStructType="task_id string, record string", outputMode="Update", timeMode="None")
 
 
-def _read_or_empty(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    fs = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return spark.read.schema(schema).parquet(path) if fs.exists(hadoop) else spark.createDataFrame([], schema)
-
-
 CONSUMPTION_SCHEMA = (
     "task_id string, owner_id string, plan_id string, plan_sequence int, output_id string, output_sha256 string, writer_id string, "
     "consumed_at timestamp, batch_id bigint"
 )
+_OUTCOME_SCHEMA = (
+    "request_seq bigint, task_id string, plan_id string, owner_id string, writer_id string, output_sha256 string, plan_sequence int, state string, "
+    "requested_at timestamp"
+)
+
+
+class _ConsumptionState(StatefulProcessor):
+    """Who consumed one plan, and with which output."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.used = handle.getValueState("used", "writer_id string, output_sha256 string")
+
+    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
+        row = initialState.iloc[0]
+        self.used.update((row["u_writer"], row["u_output"]))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        used, first = (self.used.get(), None) if self.used.exists() else (None, None)
+        reason = "fresh_reason" if used is None else "used_reason"
+        if used is None:  # the smallest acceptable number may come last
+            rows = list(rows)
+            for chunk in rows:
+                valid = chunk[chunk["fresh_reason"].isna()]
+                if len(valid):
+                    best = valid.loc[valid["request_seq"].idxmin()]
+                    if first is None or best["request_seq"] < first:
+                        first, used = best["request_seq"], (best["writer_id"], best["output_sha256"])
+            if used is not None:
+                self.used.update(used)
+        for chunk in rows:
+            state = chunk[reason].astype(object)
+            if used is not None:
+                same = (chunk["writer_id"] == used[0]) & (chunk["output_sha256"] == used[1])
+                compared = same.map({True: "existing", False: "already_consumed"}).astype(object)
+                compared[chunk["request_seq"] == first] = "created"
+                state = state.where(state.notna(), compared)
+            yield chunk.assign(state=state)[[c.split()[0] for c in _OUTCOME_SCHEMA.split(", ")]]
+
+    def close(self) -> None:
+        pass
 
 
-def consume_batches(requests: DataFrame, tasks: DataFrame, plans: DataFrame, selection: DataFrame, store: str, outcomes: str, checkpoint: str):
-    """Plan consumption, exactly once: every micro-batch is judged against stored consumptions
-    of earlier batches and overwrites its own batch folder, so a replayed batch writes the same. A consumption's time is the
-    request's ``requested_at``; requests without that column count as made in second ``batch_id``."""
-    timed = "requested_at" in requests.columns
-
-    def judge(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        earlier = _read_or_empty(spark, store, CONSUMPTION_SCHEMA).where(F.col("batch_id") < batch_id)
-        states = review.consumption_states(batch, tasks, plans, earlier, selection)
-        states.write.mode("overwrite").parquet(f"{outcomes}/batch_id={batch_id}")
-        judged = spark.read.parquet(f"{outcomes}/batch_id={batch_id}")
-        rows = judged.where("state = 'created'").join(
-            plans.select("plan_id", "canonical_plan_input_sha256"), "plan_id").join(tasks.select("task_id", "source_task_id"), "task_id")
-        when = F.timestamp_seconds(F.lit(batch_id))
-        if timed:
-            times = batch.select("request_seq", "requested_at")
-            rows, when = rows.drop("requested_at").join(times, "request_seq"), F.coalesce("requested_at", when)
-        rows = rows.withColumn("consumed_at", when)
+def consumption_stream(requests: DataFrame, tasks: DataFrame, plans: DataFrame, selection: DataFrame, stored: DataFrame | None = None) -> DataFrame:
+    """Outcome of every request of a stream, in append mode, as ``review.consumption_states`` gives it for a batch.
+
+    The consumption of a plan is its key's state; ``stored`` (task_id, plan_id, writer_id, output_sha256, consumed_at) is what was consumed before the
+    stream began and is read once, in its first batch. Requests for a plan that nobody has consumed yet are held by one task until the batch's smallest
+    request number is known (their eight short columns); the source's rows per trigger bound them.
+    """
+    use_rocksdb(requests.sparkSession)
+    if "requested_at" not in requests.columns:
+        requests = requests.withColumn("requested_at", F.lit(None).cast("timestamp"))
+    checked = review.request_checks(requests, tasks, plans, selection).select(
+        "request_seq", "task_id", "plan_id", "owner_id", "writer_id", "output_sha256", F.col("plan_sequence").cast("int").alias("plan_sequence"), "requested_at",
+        "fresh_reason", "used_reason")
+    initial = None if stored is None else review.oldest_consumptions(stored).groupBy("task_id", "plan_id")
+    return checked.groupBy("task_id", "plan_id").transformWithStateInPandas(
+        _ConsumptionState(), outputStructType=_OUTCOME_SCHEMA, outputMode="Append", timeMode="None", initialState=initial)
+
+
+def consume_batches(
+    requests: DataFrame, tasks: DataFrame, plans: DataFrame, selection: DataFrame, store: str, outcomes: str, checkpoint: str, stored: DataFrame | None = None,
+):
+    """Plan consumption, exactly once: outcomes come from keyed state, and every micro-batch overwrites its own folder of outcomes and of created
+    consumptions, so a replayed batch writes the same. A consumption's time is the request's ``requested_at``; requests without that column
+    count as made in second ``batch_id``. ``stored`` must not hold what this stream writes."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch = batch.persist()  # two sinks read it
+        batch.drop("requested_at").write.mode("overwrite").parquet(f"{outcomes}/batch_id={batch_id}")
+        rows = batch.where("state = 'created'").drop("owner_id", "plan_sequence").join(plans, ["task_id", "plan_id"]).join(
+            tasks.select("task_id", "owner_id", "source_task_id"), "task_id")
+        rows = rows.withColumn("consumed_at", F.coalesce("requested_at", F.timestamp_seconds(F.lit(batch_id))))
         created = review.output_ids(rows).select(
             "task_id", "owner_id", "plan_id", F.col("plan_sequence").cast("int").alias("plan_sequence"), "output_id", "output_sha256", "writer_id",
             "consumed_at")
         created.write.mode("overwrite").parquet(f"{store}/batch_id={batch_id}")
+        batch.unpersist()
 
-    return requests.writeStream.foreachBatch(judge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    states = consumption_stream(requests, tasks, plans, selection, stored)
+    return states.writeStream.outputMode("append").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def sync_batches(records: DataFrame, corpus: str, schema, checkpoint: str, order: str | None = None, n_buckets: int = buckets.BUCKETS):
