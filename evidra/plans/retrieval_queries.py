@@ -252,6 +252,37 @@ def literature_search_totals(spark, sf):
     return _search(spark, sf)[1]
 
 
+_DISEASE = [t.lower() for t in lexicon.SEARCH_ALIASES["disease"]]
+
+
+def broad_search(spark, sf):
+    """Questions that name only the disease, in either language, keep the corpus order behind the language; every third one adds a word of
+    its own and is scored. Every second title names the disease."""
+    q, d, n = F.col("query_id"), F.col("item_id"), len(_DISEASE)
+    names = F.array(*[F.lit(t) for t in _DISEASE])
+    named = lambda i: F.element_at(names, (i % n + 1).cast("int"))
+    word = F.element_at(F.split("text", " "), 1)
+    asked = shapes.questions(spark, sf).withColumn("text", F.when(q % 3 == 2, F.concat_ws(" ", named(q), word)).otherwise(named(q)))
+    items = shapes.corpus(spark, sf).withColumn("title", F.when(d % 2 == 0, F.concat_ws(" ", "title", named(F.floor(d / 2)))).otherwise(F.col("title")))
+    return search.search_literature(asked, items, page_size=20)[0]
+
+
+_DISEASE_LIST = "[" + ", ".join(f"'{t}'" for t in _DISEASE) + "]"
+BROAD_SQL = "WITH " + SEARCH_SQL.replace(
+    "SELECT item_id AS query_id, lower(trim(text)) AS t FROM benchmark",
+    f"SELECT item_id AS query_id, lower({_DISEASE_LIST}[item_id % {len(_DISEASE)} + 1] || CASE WHEN item_id % 3 = 2 THEN ' ' || string_split(text, ' ')[1] ELSE '' END) AS t FROM benchmark",
+).replace(
+    "lower(split_part(text, chr(10), 1)) AS title",
+    f"lower(split_part(text, chr(10), 1)) || CASE WHEN doc_id % 2 = 0 THEN ' ' || {_DISEASE_LIST}[doc_id // 2 % {len(_DISEASE)} + 1] ELSE '' END AS title",
+) + f""",
+broad AS (SELECT query_id, bool_and(list_contains({_DISEASE_LIST}, term)) AS broad FROM terms GROUP BY 1)
+SELECT query_id, item_id, score, bonus, year, position FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY bonus DESC, CASE WHEN NOT broad THEN score END DESC, CASE WHEN NOT broad THEN year END DESC, ord) AS position FROM (
+    SELECT query_id, item_id, score, year, ord, broad, CASE WHEN source_type = CASE WHEN regexp_matches(t, '[一-鿿]') THEN 'cn_literature' ELSE 'pubmed' END THEN 1 ELSE 0 END AS bonus
+    FROM scores JOIN items USING (item_id) JOIN qtext USING (query_id) JOIN broad USING (query_id)))
+WHERE position <= 20"""
+
+
 def _search_page_sql(order: str, where: str, first: int, last: int) -> str:
     return f"""WITH {SEARCH_SQL}
 SELECT query_id, item_id, score, bonus, year, position FROM (
@@ -475,6 +506,7 @@ QUERIES = {
     "literature_search": (
         literature_search, _search_page_sql("bonus DESC, score DESC, year DESC, ord", "true", 11, 20),
     ),
+    "broad_search": (broad_search, BROAD_SQL),
     "literature_search_by_year": (
         literature_search_by_year,
         _search_page_sql("year DESC, score DESC, bonus DESC, ord", "source_type = 'cn_literature'", 1, 5),
