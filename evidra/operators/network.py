@@ -162,7 +162,7 @@ def herb_of_compound(targets: DataFrame, compounds: DataFrame) -> DataFrame:
 
 
 def split_refs(value: Column) -> Column:
-    parts = F.transform(F.split(F.coalesce(value, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(value, F.lit("")), ";"), lambda r: F.trim(r))  # F.trim itself would take the position as its signs
     return F.filter(parts, lambda r: r != "")
 
 

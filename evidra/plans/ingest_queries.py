@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from evidra.functions import canonical
 from evidra.functions import text as tx
-from evidra.operators import answers, audits, documents, lineage
+from evidra.operators import answers, audits, documents, lineage, live
 from evidra.plans import review_queries as rq
 from evidra.plans.evaluation_queries import _CLAIMS_SQL, _turn_claims
 from evidra.session import load_table, materialize, union_all, work_folder
@@ -170,6 +170,70 @@ f AS (SELECT query, min(p_brand) AS brand FROM b GROUP BY 1), r AS (SELECT b.*,
 SELECT query, p_name AS symbol, 'P' || p_partkey AS accession, p_type AS protein_name FROM r WHERE k = 1"""
 
 
+def _landed(spark, sf):
+    """Nations as tasks, suppliers as compounds, lines as activities (returned ones of another species) and large open ones as predictions, brands
+    as targets, of which those below Brand#3 are records under their least type."""
+    supplier, part = load_table(spark, sf, "supplier"), load_table(spark, sf, "part")
+    name = F.col("s_name").alias("compound")
+    lines = load_table(spark, sf, "lineitem").join(supplier.select("s_suppkey", "s_name"), F.col("l_suppkey") == F.col("s_suppkey")).join(
+        part.select("p_partkey", "p_brand"), F.col("l_partkey") == F.col("p_partkey"))
+    tasks = load_table(spark, sf, "nation").select(F.col("n_nationkey").cast("string").alias("task_id"), F.col("n_name").alias("query"), F.lit("formula").alias("analysis_type"))
+    compounds = supplier.select(
+        F.col("s_nationkey").cast("string").alias("task_id"), F.col("s_name").alias("name"), F.concat(F.lit("herb "), F.col("s_nationkey").cast("string")).alias("herb"),
+        F.col("s_suppkey").alias("ord"))
+    identities = supplier.select(name, J(F.struct(F.when(F.col("s_acctbal") > 0, F.array("s_suppkey")).otherwise(F.array().cast("array<bigint>")).alias("CID")).alias("IdentifierList")).alias("payload"))
+    activity = F.struct(
+        F.when(F.col("l_returnflag") == "A", "Mus musculus").otherwise("Homo sapiens").alias("target_organism"), F.col("p_brand").alias("target_pref_name"),
+        F.when(F.col("l_discount") > 0.03, F.col("l_discount") * 100).alias("pchembl_value"), F.when(F.col("l_tax") > 0.02, F.col("l_orderkey")).alias("activity_id"))
+    # one landed response per compound and line number holds the lines of a supplier
+    activities = lines.groupBy(name, "l_linenumber").agg(F.sort_array(F.collect_list(F.struct("l_orderkey", activity.alias("a")))).alias("l")).select(
+        "compound", J(F.transform("l", lambda s: s["a"]).alias("activities")).alias("payload"))
+    predictions = lines.where("l_quantity > 40 and l_linestatus = 'O'").select(
+        F.when(F.col("l_linenumber") == 7, "unknown").otherwise(F.upper("s_name")).alias("compound"), F.col("p_brand").alias("target_symbol"),
+        F.col("l_discount").cast("string").alias("score"), F.lit("").alias("source"), F.when(F.col("l_tax") > 0.06, F.concat(F.lit("r"), F.col("l_orderkey").cast("string"))).alias("source_record_id"),
+        F.lit(None).cast("string").alias("retrieved_at"), F.col("l_orderkey").alias("ord"))
+    record = F.struct(F.array(F.struct(F.struct(F.col("p_type").alias("value")).alias("geneName"))).alias("genes"), F.col("p_type").alias("primaryAccession"))
+    types = part.groupBy("p_brand").agg(F.min("p_type").alias("p_type"))
+    normalizations = types.select(F.col("p_brand").alias("query"), J(F.when(F.col("p_brand") < "Brand#3", F.array(record)).otherwise(F.array().cast(
+        "array<struct<genes:array<struct<geneName:struct<value:string>>>,primaryAccession:string>>")).alias("results")).alias("payload"))
+    pathways = load_table(spark, sf, "customer").where("c_nationkey % 5 > 0").select(
+        F.col("c_nationkey").cast("string").alias("task_id"), F.col("c_mktsegment").alias("name"), F.col("c_custkey").alias("pathway_id"))
+    return tasks, compounds, identities, activities, predictions, normalizations, pathways
+
+
+def landed_network(spark, sf):
+    """Landed lookups of all tasks composed into graded chains."""
+    chains = live.live_network(*_landed(spark, sf))
+    return chains.select("task_id", "herb", "formula", "compound", "target", "pathway", F.round("score", 6).alias("score"), F.size("evidence_refs").alias("n_refs"), "evidence_level")
+
+
+def landed_steps(spark, sf):
+    """The steps of the same tasks."""
+    tasks, compounds, identities, activities, predictions, _, pathways = _landed(spark, sf)
+    return live.step_states(tasks, compounds, live.task_candidates(compounds, identities, activities, predictions), pathways)
+
+
+_LANDED = """WITH mk AS (SELECT p_brand, min(p_type) AS type FROM part GROUP BY 1),
+l AS (SELECT *, p.p_brand AS brand FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part p ON l_partkey = p_partkey),
+c AS (SELECT s_nationkey AS t, s_name AS c, brand, 'known_activity' AS ev, CASE WHEN l_discount > 0.03 THEN least(1.0, greatest(0.0, l_discount * 100 / 10)) ELSE 0.5 END AS score,
+    CASE WHEN l_tax > 0.02 THEN CAST(l_orderkey AS VARCHAR) WHEN s_acctbal > 0 THEN 'CID' END AS ref FROM l WHERE l_returnflag <> 'A'
+  UNION ALL SELECT s_nationkey, s_name, brand, 'predicted', l_discount, CASE WHEN l_tax > 0.06 THEN 'r' END FROM l WHERE l_quantity > 40 AND l_linestatus = 'O' AND l_linenumber <> 7)"""
+LANDED_SQL = f"""{_LANDED},
+n AS (SELECT t, c, ev, score, CASE WHEN brand < 'Brand#3' THEN type ELSE brand END AS target, (ref IS NOT NULL)::INT + (brand < 'Brand#3')::INT AS refs FROM c JOIN mk ON p_brand = brand),
+m AS (SELECT t, CASE WHEN bool_or(ev = 'predicted') THEN upper(c) ELSE c END AS compound, bool_or(ev = 'predicted') AS loud, c, target, CASE WHEN count(DISTINCT ev) > 1 THEN 'mixed' ELSE min(ev) END AS ev,
+  max(score) AS score, CAST(sum(refs) AS INTEGER) AS n_refs FROM n GROUP BY t, c, target)
+SELECT CAST(t AS VARCHAR) AS task_id, CASE WHEN compound = c THEN 'herb ' || t ELSE '{live.network.UNKNOWN_HERB}' END AS herb, n_name AS formula, compound, target,
+  coalesce(pathway, '{live.network.UNKNOWN_PATHWAY}') AS pathway, round(score, 6) AS score, n_refs,
+  CASE WHEN ev = 'known_activity' THEN 'experimental' WHEN ev = 'mixed' OR n_refs > 0 THEN 'literature_supported' ELSE 'predicted' END AS evidence_level
+FROM m JOIN nation ON n_nationkey = t LEFT JOIN (SELECT c_nationkey, arg_min(c_mktsegment, c_custkey) AS pathway FROM customer WHERE c_nationkey % 5 > 0 GROUP BY 1) ON c_nationkey = t"""
+LANDED_STEPS_SQL = f"""{_LANDED},
+k AS (SELECT n_nationkey AS t, (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS n0, (SELECT count(*) FROM c WHERE t = n_nationkey AND ev = 'known_activity') AS n1,
+  (SELECT count(*) FROM c WHERE t = n_nationkey AND ev = 'predicted') AS n2, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey AND c_nationkey % 5 > 0) AS n4 FROM nation),
+s(step_no, step, empty) AS (VALUES {', '.join(f"({i}, '{step}', '{empty}')" for i, (step, empty) in enumerate(live.STEPS))}),
+z AS (SELECT t, CAST(step_no AS INTEGER) AS step_no, step, empty, CASE step_no WHEN 0 THEN n0 WHEN 1 THEN n1 WHEN 2 THEN n2 WHEN 4 THEN n4 ELSE n1 + n2 END AS n FROM k CROSS JOIN s)
+SELECT CAST(t AS VARCHAR) AS task_id, step_no, step, n, CASE WHEN n > 0 THEN 'completed' ELSE empty END AS status FROM z"""
+
+
 def pending_requests(spark, sf):
     """Customers as lookups of which the suppliers' nations have landed."""
     asked = load_table(spark, sf, "customer").select(F.lit("PubChem API").alias("provider"), F.col("c_nationkey").cast("string").alias("query"), F.struct(F.col("c_mktsegment").alias("segment")).alias("params")).distinct()
@@ -651,6 +715,8 @@ QUERIES = {
     ),
     "activity_responses": (activity_responses, ACTIVITY_TARGET_SQL),
     "target_normalization": (target_normalization, NORMAL_SQL),
+    "landed_network": (landed_network, LANDED_SQL),
+    "landed_steps": (landed_steps, LANDED_STEPS_SQL),
     "pending_requests": (pending_requests, PENDING_SQL),
     "page_compounds": (page_compounds, PAGE_SQL),
     "article_records": (article_records, ARTICLE_SQL),
